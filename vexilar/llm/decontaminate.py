@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vexilar.llm.text import NOT_WORD, ascii_lower, no_ints, own_columns, with_row_key, with_words
+from vexilar.llm.text import BROADCAST_DROPS, NOT_WORD, ascii_lower, no_ints, own_columns, text_key, with_row_key, with_words
 from vexilar.session import materialize
 
 #: Windows of the test set that are broadcast at most: at about 300 bytes each, 60 MB.
@@ -114,3 +114,15 @@ def contamination(
         F.col("_id").alias("doc_id"), F.col("_n").alias("n_words"), F.col("_hit").alias("n_hit"), F.size("_items").cast("bigint").alias("n_items"),
         F.col("_items").alias("items"), ((F.col("_hit") > 0) & (F.col("_hit") * share >= F.col("_n"))).alias("contaminated"),
     )
+
+
+def remove_contaminated(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated, all columns unchanged.
+
+    Contamination depends on the text alone, so rows are told by a hash of it: repeated and null ids don't matter.
+    """
+    keyed = docs.select(text_key(F.col(f"`{text}`")).alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    keys = contamination(keyed, bench, **options).where("contaminated").select(F.col("doc_id").alias("_key")).distinct()
+    keys = materialize(keys, "contaminated")
+    few = keys.count() <= BROADCAST_DROPS
+    return docs.join(F.broadcast(keys) if few else keys, text_key(F.col(f"`{text}`")) == F.col("_key"), "left_anti")

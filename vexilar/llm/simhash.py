@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vexilar.llm.arrow import map_arrow
-from vexilar.llm.text import own_columns
+from vexilar.llm.text import drop_rows, own_columns, text_key
 from vexilar.operators.components import connected_components
 from vexilar.session import materialize
 
@@ -49,7 +49,7 @@ def _make_fingerprints(shingle: int, seed: int):
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = batch.column("_text").cast(pa.binary()).to_pylist()
-            return pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(map(of, texts), pa.int64())], names=["_id", "fp"])
+            return pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_key"), pa.array(map(of, texts), pa.int64())], names=["_id", "_key", "fp"])
 
         return step
 
@@ -57,14 +57,14 @@ def _make_fingerprints(shingle: int, seed: int):
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
-    """(_id, fp): the 64-bit SimHash of every text, as a signed long, one row a row of ``docs``.
+    """(_id, _key, fp): the 64-bit SimHash of every text, as a signed long, one row a row of ``docs``; _key: text_key.
 
     Words are split at ASCII blanks after lower-casing A-Z; a shingle's hash is the XXH64 of its words joined by
     spaces, repeats counted; a bit is 1 if set in over half of the hashes. A text with fewer words than a shingle is one
     shingle, and a null text or one without words has fingerprint zero.
     """
-    own = own_columns(docs, _id=F.col(f"`{doc_id}`").cast("bigint"), _text=F.col(f"`{text}`").cast("string"))
-    return map_arrow(own, _make_fingerprints(shingle, seed), "_id bigint, fp bigint", "_text")
+    own = own_columns(docs, _id=F.col(f"`{doc_id}`").cast("bigint"), _key=text_key(F.col(f"`{text}`")), _text=F.col(f"`{text}`").cast("string"))
+    return map_arrow(own, _make_fingerprints(shingle, seed), "_id bigint, _key bigint, fp bigint", "_text")
 
 
 def _distance(a: Column, b: Column) -> Column:
@@ -140,13 +140,8 @@ def links(points: DataFrame, radius: int = 2, pivots: int = PIVOTS, pair_group:
     return pairs.union(met).distinct()
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, seed: int = 42, radius: int = 2) -> DataFrame:
-    """One row a document: doc_id, fingerprint (16 hex digits), component_id.
-
-    component_id is the least doc_id that links reach, the document's own included. Null and empty texts have
-    fingerprint zero and link like any other; repeated rows each get a row; null ids never become a component_id
-    (null only where a whole component has none). Other columns are ignored; an empty table gives no row.
-    """
+def _classes(docs: DataFrame, doc_id: str, text: str, shingle: int, seed: int, radius: int) -> DataFrame:
+    """(_id, _key, fp, component_id), one row a row of ``docs``."""
     prints = materialize(fingerprints(docs, doc_id, text, shingle, seed), "fingerprints")
     points = materialize(prints.groupBy("fp").agg(F.min("_id").alias("least")), "points")
     joined = connected_components(links(points.select("fp"), radius))
@@ -154,19 +149,34 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     best = known.groupBy("component").agg(F.min("least").alias("component_id"))
     renamed = known.join(best, "component").select(F.col("node").alias("fp"), "component_id")
     of_point = points.join(renamed, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    out = prints.join(materialize(of_point, "classes"), "fp")
+    return prints.join(materialize(of_point, "classes"), "fp")
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, seed: int = 42, radius: int = 2) -> DataFrame:
+    """One row a document: doc_id, fingerprint (16 hex digits), component_id.
+
+    component_id is the least doc_id that links reach, the document's own included. Null and empty texts have
+    fingerprint zero and link like any other; repeated rows each get a row; null ids never become a component_id
+    (null only where a whole component has none). Other columns are ignored; an empty table gives no row.
+    """
+    out = _classes(docs, doc_id, text, shingle, seed, radius)
     return out.select(F.col("_id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, seed: int = 42, radius: int = 2) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of every component the row with the least doc_id stays.
 
-    Rows that repeat a kept doc_id are one document, of which one row stays. Rows with a null doc_id stand for
-    themselves: one of each distinct text stays. All columns are unchanged.
+    Rows that repeat both doc_id and text are one document, of which one row stays. A row with a null doc_id goes if
+    its component has an id; of components without any, one row of each distinct text stays. All columns are
+    unchanged. The rows to drop are found among fingerprints, so texts are only shuffled where there are too many of
+    those to broadcast.
     """
-    found = near_duplicates(docs, doc_id, text)
-    kept = materialize(found.where("doc_id = component_id").groupBy("doc_id").count(), "kept").withColumnRenamed("doc_id", "_keep")
-    same = docs[doc_id] == F.col("_keep")
-    once = docs.join(kept.where("count = 1").select("_keep"), same, "left_semi")
-    again = docs.join(kept.where("count > 1").select("_keep"), same, "left_semi").dropDuplicates([doc_id])
-    return once.union(again).union(docs.where(docs[doc_id].isNull()).dropDuplicates([text]))
+    found = materialize(_classes(docs, doc_id, text, shingle, seed, radius), "near_duplicates")
+    goes = (F.col("_id") != F.col("component_id")) | (F.col("_id").isNull() & F.col("component_id").isNotNull())
+    left = drop_rows(docs, found.where(F.coalesce(goes, F.lit(False))).select("_id", "_key"), doc_id, text)
+    again = materialize(found.groupBy("_id", "_key").count().where("count > 1").select("_id", "_key"), "repeated_rows")
+    if again.isEmpty():
+        return left
+    same = F.col(f"`{doc_id}`").eqNullSafe(F.col("_id")) & (text_key(F.col(f"`{text}`")) == F.col("_key"))
+    once = left.join(again, same, "left_semi").withColumn("_text_key", text_key(F.col(f"`{text}`"))).dropDuplicates([doc_id, "_text_key"]).drop("_text_key")
+    return drop_rows(left, again, doc_id, text).unionByName(once)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vexilar.session import materialize
+
 # The character classes of the contract.
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -43,3 +45,20 @@ def own_columns(df: DataFrame, **columns: Column | str) -> DataFrame:
 def with_row_key(df: DataFrame, out: str = "_row") -> DataFrame:
     """A key of the row, not of its id: repeated ids stay separate rows through a regrouping."""
     return df.withColumn(out, F.monotonically_increasing_id())
+
+
+#: Rows to drop that are broadcast at most: at about 50 bytes each in a hash table, 25 MB.
+BROADCAST_DROPS = 500_000
+
+
+def text_key(text: Column) -> Column:
+    """A 64-bit hash of a text; null counts as ''. Equal texts have equal keys."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def drop_rows(docs: DataFrame, drops: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``docs`` without the rows whose id (null equals null) and text_key are in ``drops`` (_id, _key)."""
+    drops = materialize(drops.distinct(), "drops")
+    few = drops.count() <= BROADCAST_DROPS
+    same = F.col(f"`{doc_id}`").eqNullSafe(F.col("_id")) & (text_key(F.col(f"`{text}`")) == F.col("_key"))
+    return docs.join(F.broadcast(drops) if few else drops, same, "left_anti")
