@@ -118,7 +118,10 @@ def scan_licenses(
     near = (start >= 0) & (F.get("_w", start + F.col("word2_at")) == F.col("word2"))
     phrase = near & (F.slice("_w", F.greatest(start + F.col("key_at"), F.lit(0)) + 1, F.size("key")) == F.col("key"))
     rows = rows.where((F.col("_p") < 0) | phrase)
-    share = F.size(F.filter(F.zip_with("words", F.slice("_w", F.greatest(start, F.lit(0)) + 1, F.size("words")), lambda a, b: F.coalesce(a == b, F.lit(False)).cast("int")), lambda x: x == 1)) / F.size("words")
+    # word by word rather than by a lambda, which would end the generated stage and copy the words for every row
+    longest = max(len(t.phrase.split()) for t in (*base, *extra))
+    agree = sum((F.when(F.get("_w", F.greatest(start, F.lit(0)) + i) == F.get("words", F.lit(i)), 1).otherwise(0) for i in range(longest)), F.lit(0))
+    share = agree / F.size("words")
     rows = rows.select("_row", "_id", "_p", F.size("_w").cast("bigint").alias("_n"), start.cast("bigint").alias("_start"), "label", "is_base", F.when(F.col("_p") >= 0, share).alias("_share"))
     rows = rows.where((F.col("_p") < 0) | (F.col("_share") >= min_cover))
     bit = F.lit(0).cast("bigint")
