@@ -125,4 +125,4 @@ def remove_contaminated(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id
     keys = contamination(keyed, bench, **options).where("contaminated").select(F.col("doc_id").alias("_key")).distinct()
     keys = materialize(keys, "contaminated")
     few = keys.count() <= BROADCAST_DROPS
-    return docs.join(F.broadcast(keys) if few else keys, text_key(F.col(f"`{text}`")) == F.col("_key"), "left_anti")
+    return docs.join(F.broadcast(keys) if few else keys, text_key(docs[text]) == keys["_key"], "left_anti")

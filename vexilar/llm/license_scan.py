@@ -3,7 +3,7 @@
 The templates' words are counted over all files, which gives each word its IDF. Every template is indexed under its
 rarest words: a posting is (word, template, position). A file's occurrences of indexed words are looked up, postings
 of a template must agree on the relative position of its two rarest words, and the mandatory key phrase is then
-compared in place. Both rarest words stand in every occurrence of a template, so none is missed.
+compared in place. Both rarest words are the key phrase's, so they stand in every match and none is missed.
 """
 
 from __future__ import annotations
@@ -81,7 +81,7 @@ def rare_token_index(docs: DataFrame, base: tuple[Template, ...] = BASE_TEMPLATE
     df = {r["word"]: r["df"] for r in document_frequencies(docs, vocabulary, text).collect()}  # a row a template word at most
     out = []
     for k, label, is_base, words, key, at in rows:
-        order = sorted(range(len(words)), key=lambda i: (df.get(words[i], 0), i))
+        order = sorted(range(at, at + len(key)), key=lambda i: (df.get(words[i], 0), i))  # the key stands in every match
         first, second = order[0], order[1] if len(order) > 1 else order[0]
         out.append((k, label, is_base, words, key, at, words[first], first, words[second], second))
     return spark.createDataFrame(out, "template int, label string, is_base boolean, words array<string>, key array<string>, key_at int, word string, word_at int, word2 string, word2_at int")

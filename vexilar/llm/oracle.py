@@ -1,7 +1,101 @@
-"""DuckDB SQL for the queries that SQL can express."""
+"""DuckDB SQL for the queries that SQL can express.
+
+The others have brute-force versions in the tests: sampled segmentations and classifier scores have no SQL form, the
+tokenizer and XXH64 are not SQL functions, and context scores of personal data are program code.
+"""
 
 from __future__ import annotations
 
+from vexilar.llm import license_scan, quality, url_filter
+
+LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+WORDS = rf"list_filter(regexp_split_to_array({LOW}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+
+
+def _list(values) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
+
+
+def _op1() -> str:
+    rows = []
+    for k, t in enumerate((*license_scan.BASE_TEMPLATES, *license_scan.METHOD_TEMPLATES)):
+        words, key = t.phrase.split(), (t.key or t.phrase).split()
+        at = next(i for i in range(len(words)) if words[i : i + len(key)] == key)
+        rows.append(f"({k}, '{t.label}', {k < len(license_scan.BASE_TEMPLATES)}, {_list(words)}, {_list(key)}, {at})")
+    return f"""
+WITH t(k, label, is_base, words, key, key_at) AS (VALUES {', '.join(rows)}),
+d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS} AS w FROM documents),
+p AS (SELECT r, w, unnest(range(1, len(w) + 1)) AS p FROM d),
+m AS (SELECT r, label, is_base, p - 1 - key_at AS start, len(list_filter(range(1, len(words) + 1), lambda i: w[p - 1 - key_at + i] = words[i])) / len(words) AS share
+      FROM p JOIN t ON w[p] = key[1] WHERE w[p:p + len(key) - 1] = key AND p - 1 - key_at >= 0),
+g AS (SELECT r, count(*) FILTER (is_base) AS n_base, min(start) FILTER (is_base) AS first_word, max(start) FILTER (is_base) AS last_word,
+      string_agg(DISTINCT label, ',' ORDER BY label) FILTER (is_base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score
+      FROM m WHERE share >= 0.5 GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word, coalesce(base_labels, '') AS base_labels,
+  coalesce(labels, '') AS labels, round(coalesce(score, 0.0), 6) AS score FROM d LEFT JOIN g USING (r)"""
+
+
+def _op4() -> str:
+    case = lambda field: "CASE " + " ".join(
+        f"WHEN (host = '{x.host}' OR ends_with(host, '.{x.host}')) AND starts_with(path, '{x.path}') THEN '{field(x)}'"
+        for x in sorted(url_filter.RULES, key=lambda x: (-len(x.host + x.path), -len(x.host)))
+    ) + " END"
+    rule, verdict = case(lambda x: x.host + x.path), case(lambda x: x.verdict)
+    parts = lambda u: (
+        f"translate(coalesce(regexp_extract({u}, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, "
+        f"coalesce(regexp_extract({u}, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path"
+    )
+    return rf"""
+WITH RECURSIVE tags AS (SELECT url, unnest([regexp_extract(regexp_extract(html, '(?is)(<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>)', 1), '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
+    regexp_extract(regexp_extract(html, '(?is)(<meta\b[^>]*http-equiv\s*=\s*["'']?refresh\b[^>]*>)', 1), '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1)]) AS target
+  FROM pages WHERE url IS NOT NULL AND html IS NOT NULL),
+links AS (SELECT DISTINCT a, b FROM (SELECT split_part(url, '#', 1) AS a, split_part(CASE WHEN starts_with(target, '//') THEN regexp_extract(url, '(?s)^(.*?:)//', 1) || target
+    WHEN starts_with(target, '/') THEN regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || target WHEN contains(target, '://') THEN target END, '#', 1) AS b FROM tags WHERE target <> '')
+  WHERE b IS NOT NULL AND a <> b),
+both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT a, b FROM both_ways UNION SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON reach.b = both_ways.a),
+seen AS (SELECT a, {verdict} AS verdict FROM (SELECT a, {parts('b')} FROM (SELECT a, b FROM reach UNION SELECT a, a FROM reach))),
+blocked AS (SELECT a FROM seen GROUP BY a HAVING bool_or(coalesce(verdict = 'block', false)) AND NOT bool_or(coalesce(verdict = 'allow', false))),
+judged AS (SELECT page_id, split_part(url, '#', 1) AS u, {parts('url')} FROM pages)
+SELECT page_id, host, path, {rule} AS rule, coalesce({verdict}, CASE WHEN u IN (SELECT a FROM blocked) THEN 'block' ELSE 'allow' END) AS verdict FROM judged"""
+
+
+_OP7 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+s AS (SELECT page_id, strlen(h) AS payload_bytes, sha1(h) AS x FROM p),
+d AS (SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+  CAST((CAST('0x' || substr(x, CAST(1 + 5 * (i // 4) AS BIGINT), 5) AS UINTEGER) // CAST(pow(32, 3 - i % 4) AS UINTEGER)) % 32 + 1 AS BIGINT), 1)), '') AS payload_digest FROM s),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_page FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first_page THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first_page THEN first_page END AS refers_to FROM f"""
+
+
+def _op8() -> str:
+    base = " OR ".join(f"({r.rejects})" for r in quality.BASE_RULES)
+    every = " OR ".join(f"({r.rejects})" for r in (*quality.BASE_RULES, *quality.METHOD_RULES))
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+      list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+g AS (SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) > 2)),
+again AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM g) WHERE c > 1),
+cover AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM again) GROUP BY r),
+m AS (SELECT doc_id, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols,
+      len(l) AS n_lines, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words FROM w LEFT JOIN cover USING (r))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {base} AS base_failed, NOT ({every}) AS kept FROM m"""
+
+
+_OP9 = f"""
+WITH b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {WORDS} AS w FROM benchmark),
+bw AS (SELECT DISTINCT item, n, array_to_string(w[i:i + n - 1], ' ') AS s FROM (SELECT item, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM (SELECT item, w, least(13, len(w)) AS n FROM b WHERE len(w) > 0))),
+d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS} AS w FROM documents),
+dw AS (SELECT r, n, i, array_to_string(w[i:i + n - 1], ' ') AS s FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM bw) WHERE len(w) >= n)),
+h AS (SELECT r, i, dw.n, item FROM dw JOIN bw ON dw.n = bw.n AND dw.s = bw.s),
+hit AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM h) GROUP BY r),
+items AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM h GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated FROM d LEFT JOIN hit USING (r) LEFT JOIN items USING (r)"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_license_scan": _op1(), "op4_url_filter": _op4(), "op7_warc": _OP7, "op8_quality": _op8(), "op9_decontaminate": _OP9}

@@ -177,6 +177,6 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingl
     again = materialize(found.groupBy("_id", "_key").count().where("count > 1").select("_id", "_key"), "repeated_rows")
     if again.isEmpty():
         return left
-    same = F.col(f"`{doc_id}`").eqNullSafe(F.col("_id")) & (text_key(F.col(f"`{text}`")) == F.col("_key"))
-    once = left.join(again, same, "left_semi").withColumn("_text_key", text_key(F.col(f"`{text}`"))).dropDuplicates([doc_id, "_text_key"]).drop("_text_key")
+    same = left[doc_id].eqNullSafe(again["_id"]) & (text_key(left[text]) == again["_key"])
+    once = left.join(again, same, "left_semi").dropDuplicates([doc_id, text])
     return drop_rows(left, again, doc_id, text).unionByName(once)

@@ -60,5 +60,5 @@ def drop_rows(docs: DataFrame, drops: DataFrame, doc_id: str, text: str) -> Data
     """``docs`` without the rows whose id (null equals null) and text_key are in ``drops`` (_id, _key)."""
     drops = materialize(drops.distinct(), "drops")
     few = drops.count() <= BROADCAST_DROPS
-    same = F.col(f"`{doc_id}`").eqNullSafe(F.col("_id")) & (text_key(F.col(f"`{text}`")) == F.col("_key"))
+    same = docs[doc_id].eqNullSafe(drops["_id"]) & (text_key(docs[text]) == drops["_key"])
     return docs.join(F.broadcast(drops) if few else drops, same, "left_anti")
