@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from vexilar.session import materialize
+
 #: Rows of a block; a task holds two blocks and their product.
 BLOCK_ROWS = 4_096
 
@@ -118,7 +120,8 @@ def knn_purity(df: DataFrame, k: int = 10, vec: str = "v", label: str = "label")
     """
     from vexilar.functions.vectors import standardize
 
-    edges = top_k(standardize(df.select("id", F.col(vec).alias("v")), "v", eps=1e-6), k, metric="euclidean", include_self=False)
+    scaled = materialize(standardize(df.select("id", F.col(vec).alias("v")), "v", eps=1e-6), "standardized")
+    edges = top_k(scaled, k, metric="euclidean", include_self=False)
     names = df.select("id", F.col(label).alias("label"))
     hit = edges.join(names.withColumnsRenamed({"id": "src", "label": "a"}), "src").join(names.withColumnsRenamed({"id": "dst", "label": "b"}), "dst")
     own = hit.groupBy("src").agg(F.avg((F.col("a") == F.col("b")).cast("double")).alias("p"))
@@ -133,6 +136,7 @@ def cross_view_consistency(df: DataFrame, a: str, b: str, k: int = 12) -> DataFr
     if n < 3:
         return df.select("id", F.lit(1.0).alias("reliability"))
     k = min(k, n - 1)
-    near = lambda v: top_k(standardize(df.select("id", F.col(v).alias("v")), "v", eps=1e-6), k, metric="euclidean", include_self=False).select("src", "dst")
+    scaled = lambda v: materialize(standardize(df.select("id", F.col(v).alias("v")), "v", eps=1e-6), "standardized")
+    near = lambda v: top_k(scaled(v), k, metric="euclidean", include_self=False).select("src", "dst")
     both = near(a).join(near(b), ["src", "dst"]).groupBy("src").count()
     return df.select("id").join(both, F.col("id") == F.col("src"), "left").select("id", (0.10 + 0.90 * F.coalesce("count", F.lit(0)) / k).alias("reliability"))
