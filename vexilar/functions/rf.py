@@ -130,13 +130,13 @@ BASE: dict[str, Formula] = {
 
 
 def _extension() -> dict[str, Formula]:
-    """Eight statistics of the envelope, the phase and its steps."""
+    """Eight statistics each of the envelope, the phase and its steps."""
     of: dict[str, Formula] = {"envelope": lambda r: r.envelope, "phase": lambda r: r.phase, "turn": lambda r: r.turn}
     stats: dict[str, Callable[[np.ndarray], np.ndarray]] = {
         "mean": lambda x: x.mean(axis=1), "std": lambda x: x.std(axis=1), "skew": lambda x: _shape(x, 3, WIDE_EPS), "kurtosis": lambda x: _shape(x, 4, WIDE_EPS),
         "q25": lambda x: np.quantile(x, 0.25, axis=1), "q75": lambda x: np.quantile(x, 0.75, axis=1), "peak": lambda x: np.abs(x).max(axis=1), "power": lambda x: (x**2).mean(axis=1),
     }
-    return {f"{n}_{s}": lambda r, g=g, h=h: h(g(r)) for n, g in of.items() for s, h in stats.items()}
+    return {f"wide_{n}_{s}": lambda r, g=g, h=h: h(g(r)) for n, g in of.items() for s, h in stats.items()}
 
 
 def _eigen_ratio(r: Records) -> np.ndarray:

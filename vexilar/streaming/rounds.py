@@ -22,15 +22,20 @@ def score_stream(stream: DataFrame, protos: DataFrame) -> DataFrame:
     return joined.withColumn("_b", best).select(*stream.columns, (-F.col("_b.neg")).alias("pred"), (1 - F.col("_b.sim")).alias("score"))
 
 
+def _timed(events: DataFrame, late: str) -> DataFrame:
+    """Streams get a watermark, which needs a time with a zone: that of the session."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
+
+
 def windowed_counts(events: DataFrame, size: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Tumbling counts and sums by event type; rows later than the watermark are left out in a stream."""
-    out = events.withWatermark("ts", late) if events.isStreaming else events
+    out = _timed(events, late)
     return out.groupBy(F.window("ts", size), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), "event_type", "n", "total")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "2 hours") -> DataFrame:
     """Events of a user with gaps below ``gap`` as sessions."""
-    out = events.withWatermark("ts", late) if events.isStreaming else events
+    out = _timed(events, late)
     return out.groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
