@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,8 +25,32 @@ def local_session(cpus: int = 8, shuffle_partitions: int | None = None, memory:
     )
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Lets Python workers import this package, once an application.
+
+    The package goes to executors as a zip file through Spark. Local workers that find it by their path need none.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    _shipped.add(context.applicationId)
+    home = Path(__file__).resolve().parent
+    path = [Path(p or ".").resolve() for p in (os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep))]
+    if context.master.startswith("local") and home.parent in path:
+        return
+    out = Path(tempfile.mkdtemp(prefix="vexilar-"), f"{home.name}.zip")
+    with zipfile.ZipFile(out, "w") as z:
+        for f in sorted(home.rglob("*.py")):
+            z.write(f, f.relative_to(home.parent))
+    context.addPyFile(str(out))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the parquet tables below ``sf_dir``, read by Spark itself so that any store works."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -56,6 +83,7 @@ def delete_path(spark: SparkSession, path: str) -> None:
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: lineage ends in storage that outlives any executor."""
     spark = df.sparkSession
+    ship(spark)
     path = scratch_path(spark, tag)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
