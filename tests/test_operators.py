@@ -126,6 +126,34 @@ def test_split_parts_joined_blobs(planted):
     assert out.select("cluster").distinct().count() == 5 and metrics.hungarian_accuracy(metrics.contingency(out)) == 1.0
 
 
+def test_second_look_merges_and_adds_classes(planted):
+    rows = _views(planted.where("label >= 0")).withColumn("probability", F.lit(1.0))
+    half = rows.withColumn("cluster", F.when((F.col("label") == 0) & (F.col("id") % 2 == 0), 0).when(F.col("label") == 1, 1).otherwise(-1).cast("bigint"))
+    out, counts = consolidate.recluster(half, [0, 1], consolidate.Recluster(10, 5, 10, 0.95))
+    table = metrics.contingency(out)
+    assert counts["merged"] == 1 and counts["new"] + counts["rejected"] == 3 and counts["uncertain"] == 140
+    assert metrics.purity(table).first()[0] == 1.0
+    few, counts = consolidate.recluster(half.limit(5), [0, 1])
+    assert counts["secondary"] == 0 and few.count() == 5
+
+
+def test_accepted_clusters_merge(planted):
+    rows = _views(planted.where("label >= 0")).withColumn("cluster", (2 * F.col("label") + F.col("id") % 2).cast("bigint"))
+    out = consolidate.merge_accepted(rows, [0, 1, 2], 0.9)
+    assert out.select("cluster").distinct().count() == 9
+
+
+def test_learners_over_rounds(planted):
+    known = planted.where("label between 0 and 2").select("id", "label", "v")
+    new = [planted.where(f"label = {c}").select("id", "label", "v") for c in (3, 4)]
+    from vexilar.plans import baselines
+
+    out = baselines.compare(known, new, planted.where("label >= 0").select("id", "label", "v"), ("lwf", "icarl", "tpcil", "doi"))
+    rows = {(r["method"], r["stage"]): r for r in out.collect()}
+    assert len(rows) == 12 and rows[("icarl", "After R2")]["overall"] > 0.95 and rows[("icarl", "Initial")]["forgetting"] is None
+    assert set(baselines.wide(out, 2).columns) == {"method", "Initial", "After R1", "After R2", "mean"}
+
+
 def test_metrics_on_trivial_partitions(spark):
     t = spark.createDataFrame([(0, 0, 5), (1, 1, 5)], "truth bigint, cluster bigint, n bigint")
     assert metrics.ari(t).first()[0] == 1.0 and metrics.nmi(t).first()[0] == pytest.approx(1.0) and metrics.purity(t).first()[0] == 1.0

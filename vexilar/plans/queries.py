@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from vexilar.functions import registry, rf, vectors
-from vexilar.operators import cluster, components, consolidate, graph, knn, metrics, prototypes, reports, splits
+from vexilar.operators import cluster, components, consolidate, graph, knn, metrics, prototypes, recordings, reports, splits
+from vexilar.plans import baselines
 from vexilar.session import materialize, table
 from vexilar.streaming import rounds
 
@@ -413,6 +414,37 @@ def projection_2d(spark, sf_dir):
     return cluster.project_groups(_vectors(spark, sf_dir).withColumn("g", F.lit(0)), ["g"]).select("id", _r("x", 6).alias("x"), _r("y", 6).alias("y"))
 
 
+@query(f"WITH {E}, r AS (SELECT id // 10 AS rec, {CLUSTER} AS pred FROM e), n AS (SELECT rec, pred, count(*) AS n FROM r GROUP BY ALL) SELECT CAST(rec AS BIGINT) AS recording_id, CAST(pred AS BIGINT) AS pred FROM n QUALIFY row_number() OVER (PARTITION BY rec ORDER BY n DESC, pred) = 1")
+def recording_vote(spark, sf_dir):
+    df = _clusters(spark, sf_dir).select(F.floor(F.col("id") / 10).alias("recording_id"), F.col("cluster").alias("pred"))
+    return recordings.vote(df)
+
+
+@query(f"WITH {E}, p AS (SELECT id // 10 AS rec, id, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM e), m AS (SELECT rec, i, avg(x) AS x, count(*) AS n FROM p GROUP BY rec, i) SELECT e.id, n, {R('x')} AS first FROM e JOIN m ON e.id // 10 = rec AND i = 1")
+def recording_means(spark, sf_dir):
+    df = _vectors(spark, sf_dir).withColumn("recording_id", F.floor(F.col("id") / 10))
+    means = recordings.aggregate_recordings(df, ["v"])
+    return recordings.propagate(df.select("id", "recording_id"), means).select("id", "n", _r(F.get("v", F.lit(0))).alias("first"))
+
+
+@query()
+def accepted_merge(spark, sf_dir):
+    return consolidate.merge_accepted(_three_views(spark, sf_dir), [0, 1, 2, 3, 4], 0.3).select("id", "cluster")
+
+
+@query()
+def second_look(spark, sf_dir):
+    df = _three_views(spark, sf_dir).withColumn("probability", F.lit(1.0))
+    return consolidate.recluster(df, [0, 1, 2], consolidate.Recluster(5, 2, 5, 0.5))[0].select("id", "cluster")
+
+
+@query()
+def learner_comparison(spark, sf_dir):
+    df = _vectors(spark, sf_dir)
+    part = lambda a, b: df.where(F.col("label").between(a, b) & (F.col("id") % 4 != 0))
+    return baselines.compare(part(0, 5), [part(6, 7), part(8, 9)], df.where("id % 4 = 0"))
+
+
 # ---- signal features ----
 
 
