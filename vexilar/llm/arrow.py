@@ -8,6 +8,8 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401 - pa.compute
 from pyspark.sql import DataFrame
 
+from vexilar.session import ship
+
 #: Bytes of text a worker turns into Python objects at once; longer single rows stand alone.
 SLICE_BYTES = 8_000_000
 
@@ -26,13 +28,34 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
     yield batch.slice(start)
 
 
-def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str, column: str) -> DataFrame:
-    """``df`` through a function of record batches. make() runs once a task, in the worker, and gives the function."""
+#: What goes to a worker at once; Spark's own default, 10,000 rows, is tens of MB of text on both sides of the pipe.
+BATCH_ROWS, BATCH_BYTES = 2_000, 8_000_000
+
+
+def _small_batches(df: DataFrame) -> None:
+    """Bounds the session's Arrow batches, where they are larger."""
+    conf = df.sparkSession.conf
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{key}"
+        now = (conf.get(name, None) or "").rstrip("b")  # None: not set, so Spark's default
+        if not now.isdigit() or not 0 < int(now) <= most:
+            conf.set(name, str(most))
+
+
+def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str, column: str, limit: int = SLICE_BYTES) -> DataFrame:
+    """``df`` through a function of record batches. make() runs once a task, in the worker, and gives the function.
+
+    limit: bytes of ``column`` that the function gets at once, or one row.
+    """
+
+    ship(df.sparkSession)
+    _small_batches(df)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
         for batch in batches:
-            for part in slices(batch, column):
+            for part in slices(batch, column, limit):
                 yield step(part)
+        pa.default_memory_pool().release_unused()  # the worker is used again, perhaps for something larger
 
     return df.mapInArrow(run, schema)

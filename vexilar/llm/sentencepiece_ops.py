@@ -16,7 +16,7 @@ from __future__ import annotations
 import math
 import re
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +28,15 @@ from vexilar.llm.text import own_columns
 
 BLANK = "▁"
 LETTERS, MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", ".,;:!?|()[]{}*#$%&<>=+/\\\"'-_~^`@"
-#: Stretches a worker keeps at most, and the longest that are kept.
-KEPT, LONGEST_KEPT = 300_000, 48
+#: Stretches a worker keeps, beyond which it starts afresh with the next texts.
+KEPT = 330_000
+#: Bytes of text that are sampled at once: a lattice has some 20 arcs a stretch.
+SLICE = 700_000
 #: Log-probability below which the rest of a text can't matter to a draw in double precision.
 NEGLIGIBLE = -45.0
 #: Of the rolling hash that finds pieces in text; checked to be free of collisions among the model's own pieces.
 MULTIPLIER, MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
+BUCKET_BITS, SPREAD = 17, 0xD6E8FEB86659FD93
 
 
 @dataclass(frozen=True)
@@ -72,7 +75,6 @@ class Codec:
         if any(BLANK in p.lstrip(BLANK) for p in self.text_id):
             raise ValueError("this model has pieces across words; stretches can't be encoded apart")
         self.cut = self._cutter()
-        self.best: dict[str, tuple[int, ...]] = {}
         self.clear()
 
     def _cutter(self) -> re.Pattern[str]:
@@ -94,26 +96,23 @@ class Codec:
 
     def encode(self, text: str | None) -> np.ndarray:
         """The model's pieces of a whole text."""
-        parts = self.stretches(text or "")
-        found = list(map(self.best.get, parts))
-        if None in found:
-            found = self._encode_new(parts, found)
-        return np.fromiter(chain.from_iterable(found), np.int32)
+        return self.encode_numbers(self.numbers(self.stretches(text or "")))
 
-    def _encode_new(self, parts: list[str], found: list) -> list:
-        """Encodes the stretches that are not kept, in one call of the model.
+    def encode_numbers(self, numbers: np.ndarray) -> np.ndarray:
+        """The pieces of stretches given by their numbers."""
+        size = self.best_start[numbers + 1] - self.best_start[numbers]
+        at = np.repeat(self.best_start[numbers] - (np.cumsum(size) - size), size)
+        return self.best_ids[at + np.arange(len(at))]
+
+    def _encode_new(self, new: list[str]) -> list[list[int]]:
+        """Encodes stretches in one call of the model.
 
         The model puts a blank before what it is given: a stretch loses its first blank, or gets a line break, which
         is a piece of its own, before it.
         """
-        new = list(dict.fromkeys(p for p, ids in zip(parts, found) if ids is None))
         blank = [p[0] == BLANK for p in new]
         out = self.sp.encode([p[1:].replace(BLANK, " ") if b else "\n" + p for p, b in zip(new, blank)], num_threads=1)
-        ids = {p: tuple(o if b and len(p) > 1 else [self.text_id[BLANK]] if b else o[2:]) for p, b, o in zip(new, blank, out)}
-        if len(self.best) > 2 * KEPT:
-            self.best.clear()
-        self.best.update((p, i) for p, i in ids.items() if len(p) <= LONGEST_KEPT)
-        return [ids[p] if i is None else i for p, i in zip(parts, found)]
+        return [(o if len(p) > 1 else [self.text_id[BLANK]]) if b else o[2:] for p, b, o in zip(new, blank, out)]
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of pieces, without the leading blank that encoding puts before it."""
@@ -131,7 +130,9 @@ class Codec:
 
     def clear(self) -> None:
         """Forgets all stretches: nodes and arcs are numbered anew."""
-        self.root: dict[str, int] = {}  # a stretch's first node
+        self.number: dict[str, int] = {}  # of each stretch that is kept
+        self.root = np.zeros(0, np.int64)  # its first node
+        self.best_start, self.best_ids = np.zeros(1, np.int64), np.zeros(0, np.int32)  # its encoding
         self.first_arc = np.zeros(1, np.int64)  # of each node, and the number of arcs
         self.arc_sum, self.arc_logp = np.zeros(0), np.zeros(0)  # running probability at a node, log-probability
         self.arc_to, self.arc_piece = np.zeros(0, np.int32), np.zeros(0, np.int32)  # -1: the end; pieces: see ids_of
@@ -139,8 +140,8 @@ class Codec:
     def _hashes(self, text: str) -> np.ndarray:
         return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
 
-    def _vocabulary(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Sorted hashes of all beginnings of pieces, with the piece that each is (-1: none) and its weight."""
+    def _vocabulary(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+        """Sorted hashes of all beginnings of pieces, the piece that each is (-1: none), its weight, and buckets of them."""
         if not hasattr(self, "_known"):
             rows = {}
             for p in self.starts:
@@ -150,20 +151,47 @@ class Codec:
                 if h in rows:
                     raise ValueError("two beginnings of pieces have the same hash; use another multiplier")
                 rows[h] = (self.text_id.get(p, -1), self.text_weight.get(p, 0.0))
+            rows = {h * SPREAD & MASK: v for h, v in rows.items()}  # a short beginning's hash has no leading bits of its own
             order = sorted(rows)
-            self._known = np.array(order, np.uint64), np.array([rows[h][0] for h in order], np.int32), np.array([rows[h][1] for h in order])
+            keys = np.array([*order, 0], np.uint64)  # the last matches nothing: a hash is found by its own value only
+            ids, weights = np.array([*(rows[h][0] for h in order), -1], np.int32), np.array([*(rows[h][1] for h in order), 0.0])
+            first = np.searchsorted(keys[:-1] >> np.uint64(64 - BUCKET_BITS), np.arange((1 << BUCKET_BITS) + 1, dtype=np.uint64))
+            self._known = keys, ids, weights, first.astype(np.int32), int(np.diff(first).max())
+            del self.starts
         return self._known
 
+    def _find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places in the vocabulary of the hashes that are in it, which these are), by the hashes' leading bits."""
+        keys, _, _, first, most = self._vocabulary()
+        h = h * np.uint64(SPREAD)
+        bucket = (h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+        at, end = first[bucket], first[bucket + 1]
+        found = np.full(len(h), -1, np.int32)
+        live = np.flatnonzero(at < end)
+        for _ in range(most):
+            if not len(live):
+                break
+            same = keys[at[live]] == h[live]
+            found[live[same]] = at[live[same]]
+            live = live[~same]
+            at[live] += 1
+            live = live[at[live] < end[live]]
+        on = np.flatnonzero(found >= 0)
+        return found[on], on
+
     def add(self, parts: list[str]) -> None:
-        """Builds the lattices of new stretches, all at once.
+        """Encodes new stretches and builds their lattices, all at once.
 
         From each node arcs leave for the pieces that begin there, or, where no piece is the character alone, for the
         character's bytes as one arc. Arc probabilities are those of the weights of whole paths.
         """
-        parts = [p for p in dict.fromkeys(parts) if p not in self.root]
+        parts = [p for p in dict.fromkeys(parts) if p not in self.number]
         if not parts:
             return
-        keys, ids, weights = self._vocabulary()
+        encoded = self._encode_new(parts)
+        self.best_start = np.concatenate([self.best_start, self.best_start[-1] + np.cumsum(list(map(len, encoded)))])
+        self.best_ids = np.concatenate([self.best_ids, np.fromiter(chain.from_iterable(encoded), np.int32)])
+        _, ids, weights, *_ = self._vocabulary()
         text = "".join(parts)
         chars = self._hashes(text)
         sizes = np.array([len(p) for p in parts])
@@ -177,9 +205,8 @@ class Codec:
             if not len(alive):
                 break
             h = h * np.uint64(MULTIPLIER) + chars[alive + size - 1] + np.uint64(1)
-            at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-            on = keys[at] == h
-            alive, h, at = alive[on], h[on], at[on]
+            at, on = self._find(h)
+            alive, h = alive[on], h[on]
             piece = ids[at] >= 0
             starts.append(alive[piece])
             stops.append(alive[piece] + size)
@@ -195,7 +222,8 @@ class Codec:
         piece, weight = np.concatenate([*pieces, (-1 - codes).astype(np.int32)]), np.concatenate([*logs, self.byte_weight * width])
         # weights of all paths from each node to its end, nodes nearest to their ends first
         depth = ends[start] - start
-        order = np.lexsort((start, depth))
+        # one integer key sorts much faster than several; it is unique, so that sums don't depend on the batch
+        order = np.argsort((depth * n + start) * 32 + np.minimum(stop - start, 31))
         start, stop, piece, weight, depth = (x[order] for x in (start, stop, piece, weight, depth))
         after = np.zeros(n + 1)
         after_of = np.empty(len(start))
@@ -209,7 +237,8 @@ class Codec:
             total = top + np.log(np.add.reduceat(np.exp(term - np.repeat(top, count)), node))
             after[s[node]] = total
             after_of[lo:hi] = term - np.repeat(total, count)
-        order = np.lexsort((-after_of, start))
+        less = np.minimum(-after_of * 1024, (1 << 19) - 1).astype(np.int64)  # by node, likelier arcs first
+        order = np.argsort((start << 24) + (less << 5) + np.minimum(stop - start, 31))
         start, stop, piece, logp = start[order], stop[order], piece[order], after_of[order]
         p = np.exp(logp)
         first = np.searchsorted(start, np.arange(n + 1))
@@ -218,26 +247,35 @@ class Codec:
         run[first[1:] - 1] = 2.0  # the last arc of a node takes what rounding leaves
         node0, arc0 = len(self.first_arc) - 1, len(self.arc_to)
         at = node0 + np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        self.root.update(zip(parts, at.tolist()))
+        self.number.update(zip(parts, range(len(self.number), len(self.number) + len(parts))))
+        self.root = np.concatenate([self.root, at])
         self.first_arc = np.concatenate([self.first_arc, arc0 + first[1:]])
         self.arc_sum, self.arc_logp = np.concatenate([self.arc_sum, run]), np.concatenate([self.arc_logp, logp])
         self.arc_to = np.concatenate([self.arc_to, np.where(stop == ends[start], -1, node0 + stop).astype(np.int32)])
         self.arc_piece = np.concatenate([self.arc_piece, piece])
 
-    def nodes(self, parts: list[str]) -> np.ndarray:
-        """The first nodes of stretches' lattices."""
-        found = list(map(self.root.get, parts))
-        if None in found:
-            self.add(parts)
-            found = list(map(self.root.get, parts))
-        return np.array(found, np.int64)
+    def numbers(self, parts: list[str]) -> np.ndarray:
+        """The numbers of stretches; new ones are added."""
+        found = np.fromiter(map(self.number.get, parts, repeat(-1)), np.int64, len(parts))
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            missing = [parts[i] for i in new]
+            self.add(missing)
+            found[new] = [self.number[p] for p in missing]
+        return found
+
+    def tidy(self, kept: int = KEPT) -> None:
+        """Starts afresh when more than so many stretches are kept; between texts only."""
+        if len(self.number) > kept:
+            self.clear()
 
     # -- sampling --
 
     def walk(self, nodes: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
         """Draws a path from each node to the end of its stretch: (which node, arc), in the order of the text."""
         first, sums, to = self.first_arc, self.arc_sum, self.arc_to
-        which, arcs, live, now = [], [], np.arange(len(nodes)), nodes.astype(np.int64)
+        steps, live, now = [], np.arange(len(nodes)), nodes.astype(np.int64)
+        length = np.zeros(len(nodes), np.int64)
         while len(live):
             u = rng.random(len(live))
             arc = first[now]
@@ -245,16 +283,16 @@ class Codec:
             while len(late):
                 arc[late] += 1
                 late = late[u[late] > sums[arc[late]]]
-            which.append(live)
-            arcs.append(arc)
+            steps.append((live, arc))
             now = to[arc].astype(np.int64)
             on = now >= 0
+            length[live[~on]] = len(steps)
             live, now = live[on], now[on]
-        if not which:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        where, arc = np.concatenate(which), np.concatenate(arcs)
-        order = np.argsort(where, kind="stable")  # steps of a stretch follow each other as they were drawn
-        return where[order], arc[order]
+        out = np.empty(length.sum(), np.int64)
+        begin = np.cumsum(length) - length
+        for k, (live, arc) in enumerate(steps):  # steps of a stretch follow each other as they were drawn
+            out[begin[live] + k] = arc
+        return np.repeat(np.arange(len(nodes)), length), out
 
     def ids_of(self, arcs: np.ndarray) -> np.ndarray:
         """The pieces of a path; an arc of bytes stands for those of its code point."""
@@ -271,7 +309,8 @@ class Codec:
 
     def sample(self, text: str | None, k: int, seed: int) -> list[Sample]:
         """k distinct segmentations of a text, or all of them if there are fewer, by falling perturbed value."""
-        return _search(self, self.nodes(self.stretches(text or "")), k, np.random.default_rng(seed & (1 << 63) - 1))
+        numbers = self.numbers(self.stretches(text or ""))
+        return _search(self, self.root[numbers], k, np.random.default_rng(seed & (1 << 63) - 1))
 
 
 def _below(loc: float, bound: float, rng: np.random.Generator) -> float:
@@ -292,27 +331,27 @@ class _Rest:
     """
 
     def __init__(self, codec: Codec, arcs: np.ndarray, stretch: np.ndarray, start: int, before: float) -> None:
-        first, logs = codec.first_arc, codec.arc_logp
-        self.arcs, self.stretch, self.start = arcs, stretch, start
-        lp = logs[arcs]
-        self.at = before + np.concatenate([[0.0], np.cumsum(lp[start:])])  # log-probability of each prefix from start
-        self.logp = float(self.at[-1])
-        n = int(np.searchsorted(-(self.at - self.at[0]), -NEGLIGIBLE))
-        self.window = min(len(arcs) - start, max(n, 1)) if len(arcs) > start else 0
-        w = slice(start, start + self.window)
-        self.node = np.searchsorted(first, arcs[w], side="right") - 1
-        self.taken: dict[int, set[int]] = {t: {int(a)} for t, a in enumerate(arcs[w])}
-        self.leave = np.array([self._left(codec, t) for t in range(self.window)]) if self.window <= 64 else self._left_all(codec)
-
-    def _left_all(self, codec: Codec) -> np.ndarray:
         logs = codec.arc_logp
-        own = logs[self.arcs[self.start : self.start + self.window]]
-        return np.exp(self.at[: self.window]) * -np.expm1(np.minimum(own, 0.0))
-
-    def _left(self, codec: Codec, t: int) -> float:
-        first, logs = codec.first_arc, codec.arc_logp
-        node = self.node[t]
-        return math.exp(self.at[t]) * sum(math.exp(logs[a]) for a in range(first[node], first[node + 1]) if a not in self.taken[t])
+        self.arcs, self.stretch, self.start = arcs, stretch, start
+        lp = logs[arcs[start:]]
+        self.logp = before + float(lp.sum())
+        n = 512
+        while True:
+            self.at = before + np.concatenate([[0.0], np.cumsum(lp[:n])])  # log-probability of each prefix from start
+            if n >= len(lp) or self.at[-1] - before < NEGLIGIBLE:
+                break
+            n *= 4
+        self.window = min(len(lp), max(1, int(np.searchsorted(before - self.at, -NEGLIGIBLE)))) if len(lp) else 0
+        own = lp[: self.window]
+        self.leave = np.exp(self.at[: self.window]) * -np.expm1(np.minimum(own, 0.0))
+        self.taken: dict[int, set[int]] = {}
+
+    def _free(self, codec: Codec, t: int) -> np.ndarray:
+        """The arcs of the path's node after t steps that haven't been taken."""
+        arc = int(self.arcs[self.start + t])
+        node = int(np.searchsorted(codec.first_arc, arc, side="right")) - 1
+        taken = self.taken.setdefault(t, {arc})
+        return np.array([a for a in range(codec.first_arc[node], codec.first_arc[node + 1]) if a not in taken], np.int64)
 
     def mass(self) -> float:
         total = float(self.leave.sum())
@@ -320,17 +359,19 @@ class _Rest:
 
     def draw(self, codec: Codec, rng: np.random.Generator) -> tuple[int, int]:
         """Where a path leaves and by which arc, which is then taken."""
-        first, logs = codec.first_arc, codec.arc_logp
-        t = min(int(np.searchsorted(np.cumsum(self.leave), rng.random() * self.leave.sum(), side="right")), self.window - 1)
+        edge = np.cumsum(self.leave)
+        t = min(int(np.searchsorted(edge, rng.random() * edge[-1], side="right")), self.window - 1)
         while self.leave[t] <= 0:
             t -= 1
-        node = self.node[t]
-        free = [a for a in range(first[node], first[node + 1]) if a not in self.taken[t]]
-        p = np.exp(logs[free])
-        arc = free[min(int(np.searchsorted(np.cumsum(p), rng.random() * p.sum(), side="right")), len(free) - 1)]
-        self.taken[t].add(arc)
-        self.leave[t] = self._left(codec, t)
-        return t, arc
+        free = self._free(codec, t)
+        if not len(free):  # a share of rounding: there is nothing to leave by
+            self.leave[t] = 0.0
+            return self.draw(codec, rng) if self.leave.sum() > 0 else (-1, -1)
+        p = np.exp(codec.arc_logp[free])
+        k = min(int(np.searchsorted(np.cumsum(p), rng.random() * p.sum(), side="right")), len(free) - 1)
+        self.taken[t].add(int(free[k]))
+        self.leave[t] = math.exp(self.at[t]) * float(p.sum() - p[k]) if len(free) > 1 else 0.0
+        return t, int(free[k])
 
 
 def _search(codec: Codec, nodes: np.ndarray, k: int, rng: np.random.Generator) -> list[Sample]:
@@ -346,6 +387,8 @@ def _search(codec: Codec, nodes: np.ndarray, k: int, rng: np.random.Generator) -
     while len(found) < k and queue and queue[0][0] < math.inf:
         minus, _, rest = heapq.heappop(queue)
         t, arc = rest.draw(codec, rng)
+        if arc < 0:
+            continue
         step = rest.start + t
         # the drawn arc, the rest of its stretch, and all later stretches anew
         here = int(rest.stretch[step])
@@ -389,7 +432,7 @@ def _make_encoder(name: str):
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = batch.column("_text").to_pylist()
-            ids = [c.encode(t) for t in texts]
+            ids = [c.encode_numbers(n) for n in _numbered(c, texts)]
             good = pa.array([c.decode(i) == (t or "") for i, t in zip(ids, texts)], pa.bool_())
             return pa.RecordBatch.from_arrays([batch.column("_id"), _lists(ids), good], names=["_id", "ids", "round_trip"])
 
@@ -436,29 +479,37 @@ SAMPLES = "array<struct<rank:int,ids:array<int>,logp:double,perturbed:double,inc
 
 
 def _make_sampler(name: str, k: int):
-    kind = pa.list_(pa.struct([("rank", pa.int32()), ("ids", pa.list_(pa.int32())), ("logp", pa.float64()), ("perturbed", pa.float64()), ("inclusion", pa.float64())]))
-
     def make():
         c = codec(name)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts, seeds = batch.column("_text").to_pylist(), batch.column("_seed").to_pylist()
-            if len(c.root) > KEPT:
-                c.clear()
-            rows = [c.stretches(t or "") for t in texts]
-            c.add([p for parts in rows for p in parts])  # the whole batch's lattices at once
-            found = [_search(c, c.nodes(parts), k, np.random.default_rng(s & (1 << 63) - 1)) for parts, s in zip(rows, seeds)]
-            flat = [s for f in found for s in f]
-            at = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
-            fields = [pa.array([s.rank for s in flat], pa.int32()), _lists([s.ids for s in flat]), *[pa.array([getattr(s, n) for s in flat], pa.float64()) for n in ("logp", "perturbed", "inclusion")]]
-            struct = pa.StructArray.from_arrays(fields, fields=list(kind.value_type))
-            return pa.RecordBatch.from_arrays([batch.column("_id"), pa.ListArray.from_arrays(at, struct)], names=["_id", "samples"])
+            numbers = _numbered(c, texts)
+            found = [_search(c, c.root[n], k, np.random.default_rng(s & (1 << 63) - 1)) for n, s in zip(numbers, seeds)]
+            return pa.RecordBatch.from_arrays([batch.column("_id"), samples_array(found)], names=["_id", "samples"])
 
         return step
 
     return make
 
 
+def _numbered(c: Codec, texts: list[str | None], kept: int = KEPT) -> list[np.ndarray]:
+    """The numbers of the stretches of each text; the new ones of all texts are added at once."""
+    c.tidy(kept)
+    rows = [c.stretches(t or "") for t in texts]
+    found = c.numbers(list(chain.from_iterable(rows)))
+    return np.split(found, np.cumsum([len(r) for r in rows])[:-1]) if rows else []
+
+
+def samples_array(found: list[list[Sample]]) -> pa.Array:
+    """Lists of samples as one Arrow array of SAMPLES."""
+    flat = [s for f in found for s in f]
+    at = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
+    fields = [pa.array([s.rank for s in flat], pa.int32()), _lists([s.ids for s in flat]), *[pa.array([getattr(s, n) for s in flat], pa.float64()) for n in ("logp", "perturbed", "inclusion")]]
+    kind = [("rank", pa.int32()), ("ids", pa.list_(pa.int32())), ("logp", pa.float64()), ("perturbed", pa.float64()), ("inclusion", pa.float64())]
+    return pa.ListArray.from_arrays(at, pa.StructArray.from_arrays(fields, fields=[pa.field(*k) for k in kind]))
+
+
 def row_seed(key: Column, seed: int) -> Column:
     """The seed of a row's draws, from its key."""
     return F.xxhash64(key, F.lit(seed))
@@ -472,26 +523,33 @@ def sample_documents(docs: DataFrame, k: int = 2, seed: int = 17, name: str = "p
     a null or empty text has one, without pieces. ids may be null, other columns are ignored.
     """
     own = own_columns(docs, _id=doc_id, _text=F.col(f"`{text}`").cast("string")).withColumn("_seed", row_seed(F.col("_id"), seed))
-    return map_arrow(own, _make_sampler(name, k), f"_id {dict(docs.dtypes)[doc_id]}, samples {SAMPLES}", "_text").withColumnRenamed("_id", "doc_id")
+    return map_arrow(own, _make_sampler(name, k), f"_id {dict(docs.dtypes)[doc_id]}, samples {SAMPLES}", "_text", SLICE).withColumnRenamed("_id", "doc_id")
 
 
-def _make_both(name: str, k: int):
+def _make_both(name: str, k: int, kept: int):
     def make():
-        encode, sample = _make_encoder(name)(), _make_sampler(name, k)()
+        c = codec(name)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            one, two = encode(batch), sample(batch)
-            return pa.RecordBatch.from_arrays([*one.columns, two.column("samples")], names=[*one.schema.names, "samples"])
+            texts, seeds = batch.column("_text").to_pylist(), batch.column("_seed").to_pylist()
+            numbers = _numbered(c, texts, kept)
+            ids = [c.encode_numbers(n) for n in numbers]
+            good = pa.array([c.decode(i) == (t or "") for i, t in zip(ids, texts)], pa.bool_())
+            found = [_search(c, c.root[n], k, np.random.default_rng(s & (1 << 63) - 1)) for n, s in zip(numbers, seeds)]
+            return pa.RecordBatch.from_arrays([batch.column("_id"), _lists(ids), good, samples_array(found)], names=["_id", "ids", "round_trip", "samples"])
 
         return step
 
     return make
 
 
-def encode_and_sample(docs: DataFrame, k: int = 2, seed: int = 17, name: str = "piece_bpe_32k.model", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, ids, round_trip, samples): ``encode_documents`` and ``sample_documents`` in one pass over the texts."""
+def encode_and_sample(docs: DataFrame, k: int = 2, seed: int = 17, name: str = "piece_bpe_32k.model", doc_id: str = "doc_id", text: str = "text", kept: int = KEPT) -> DataFrame:
+    """(doc_id, ids, round_trip, samples): ``encode_documents`` and ``sample_documents`` in one pass over the texts.
+
+    kept: stretches that a worker keeps, at about 0.8 kB each; it changes the speed only.
+    """
     own = own_columns(docs, _id=doc_id, _text=F.col(f"`{text}`").cast("string")).withColumn("_seed", row_seed(F.col("_id"), seed))
-    return map_arrow(own, _make_both(name, k), f"_id {dict(docs.dtypes)[doc_id]}, ids array<int>, round_trip boolean, samples {SAMPLES}", "_text").withColumnRenamed("_id", "doc_id")
+    return map_arrow(own, _make_both(name, k, kept), f"_id {dict(docs.dtypes)[doc_id]}, ids array<int>, round_trip boolean, samples {SAMPLES}", "_text", SLICE).withColumnRenamed("_id", "doc_id")
 
 
 def digest(found: DataFrame) -> DataFrame:
