@@ -85,7 +85,7 @@ class Codec:
         after_letter = {b for p in self.text_id for a, b in zip(p, p[1:]) if re.match(f"[{LETTERS}]", a)}
         m = "".join(re.escape(c) for c in MARKS if c not in after_letter)
         line = "" if any("\n" in p for p in self.text_id if len(p) > 1) else "\n"
-        word = f"{BLANK}*[{LETTERS}]++(?=[{m}])|" if m else ""
+        word = f"{BLANK}*[{LETTERS}]++(?:(?=[{m}])|[^{BLANK}{line}]*)|" if m else ""  # a word that no mark follows is one with what does
         return re.compile(f"{word}{BLANK}*[^{BLANK}{line}]+|{BLANK}+" + (f"|{line}" if line else ""))
 
     # -- encoding and decoding --
@@ -130,6 +130,7 @@ class Codec:
 
     def clear(self) -> None:
         """Forgets all stretches: nodes and arcs are numbered anew."""
+        self._room: dict[str, np.ndarray] = {}
         self.number: dict[str, int] = {}  # of each stretch that is kept
         self.root = np.zeros(0, np.int64)  # its first node
         self.best_start, self.best_ids = np.zeros(1, np.int64), np.zeros(0, np.int32)  # its encoding
@@ -137,6 +138,16 @@ class Codec:
         self.arc_sum, self.arc_logp = np.zeros(0), np.zeros(0)  # running probability at a node, log-probability
         self.arc_to, self.arc_piece = np.zeros(0, np.int32), np.zeros(0, np.int32)  # -1: the end; pieces: see ids_of
 
+    def _append(self, name: str, more: np.ndarray) -> None:
+        """Lengthens an array in place, with room to spare, so that growing costs no copy each time."""
+        now, room = getattr(self, name), self._room.get(name)
+        size = len(now) + len(more)
+        if room is None or size > len(room):
+            room = self._room[name] = np.empty(size + size // 4 + 1024, now.dtype)
+            room[: len(now)] = now
+        room[len(now) : size] = more
+        setattr(self, name, room[:size])
+
     def _hashes(self, text: str) -> np.ndarray:
         return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
 
@@ -189,8 +200,8 @@ class Codec:
         if not parts:
             return
         encoded = self._encode_new(parts)
-        self.best_start = np.concatenate([self.best_start, self.best_start[-1] + np.cumsum(list(map(len, encoded)))])
-        self.best_ids = np.concatenate([self.best_ids, np.fromiter(chain.from_iterable(encoded), np.int32)])
+        self._append("best_start", self.best_start[-1] + np.cumsum(list(map(len, encoded))))
+        self._append("best_ids", np.fromiter(chain.from_iterable(encoded), np.int32))
         _, ids, weights, *_ = self._vocabulary()
         text = "".join(parts)
         chars = self._hashes(text)
@@ -248,11 +259,12 @@ class Codec:
         node0, arc0 = len(self.first_arc) - 1, len(self.arc_to)
         at = node0 + np.concatenate([[0], np.cumsum(sizes)[:-1]])
         self.number.update(zip(parts, range(len(self.number), len(self.number) + len(parts))))
-        self.root = np.concatenate([self.root, at])
-        self.first_arc = np.concatenate([self.first_arc, arc0 + first[1:]])
-        self.arc_sum, self.arc_logp = np.concatenate([self.arc_sum, run]), np.concatenate([self.arc_logp, logp])
-        self.arc_to = np.concatenate([self.arc_to, np.where(stop == ends[start], -1, node0 + stop).astype(np.int32)])
-        self.arc_piece = np.concatenate([self.arc_piece, piece])
+        self._append("root", at)
+        self._append("first_arc", arc0 + first[1:])
+        self._append("arc_sum", run)
+        self._append("arc_logp", logp)
+        self._append("arc_to", np.where(stop == ends[start], -1, node0 + stop))
+        self._append("arc_piece", piece)
 
     def numbers(self, parts: list[str]) -> np.ndarray:
         """The numbers of stretches; new ones are added."""
@@ -310,7 +322,12 @@ class Codec:
     def sample(self, text: str | None, k: int, seed: int) -> list[Sample]:
         """k distinct segmentations of a text, or all of them if there are fewer, by falling perturbed value."""
         numbers = self.numbers(self.stretches(text or ""))
-        return _search(self, self.root[numbers], k, np.random.default_rng(seed & (1 << 63) - 1))
+        return _search(self, self.root[numbers], k, generator(seed))
+
+
+def generator(seed: int) -> np.random.Generator:
+    """A generator whose key is the seed itself: making one costs a fraction of seeding by a sequence."""
+    return np.random.Generator(np.random.Philox(key=seed & MASK))
 
 
 def _below(loc: float, bound: float, rng: np.random.Generator) -> float:
@@ -485,7 +502,7 @@ def _make_sampler(name: str, k: int):
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts, seeds = batch.column("_text").to_pylist(), batch.column("_seed").to_pylist()
             numbers = _numbered(c, texts)
-            found = [_search(c, c.root[n], k, np.random.default_rng(s & (1 << 63) - 1)) for n, s in zip(numbers, seeds)]
+            found = [_search(c, c.root[n], k, generator(s)) for n, s in zip(numbers, seeds)]
             return pa.RecordBatch.from_arrays([batch.column("_id"), samples_array(found)], names=["_id", "samples"])
 
         return step
@@ -535,7 +552,7 @@ def _make_both(name: str, k: int, kept: int):
             numbers = _numbered(c, texts, kept)
             ids = [c.encode_numbers(n) for n in numbers]
             good = pa.array([c.decode(i) == (t or "") for i, t in zip(ids, texts)], pa.bool_())
-            found = [_search(c, c.root[n], k, np.random.default_rng(s & (1 << 63) - 1)) for n, s in zip(numbers, seeds)]
+            found = [_search(c, c.root[n], k, generator(s)) for n, s in zip(numbers, seeds)]
             return pa.RecordBatch.from_arrays([batch.column("_id"), _lists(ids), good, samples_array(found)], names=["_id", "ids", "round_trip", "samples"])
 
         return step
