@@ -36,6 +36,8 @@ SLICE = 700_000
 NEGLIGIBLE = -45.0
 #: Of the rolling hash that finds pieces in text; checked to be free of collisions among the model's own pieces.
 MULTIPLIER, MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
+#: An arc: running probability at its node, log-probability, target (-1: the end) and piece (see ids_of).
+ARC = np.dtype([("sum", np.float64), ("logp", np.float64), ("to", np.int32), ("piece", np.int32)])
 BUCKET_BITS, SPREAD = 17, 0xD6E8FEB86659FD93
 
 
@@ -135,8 +137,12 @@ class Codec:
         self.root = np.zeros(0, np.int64)  # its first node
         self.best_start, self.best_ids = np.zeros(1, np.int64), np.zeros(0, np.int32)  # its encoding
         self.first_arc = np.zeros(1, np.int64)  # of each node, and the number of arcs
-        self.arc_sum, self.arc_logp = np.zeros(0), np.zeros(0)  # running probability at a node, log-probability
-        self.arc_to, self.arc_piece = np.zeros(0, np.int32), np.zeros(0, np.int32)  # -1: the end; pieces: see ids_of
+        self._set_arcs(np.zeros(0, ARC))
+
+    def _set_arcs(self, arcs: np.ndarray) -> None:
+        """An arc's fields lie together, so that a step of a walk touches one place of a table of many MB."""
+        self.arcs = arcs
+        self.arc_sum, self.arc_logp, self.arc_to, self.arc_piece = (arcs[n] for n in ARC.names)
 
     def _append(self, name: str, more: np.ndarray) -> None:
         """Lengthens an array in place, with room to spare, so that growing costs no copy each time."""
@@ -261,10 +267,10 @@ class Codec:
         self.number.update(zip(parts, range(len(self.number), len(self.number) + len(parts))))
         self._append("root", at)
         self._append("first_arc", arc0 + first[1:])
-        self._append("arc_sum", run)
-        self._append("arc_logp", logp)
-        self._append("arc_to", np.where(stop == ends[start], -1, node0 + stop))
-        self._append("arc_piece", piece)
+        new = np.empty(len(run), ARC)
+        new["sum"], new["logp"], new["to"], new["piece"] = run, logp, np.where(stop == ends[start], -1, node0 + stop), piece
+        self._append("arcs", new)
+        self._set_arcs(self.arcs)
 
     def numbers(self, parts: list[str]) -> np.ndarray:
         """The numbers of stretches; new ones are added."""
