@@ -77,6 +77,31 @@ def test_components_of_chains_stars_and_loops(spark):
     assert components.connected_components(spark.createDataFrame([], "src bigint, dst bigint")).count() == 0
 
 
+def test_neighbour_components_cover_every_row(spark, sf):
+    from vexilar.plans.queries import queries
+
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").orderBy("vec_id").collect()
+    ids, x = [r[0] for r in rows], np.array([r[1] for r in rows], np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    sim = x @ x.T
+    np.fill_diagonal(sim, -np.inf)
+    near = [set(np.argsort(-s, kind="stable")[:5]) for s in sim]
+    root = list(range(len(ids)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a in range(len(ids)):
+        for b in near[a]:
+            if a in near[b]:
+                i, j = find(a), find(b)
+                root[max(i, j)] = min(i, j)
+    got = {r["node"]: r["component"] for r in queries()["neighbour_components"](spark, sf).collect()}
+    assert got == {ids[k]: ids[find(k)] for k in range(len(ids))}
+
+
 # ---- clusters ----
 
 

@@ -399,6 +399,16 @@ def merged_components(spark, sf_dir):
     return components.connected_components(e)
 
 
+@query()
+def neighbour_components(spark, sf_dir):
+    """Every row's component over mutual links among its five nearest; rows without one are their own."""
+    df = _vectors(spark, sf_dir).select("id", "v")
+    near = materialize(knn.top_k(df, 5, include_self=False).select("src", "dst"), "near")
+    links = near.join(near.select(F.col("src").alias("dst"), F.col("dst").alias("src")), ["src", "dst"])
+    found = components.connected_components(links)
+    return df.select(F.col("id").alias("node")).join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
 @query()
 def hdbscan_clusters(spark, sf_dir):
     return cluster.cluster_groups(_vectors(spark, sf_dir).withColumn("g", F.lit(0)), ["g"], "v", 5, 3).select("id", "cluster", "probability")
