@@ -355,6 +355,37 @@ def test_prototype_operators(spark, planted):
     assert {(r["cluster"], r["label"], r["reliability"]) for r in enrolled.collect()} == {(1, 10, 0.0), (3, 11, 1.0)}
 
 
+def test_prototypes_of_a_class_with_two_modes(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    modes = {0: [(9, 0, 0), (0, 9, 0)], 1: [(0, 0, 9), (-9, 0, 0)], 2: [(6, 6, 0)]}
+    rows = [(int(c), (np.array(m) + rng.normal(0, 0.1, 3)).tolist()) for c, ms in modes.items() for m in ms for _ in range(30 if c < 2 else 1)]
+    df = spark.createDataFrame([(k, c, v) for k, (c, v) in enumerate(rows)], "id bigint, label bigint, v array<double>")
+    for drawn in (1000, 8):  # starts from all rows of a class, and from a few
+        monkeypatch.setattr(prototypes, "START_ROWS", drawn)
+        found = prototypes.make_prototypes(df, prototypes_per_class=2)
+        got = sorted((r["label"], r["n"]) for r in found.collect())
+        assert got == [(0, 30), (0, 30), (1, 30), (1, 30), (2, 1)]
+        for r in found.collect():
+            near = [np.mean([v for c, v in rows if c == r["label"] and np.abs(np.array(v) - m).max() < 2], axis=0) for m in modes[r["label"]]]
+            assert min(np.abs(np.array(r["v"]) - m / np.linalg.norm(m)).max() for m in near) < 1e-6
+        wrong = lambda protos: prototypes.predict(df, protos).join(df.select("id", "label"), "id").where("pred <> label").count()
+        assert wrong(found) == 0 and wrong(prototypes.make_prototypes(df)) > 0
+
+
+def test_library_reliability_rules(spark):
+    rows = [(c, [float(10 * c), x], [5.0 * x if c == 2 else 0.0], 0, 0.1 if c == 1 else 0.9) for c in range(4) for x in (-0.1, 0.1) for _ in range(5)]
+    df = spark.createDataFrame(rows, "cluster bigint, v array<double>, low array<double>, slot bigint, unknown double")
+    known = spark.createDataFrame([(0, [0.0, 0.5])], "label bigint, v array<double>")
+    rel = prototypes.library_reliability(df, known, min_size=5, tau_known=1.0, tau_conf=0.5, tau=0.9, rf="low", confidence="unknown")
+    got = {r["cluster"]: r for r in rel.collect()}
+    assert [got[c]["hard_fail_reasons"] for c in range(4)] == [["too_close_to_known"], ["unknown_confidence_too_low"], [], []]
+    assert [got[c]["status"] for c in range(4)] == ["reject", "reject", "pending", "reliable"]
+    parts = [np.exp(-0.1), 1 - np.exp(-10.0), 1.0, np.exp(-0.5)]
+    assert abs(got[2]["score"] - np.prod(parts) ** 0.25) < 1e-6 and abs(got[2]["rf_consistency"] - parts[3]) < 1e-9
+    plain = {r["cluster"]: r for r in prototypes.library_reliability(df, known, min_size=5).collect()}
+    assert plain[0]["hard_fail_reasons"] == [] and abs(plain[2]["score"] - np.prod(parts[:3]) ** (1 / 3)) < 1e-6
+
+
 def test_streams(spark, sf, tmp_path, planted):
     known = planted.where("label >= 0").select("id", "label", "v")
     known.write.parquet(str(tmp_path / "in"))

@@ -184,6 +184,28 @@ def two_means(x: np.ndarray, seed: int = 0, rounds: int = 100, starts: int = 10)
     return out if not len(out) or out[0] == 0 else 1 - out
 
 
+def k_means(x: np.ndarray, k: int, seed: int = 0, rounds: int = 300, starts: int = 10) -> np.ndarray:
+    """min(k, rows) centres: the best of several k-means runs with spread-out seeded starts."""
+    rng, k, best, out = np.random.default_rng(seed), min(k, len(x)), np.inf, x[:0]
+    for _ in range(starts):
+        centre = x[rng.integers(len(x))][None]
+        while len(centre) < k:
+            far = ((x[:, None] - centre[None]) ** 2).sum(axis=2).min(axis=1)
+            centre = np.vstack([centre, x[rng.choice(len(x), p=far / far.sum() if far.sum() > 0 else None)]])
+        labels = None
+        for _ in range(rounds):
+            d = ((x[:, None] - centre[None]) ** 2).sum(axis=2)
+            new = d.argmin(axis=1)
+            if labels is not None and (new == labels).all():
+                break
+            labels = new
+            centre = np.stack([x[labels == j].mean(axis=0) if (labels == j).any() else centre[j] for j in range(k)])
+        cost = d.min(axis=1).sum()
+        if cost < best - 1e-12:
+            best, out = cost, centre
+    return out
+
+
 def silhouette(x: np.ndarray, labels: np.ndarray) -> float:
     """Mean silhouette with plain Euclidean distances; 0 with fewer than two clusters, and for rows alone in one."""
     d, values = _distances(x), np.unique(labels)

@@ -2,21 +2,68 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from vexilar.functions.vectors import clip, distance, dot, mean_by, scale, unit
+from vexilar.operators.cluster import k_means
+from vexilar.session import materialize
 
 #: Prototypes that are broadcast at most; there are a few for each class.
 BROADCAST_PROTOTYPES = 20_000
+#: Rows of a class, by hash, from which starting centres are taken; all rows then move the centres.
+START_ROWS = 1_000
 
 
-def make_prototypes(df: DataFrame, label: str = "label", vec: str = "v") -> DataFrame:
-    """(label, n, v): the unit mean of each class."""
+def make_prototypes(df: DataFrame, label: str = "label", vec: str = "v", prototypes_per_class: int = 1, seed: int = 7) -> DataFrame:
+    """(label, n, v): the unit mean of each class, or of each of its K-means parts, at most ``prototypes_per_class``.
+
+    A class with fewer rows has a prototype a row. ``smooth``, ``align`` and ``imprint`` take one a class.
+    """
+    if prototypes_per_class > 1:
+        return unit(_part_means(df.select(F.col(label).alias("label"), F.col(vec).alias("v")), prototypes_per_class, seed), "v")
     return unit(mean_by(df, [label], vec, "v"), "v").withColumnRenamed(label, "label") if label != "label" else unit(mean_by(df, [label], vec, "v"), "v")
 
 
+def _part_means(df: DataFrame, k: int, seed: int, rounds: int = 300) -> DataFrame:
+    """(label, n, v): K-means of every class at once, over all rows; only centres, a few a class, reach the driver."""
+    rows = materialize(df, "kmeans")
+    r = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("v", F.lit(seed)), "v"))
+    drawn = rows.withColumn("_r", r).where(F.col("_r") <= START_ROWS)
+
+    def begin(group: pd.DataFrame) -> pd.DataFrame:
+        found = k_means(np.stack(group["v"].to_numpy()), k, seed)
+        return pd.DataFrame({"label": group["label"].iloc[0], "part": range(len(found)), "v": list(found)})
+
+    kind = dict(rows.dtypes)["label"]
+    centres: dict = {}
+    for r in drawn.groupBy("label").applyInPandas(begin, f"label {kind}, part int, v array<double>").orderBy("label", "part").collect():
+        centres.setdefault(r["label"], []).append(np.array(r["v"]))
+    for _ in range(rounds):
+        table = {c: np.stack(v) for c, v in centres.items()}
+
+        @F.pandas_udf("int")
+        def part(label: pd.Series, v: pd.Series) -> pd.Series:
+            out = np.zeros(len(label), np.int32)
+            for c, at in label.groupby(label).indices.items():
+                x = np.stack(v.to_numpy()[at])
+                out[at] = np.stack([((x - y) ** 2).sum(axis=1) for y in table[c]], axis=1).argmin(axis=1)
+            return pd.Series(out)
+
+        means = mean_by(rows.withColumn("part", part("label", "v")), ["label", "part"], "v").collect()
+        moved = 0.0
+        for r in means:
+            now = np.array(r["v"])
+            moved = max(moved, float(np.abs(now - centres[r["label"]][r["part"]]).max()))
+            centres[r["label"]][r["part"]] = now
+        if moved <= 1e-9:
+            break
+    return df.sparkSession.createDataFrame([(r["label"], r["n"], r["v"]) for r in means] if centres else [], f"label {kind}, n bigint, v array<double>")
+
+
 def known_prototypes(df: DataFrame, classes: int, label: str = "label", vec: str = "v") -> DataFrame:
     """Prototypes of classes 0 .. classes - 1 from unit rows; raises if one has no rows."""
     found = make_prototypes(unit(df, vec), label, vec)
@@ -136,21 +183,40 @@ def reliability(df: DataFrame, min_size: int = 10, min_prob: float = 0.30, thres
     return out.withColumn("accepted", (F.col("n") >= min_size) & (F.col("mean_prob") >= min_prob) & (F.col("score") >= threshold))
 
 
-def library_reliability(df: DataFrame, known: DataFrame, min_size: int = 30, tau: float = 0.5) -> DataFrame:
-    """(cluster, n, known_distance, compactness, separation, slot_consistency, score, status, hard_fail_reasons).
+def library_reliability(
+    df: DataFrame, known: DataFrame, min_size: int = 30, tau: float = 0.5, tau_known: float | None = None, tau_conf: float | None = None, rf: str | None = None, confidence: str | None = None,
+) -> DataFrame:
+    """(cluster, n, known_distance, compactness, separation, slot_consistency, rf_consistency, confidence, score, status, hard_fail_reasons).
 
-    compactness: exp(-mean distance to the mean); separation: 1 - exp(-nearest distance to a known prototype); slot
-    consistency: share of the most frequent slot. status: reliable, pending (score too low) or reject (a hard rule).
+    compactness: exp(-mean distance to the mean), 0 for a single row; separation: 1 - exp(-nearest distance to another
+    cluster's mean), 1 for the only cluster; slot consistency: share of the most frequent slot; RF consistency:
+    compactness in the column ``rf``; confidence: mean of the column with unknown scores. score: geometric mean of the
+    first three and, with ``rf``, the fourth. status: reliable, pending (score too low) or reject, where a hard rule
+    fails: size, too_close_to_known (distance at most tau_known), unknown_confidence_too_low (at most tau_conf).
     """
-    means = mean_by(df.where("cluster <> -1"), ["cluster"], "v", "m")
-    compact = df.join(means, "cluster").groupBy("cluster").agg(F.exp(-F.avg(distance(F.col("v"), F.col("m")))).alias("compactness"))
-    near = _with_prototypes(means, known).groupBy("cluster").agg(F.min(distance(F.col("m"), F.col("p_v"))).alias("known_distance"))
-    slots = df.where("cluster <> -1").groupBy("cluster", "slot").count().groupBy("cluster").agg((F.max("count") / F.sum("count")).alias("slot_consistency"))
-    out = means.select("cluster", "n").join(compact, "cluster").join(near, "cluster").join(slots, "cluster")
-    out = out.withColumn("separation", 1 - F.exp(-F.col("known_distance")))
-    out = out.withColumn("score", F.pow(F.col("compactness") * F.col("separation") * F.col("slot_consistency"), F.lit(1 / 3)))
-    why = F.array_compact(F.array(F.when(F.col("n") < min_size, F.lit("size"))))
-    out = out.withColumn("hard_fail_reasons", why)
-    return out.withColumn("status", F.when(F.size("hard_fail_reasons") > 0, "reject").when(F.col("score") >= tau, "reliable").otherwise("pending"))
-
-
+    own = df.where("cluster <> -1")
+    out = cluster_geometry(df).withColumnRenamed("separation", "_apart")
+    near = _with_prototypes(mean_by(own, ["cluster"], "v", "m"), known).groupBy("cluster").agg(F.min(distance(F.col("m"), F.col("p_v"))).alias("known_distance"))
+    slots = own.groupBy("cluster", "slot").count().groupBy("cluster").agg((F.max("count") / F.sum("count")).alias("slot_consistency"))
+    out = out.join(near, "cluster").join(slots, "cluster")
+    compact = lambda c: F.when(F.col("n") <= 1, 0.0).otherwise(F.exp(-F.col(c)))
+    if rf is not None:
+        spread = cluster_geometry(own.select("cluster", F.col(rf).alias("v"))).select("cluster", F.col("radius").alias("_rf"))
+        out = out.join(spread, "cluster").withColumn("rf_consistency", compact("_rf"))
+    else:
+        out = out.withColumn("rf_consistency", F.lit(None).cast("double"))
+    if confidence is not None:
+        out = out.join(own.groupBy("cluster").agg(F.avg(confidence).alias("confidence")), "cluster")
+    else:
+        out = out.withColumn("confidence", F.lit(None).cast("double"))
+    out = out.withColumn("compactness", compact("radius")).withColumn("separation", F.when(F.col("_apart").isNull(), 1.0).otherwise(1 - F.exp(-F.col("_apart"))))
+    parts = ["compactness", "separation", "slot_consistency", *(["rf_consistency"] if rf is not None else [])]
+    out = out.withColumn("score", F.exp(sum((F.log(clip(F.col(c), 1e-8, 1.0)) for c in parts), F.lit(0.0)) / len(parts)))
+    why = [F.when(F.col("n") < min_size, F.lit("size"))]
+    if tau_known is not None:
+        why.append(F.when(F.col("known_distance") <= tau_known, F.lit("too_close_to_known")))
+    if tau_conf is not None and confidence is not None:
+        why.append(F.when(F.col("confidence") <= tau_conf, F.lit("unknown_confidence_too_low")))
+    out = out.withColumn("hard_fail_reasons", F.array_compact(F.array(*why)))
+    out = out.withColumn("status", F.when(F.size("hard_fail_reasons") > 0, "reject").when(F.col("score") >= tau, "reliable").otherwise("pending"))
+    return out.select("cluster", "n", "known_distance", "compactness", "separation", "slot_consistency", "rf_consistency", "confidence", "score", "status", "hard_fail_reasons")
