@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from vexilar.functions import registry, rf, vectors
 from vexilar.operators import cluster, components, consolidate, graph, knn, metrics, prototypes, reports, splits
-from vexilar.plans import discovery
+from vexilar.plans import baselines, discovery
 from vexilar.sources import files
 from vexilar.streaming import rounds
 
@@ -343,6 +343,19 @@ def test_linear_heads():
     assert ((x @ w2 + b2).argmax(1) == y).mean() > 0.9
 
 
+def test_learners_beyond_the_drivers_rows(spark, planted, monkeypatch):
+    rows = planted.where("label >= 0").select("id", "label", F.transform("v", lambda x: x / 10).alias("v"))
+    given = (rows.where("label < 3"), [rows.where("label >= 3")], rows)
+    want = baselines.compare(*given, learners=baselines.LEARNERS[:3]).collect()
+    x, y = blobs(noise=0)
+    old = discovery.train_head(x[y < 3] / 10, y[y < 3], 3, epochs=20)
+    local = discovery.train_head(x / 10, y, 5, old, 1.0, epochs=20)
+    spread = discovery.train_head_on(rows.repartition(3), 5, old, 1.0, epochs=20)
+    assert all(np.abs(a - b).max() < 1e-9 for a, b in zip(local, spread))
+    monkeypatch.setattr(baselines, "LOCAL_ROWS", 0)
+    assert sorted(map(str, baselines.compare(*given, learners=baselines.LEARNERS[:1]).collect())) == sorted(str(r) for r in want if r["method"] == "finetune")
+
+
 def test_prototype_operators(spark, planted):
     known = planted.where("label >= 0")
     protos = prototypes.known_prototypes(known, 5)

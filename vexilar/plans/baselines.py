@@ -1,7 +1,7 @@
 """Class-incremental learners on frozen vectors, compared over the same staged rounds.
 
-A round brings rows with discovered labels. Learners keep bounded memories; heads are trained on the driver from those
-and the round's rows, which the experiment bounds.
+A round brings rows with discovered labels. Learners keep bounded memories; heads are trained from those and the
+round's rows, on the driver where they are few and as sums of gradients over partitions otherwise.
 """
 
 from __future__ import annotations
@@ -12,19 +12,19 @@ from pyspark.sql import functions as F
 
 from vexilar.functions.vectors import unit
 from vexilar.operators import metrics, prototypes, reports
-from vexilar.plans.discovery import predict_head, train_head
+from vexilar.plans.discovery import predict_head, train_head, train_head_on
 from vexilar.session import materialize
 
 LEARNERS = ("finetune", "lwf", "eeil", "icarl", "tpcil", "doi")
-#: Rows of a round that a head is trained on at most.
-MOST_ROWS = 50_000
+#: Rows that a head is trained on by the driver; more are left where they are.
+LOCAL_ROWS = 50_000
 
 
-def _local(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    if df.count() > MOST_ROWS:
-        raise ValueError("a round is too large to train a head on the driver")
+def _head(df: DataFrame, *args, **options) -> tuple[np.ndarray, np.ndarray]:
+    if df.count() > LOCAL_ROWS:
+        return train_head_on(df, *args, **options)
     rows = df.select("label", "v").orderBy("id").collect()
-    return np.array([r["v"] for r in rows]), np.array([r["label"] for r in rows])
+    return train_head(np.array([r["v"] for r in rows]), np.array([r["label"] for r in rows]), *args, **options)
 
 
 def run_learner(name: str, known: DataFrame, rounds: list[DataFrame], evaluation: DataFrame, per_class: int = 20, smoothing: float = 0.20) -> DataFrame:
@@ -37,7 +37,7 @@ def run_learner(name: str, known: DataFrame, rounds: list[DataFrame], evaluation
     seen = initial = known.agg(F.max("label")).first()[0] + 1
     exemplars = lambda df: df.join(prototypes.nearest_to_mean(df, per_class).select("id"), "id").select("id", "label", "v")
     memory = materialize(exemplars(known), "exemplars")
-    head = train_head(*_local(known), seen) if name in LEARNERS[:3] else None
+    head = _head(known, seen) if name in LEARNERS[:3] else None
     protos = prototypes.make_prototypes(unit(memory, "v"))
     out, reference, old = [], None, seen
     for k, new in enumerate([None, *rounds]):
@@ -46,7 +46,7 @@ def run_learner(name: str, known: DataFrame, rounds: list[DataFrame], evaluation
             memory = materialize(memory.unionByName(exemplars(new)), "exemplars")
             if head is not None:
                 rows = new.unionByName(memory.where(F.col("label") < old)) if name == "eeil" else new
-                head = train_head(*_local(rows.select("id", "label", "v")), seen, head, 0.0 if name == "finetune" else 1.0)
+                head = _head(rows.select("id", "label", "v"), seen, head, 0.0 if name == "finetune" else 1.0)
             else:
                 now = prototypes.make_prototypes(unit(memory, "v"))
                 protos = prototypes.align(protos, now) if name == "doi" else prototypes.smooth(now, smoothing) if name == "tpcil" else now
