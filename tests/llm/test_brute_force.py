@@ -83,6 +83,15 @@ def test_checksums_and_redaction():
     assert pii.redact(None) is None and pii.redact("") == "" and pii.redact("clean") == "clean"
 
 
+@pytest.mark.parametrize("code", ["AT611904300234573201", "ES91 2100 0418 4502 0005 1332", "GB82 WEST 1234 5698 7654 32"])
+def test_ibans_end_before_what_follows(code):
+    for before, after in (("", ""), ("", " EUR"), ("to ", " BIC"), ("", " SWIFT"), ("AB12 ", " DATE EUR."), ("", " GB82 WEST 1234 5698 7654 32")):
+        text = before + code + after
+        got = [text[s.start : s.end] for s in pii.find_spans(text) if s.kind == "iban"]
+        assert got == [code] + (["GB82 WEST 1234 5698 7654 32"] if "GB" in after else [])
+    assert not any(s.kind == "iban" for s in pii.find_spans(code[:-1] + ("4" if code[-1] != "4" else "5") + " EUR"))
+
+
 def test_long_runs_take_linear_time():
     for t in ("a" * 200_000, "1" * 200_000, "1." * 100_000, "a@" * 100_000, "+1 " * 70_000, "1 " * 100_000):
         pii.find_spans(t)

@@ -101,10 +101,19 @@ def _phones(text: str):
 
 
 def _ibans(text: str):
-    for m in IBAN.finditer(text):
-        code = m[0].replace(" ", "")
-        if 15 <= len(code) <= 34 and mod97(code):
-            yield m.span()
+    at = 0
+    while m := IBAN.search(text, at):
+        start, end = m.span()
+        at = start + 1
+        while end > start:  # what follows may have been taken for a group: the longest end that passes counts
+            code = text[start:end].replace(" ", "")
+            if len(code) < 15:
+                break
+            if len(code) <= 34 and mod97(code):
+                yield start, end
+                at = end
+                break
+            end = text.rfind(" ", start, end)
 
 
 def _national_ids(text: str):
