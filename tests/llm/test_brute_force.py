@@ -217,6 +217,22 @@ def test_keep_one(spark, docs):
     assert kept.columns == both.columns
 
 
+# ---- toxicity ----
+
+
+def test_a_long_row_does_not_end_the_sample(spark, monkeypatch):
+    ids = spark.range(60).where("crc32(cast(id as string)) % 4 <> 2").orderBy(F.xxhash64("id", F.lit(11)))
+    order = [r["id"] for r in ids.collect()]
+    long = {order[0], order[7]}
+    docs = spark.createDataFrame([(i, "word " * (2000 if i in long else 5), "en") for i in range(60)], "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id bigint, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda texts, y, s, f=toxicity.train: (seen.append(y.tolist()), f(texts, y, s))[1])
+    toxicity.fit(docs, labels, words=1000)
+    used = [i for i in order if i not in long]
+    assert seen == [[i % 2 for k, i in enumerate(used) if k % 5]]
+
+
 # ---- quality ----
 
 
