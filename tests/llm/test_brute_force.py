@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from vexilar.llm import pii, quality, simhash, token_count, toxicity, warc
+from vexilar.llm import pii, quality, simhash, token_count, toxicity, url_filter, warc
 from vexilar.llm.queries import queries
 from vexilar.session import table
 
@@ -245,6 +245,29 @@ def test_cascade_order_changes_nothing(spark, docs):
     assert sorted(r[0] for r in left.select("doc_id").collect()) == sorted(i for i, kept in judged[0] if kept)
 
 
+# ---- URL filter ----
+
+
+def test_relative_repeated_and_mixed_case_links(spark):
+    from urllib.parse import urldefrag, urljoin
+
+    base = "http://Shop.net/a/b/page?x=1"
+    targets = ["next.html", "../up", "../../../top", "?p=2", "./", "..", "a/../b?q=/../", "/r/./s", "//Other.net/Q", "HTTP://Far.net/Q#f", "#here", "sub/x#y"]
+    rows = spark.createDataFrame([(base, t) for t in targets], "u string, t string")
+    for r in rows.select("t", url_filter.node_of(url_filter.resolved(F.col("u"), F.col("t"))).alias("n")).collect():
+        want = urldefrag(urljoin(base, r["t"])).url
+        head, rest = want.split("://")[0], want.split("://")[1]
+        host, slash, tail = rest.partition("/")
+        assert r["n"] == f"{head.lower()}://{host.lower()}{slash}{tail}", r["t"]
+    link = '<link rel="canonical" href="{}">'.format
+    pages = [
+        (1, "http://Example.org/es/1", None), (2, "http://one.net/a/x", link("http://two.net/") + link("http://example.ORG/es/1")), (3, "http://one.net/a/y", link("x")),
+        (4, "http://one.net/z", '<meta http-equiv="refresh" content="0;url=http://two.net/q"><meta http-equiv="refresh" content="0;url=a/y">'), (5, "http://one.net/free", ""), (6, "http://ONE.net/a/y#k", ""),
+    ]
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge_urls(spark.createDataFrame(pages, "page_id bigint, url string, html string")).collect()}
+    assert got == {1: "block", 2: "block", 3: "block", 4: "block", 5: "allow", 6: "block"}
+
+
 # ---- WARC ----
 
 

@@ -54,23 +54,49 @@ def rule_of(host: Column, path: Column, rules: tuple[UrlRule, ...]) -> tuple[Col
     return which, verdict
 
 
+def node_of(url: Column) -> Column:
+    """An address as a node: without its fragment, scheme and host in lower case."""
+    plain = F.substring_index(url, "#", 1)
+    root = F.regexp_extract(plain, r"(?s)\A([^/?]*://[^/?]*)", 1)
+    return F.concat(F.translate(root, UPPER, LOWER), F.substring(plain, F.length(root) + 1, F.length(plain)))
+
+
+def without_dots(path: Column) -> Column:
+    """A path from / with its . and .. segments worked out."""
+    parts = F.split(path, "/")
+    last = F.element_at(parts, -1)
+    step = lambda a, x: F.when(x == "..", F.when(F.size(a) > 1, F.slice(a, 1, F.size(a) - 1)).otherwise(a)).when(x == ".", a).otherwise(F.concat(a, F.array(x)))
+    done = F.aggregate(F.slice(parts, 2, F.size(parts)), F.array(F.lit("")), step)
+    return F.concat(F.array_join(done, "/"), F.when(last.isin(".", "..") | (F.size(done) == 1), "/").otherwise(""))
+
+
+def resolved(url: Column, to: Column) -> Column:
+    """The address that a link in a page names: absolute, by scheme, from the root, a query, or relative to the page."""
+    scheme = F.regexp_extract(url, r"(?s)\A(.*?:)//", 1)
+    root = F.regexp_extract(url, r"(?s)\A(.*?://[^/?#]*)", 1)
+    path = F.when(path_of(url) == "", "/").otherwise(path_of(url))
+    own, query = F.regexp_extract(to, r"(?s)\A([^?#]*)", 1), F.regexp_extract(to, r"(?s)\A[^?#]*(.*)", 1)
+    folder = F.regexp_extract(path, r"(?s)\A(.*/)", 1)
+    return (
+        F.when(to.rlike(r"\A[A-Za-z][A-Za-z0-9+.-]*://"), to).when(to.startswith("//"), F.concat(scheme, to)).when((root == "") | to.rlike(r"\A[A-Za-z][A-Za-z0-9+.-]*:"), None)
+        .when(to.startswith("#"), url).when(own == "", F.concat(root, path, query)).when(own.startswith("/"), F.concat(root, without_dots(own), query))
+        .otherwise(F.concat(root, without_dots(F.concat(folder, own)), query))
+    )
+
+
 def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(src, dst): canonical links and meta refreshes of the pages, as absolute or host-relative addresses resolved.
+    """(src, dst): all canonical links and meta refreshes of the pages as nodes, relative ones resolved.
 
-    Addresses lose their fragment. Pages without such a link, with a null address or with a link to themselves give
-    no row; the first canonical link and the first refresh count.
+    Pages without such a link, with a null address or with a link to themselves give no row.
     """
     own = own_columns(pages, _url=url, _html=html).where("_url is not null and _html is not null")
-    tag = F.regexp_extract("_html", r"(?is)(<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>)", 1)
-    meta = F.regexp_extract("_html", r"(?is)(<meta\b[^>]*http-equiv\s*=\s*[\"']?refresh\b[^>]*>)", 1)
-    href = F.regexp_extract(tag, r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    to = F.regexp_extract(meta, r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1)
     some = own.where(F.lower("_html").contains("canonical") | F.lower("_html").contains("refresh"))
-    links = some.select("_url", F.explode(F.array(href, to)).alias("_to")).where("_to <> ''")
-    root = F.regexp_extract("_url", r"(?s)\A(.*?://[^/?#]*)", 1)
-    full = F.when(F.col("_to").startswith("//"), F.concat(F.regexp_extract("_url", r"(?s)\A(.*?:)//", 1), "_to")).when(F.col("_to").startswith("/"), F.concat(root, F.col("_to"))).when(F.col("_to").contains("://"), F.col("_to"))
-    clean = lambda c: F.substring_index(c, "#", 1)
-    return links.select(clean(F.col("_url")).alias("src"), clean(full).alias("dst")).where("dst is not null and src <> dst").distinct()
+    every = lambda pattern: F.regexp_extract_all("_html", F.lit(pattern), F.lit(1))
+    tag, meta = every(r"(?is)(<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>)"), every(r"(?is)(<meta\b[^>]*http-equiv\s*=\s*[\"']?refresh\b[^>]*>)")
+    href = F.transform(tag, lambda t: F.regexp_extract(t, r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1))
+    to = F.transform(meta, lambda t: F.regexp_extract(t, r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1))
+    links = some.select("_url", F.explode(F.concat(href, to)).alias("_to")).where("_to <> ''")
+    return links.select(node_of(F.col("_url")).alias("src"), node_of(resolved(F.col("_url"), F.col("_to"))).alias("dst")).where("dst is not null and src <> dst").distinct()
 
 
 def _inherited(urls: DataFrame, links: DataFrame) -> DataFrame:
@@ -93,11 +119,10 @@ def judge_urls(pages: DataFrame, links: DataFrame | None = None, page_id: str =
     """
     found = page_links(pages, url, html)
     if links is not None:
-        clean = lambda c: F.substring_index(F.col(c), "#", 1)
-        found = found.union(links.select(clean("src").alias("src"), clean("dst").alias("dst")).where("src is not null and dst is not null and src <> dst")).distinct()
+        found = found.union(links.select(node_of(F.col("src")).alias("src"), node_of(F.col("dst")).alias("dst")).where("src is not null and dst is not null and src <> dst")).distinct()
     found = materialize(found, "links")
     own = own_columns(pages, page_id=page_id, _url=url)
-    parts = own.select("page_id", F.substring_index("_url", "#", 1).alias("_key"), host_of(F.col("_url")).alias("host"), path_of(F.col("_url")).alias("path"))
+    parts = own.select("page_id", node_of(F.col("_url")).alias("_key"), host_of(F.col("_url")).alias("host"), path_of(F.col("_url")).alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     judged = parts.withColumn("rule", rule).withColumn("_own", verdict)
     if found.isEmpty():
