@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -55,9 +56,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset (local tests)."""
+    """The folder all executors share: spark.checkpoint.dir.
+
+    Where it is unset, a session of one process gets a temporary one; a cluster has none to fall back on, since each
+    executor would write to its own disk, and is refused.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
         found = "file://" + tempfile.mkdtemp(prefix="vexilar-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
