@@ -94,6 +94,27 @@ def test_samples_depend_on_the_row_alone(spark, sf):
         assert all(c.decode(np.array(s["ids"], np.int32)) == texts[i] for s in samples)
 
 
+def test_draws_do_not_depend_on_the_batch():
+    words = [f"{a}{b}ion{n}" for n in range(40) for a in ("re", "con", "über", "x") for b in ("fract", "struct", "日", "ß")]
+    import public_tokenizers
+
+    alone, after = (sp.Codec(public_tokenizers.path("piece_bpe_32k.model")) for _ in range(2))
+    after.numbers([f"{sp.BLANK}w{k}" for k in range(30_000)])
+    text = " ".join(words)
+    for c in (alone, after):
+        c.mine = [c.arcs[c.first_arc[r] : c.first_arc[r + s]] for r, s in ((c.root[n], c.span[n]) for n in c.numbers(c.stretches(text)))]
+    assert all((a == b).all() for a, b in zip(alone.mine, after.mine))
+    many = [after.numbers(after.stretches(t)) for t in (text[:900], text, "", "a b")]
+    batch = sp.search(after, many, 3, [5, 6, 7, 8])[1]
+    assert [(s.ids.tolist(), s.logp, s.perturbed, s.inclusion) for s in batch] == [(s.ids.tolist(), s.logp, s.perturbed, s.inclusion) for s in alone.sample(text, 3, 6)]
+
+
+def test_null_lists_decode_to_null(spark):
+    rows = sp.decode_documents(spark.createDataFrame([(1, None), (2, []), (3, [262, 1000])], "doc_id bigint, ids array<int>")).collect()
+    got = {r["doc_id"]: r["text"] for r in rows}
+    assert got[1] is None and got[2] == "" and got[3] == sp.codec("piece_bpe_32k.model").decode([262, 1000])
+
+
 def test_null_and_empty_texts(spark):
     rows = sp.encode_and_sample(spark.createDataFrame([(1, None), (2, ""), (None, "a b")], "doc_id bigint, text string")).collect()
     got = {r["doc_id"]: (len(r["ids"]), len(r["samples"])) for r in rows}

@@ -15,10 +15,11 @@ SLICE_BYTES = 8_000_000
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batch in runs of rows whose ``column`` holds at most ``limit`` bytes, or one row, each."""
+    """The batch in runs of rows whose ``column`` holds (or, if it holds numbers, states) at most ``limit`` bytes, or one row, each."""
     if batch.num_rows == 0:
         return
-    sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    held = batch.column(column)
+    sizes = pa.compute.fill_null(held if pa.types.is_integer(held.type) else pa.compute.binary_length(held), 0).to_numpy(zero_copy_only=False)
     start, held = 0, 0
     for k, n in enumerate(sizes):
         if k > start and held + n > limit:

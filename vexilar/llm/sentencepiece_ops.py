@@ -13,6 +13,7 @@ next, so stretches are encoded once while they are in use.
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 from dataclasses import dataclass
@@ -29,16 +30,18 @@ from vexilar.llm.text import own_columns
 BLANK = "▁"
 LETTERS, MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", ".,;:!?|()[]{}*#$%&<>=+/\\\"'-_~^`@"
 #: Stretches a worker keeps, beyond which it starts afresh with the next texts.
-KEPT = 330_000
+KEPT = 700_000
 #: Bytes of text that are sampled at once: a lattice has some 20 arcs a stretch.
 SLICE = 700_000
 #: Log-probability below which the rest of a text can't matter to a draw in double precision.
 NEGLIGIBLE = -45.0
 #: Of the rolling hash that finds pieces in text; checked to be free of collisions among the model's own pieces.
 MULTIPLIER, MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
-#: An arc: running probability at its node, log-probability, target (-1: the end) and piece (see ids_of).
-ARC = np.dtype([("sum", np.float64), ("logp", np.float64), ("to", np.int32), ("piece", np.int32)])
+#: The lower half of an arc is its piece (see ids_of), the upper half the running probability at its node in 2^-32.
+HALF = 32
 BUCKET_BITS, SPREAD = 17, 0xD6E8FEB86659FD93
+# The step and the multipliers of splitmix64, a public generator.
+STEP, FIRST, SECOND = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 
 
 @dataclass(frozen=True)
@@ -63,6 +66,7 @@ class Codec:
         self.pieces = [self.sp.id_to_piece(i) for i in range(n)]
         kind = ["byte" if self.sp.is_byte(i) else "other" if self.sp.is_control(i) or self.sp.is_unknown(i) or self.sp.is_unused(i) else "text" for i in range(n)]
         self.byte_id = {int(self.pieces[i][3:5], 16): i for i in range(n) if kind[i] == "byte"}
+        self.byte_ids = np.array([self.byte_id[b] for b in range(256)], np.int64)
         self.text_id = {self.pieces[i]: i for i in range(n) if kind[i] == "text"}
         self.raw = [bytes([int(p[3:5], 16)]) if k == "byte" else p.replace(BLANK, " ").encode() if k == "text" else b"" for p, k in zip(self.pieces, kind)]
         self.raw_lengths = np.array([len(r) for r in self.raw])
@@ -73,6 +77,9 @@ class Codec:
         weight = {i: -math.log(r + 2) for r, i in enumerate(order)}
         self.text_weight = {p: weight[i] for p, i in self.text_id.items()}
         self.byte_weight = -math.log(len(order) + 2)
+        # by piece; the last is that of a code point of several bytes, which is one arc
+        self.size = np.array([len(p) if k == "text" else 1 for p, k in zip(self.pieces, kind)] + [1])
+        self.weight = np.array([weight.get(i, self.byte_weight) for i in range(n)] + [0.0])
         self.starts = {p[:k] for p in self.text_id for k in range(1, len(p) + 1)}
         if any(BLANK in p.lstrip(BLANK) for p in self.text_id):
             raise ValueError("this model has pieces across words; stretches can't be encoded apart")
@@ -106,6 +113,20 @@ class Codec:
         at = np.repeat(self.best_start[numbers] - (np.cumsum(size) - size), size)
         return self.best_ids[at + np.arange(len(at))]
 
+    def encode_many(self, numbers: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets) of texts that have so many stretches each, given by the numbers of all of them."""
+        size = self.best_start[numbers + 1] - self.best_start[numbers]
+        total = np.concatenate([[0], np.cumsum(size)])
+        ids = self.best_ids[np.repeat(self.best_start[numbers] - total[:-1], size) + np.arange(total[-1])]
+        return ids, total[np.concatenate([[0], np.cumsum(counts)])]
+
+    def decode_many(self, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
+        """The texts of lists of pieces that lie end to end, with one pass over the pieces."""
+        raw = self._bytes(ids).tobytes()
+        at = np.concatenate([[0], np.cumsum(self.raw_lengths[ids])])[offsets].tolist()
+        texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(at, at[1:])]
+        return [t[1:] if t.startswith(" ") else t for t in texts]
+
     def _encode_new(self, new: list[str]) -> list[list[int]]:
         """Encodes stretches in one call of the model.
 
@@ -134,22 +155,18 @@ class Codec:
         """Forgets all stretches: nodes and arcs are numbered anew."""
         self._room: dict[str, np.ndarray] = {}
         self.number: dict[str, int] = {}  # of each stretch that is kept
-        self.root = np.zeros(0, np.int64)  # its first node
+        self.root, self.span = np.zeros(0, np.int64), np.zeros(0, np.int64)  # its first node, and characters up to its last
         self.best_start, self.best_ids = np.zeros(1, np.int64), np.zeros(0, np.int32)  # its encoding
-        self.first_arc = np.zeros(1, np.int64)  # of each node, and the number of arcs
-        self._set_arcs(np.zeros(0, ARC))
-
-    def _set_arcs(self, arcs: np.ndarray) -> None:
-        """An arc's fields lie together, so that a step of a walk touches one place of a table of many MB."""
-        self.arcs = arcs
-        self.arc_sum, self.arc_logp, self.arc_to, self.arc_piece = (arcs[n] for n in ARC.names)
+        self.first_arc = np.zeros(1, np.int32)  # of each node, and the number of arcs
+        self.after = np.zeros(0)  # of each node: log-weight of all paths from there to the stretch's last node
+        self.arcs = np.zeros(0, np.uint64)
 
     def _append(self, name: str, more: np.ndarray) -> None:
         """Lengthens an array in place, with room to spare, so that growing costs no copy each time."""
         now, room = getattr(self, name), self._room.get(name)
         size = len(now) + len(more)
         if room is None or size > len(room):
-            room = self._room[name] = np.empty(size + size // 4 + 1024, now.dtype)
+            room = self._room[name] = np.empty(size + size // 2 + 1024, now.dtype)
             room[: len(now)] = now
         room[len(now) : size] = more
         setattr(self, name, room[:size])
@@ -232,11 +249,12 @@ class Codec:
             if size == 1:
                 single = np.zeros(n, bool)
                 single[alive[piece]] = True
-        bare = np.flatnonzero(~single)  # a code point as bytes: piece -1 - code point
+        bare = np.flatnonzero(~single)  # a code point as bytes: the byte's piece, or -1 - code point for several bytes
         codes = chars[bare].astype(np.int64)
+        as_bytes = np.where(codes < 0x80, self.byte_ids[np.minimum(codes, 0x7F)], -1 - codes).astype(np.int32)
         width = 1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF)
         start, stop = np.concatenate([*starts, bare]), np.concatenate([*stops, bare + 1])
-        piece, weight = np.concatenate([*pieces, (-1 - codes).astype(np.int32)]), np.concatenate([*logs, self.byte_weight * width])
+        piece, weight = np.concatenate([*pieces, as_bytes]), np.concatenate([*logs, self.byte_weight * width])
         # weights of all paths from each node to its end, nodes nearest to their ends first
         depth = ends[start] - start
         # one integer key sorts much faster than several; it is unique, so that sums don't depend on the batch
@@ -256,21 +274,19 @@ class Codec:
             after_of[lo:hi] = term - np.repeat(total, count)
         less = np.minimum(-after_of * 1024, (1 << 19) - 1).astype(np.int64)  # by node, likelier arcs first
         order = np.argsort((start << 24) + (less << 5) + np.minimum(stop - start, 31))
-        start, stop, piece, logp = start[order], stop[order], piece[order], after_of[order]
-        p = np.exp(logp)
+        start, piece, p = start[order], piece[order], np.exp(after_of[order])
         first = np.searchsorted(start, np.arange(n + 1))
-        run = np.cumsum(p)
-        run -= np.repeat(np.concatenate([[0.0], run])[first[:-1]], np.diff(first))
-        run[first[1:] - 1] = 2.0  # the last arc of a node takes what rounding leaves
-        node0, arc0 = len(self.first_arc) - 1, len(self.arc_to)
-        at = node0 + np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        run = np.cumsum((p * (1 << HALF)).astype(np.int64))  # whole numbers: a node's sums don't depend on those before it
+        run -= np.repeat(np.concatenate([[0], run])[first[:-1]], np.diff(first))
+        run[first[1:] - 1] = (1 << HALF) - 1  # the last arc of a node takes what rounding leaves
+        arc0, node0 = len(self.arcs), len(self.after)
+        last = np.cumsum(sizes)  # where each stretch's last node, which has no arcs, comes in
         self.number.update(zip(parts, range(len(self.number), len(self.number) + len(parts))))
-        self._append("root", at)
-        self._append("first_arc", arc0 + first[1:])
-        new = np.empty(len(run), ARC)
-        new["sum"], new["logp"], new["to"], new["piece"] = run, logp, np.where(stop == ends[start], -1, node0 + stop), piece
-        self._append("arcs", new)
-        self._set_arcs(self.arcs)
+        self._append("root", node0 + last - sizes + np.arange(len(parts)))
+        self._append("span", sizes)
+        self._append("first_arc", (arc0 + np.insert(first[1:], last, first[last])).astype(np.int32))
+        self._append("after", np.insert(after[:-1], last, 0.0))
+        self._append("arcs", (np.minimum(run, (1 << HALF) - 1).astype(np.uint64) << np.uint64(HALF)) | piece.view(np.uint32))
 
     def numbers(self, parts: list[str]) -> np.ndarray:
         """The numbers of stretches; new ones are added."""
@@ -289,60 +305,109 @@ class Codec:
 
     # -- sampling --
 
-    def walk(self, nodes: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-        """Draws a path from each node to the end of its stretch: (which node, arc), in the order of the text."""
-        first, sums, to = self.first_arc, self.arc_sum, self.arc_to
-        steps, live, now = [], np.arange(len(nodes)), nodes.astype(np.int64)
+    def walk(self, nodes: np.ndarray, ends: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Draws a path from each node to the last one of its stretch: (pieces, their log-probabilities, steps).
+
+        Paths follow each other as the nodes do. state: of each path's own generator.
+        """
+        steps, live, now = [], np.flatnonzero(nodes < ends), nodes
+        if len(live) < len(nodes):
+            now, ends, state = now[live], ends[live], state[live]
         length = np.zeros(len(nodes), np.int64)
+        before = self.after[now]
         while len(live):
-            u = rng.random(len(live))
-            arc = first[now]
-            late = np.flatnonzero(u > sums[arc])
+            state = state + np.uint64(STEP)
+            u = _mix(state.copy()) >> np.uint64(HALF)
+            at = self.first_arc[now].astype(np.int64)
+            arc = self.arcs[at]
+            late = np.flatnonzero(u > arc >> np.uint64(HALF))
             while len(late):
-                arc[late] += 1
-                late = late[u[late] > sums[arc[late]]]
-            steps.append((live, arc))
-            now = to[arc].astype(np.int64)
-            on = now >= 0
+                at[late] += 1
+                arc[late] = more = self.arcs[at[late]]
+                late = late[u[late] > more >> np.uint64(HALF)]
+            piece = arc.view(np.int32)[::2]
+            known = np.maximum(piece, -1)
+            now = now + self.size[known]
+            after = self.after[now]
+            steps.append((live, piece, self._weights(piece, known) + after - before))
+            on = now < ends
             length[live[~on]] = len(steps)
-            live, now = live[on], now[on]
-        out = np.empty(length.sum(), np.int64)
+            live, now, ends, state, before = live[on], now[on], ends[on], state[on], after[on]
+        pieces, logp = np.empty(length.sum(), np.int32), np.empty(length.sum())
         begin = np.cumsum(length) - length
-        for k, (live, arc) in enumerate(steps):  # steps of a stretch follow each other as they were drawn
-            out[begin[live] + k] = arc
-        return np.repeat(np.arange(len(nodes)), length), out
-
-    def ids_of(self, arcs: np.ndarray) -> np.ndarray:
-        """The pieces of a path; an arc of bytes stands for those of its code point."""
-        piece = self.arc_piece[arcs]
+        for k, (live, piece, lp) in enumerate(steps):  # steps of a stretch follow each other as they were drawn
+            at = begin[live] + k
+            pieces[at], logp[at] = piece, lp
+        return pieces, logp, length
+
+    def _weights(self, piece: np.ndarray, known: np.ndarray) -> np.ndarray:
+        """The log-weights of steps; known: the pieces, -1 for bytes."""
+        w = self.weight[known]
         at = np.flatnonzero(piece < 0)
-        if not len(at):
-            return piece
+        if len(at):
+            code = -1 - piece[at]
+            w[at] = self.byte_weight * (2 + (code > 0x7FF) + (code > 0xFFFF))
+        return w
+
+    def leaving(self, node: int) -> tuple[np.ndarray, np.ndarray]:
+        """The pieces that leave a node, likelier ones first, and their log-probabilities."""
+        piece = self.arcs[self.first_arc[node] : self.first_arc[node + 1]].view(np.int32)[::2]
+        known = np.maximum(piece, -1)
+        return piece, self._weights(piece, known) + self.after[node + self.size[known]] - self.after[node]
+
+    def ids_of(self, path: np.ndarray) -> np.ndarray:
+        """The model's pieces of a path, whose step -1 - c stands for the bytes of code point c."""
+        if not len(path) or path.min() >= 0:
+            return path
+        at = np.flatnonzero(path < 0)
         out, last = [], 0
         for k in at:
-            code = chr(-1 - int(piece[k])).replace(BLANK, " ")
-            out += [piece[last:k], np.array([self.byte_id[b] for b in code.encode("utf-8", "replace")], np.int32)]
+            code = chr(-1 - int(path[k]))
+            out += [path[last:k], self.byte_ids[list(code.encode("utf-8", "replace"))].astype(np.int32)]
             last = k + 1
-        return np.concatenate([*out, piece[last:]])
+        return np.concatenate([*out, path[last:]])
 
     def sample(self, text: str | None, k: int, seed: int) -> list[Sample]:
         """k distinct segmentations of a text, or all of them if there are fewer, by falling perturbed value."""
-        numbers = self.numbers(self.stretches(text or ""))
-        return _search(self, self.root[numbers], k, generator(seed))
+        return search(self, [self.numbers(self.stretches(text or ""))], k, [seed])[0]
+
+
+def _mix(z: np.ndarray) -> np.ndarray:
+    """The output of splitmix64 for states, which are overwritten."""
+    z ^= z >> np.uint64(30)
+    z *= np.uint64(FIRST)
+    z ^= z >> np.uint64(27)
+    z *= np.uint64(SECOND)
+    z ^= z >> np.uint64(31)
+    return z
+
 
+class Draws:
+    """The random numbers of one row: splitmix64 from its seed."""
 
-def generator(seed: int) -> np.random.Generator:
-    """A generator whose key is the seed itself: making one costs a fraction of seeding by a sequence."""
-    return np.random.Generator(np.random.Philox(key=seed & MASK))
+    def __init__(self, seed: int) -> None:
+        self.state = seed & MASK
 
+    def bits(self) -> int:
+        self.state = (self.state + STEP) & MASK
+        z = self.state
+        z = (z ^ (z >> 30)) * FIRST & MASK
+        z = (z ^ (z >> 27)) * SECOND & MASK
+        return z ^ (z >> 31)
 
-def _below(loc: float, bound: float, rng: np.random.Generator) -> float:
+    def uniform(self) -> float:
+        return (self.bits() >> 11) * 2.0**-53
+
+    def exponential(self) -> float:
+        return max(-math.log1p(-self.uniform()), 1e-300)
+
+
+def _below(loc: float, bound: float, draws: Draws) -> float:
     """A Gumbel of the location, given that it is below the bound."""
     if loc == -math.inf:
         return -math.inf
-    e = rng.exponential()
     # exp(-g) = exp(-bound) + e * exp(-loc), in logarithms
-    a, b = -bound, math.log(max(e, 1e-300)) - loc
+    a, b = -bound, math.log(draws.exponential()) - loc
     top = max(a, b)
     return -(top + math.log(math.exp(a - top) + math.exp(b - top)))
 
@@ -350,89 +415,135 @@ def _below(loc: float, bound: float, rng: np.random.Generator) -> float:
 class _Rest:
     """The paths that leave a drawn path after ``start`` steps of it and were not drawn themselves.
 
-    leave[t] is the probability of following the path for t steps and then leaving it by an arc not taken yet.
+    leave[t] is the probability of following the path for t steps and then leaving it by an arc not taken yet. Only
+    the steps whose prefix is likelier than NEGLIGIBLE are looked at.
     """
 
-    def __init__(self, codec: Codec, arcs: np.ndarray, stretch: np.ndarray, start: int, before: float) -> None:
-        logs = codec.arc_logp
-        self.arcs, self.stretch, self.start = arcs, stretch, start
-        lp = logs[arcs[start:]]
-        self.logp = before + float(lp.sum())
-        n = 512
+    def __init__(self, path: np.ndarray, logp: np.ndarray, start: int, position: int, before: float) -> None:
+        self.path, self.logp, self.start, self.position = path, logp, start, position
+        n = 96
         while True:
-            self.at = before + np.concatenate([[0.0], np.cumsum(lp[:n])])  # log-probability of each prefix from start
-            if n >= len(lp) or self.at[-1] - before < NEGLIGIBLE:
+            own = logp[start : start + n]
+            self.at = before + np.cumsum(own) - own  # log-probability of each prefix from start
+            if start + n >= len(logp) or self.at[-1] - before < NEGLIGIBLE:
                 break
             n *= 4
-        self.window = min(len(lp), max(1, int(np.searchsorted(before - self.at, -NEGLIGIBLE)))) if len(lp) else 0
-        own = lp[: self.window]
-        self.leave = np.exp(self.at[: self.window]) * -np.expm1(np.minimum(own, 0.0))
+        window = max(1, int(np.searchsorted(before - self.at, -NEGLIGIBLE)))
+        self.leave = np.exp(self.at[:window]) * -np.expm1(np.minimum(own[:window], 0.0))
         self.taken: dict[int, set[int]] = {}
 
-    def _free(self, codec: Codec, t: int) -> np.ndarray:
-        """The arcs of the path's node after t steps that haven't been taken."""
-        arc = int(self.arcs[self.start + t])
-        node = int(np.searchsorted(codec.first_arc, arc, side="right")) - 1
-        taken = self.taken.setdefault(t, {arc})
-        return np.array([a for a in range(codec.first_arc[node], codec.first_arc[node + 1]) if a not in taken], np.int64)
-
     def mass(self) -> float:
         total = float(self.leave.sum())
         return math.log(total) if total > 0 else -math.inf
 
-    def draw(self, codec: Codec, rng: np.random.Generator) -> tuple[int, int]:
-        """Where a path leaves and by which arc, which is then taken."""
-        edge = np.cumsum(self.leave)
-        t = min(int(np.searchsorted(edge, rng.random() * edge[-1], side="right")), self.window - 1)
-        while self.leave[t] <= 0:
-            t -= 1
-        free = self._free(codec, t)
-        if not len(free):  # a share of rounding: there is nothing to leave by
-            self.leave[t] = 0.0
-            return self.draw(codec, rng) if self.leave.sum() > 0 else (-1, -1)
-        p = np.exp(codec.arc_logp[free])
-        k = min(int(np.searchsorted(np.cumsum(p), rng.random() * p.sum(), side="right")), len(free) - 1)
-        self.taken[t].add(int(free[k]))
+    def draw(self, text: _Text) -> tuple[int, int, float, int] | None:
+        """(steps before leaving, piece to leave by, its log-probability, position), which is then taken; None: none."""
+        c, draws = text.codec, text.draws
+        while True:
+            edge = np.cumsum(self.leave)
+            if not len(edge) or edge[-1] <= 0:
+                return None
+            t = min(int(np.searchsorted(edge, draws.uniform() * edge[-1], side="right")), len(edge) - 1)
+            while self.leave[t] <= 0:
+                t -= 1
+            position = self.position + int(c.size[np.maximum(self.path[self.start : self.start + t], -1)].sum())
+            pieces, logp = c.leaving(position + int(text.shift[text.stretch(position)]))
+            taken = self.taken.setdefault(t, {int(self.path[self.start + t])})
+            free = [i for i, p in enumerate(pieces.tolist()) if p not in taken]
+            if free:
+                break
+            self.leave[t] = 0.0  # a share of rounding: there is nothing to leave by
+        p = np.exp(logp[free])
+        k = min(int(np.searchsorted(np.cumsum(p), draws.uniform() * p.sum(), side="right")), len(free) - 1)
+        piece = int(pieces[free[k]])
+        taken.add(piece)
         self.leave[t] = math.exp(self.at[t]) * float(p.sum() - p[k]) if len(free) > 1 else 0.0
-        return t, int(free[k])
-
-
-def _search(codec: Codec, nodes: np.ndarray, k: int, rng: np.random.Generator) -> list[Sample]:
-    """Best-first search for the k greatest perturbed paths through the stretches whose first nodes are given."""
-    import heapq
-
-    where, arcs = codec.walk(nodes, rng)
-    value = -math.log(rng.exponential())  # the maximum over all paths: a standard Gumbel
-    rest = _Rest(codec, arcs, where, 0, 0.0)
-    found, queue, tie = [(rest.logp, value, arcs)], [], 0
-    heapq.heappush(queue, (-_below(rest.mass(), value, rng), tie, rest))
-    logs, to = codec.arc_logp, codec.arc_to
-    while len(found) < k and queue and queue[0][0] < math.inf:
-        minus, _, rest = heapq.heappop(queue)
-        t, arc = rest.draw(codec, rng)
-        if arc < 0:
-            continue
+        return t, piece, float(logp[free[k]]), position
+
+
+class _Text:
+    """One text's lattice and its search: found paths, and a queue of what is left by falling perturbed value."""
+
+    def __init__(self, codec: Codec, numbers: np.ndarray, seed: int) -> None:
+        self.codec, self.draws = codec, Draws(seed)
+        self.root, span = codec.root[numbers], codec.span[numbers]
+        self.last = self.root + span
+        self.stop = np.cumsum(span)  # of each stretch, in the text's characters
+        self.shift = self.last - self.stop  # from a position in the text to a node
+        self.found: list[tuple[float, float, np.ndarray]] = []
+        self.queue: list[tuple[float, int, _Rest]] = []
+        self.tie = 0
+
+    def stretch(self, position: int) -> int:
+        return int(np.searchsorted(self.stop, position, side="right"))
+
+    def streams(self, first: int) -> np.ndarray:
+        """The states of the generators of the stretches from ``first`` on, for the path drawn now."""
+        base = np.uint64(self.draws.bits())
+        return _mix(np.arange(first + 1, len(self.root) + 1, dtype=np.uint64) * np.uint64(FIRST) ^ base)
+
+    def push(self, rest: _Rest, bound: float) -> None:
+        heapq.heappush(self.queue, (-_below(rest.mass(), bound, self.draws), self.tie, rest))
+        self.tie += 1
+
+    def begin(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What to walk for the first path."""
+        return self.root, self.last, self.streams(0)
+
+    def take_first(self, path: np.ndarray, logp: np.ndarray) -> None:
+        value = -math.log(self.draws.exponential())  # the maximum over all paths: a standard Gumbel
+        self.found.append((float(logp.sum()), value, path))
+        self.push(_Rest(path, logp, 0, 0, 0.0), value)
+
+    def next(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        """What to walk for the next path, which leaves an earlier one; None: k paths are found, or all."""
+        while len(self.found) < k and self.queue and self.queue[0][0] < math.inf:
+            minus, _, rest = heapq.heappop(self.queue)
+            way = rest.draw(self)
+            if way is None:
+                continue
+            here = self.stretch(way[3])
+            self.open = minus, rest, *way
+            after = way[3] + int(self.codec.size[max(way[1], -1)])
+            return np.concatenate([[after + self.shift[here]], self.root[here + 1 :]]), self.last[here:], self.streams(here)
+        return None
+
+    def take(self, path: np.ndarray, logp: np.ndarray) -> None:
+        """The path that ``next`` opened, with the steps that were walked for it."""
+        minus, rest, t, piece, own, position = self.open
         step = rest.start + t
-        # the drawn arc, the rest of its stretch, and all later stretches anew
-        here = int(rest.stretch[step])
-        tail = nodes[here + 1 :]
-        inner = to[arc]
-        begin = np.concatenate([[inner], tail]) if inner >= 0 else tail
-        w, more = codec.walk(begin, rng)
-        path = np.concatenate([rest.arcs[:step], [arc], more]).astype(np.int64)
-        stretch = np.concatenate([rest.stretch[:step], [here], w + (here if inner >= 0 else here + 1)]).astype(np.int64)
-        before = float(rest.at[t]) + float(logs[arc])
-        fresh = _Rest(codec, path, stretch, step + 1, before)
-        found.append((fresh.logp, -minus, path))
-        for part in (rest, fresh):
-            tie += 1
-            heapq.heappush(queue, (-_below(part.mass(), -minus, rng), tie, part))
-    bound = -queue[0][0] if queue else -math.inf
-    out = []
-    for r, (logp, perturbed, path) in enumerate(found):
-        inclusion = 1.0 if bound == -math.inf else -math.expm1(-math.exp(min(logp - bound, 700.0)))
-        out.append(Sample(r, codec.ids_of(path), logp, perturbed, inclusion))
-    return out
+        path = np.concatenate([rest.path[:step], np.array([piece], np.int32), path])
+        logp = np.concatenate([rest.logp[:step], [own], logp])
+        self.found.append((float(logp.sum()), -minus, path))
+        self.push(rest, -minus)
+        self.push(_Rest(path, logp, step + 1, position + int(self.codec.size[max(piece, -1)]), float(rest.at[t]) + own), -minus)
+
+    def samples(self) -> list[Sample]:
+        bound = -self.queue[0][0] if self.queue else -math.inf
+        out = []
+        for r, (logp, perturbed, path) in enumerate(self.found):
+            inclusion = 1.0 if bound == -math.inf else -math.expm1(-math.exp(min(logp - bound, 700.0)))
+            out.append(Sample(r, self.codec.ids_of(path), logp, perturbed, inclusion))
+        return out
+
+
+def search(codec: Codec, texts: list[np.ndarray], k: int, seeds: list[int]) -> list[list[Sample]]:
+    """Best-first searches for the k greatest perturbed paths of texts, given by the numbers of their stretches.
+
+    The texts' searches go in step, so that the paths which they open are drawn together; each draws from generators
+    of its own, so that what it finds doesn't depend on the others.
+    """
+    states = [_Text(codec, n, s) for n, s in zip(texts, seeds)]
+    live, wanted, first = states, [t.begin() for t in states], True
+    while live:
+        pieces, logp, steps = codec.walk(*(np.concatenate(x) for x in zip(*wanted)))
+        paths = np.concatenate([[0], np.cumsum([len(w[0]) for w in wanted])])
+        at = np.concatenate([[0], np.cumsum(steps)])[paths].tolist()
+        for t, a, b in zip(live, at, at[1:]):
+            (t.take_first if first else t.take)(pieces[a:b], logp[a:b])
+        more = [(t, w) for t in live if (w := t.next(k)) is not None]
+        live, wanted, first = [t for t, _ in more], [w for _, w in more], False
+    return [t.samples() for t in states]
 
 
 # ---- Spark ----
@@ -449,15 +560,20 @@ def codec(name: str) -> Codec:
     return _codecs[name]
 
 
+def _encoded(c: Codec, texts: list[str | None], numbers: list[np.ndarray]) -> tuple[pa.Array, pa.Array]:
+    """(ids, round_trip) of texts by the numbers of their stretches."""
+    ids, offsets = c.encode_many(np.concatenate(numbers), np.array([len(n) for n in numbers]))
+    good = pa.array([d == (t or "") for d, t in zip(c.decode_many(ids, offsets), texts)], pa.bool_())
+    return pa.ListArray.from_arrays(offsets.astype(np.int32), ids), good
+
+
 def _make_encoder(name: str):
     def make():
         c = codec(name)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = batch.column("_text").to_pylist()
-            ids = [c.encode_numbers(n) for n in _numbered(c, texts)]
-            good = pa.array([c.decode(i) == (t or "") for i, t in zip(ids, texts)], pa.bool_())
-            return pa.RecordBatch.from_arrays([batch.column("_id"), _lists(ids), good], names=["_id", "ids", "round_trip"])
+            return pa.RecordBatch.from_arrays([batch.column("_id"), *_encoded(c, texts, _numbered(c, texts))], names=["_id", "ids", "round_trip"])
 
         return step
 
@@ -484,7 +600,9 @@ def _make_decoder(name: str):
         c = codec(name)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            texts = [None if i is None else c.decode(np.array(i, np.int32)) for i in batch.column("_ids").to_pylist()]
+            lists = batch.column("_ids")
+            ids, offsets = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+            texts = [t if ok else None for t, ok in zip(c.decode_many(ids[offsets[0] : offsets[-1]], offsets - offsets[0]), lists.is_valid().to_pylist())]
             return pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(texts, pa.string())], names=["_id", "text"])
 
         return step
@@ -494,7 +612,7 @@ def _make_decoder(name: str):
 
 def decode_documents(encoded: DataFrame, name: str = "piece_bpe_32k.model", doc_id: str = "doc_id", ids: str = "ids") -> DataFrame:
     """(doc_id, text) of arrays of pieces; null arrays give null texts."""
-    own = own_columns(encoded, _id=doc_id, _ids=ids).withColumn("_size", F.col("_ids").cast("string"))
+    own = own_columns(encoded, _id=doc_id, _ids=ids).withColumn("_size", F.coalesce(F.size("_ids"), F.lit(0)).cast("bigint") * 8)
     return map_arrow(own, _make_decoder(name), f"_id {dict(encoded.dtypes)[doc_id]}, text string", "_size").withColumnRenamed("_id", "doc_id")
 
 
@@ -508,8 +626,7 @@ def _make_sampler(name: str, k: int):
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts, seeds = batch.column("_text").to_pylist(), batch.column("_seed").to_pylist()
             numbers = _numbered(c, texts)
-            found = [_search(c, c.root[n], k, generator(s)) for n, s in zip(numbers, seeds)]
-            return pa.RecordBatch.from_arrays([batch.column("_id"), samples_array(found)], names=["_id", "samples"])
+            return pa.RecordBatch.from_arrays([batch.column("_id"), samples_array(search(c, numbers, k, seeds))], names=["_id", "samples"])
 
         return step
 
@@ -556,10 +673,7 @@ def _make_both(name: str, k: int, kept: int):
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts, seeds = batch.column("_text").to_pylist(), batch.column("_seed").to_pylist()
             numbers = _numbered(c, texts, kept)
-            ids = [c.encode_numbers(n) for n in numbers]
-            good = pa.array([c.decode(i) == (t or "") for i, t in zip(ids, texts)], pa.bool_())
-            found = [_search(c, c.root[n], k, generator(s)) for n, s in zip(numbers, seeds)]
-            return pa.RecordBatch.from_arrays([batch.column("_id"), _lists(ids), good, samples_array(found)], names=["_id", "ids", "round_trip", "samples"])
+            return pa.RecordBatch.from_arrays([batch.column("_id"), *_encoded(c, texts, numbers), samples_array(search(c, numbers, k, seeds))], names=["_id", "ids", "round_trip", "samples"])
 
         return step
 
@@ -569,7 +683,7 @@ def _make_both(name: str, k: int, kept: int):
 def encode_and_sample(docs: DataFrame, k: int = 2, seed: int = 17, name: str = "piece_bpe_32k.model", doc_id: str = "doc_id", text: str = "text", kept: int = KEPT) -> DataFrame:
     """(doc_id, ids, round_trip, samples): ``encode_documents`` and ``sample_documents`` in one pass over the texts.
 
-    kept: stretches that a worker keeps, at about 0.8 kB each; it changes the speed only.
+    kept: stretches that a worker keeps, at about 0.5 kB each; it changes the speed only.
     """
     own = own_columns(docs, _id=doc_id, _text=F.col(f"`{text}`").cast("string")).withColumn("_seed", row_seed(F.col("_id"), seed))
     return map_arrow(own, _make_both(name, k, kept), f"_id {dict(docs.dtypes)[doc_id]}, ids array<int>, round_trip boolean, samples {SAMPLES}", "_text", SLICE).withColumnRenamed("_id", "doc_id")
