@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -236,13 +237,43 @@ def test_a_long_row_does_not_end_the_sample(spark, monkeypatch):
 # ---- quality ----
 
 
-def test_cascade_order_changes_nothing(spark, docs):
-    rows = table(spark, docs, "documents").select("doc_id", "text")
+def plain_metrics(text):
+    text = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    threes = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    counts = Counter(threes)
+    again = [i for i, t in enumerate(threes) if counts[t] > 1]
+    return {
+        "n_words": len(words), "word_chars": sum(map(len, words)), "n_symbols": sum(c in "#*$%&|<>" for c in text), "n_lines": len(lines), "n_dup_lines": len(lines) - len(set(lines)),
+        "n_repeat_words": len({i + k for i in again for k in range(3)}), "n_letter_words": sum(any(c.isalpha() for c in w) for w in words),
+        "n_bullet_lines": sum(bool(re.match(r"[ \t]*[-*•]", x)) for x in text.split("\n")),
+    }
+
+
+def test_cascade_names_the_first_rule_of_its_order(spark, docs):
+    odd = spark.createDataFrame([(20_000, "1 2 3 4 " * 20), (20_001, "- a b\n* c d\n- e f\n  • g h\n- i j"), (20_002, "#*$ # # #"), (20_003, "abcdefghijklmnopqrstuvwxyz " * 3), (20_003, None)], "doc_id bigint, text string")
+    rows = table(spark, docs, "documents").select("doc_id", "text").union(odd)
+    rules = quality.BASE_RULES + quality.METHOD_RULES
+    texts = [(r[0], r[1]) for r in rows.collect()]
+    fails = {t: {r.name for r in rules if eval(r.rejects, {}, plain_metrics(t))} for _, t in texts}
+    orders = [rules, rules[::-1], tuple(quality.plan_cascade(rows, rules))]
+    for order in orders:
+        got = Counter((r["doc_id"], r["rejected_by"], r["kept"]) for r in quality.cascade(rows, list(order)).collect())
+        first = [next((r.name for r in order if r.name in fails[t]), None) for _, t in texts]
+        assert got == Counter((i, f, f is None) for (i, _), f in zip(texts, first))
+    assert {r.name for _, t in texts for r in rules if r.name in fails[t]} == {r.name for r in rules}
+    left = quality.quality_filter(rows, list(orders[2]))
+    assert sorted(r[0] for r in left.select("doc_id").collect()) == sorted(i for i, t in texts if not fails[t])
+
+
+def test_cascade_order_is_that_of_a_bounded_sample(spark, docs):
     rules = quality.BASE_RULES + quality.METHOD_RULES
-    judged = [{(r["doc_id"], r["kept"]) for r in quality.apply_cascade(quality.text_metrics(rows), list(order)).collect()} for order in (rules, rules[::-1])]
-    assert judged[0] == judged[1]
-    left = quality.quality_filter(rows, quality.plan_cascade(rows, rules))
-    assert sorted(r[0] for r in left.select("doc_id").collect()) == sorted(i for i, kept in judged[0] if kept)
+    rows = table(spark, docs, "documents").repartition(13)
+    assert quality.plan_cascade(rows, rules) == quality.plan_cascade(rows, rules)
+    many = spark.range(0, 50_000, 1, 40).select(F.concat(F.lit("word "), F.col("id").cast("string")).alias("text"))
+    assert 1500 < quality.sample_of(many, 2_000).count() < 2500
+    assert quality.plan_cascade(rows.where("false"), rules) == list(rules)
 
 
 # ---- URL filter ----
