@@ -13,8 +13,25 @@ def rows(df):
 def test_large_test_sets_are_joined_by_shuffle(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     bench = table(spark, sf, "benchmark").select("item_id", "text").union(spark.createDataFrame([(900, "the and of"), (901, "the"), (None, "of the and to in a is on by for as it at")], "item_id bigint, text string"))
-    few, many = decontaminate.contamination(docs, bench), decontaminate.contamination(docs, bench, broadcast_windows=0)
-    assert rows(few) == rows(many) and few.where("n_items > 0").count() > 0
+    few = decontaminate.contamination(docs, bench)
+    assert few.where("n_items > 0").count() > 0
+    for options in ({"broadcast_bytes": 0}, {"broadcast_prints": 500}, {"broadcast_bytes": 0, "broadcast_prints": 700}):
+        assert rows(decontaminate.contamination(docs, bench, **options)) == rows(few)
+
+
+def test_large_test_sets_shuffle_no_texts(spark, sf):
+    docs, bench = table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "benchmark")
+    found = decontaminate.contamination(docs, bench, broadcast_bytes=0)
+    assert rows(found) == rows(decontaminate.contamination(docs, bench))
+    plans = []
+    keep = decontaminate.materialize
+    decontaminate.materialize = lambda df, tag: plans.append((tag, df._jdf.queryExecution().executedPlan().toString())) or keep(df, tag)
+    try:
+        decontaminate.contamination(docs, bench, broadcast_bytes=0)
+    finally:
+        decontaminate.materialize = keep
+    passes = [p for tag, p in plans if tag == "seen_windows"]
+    assert passes and all("Exchange hashpartitioning" not in p for p in passes)
 
 
 def test_many_rows_to_drop_are_joined_by_shuffle(spark, sf, monkeypatch):

@@ -64,7 +64,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
     shingle, and a null text or one without words has fingerprint zero.
     """
     own = own_columns(docs, _id=F.col(f"`{doc_id}`").cast("bigint"), _key=text_key(F.col(f"`{text}`")), _text=F.col(f"`{text}`").cast("string"))
-    return map_arrow(own, _make_fingerprints(shingle, seed), "_id bigint, _key bigint, fp bigint", "_text")
+    return map_arrow(own, _make_fingerprints(shingle, seed), "_id bigint, _key binary, fp bigint", "_text")
 
 
 def _distance(a: Column, b: Column) -> Column:

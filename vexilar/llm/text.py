@@ -47,13 +47,13 @@ def with_row_key(df: DataFrame, out: str = "_row") -> DataFrame:
     return df.withColumn(out, F.monotonically_increasing_id())
 
 
-#: Rows to drop that are broadcast at most: at about 50 bytes each in a hash table, 25 MB.
+#: Rows to drop that are broadcast at most: at about 90 bytes each in a hash table, 45 MB.
 BROADCAST_DROPS = 500_000
 
 
 def text_key(text: Column) -> Column:
-    """A 64-bit hash of a text; null counts as ''. Equal texts have equal keys."""
-    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+    """A text's SHA-256, which tells texts apart as well as they do themselves; null counts as ''."""
+    return F.unhex(F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256))
 
 
 def drop_rows(docs: DataFrame, drops: DataFrame, doc_id: str, text: str) -> DataFrame:
