@@ -36,7 +36,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Workers that earlier stages have used hold memory, so fewer stretches are kept than by the operator alone.
     """
-    return sentencepiece_ops.encode_and_sample(docs, kept=40_000)
+    return sentencepiece_ops.encode_and_sample(docs, kept=100_000)
 
 
 STAGES = [
