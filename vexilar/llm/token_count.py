@@ -9,8 +9,8 @@ pieces that merges never cross; a piece's table is kept while it is in use, sinc
 from __future__ import annotations
 
 import json
-from bisect import bisect_right
 
+import numpy as np
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +19,7 @@ from vexilar.llm.arrow import map_arrow
 from vexilar.llm.text import own_columns
 
 # Fixed value: the pattern by which byte-level BPE cuts text before merging.
+CONTRACTIONS = ("'re", "'ve", "'ll")  # those with a beginning that is cut otherwise
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces whose tables a worker keeps at most; then it starts afresh.
 KEPT_PIECES = 600_000
@@ -48,10 +49,14 @@ class PrefixCounter:
         for a, b in self.ranks:
             self.made.setdefault(a + b, (a, b))
         self.ids = {t: i for t, i in self.ids.items() if len(t) == 1 or t in self.made and self._apart(*self.made[t], self.ranks[self.made[t]])}
-        self.longest = max(map(len, self.ids))
+        self.ending: dict[bytes, list[int]] = {}  # lengths of tokens, longest first, by their last two bytes
+        for t in sorted(self.ids, key=len, reverse=True):
+            found = self.ending.setdefault(t[-2:], [])
+            if len(t) > 1 and (not found or found[-1] != len(t)):
+                found.append(len(t))
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         self.cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        self.pieces = regex.compile(PIECES)
+        self.pieces, self.blanks = regex.compile(PIECES), regex.compile(r"\s+")
         self.stable: dict[tuple[bytes, bytes], bool] = {}
         self.kept: dict[str, list[int]] = {}  # bounded by a fifth of KEPT_PIECES, as tables are larger than counts
         self.sizes: dict[str, int] = {}
@@ -102,16 +107,21 @@ class PrefixCounter:
 
     def _table(self, data: bytes) -> list[int]:
         """counts[i]: tokens of data[:i]."""
-        n, ids, longest = len(data), self.ids, self.longest
+        n, ids, beside, ending = len(data), self.ids, self._beside, self.ending
         counts, last = [0] * (n + 1), [b""] * (n + 1)
         for i in range(1, n + 1):
-            for start in range(max(0, i - longest), i):
-                token = data[start:i]
-                if token in ids and self._beside(last[start], token):
-                    counts[i], last[i] = counts[start] + 1, token
-                    break
+            for size in ending.get(data[max(0, i - 2) : i], ()):
+                start = i - size
+                if start >= 0:
+                    token = data[start:i]
+                    if token in ids and beside(last[start], token):
+                        counts[i], last[i] = counts[start] + 1, token
+                        break
             else:
-                raise ValueError(f"no token ends at byte {i} of a piece; the vocabulary lacks single bytes")
+                token = data[i - 1 : i]
+                if token not in ids or not beside(last[i - 1], token):
+                    raise ValueError(f"no token ends at byte {i} of a piece; the vocabulary lacks single bytes")
+                counts[i], last[i] = counts[i - 1] + 1, token
         return counts
 
     def table(self, piece: str) -> list[int]:
@@ -158,42 +168,64 @@ class PrefixCounter:
             total += sum(sizes)
         return total
 
-    def prefix_index(self, text: str | None) -> tuple[list[int], list[int]]:
-        """(ends, counts): code points up to the end of each piece and tokens up to there; starts with 0, 0.
-
-        A piece boundary is a boundary of every longer prefix too, so these counts are those of the prefixes.
+    def _by_char(self, piece: str) -> list[int]:
+        """Token counts of every prefix of a piece, by code points."""
+        counts = self.table(piece)
+        if len(counts) == len(piece) + 1:
+            return counts
+        ends, at = [0], 0
+        for c in piece:
+            at += len(c.encode("utf-8", "surrogatepass"))
+            ends.append(at)
+        return [counts[e] for e in ends]
+
+    def prefix_counts(self, text: str | None) -> np.ndarray:
+        """counts[n]: tokens of text[:n] for every n, exactly as if that prefix were encoded alone.
+
+        A prefix has the pieces of the whole text up to the one that it ends in, whose own prefix counts say the rest.
+        Three ends are cut otherwise: blanks at the end are one piece, however the text goes on after them; the
+        beginning of a contraction is a mark and a letter; and that of a special string is plain text.
         """
-        ends, counts = [0], [0]
-        for part, special in self._plain(text or ""):
-            for piece in [part] if special else self.pieces.findall(part):
-                ends.append(ends[-1] + len(piece))
-                counts.append(counts[-1] + (1 if special else self.table(piece)[-1]))
-        return ends, counts
+        text = text or ""
+        out = [0] * (len(text) + 1)
+        base, at, tail = 0, 0, (0, 0)  # tail: from where what follows may change the pieces, and the tokens up to there
+        for part, special in self._plain(text):
+            if special:
+                for n in range(at + 1, at + len(part)):
+                    out[n] = tail[1] + self.count(text[tail[0] : n])
+                base, at = base + 1, at + len(part)
+                out[at], tail = base, (at, base)
+                continue
+            blank_to = 0
+            for m in self.pieces.finditer(part):
+                piece, a = m[0], m.start()
+                blank = self.blanks.match(part, a)
+                if a >= blank_to:  # a run of blanks may go on over several pieces and into the next word
+                    tail = (at + a, base)
+                    if blank:
+                        blank_to = blank.end()
+                        out[at + a + 1 : at + blank_to + 1] = [base + c for c in self._by_char(blank[0])[1:]]
+                if not blank or blank.end() < m.end():
+                    counts, skip = self._by_char(piece), 1 + bool(blank)
+                    out[at + a + skip : at + m.end() + 1] = [base + c for c in counts[skip:]]
+                    if piece in CONTRACTIONS:
+                        out[at + a + 2] = base + self.table("'")[-1] + self.table(piece[1])[-1]
+                    base += counts[-1]
+                else:
+                    base += self.table(piece)[-1]
+            at += len(part)
+        return np.array(out, np.int32)
 
-    def tokens_in_prefix(self, text: str, length: int, index: tuple[list[int], list[int]] | None = None) -> int:
-        """Tokens of text[:length], from the index; only the piece that the cut falls into is looked at.
+    def tokens_in_prefix(self, text: str, length: int, counts: np.ndarray | None = None) -> int:
+        """Tokens of text[:length], looked up."""
+        counts = self.prefix_counts(text) if counts is None else counts
+        return int(counts[max(0, min(length, len(counts) - 1))])
 
-        A cut inside a piece leaves a shorter one, which the pattern may cut differently (blanks before a word,
-        contractions), so its tail is cut again, from two pieces before.
-        """
-        ends, counts = index or self.prefix_index(text)
-        length = max(0, min(length, len(text)))
-        k = bisect_right(ends, length) - 1
-        if ends[k] == length == len(text):
-            return counts[k]
-        k = max(0, k - 2)  # a blank run or contraction may reach back
-        return counts[k] + self.count(text[ends[k] : length])
-
-    def truncate(self, text: str | None, budget: int, index: tuple[list[int], list[int]] | None = None) -> str:
-        """The longest prefix of whole pieces' characters with at most ``budget`` tokens.
-
-        The piece in which the budget ends is searched character by character, as counts needn't grow evenly there.
-        """
-        text = text or ""
-        ends, counts = index or self.prefix_index(text)
-        k = bisect_right(counts, budget) - 1
-        stop = ends[min(k + 1, len(ends) - 1)]
-        return next((text[:n] for n in range(stop, ends[k], -1) if self.tokens_in_prefix(text, n, (ends, counts)) <= budget), text[: ends[k]])
+    def truncate(self, text: str | None, budget: int, counts: np.ndarray | None = None) -> str:
+        """The longest prefix with at most ``budget`` tokens, looked up; '' for a negative budget."""
+        counts = self.prefix_counts(text) if counts is None else counts
+        fits = np.flatnonzero(counts <= budget)
+        return (text or "")[: fits[-1]] if len(fits) else ""
 
 
 _counters: dict[str, PrefixCounter] = {}
@@ -240,16 +272,16 @@ def count_tokens(docs: DataFrame, name: str = "byte_bpe_50k.json", limit: int =
     return found.select(F.col("_id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
-def _make_index(name: str):
+def _make_tables(name: str):
     def make():
         import pyarrow as pa
 
         c = counter(vocabulary(name))
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = [c.prefix_index(t) for t in batch.column("_text").to_pylist()]
-            columns = [pa.array([f[k] for f in found], pa.list_(pa.int32())) for k in (0, 1)]
-            return pa.RecordBatch.from_arrays([batch.column("_id"), *columns], names=["_id", "ends", "counts"])
+            found = [c.prefix_counts(t) for t in batch.column("_text").to_pylist()]
+            at = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
+            return pa.RecordBatch.from_arrays([batch.column("_id"), pa.ListArray.from_arrays(at, np.concatenate(found))], names=["_id", "counts"])
 
         return step
 
@@ -257,15 +289,23 @@ def _make_index(name: str):
 
 
 def prefix_tables(docs: DataFrame, name: str = "byte_bpe_50k.json", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, ends, counts): for each text the code points and tokens up to the end of every piece.
+    """(doc_id, counts): counts[n] holds the tokens of each text's first n code points, for every n from 0.
 
-    ``tokens_within`` and ``chars_within`` answer from it without the tokenizer. Edge cases as in ``count_tokens``.
+    ``tokens_within`` and ``chars_within`` answer from it without the tokenizer. A null or empty text has the table
+    [0]; other edge cases are as in ``count_tokens``.
     """
     own = own_columns(docs, _id=doc_id, _text=F.col(f"`{text}`").cast("string"))
-    return map_arrow(own, _make_index(name), f"_id {dict(docs.dtypes)[doc_id]}, ends array<int>, counts array<int>", "_text").withColumnRenamed("_id", "doc_id")
+    return map_arrow(own, _make_tables(name), f"_id {dict(docs.dtypes)[doc_id]}, counts array<int>", "_text", 2_000_000).withColumnRenamed("_id", "doc_id")
+
+
+def tokens_within(tables: DataFrame, length: int) -> DataFrame:
+    """(doc_id, chars, tokens): the tokens of each text's first ``length`` code points, or of all of it if it is shorter."""
+    n = F.greatest(F.lit(0), F.least(F.lit(length), F.size("counts") - 1))
+    return tables.select("doc_id", n.alias("chars"), F.get("counts", n).alias("tokens"))
 
 
 def chars_within(tables: DataFrame, budget: int) -> DataFrame:
-    """(doc_id, chars, tokens): the longest prefix of whole pieces that fits the budget, looked up in the tables."""
-    k = F.size(F.filter("counts", lambda x: x <= budget)) - 1
-    return tables.select("doc_id", F.get("ends", k).alias("chars"), F.get("counts", k).alias("tokens"))
+    """(doc_id, chars, tokens): the code points of the longest prefix with at most ``budget`` tokens; nulls if it is negative."""
+    back = F.array_position(F.transform(F.reverse("counts"), lambda x: x <= budget), True)  # counts may fall as a text goes on
+    n = F.when(back > 0, F.size("counts") - back).cast("int")
+    return tables.select("doc_id", n.alias("chars"), F.get("counts", n).alias("tokens"))
