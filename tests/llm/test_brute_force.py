@@ -120,26 +120,47 @@ def test_token_counts_match_library(spark, docs, texts):
     assert all(r["over_limit"] == (r["n_tokens"] > 1024) for r in got)
 
 
+PARTS = ["They", "'re", "'ve", "'ll", "'s", "'", " ", "  ", "\n", "\t", "\u00a0", "\x1c", "naïve", "日本", "語", "12345", "!!", " <|", "<|endoftext|>", "<|endo", "x", " é", "😀", "\r\n", "ß'r"]
+
+
 def test_every_prefix_and_budget():
     from tokenizers import Tokenizer
 
     path = token_count.vocabulary("byte_bpe_50k.json")
     t, c = Tokenizer.from_file(path), token_count.counter(path)
     count = lambda s: len(t.encode(s, add_special_tokens=False).ids)
-    for text in ("They've  been   here's 12345 naïve\n\n  x", "a<|endoftext|>b<|endo", "日本語 text's", "   "):
-        index = c.prefix_index(text)
-        for n in range(len(text) + 1):
-            assert c.tokens_in_prefix(text, n, index) == count(text[:n]), (text, n)
-        for budget in range(count(text) + 2):
-            cut = c.truncate(text, budget, index)
-            assert text.startswith(cut) and count(cut) <= budget
-    piece = "supercalifragilistic"
-    assert c.table(piece) == [count(piece[:n]) for n in range(len(piece) + 1)]
-
-
-def test_prefix_tables_answer_budgets(spark, docs):
-    out = token_count.chars_within(token_count.prefix_tables(table(spark, docs, "documents")), 100).collect()
-    assert all(r["tokens"] <= 100 for r in out)
+    rng = random.Random(4)
+    made = ["".join(rng.choice(PARTS) for _ in range(rng.randint(1, 12))) for _ in range(600)]
+    for text in ["", "They've  been   here's 12345 naïve\n\n  x", "a<|endoftext|>b<|endo", "a  <|endoftext|> \n b", "supercalifragilistic" * 3, "   ", *made]:
+        counts = [count(text[:n]) for n in range(len(text) + 1)]
+        assert c.prefix_counts(text).tolist() == counts, text
+        for budget in range(-1, max(counts) + 2):
+            longest = max((n for n, k in enumerate(counts) if k <= budget), default=0)
+            assert c.truncate(text, budget) == text[:longest]
+
+
+def test_long_runs_are_truncated_in_a_second():
+    import time
+
+    c = token_count.counter(token_count.vocabulary("byte_bpe_50k.json"))
+    for text in ("a" * 100_000, " " * 100_000, "日本" * 30_000, "ab1é-" * 20_000):
+        began = time.process_time()
+        counts = c.prefix_counts(text)
+        cut = [c.truncate(text, b, counts) for b in range(0, 2000, 7)]
+        assert time.process_time() - began < 1.5 and all(c.count(x) <= b for x, b in zip(cut[:20], range(0, 140, 7)))
+    assert c.prefix_counts("x" * 3000)[-1] == c.count("x" * 3000)
+
+
+def test_prefix_tables_answer_budgets(spark, docs, texts):
+    c = token_count.counter(token_count.vocabulary("byte_bpe_50k.json"))
+    tables = token_count.prefix_tables(table(spark, docs, "documents"))
+    short = [(i, t) for i, t in texts if len(t or "") < 5_000]
+    for budget in (-1, 0, 3, 100):
+        got = Counter((r["doc_id"], r["chars"], r["tokens"]) for r in token_count.chars_within(tables, budget).collect())
+        want = [(i, None, None) if budget < 0 else (i, len(cut := c.truncate(t, budget)), c.count(cut)) for i, t in short]
+        assert not Counter(want) - got
+    got = Counter((r["doc_id"], r["chars"], r["tokens"]) for r in token_count.tokens_within(tables, 77).collect())
+    assert got == Counter((i, len((t or "")[:77]), c.count((t or "")[:77])) for i, t in texts)
 
 
 # ---- SimHash ----
@@ -311,9 +332,9 @@ def test_index_lookups_read_records_back(spark, sf, tmp_path):
     directory = warc.build_index(lines, root, block_lines=7)
     index = warc.CaptureIndex.load(root, directory)
     rows = {r["page_id"]: r for r in every.select("*", warc.url_key(F.col("url")).alias("k")).collect()}
-    for k in {r["k"].replace(" ", "%20") for r in rows.values()}:
+    for k in {r["k"] for r in rows.values()}:
         found = index.find(k)
-        assert {f["page_id"] for f in found} == {i for i, r in rows.items() if r["k"].replace(" ", "%20") == k}
+        assert {f["page_id"] for f in found} == {i for i, r in rows.items() if r["k"] == k}
         for f in found:
             record = index.fetch(f)
             payload = (rows[f["page_id"]]["html"] or "").encode()
@@ -328,6 +349,21 @@ def test_only_payloads_of_the_least_size_are_revisited(spark, tmp_path):
     assert got == {(3, "revisit", 2), (2, "response", None), (1, "response", None), (5, "response", None)}
 
 
+def test_records_have_ids_of_their_own_and_lost_archives_go(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "http://a.b/", "same"), (1, "http://a.b/", "same"), (1, "http://a.b/", "other"), (2, "http://c.d/ x!", "same"), (None, None, None), (None, None, None)], "page_id bigint, url string, html string")
+    root = str(tmp_path)
+    for left in (".now-0.warc.gz.open", "now-f00.warc.gz", "before-f00.warc.gz"):
+        (tmp_path / left).write_bytes(b"left by a lost task, or of another run")
+    lines = warc.write_archives(pages, root, run="now")
+    assert {p.name for p in tmp_path.iterdir() if not p.name.endswith(".crc")} == {r["file"] for r in lines.collect()} | {"before-f00.warc.gz"}
+    index = warc.CaptureIndex.load(root, warc.build_index(lines, root, 2))
+    records = [index.fetch(r.asDict()) for r in lines.collect()]
+    ids = [r.headers["WARC-Record-ID"] for r in records]
+    assert len(set(ids)) == 6 and sum(r.headers["WARC-Type"] == "response" for r in records) == 3
+    referred = {r.headers["WARC-Refers-To"] for r in records if r.headers["WARC-Type"] == "revisit"}
+    assert referred == {r.headers["WARC-Record-ID"] for r in records if r.headers["WARC-Type"] == "response" and r.payload != b"other"}
+
+
 # ---- toxicity ----
 
 

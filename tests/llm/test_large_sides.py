@@ -48,4 +48,4 @@ def test_many_repeated_payloads_are_joined_by_shuffle(spark, sf):
     pages = table(spark, sf, "pages").select("page_id", "url", "html")
     pages = pages.union(pages.select(F.col("page_id") + 10_000, "url", "html"))
     plan = lambda n: rows(warc.plan_records(pages, broadcast_rows=n).select("page_id", "digest", "refers_to"))
-    assert plan(0) == plan(10**6)
+    assert plan(0) == plan(10**7)

@@ -31,12 +31,14 @@ def odd(spark, tmp_path_factory):
     pages = [
         (1, "http://a.example.org/es/1", "<p>"), (2, "http://b.net/x#f", page("http://a.example.org/es/1")), (3, "https://c.net/y", page("http://b.net/x")), (4, None, page("/z")), (5, "no address", None),
         (6, "http://D.COM/fr/1", page("http://a.example.org/es/1")), (7, "http://d.com/de/1", ""), (8, "http://org", "<p>"), (9, "http://c.net/en/2", None), (9, "http://c.net/en/2", None), (None, "ftp://example.org/en/12?q=/es/", "<p>"),
+        (None, "ftp://e.org/a b\n", "only without ids"), (None, "ftp://e.org/a!b", "only without ids"), (20, "http://e.org/1", "tie"), (20, "http://e.org/1", "tie"), (20, None, "tie"), (21, "http://e.org/2", "tie"),
+        (22, "http://e.org/3", "été 日本" * 5000), (23, "http://e.org/3", "été 日本" * 5000), (9, "http://e.org/9", "another page of the same id"),
     ]
     spark.createDataFrame(pages, "page_id bigint, url string, html string").write.parquet(f"{d}/pages.parquet")
     return str(d)
 
 
-@pytest.mark.parametrize("name", ["op1_license_scan", "op4_url_filter", "op8_quality", "op9_decontaminate"])
+@pytest.mark.parametrize("name", ["op1_license_scan", "op4_url_filter", "op7_warc", "op8_quality", "op9_decontaminate"])
 def test_edge_cases_match_sql(spark, odd, name):
     con = duck("/nowhere", **{t: f"{odd}/{t}.parquet/*.parquet" for t in ("documents", "benchmark", "pages")})
     assert_same(queries()[name](spark, odd), con, oracle_sql()[name])

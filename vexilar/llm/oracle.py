@@ -65,9 +65,8 @@ WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
 s AS (SELECT page_id, strlen(h) AS payload_bytes, sha1(h) AS x FROM p),
 d AS (SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
   CAST((CAST('0x' || substr(x, CAST(1 + 5 * (i // 4) AS BIGINT), 5) AS UINTEGER) // CAST(pow(32, 3 - i % 4) AS UINTEGER)) % 32 + 1 AS BIGINT), 1)), '') AS payload_digest FROM s),
-f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_page FROM d)
-SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first_page THEN 'response' ELSE 'revisit' END AS record_type,
-  CASE WHEN page_id <> first_page THEN first_page END AS refers_to FROM f"""
+f AS (SELECT *, first(page_id) OVER w AS first_page, row_number() OVER w > 1 AS again FROM d WINDOW w AS (PARTITION BY payload_digest ORDER BY page_id NULLS LAST))
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN first_page END AS refers_to FROM f"""
 
 
 def _op8() -> str:

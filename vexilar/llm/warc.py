@@ -28,10 +28,13 @@ from vexilar.session import materialize, scratch_path
 
 #: Bytes after which a task starts another archive, lines in a block of the index, and gzip's level.
 ARCHIVE_BYTES, BLOCK_LINES, LEVEL = 256_000_000, 500, 4
-#: Repeated payloads that are broadcast at most: at about 60 bytes each, 12 MB.
-BROADCAST_ROWS = 200_000
+#: Repeated payloads that are broadcast at most: at about 70 bytes each, 70 MB.
+BROADCAST_ROWS = 1_000_000
+#: Bytes of archives that a task reads, and that it reads at once where records follow each other.
+TASK_BYTES, READ_BYTES = 64_000_000, 8_000_000
 # Fixed values of the format.
 VERSION, BREAK = b"WARC/1.1\r\n", b"\r\n\r\n"
+HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {}\r\n\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 LINE = "urlkey string, page_id bigint, url string, digest string, record_type string, refers_to bigint, file string, offset bigint, length bigint"
 
@@ -42,8 +45,11 @@ def store(path: str) -> tuple[fs.FileSystem, str]:
 
 
 def url_key(url: Column) -> Column:
-    """host reversed by labels, then ')' and path with query, lower-case: neighbours on a site sort together."""
-    low = F.lower(F.coalesce(url, F.lit("")))
+    """host reversed by labels, then ')' and path with query, lower-case: neighbours on a site sort together.
+
+    Blanks and line breaks are escaped, so that keys sort as they stand in the index. A null address has the key ')'.
+    """
+    low = F.replace(F.replace(F.lower(F.coalesce(url, F.lit(""))), F.lit(" "), F.lit("%20")), F.lit("\n"), F.lit("%0a"))
     rest = F.regexp_replace(F.regexp_extract(low, r"(?s)\A(?:[^/?#]*://)?([^#]*)", 1), r"(?s)\A[^/?#]*@", "")
     host = F.regexp_extract(rest, r"(?s)\A([^/?:]*)", 1)
     return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(")"), F.regexp_replace(rest, r"(?s)\A[^/?]*", ""))
@@ -59,22 +65,26 @@ class Record:
     payload: bytes
 
 
-def encode_record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str) -> bytes:
-    """One record as its own gzip member. A revisit (refers_to) has no payload, but the digest and size of its own."""
-    kind = "response" if refers_to is None else "revisit"
-    name = f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}"
-    lines = [f"WARC-Type: {kind}", f"WARC-Record-ID: <{name}>", f"WARC-Date: {date}", f"WARC-Target-URI: {json.dumps(url or '', ensure_ascii=True)[1:-1]}"]
-    lines += [f"WARC-Payload-Digest: sha1:{digest}", f"X-Page-ID: {'' if page_id is None else page_id}", f"X-Payload-Length: {len(payload)}"]
-    body = payload
-    if refers_to is not None:
-        body = b""
-        lines += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{refers_to}')}>", f"X-Refers-To-Page: {refers_to}"]
-    lines += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {len(body)}"]
+def record_id(name: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>"
+
+
+def encode_record(own_id: str, page_id: int | None, url: str | None, payload: bytes | None, size: int, digest: str, revisit: bool, refers_to: int | None, date: str) -> bytes:
+    """One record as its own gzip member, an HTTP response. A revisit lacks the payload, but has its digest and size.
+
+    A revisit refers to the record that is named after the digest.
+    """
+    lines = [f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {own_id}", f"WARC-Date: {date}", f"WARC-Target-URI: {json.dumps(url or '', ensure_ascii=True)[1:-1]}"]
+    lines += [f"WARC-Payload-Digest: sha1:{digest}", f"X-Page-ID: {'' if page_id is None else page_id}", f"X-Payload-Length: {size}"]
+    body = HTTP.format(size).encode() + (b"" if revisit else payload or b"")
+    if revisit:
+        lines += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: {record_id(f'payload:{digest}')}", f"X-Refers-To-Page: {'' if refers_to is None else refers_to}"]
+    lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(body)}"]
     return gzip.compress(VERSION + "\r\n".join(lines).encode() + BREAK + body + BREAK, LEVEL, mtime=0)
 
 
 def decode_record(member: bytes) -> Record:
-    """The record in one gzip member; raises ValueError where it is not one whole record."""
+    """The record in one gzip member, with what follows the HTTP header; raises ValueError where it is not one whole record."""
     raw = gzip.decompress(member)
     head, found, rest = raw.partition(BREAK)
     if not raw.startswith(VERSION) or not found:
@@ -83,7 +93,7 @@ def decode_record(member: bytes) -> Record:
     size = int(headers["Content-Length"])
     if rest[size:] != BREAK:
         raise ValueError("a WARC record has another length than it states")
-    return Record(headers, rest[:size])
+    return Record(headers, rest[:size].partition(BREAK)[2])
 
 
 _SCHEMA = pa.schema([(n, pa.int64() if t == "bigint" else pa.string()) for n, t in (f.split(" ") for f in LINE.split(", "))])
@@ -92,19 +102,19 @@ _SCHEMA = pa.schema([(n, pa.int64() if t == "bigint" else pa.string()) for n, t
 class _Archive:
     """One archive being written; it gets its final name when it is closed."""
 
-    def __init__(self, root: str) -> None:
+    def __init__(self, root: str, run: str) -> None:
         self.files, base = store(root)
-        self.name = f"{uuid.uuid4().hex}.warc.gz"
+        self.name = f"{run}-{uuid.uuid4().hex}.warc.gz"
         self.temp, self.path = f"{base}/.{self.name}.open", f"{base}/{self.name}"
         self.files.create_dir(base, recursive=True)
         self.out, self.at, self.lines = self.files.open_output_stream(self.temp), 0, []
 
     def add(self, row: dict, date: str) -> None:
-        digest = base64.b32encode(bytes.fromhex(row["digest"])).decode()
-        member = encode_record(row["page_id"], row["url"], row["payload"], digest, row["refers_to"], date)
+        digest, revisit = base64.b32encode(row["digest"]).decode(), row["revisit"]
+        own = record_id(f"payload:{digest}" if row["shared"] and not revisit else f"{self.name}:{self.at}")
+        member = encode_record(own, row["page_id"], row["url"], row["payload"], row["size"], digest, revisit, row["refers_to"], date)
         self.out.write(member)
-        kind = "response" if row["refers_to"] is None else "revisit"
-        self.lines.append({"urlkey": row["urlkey"], "page_id": row["page_id"], "url": row["url"], "digest": digest, "record_type": kind, "refers_to": row["refers_to"], "file": self.name, "offset": self.at, "length": len(member)})
+        self.lines.append({"urlkey": row["urlkey"], "page_id": row["page_id"], "url": row["url"], "digest": digest, "record_type": "revisit" if revisit else "response", "refers_to": row["refers_to"], "file": self.name, "offset": self.at, "length": len(member)})
         self.at += len(member)
 
     def close(self) -> pa.RecordBatch:
@@ -113,12 +123,12 @@ class _Archive:
         return pa.RecordBatch.from_pylist(self.lines, schema=_SCHEMA)
 
 
-def _make_writer(root: str, date: str, archive_bytes: int):
+def _make_writer(root: str, run: str, date: str, archive_bytes: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         archive = None
         for batch in batches:
             for k in range(batch.num_rows):  # a row at a time: long pages aren't copied as a whole batch
-                archive = archive or _Archive(root)
+                archive = archive or _Archive(root, run)
                 archive.add({n: batch.column(n)[k].as_py() for n in batch.schema.names}, date)
                 if archive.at >= archive_bytes:
                     yield archive.close()
@@ -129,54 +139,88 @@ def _make_writer(root: str, date: str, archive_bytes: int):
     return write
 
 
+def _one_of_ties(tied: DataFrame) -> DataFrame:
+    """Rows that share the least id and the payload: one of those with the least address responds, the others revisit it."""
+    key = ["digest", "page_id"]
+    groups = tied.groupBy(*key, "url").agg(F.count("*").alias("_c"), F.first("urlkey").alias("urlkey"), F.first("size").alias("size"))
+    chosen = tied.groupBy("digest").agg(F.first("payload").alias("payload"), F.min(F.struct(F.col("url").isNull().alias("none"), "url"))["url"].alias("_url"))
+    rows = groups.join(chosen, "digest").withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_c"))))
+    rows = rows.withColumn("revisit", ~((F.col("_k") == 1) & F.col("url").eqNullSafe(F.col("_url"))))
+    return rows.withColumn("payload", F.when(~F.col("revisit"), F.col("payload"))).withColumn("refers_to", F.when(F.col("revisit"), F.col("page_id"))).withColumn("shared", F.lit(True))
+
+
+PLAN = ("page_id", "url", "payload", "size", "urlkey", "digest", "shared", "revisit", "refers_to")
+
+
 def plan_records(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", least: int = 0, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """(page_id, url, payload, urlkey, digest, refers_to): which record holds a payload, and which revisit it.
+    """PLAN's columns: which record holds a payload (shared: for others too), and which revisit it.
 
-    Of pages with equal payloads of at least ``least`` bytes that with the smallest page_id keeps it, and the others
-    refer to it. A null html is an empty payload; a null page_id never refers. Only (digest, page_id) is shuffled,
-    least ids first; the repeated digests go back by broadcast while there are at most ``broadcast_rows``.
+    Of pages with equal payloads of at least ``least`` bytes that with the smallest page_id responds, and the others
+    revisit it; null ids come last, and of rows that share the smallest id one responds. A null html is an empty
+    payload. Only (digest, page_id) is shuffled, counted first; the repeated digests go back by broadcast while there
+    are at most ``broadcast_rows``. Beyond that the pages are joined to them by a shuffle, in which each payload moves once.
     """
     own = own_columns(pages, page_id=F.col(f"`{page_id}`").cast("bigint"), url=F.col(f"`{url}`").cast("string"), payload=F.encode(F.coalesce(F.col(f"`{html}`").cast("string"), F.lit("")), "UTF-8"))
-    own = own.withColumn("digest", F.sha1("payload"))
-    firsts = own.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.min("page_id").alias("_first"), F.count("*").alias("_n"))
-    firsts = materialize(firsts.where("_n > 1").select(F.col("digest").alias("_d"), "_first"), "repeated_payloads")
-    if firsts.count() <= broadcast_rows:
-        firsts = F.broadcast(firsts)
-    joined = own.join(firsts, (F.col("digest") == F.col("_d")) & (F.octet_length("payload") >= least), "left")
-    return joined.select("page_id", "url", "payload", url_key(F.col("url")).alias("urlkey"), "digest", F.when(F.col("page_id") != F.col("_first"), F.col("_first")).alias("refers_to"))
-
-
-def write_archives(pages: DataFrame, root: str, least: int = 0, archive_bytes: int = ARCHIVE_BYTES, date: str | None = None, **columns: str) -> DataFrame:
+    own = own.select("*", F.unhex(F.sha1("payload")).alias("digest"), F.octet_length("payload").cast("bigint").alias("size"))
+    ids = own.where(F.col("size") >= least).groupBy("digest", "page_id").agg(F.count("*").alias("_c"))
+    firsts = ids.groupBy("digest").agg(F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "_c")).alias("_f"), F.sum("_c").alias("_n")).where("_n > 1")
+    firsts = materialize(firsts.select(F.col("digest").alias("_d"), F.col("_f.page_id").alias("_first"), (F.col("_f._c") > 1).alias("_ties")), "repeated_payloads")
+    hint = F.broadcast if firsts.count() <= broadcast_rows else (lambda df: df)
+    joined = own.join(hint(firsts), (F.col("digest") == F.col("_d")) & (F.col("size") >= least), "left")
+    joined = joined.withColumn("shared", F.col("_d").isNotNull()).withColumn("urlkey", url_key(F.col("url")))
+    first = F.col("page_id").eqNullSafe(F.col("_first"))
+    rows = joined.withColumn("revisit", F.col("shared") & ~first).withColumn("refers_to", F.when(F.col("revisit"), F.col("_first")))
+    rows = rows.withColumn("payload", F.when(~F.col("revisit"), F.col("payload")))
+    if firsts.where("_ties").isEmpty():
+        return rows.select(*PLAN)
+    tied = F.col("shared") & F.coalesce(F.col("_ties"), F.lit(False)) & first
+    return rows.where(~tied).select(*PLAN).union(_one_of_ties(joined.where(tied)).select(*PLAN))
+
+
+def write_archives(pages: DataFrame, root: str, least: int = 0, archive_bytes: int = ARCHIVE_BYTES, date: str | None = None, run: str | None = None, **columns: str) -> DataFrame:
     """Writes a record for every page below ``root`` and returns the index lines (see LINE), themselves stored.
 
     Repeated rows each get a record. Every task writes its own archives; one that is lost is written again under
-    another name, and the lines name only archives that were completed by the task that counts.
+    another name, and the lines name only archives that were completed by the task that counts. Names begin with that of
+    the run (a new one by default); what its lost tasks left below ``root`` is removed. An empty table gives no line.
     """
+    run = run or uuid.uuid4().hex[:12]
     date = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
-    return materialize(plan_records(pages, least=least, **columns).mapInArrow(_make_writer(root, date, archive_bytes), LINE), "warc_lines")
+    lines = materialize(plan_records(pages, least=least, **columns).mapInArrow(_make_writer(root, run, date, archive_bytes), LINE), "warc_lines")
+    _sweep(root, run, lines)
+    return lines
+
+
+def _sweep(root: str, run: str, lines: DataFrame) -> None:
+    """Removes the run's archives that no line names. An archive holds a few hundred MB, so names are few."""
+    files, base = store(root)
+    named = {r[0] for r in lines.select("file").distinct().toLocalIterator()}
+    for f in files.get_file_info(fs.FileSelector(base, allow_not_found=True)):
+        if f.base_name.removeprefix(".").startswith(f"{run}-") and f.base_name not in named:
+            files.delete_file(f.path)
 
 
-DIRECTORY = "first_key string, file string, offset bigint, length bigint, lines bigint"
+DIRECTORY = "first_key string, file string, offset bigint, length bigint, lines bigint, record_bytes bigint"
 
 
 def _make_blocks(root: str, block_lines: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, base = store(root)
-        name, out, at, lines, found = f"{uuid.uuid4().hex}.cdx.gz", None, 0, [], []
+        name, out, at, lines, held, found = f"{uuid.uuid4().hex}.cdx.gz", None, 0, [], 0, []
 
         def flush() -> None:
-            nonlocal out, at, lines
+            nonlocal out, at, lines, held
             if out is None:
                 files.create_dir(base, recursive=True)
                 out = files.open_output_stream(f"{base}/.{name}.open")
             block = gzip.compress("\n".join(lines).encode(), LEVEL, mtime=0)
             out.write(block)
-            found.append({"first_key": lines[0].split(" ", 1)[0], "file": name, "offset": at, "length": len(block), "lines": len(lines)})
-            at, lines = at + len(block), []
+            found.append({"first_key": lines[0].split(" ", 1)[0], "file": name, "offset": at, "length": len(block), "lines": len(lines), "record_bytes": held})
+            at, lines, held = at + len(block), [], 0
 
         for batch in batches:
             for row in batch.to_pylist():
-                key = row.pop("urlkey").replace(" ", "%20").replace("\n", "%0A")
+                key, held = row.pop("urlkey"), held + row["length"]
                 lines.append(f"{key} {json.dumps(row, separators=(',', ':'))}")
                 if len(lines) >= block_lines:
                     flush()
@@ -248,29 +292,52 @@ class CaptureIndex:
 READ = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, payload binary"
 
 
+_LINE = pa.schema([("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("url", pa.string())])
+
+
+def _make_lister(root: str):
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in batch.to_pylist():
+                yield pa.RecordBatch.from_pylist([fields for _, fields in block_lines_of(root, block)], schema=_LINE)
+
+    return read
+
+
 def _make_reader(root: str, with_payload: bool):
     schema = pa.schema([(n, {"bigint": pa.int64(), "string": pa.string(), "binary": pa.binary()}[t]) for n, t in (f.split(" ") for f in READ.split(", "))])
 
+    def row_of(line: dict, member: bytes) -> tuple:
+        record = decode_record(member)
+        h = record.headers
+        digest, kind = h["WARC-Payload-Digest"].removeprefix("sha1:"), h["WARC-Type"]
+        if kind == "response" and (digest_of(record.payload) != digest or len(record.payload) != int(h["X-Payload-Length"])):
+            raise ValueError(f"the payload of {h['WARC-Record-ID']} has another digest than its record states")
+        number = lambda name: int(h[name]) if h.get(name) else None
+        return number("X-Page-ID"), line["url"], number("X-Payload-Length"), digest, kind, number("X-Refers-To-Page"), record.payload if with_payload and kind == "response" else None
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, base = store(root)
+        name, open_file, piece, start, rows, held = None, None, b"", 0, [], 0
         for batch in batches:
-            for block in batch.to_pylist():
-                rows, held, name, open_file = [], 0, None, None
-                for line in sorted((x[1] for x in block_lines_of(root, block)), key=lambda x: (x["file"], x["offset"])):
-                    if line["file"] != name:
-                        name, open_file = line["file"], files.open_input_file(f"{base}/{line['file']}")
-                    record = decode_record(open_file.read_at(line["length"], line["offset"]))
-                    h = record.headers
-                    digest, kind = h["WARC-Payload-Digest"].removeprefix("sha1:"), h["WARC-Type"]
-                    if kind == "response" and (digest_of(record.payload) != digest or len(record.payload) != int(h["X-Payload-Length"])):
-                        raise ValueError(f"the payload of {h['WARC-Record-ID']} has another digest than its record states")
-                    rows.append((int(h["X-Page-ID"]) if h["X-Page-ID"] else None, line["url"], int(h["X-Payload-Length"]), digest, kind, int(h["X-Refers-To-Page"]) if kind == "revisit" else None, record.payload if with_payload and kind == "response" else None))
-                    held += len(rows[-1][-1] or b"")
-                    if held > 16_000_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
-                        rows, held = [], 0
-                if rows:
+            lines = batch.to_pylist()
+            ends = [x["offset"] + x["length"] for x in lines]
+            for k, line in enumerate(lines):
+                if line["file"] != name:
+                    name, open_file, piece = line["file"], files.open_input_file(f"{base}/{line['file']}"), b""
+                if not start <= line["offset"] <= ends[k] <= start + len(piece):  # what follows without a gap comes along
+                    last = k
+                    while last + 1 < len(lines) and lines[last + 1]["file"] == name and lines[last + 1]["offset"] == ends[last] and ends[last + 1] - line["offset"] <= READ_BYTES:
+                        last += 1
+                    start = line["offset"]
+                    piece = open_file.read_at(ends[last] - start, start)
+                rows.append(row_of(line, piece[line["offset"] - start : ends[k] - start]))
+                held += len(rows[-1][-1] or b"") + 200
+                if held > 16_000_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+                    rows, held = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
     return read
 
@@ -278,12 +345,16 @@ def _make_reader(root: str, with_payload: bool):
 def read_archives(root: str, directory: DataFrame, with_payload: bool = True) -> DataFrame:
     """Every record that the index names, read back by ranges and checked against its digest (see READ).
 
-    payload is that of response records; payload_bytes and payload_digest are those of the full payload for revisits
-    too.
+    The blocks of the index are read first. Their lines are then dealt by archive and stretch of it, some TASK_BYTES a
+    task, and sorted, so that a task opens few archives and reads them forward. payload is that of response records;
+    payload_bytes and payload_digest are those of the full payload for revisits too. An empty directory gives no row.
     """
-    spark = directory.sparkSession
-    n = max(1, min(directory.count(), 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    return directory.repartition(n).mapInArrow(_make_reader(root, with_payload), READ)
+    blocks, size = directory.agg(F.count("*"), F.coalesce(F.sum("record_bytes"), F.lit(0))).first()
+    listed = directory.repartition(max(1, blocks // 16)).mapInArrow(_make_lister(root), "file string, offset bigint, length bigint, url string")
+    tasks = max(size // TASK_BYTES, min(blocks, directory.sparkSession.sparkContext.defaultParallelism * 4), 1)
+    stretch = F.floor(F.col("offset") / (TASK_BYTES // 16))  # a hash deals these evenly enough
+    dealt = listed.repartition(int(tasks), "file", stretch).sortWithinPartitions("file", "offset")
+    return dealt.mapInArrow(_make_reader(root, with_payload), READ)
 
 
 def archive_and_read(spark: SparkSession, pages: DataFrame, root: str | None = None, least: int = 0, block_lines: int = BLOCK_LINES, with_payload: bool = False) -> DataFrame:
