@@ -41,7 +41,7 @@ def test_standardize_guards_flat_columns(spark):
 
 def test_top_k_is_the_same_for_any_blocks(planted):
     want = {tuple(r) for r in knn.top_k(planted, 4, metric="euclidean", include_self=False).select("src", "dst").collect()}
-    assert want == {tuple(r) for r in knn.top_k(planted, 4, metric="euclidean", include_self=False, block_rows=37).select("src", "dst").collect()}
+    assert want == {tuple(r) for r in knn.top_k(planted, 4, metric="euclidean", include_self=False, block_bytes=37 * 24 * 8).select("src", "dst").collect()}
     x = np.stack(numbers(planted)["v"])
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
     np.fill_diagonal(d, np.inf)
@@ -51,7 +51,7 @@ def test_top_k_is_the_same_for_any_blocks(planted):
 def test_distance_median_is_exact(planted):
     x = np.stack(numbers(planted)["v"])
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
-    assert knn.distance_median(planted, block_rows=50) == pytest.approx(np.median(d[d > 0]), abs=1e-12)
+    assert knn.distance_median(planted, block_bytes=50 * 24 * 8) == pytest.approx(np.median(d[d > 0]), abs=1e-12)
     assert knn.distance_median(planted.limit(1)) is None
 
 

@@ -6,6 +6,8 @@ for each query row of its block.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -14,103 +16,157 @@ from pyspark.sql.window import Window
 
 from vexilar.session import materialize
 
-#: Rows of a block; a task holds two blocks and their product.
-BLOCK_ROWS = 4_096
+#: Bytes of vectors in a block: a task holds two blocks and the product of STRIP rows with one. A row goes to as many
+#: tasks as the other side has blocks, so larger blocks shuffle less.
+BLOCK_BYTES, STRIP = 32_000_000, 256
 
 
 def _matrix(s: pd.Series) -> np.ndarray:
     return np.stack(s.to_numpy()).astype(np.float64) if len(s) else np.zeros((0, 0))
 
 
-def _pair_values(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
-    """Similarity (greater is nearer) of all rows of two blocks."""
+def _rows(x: np.ndarray, metric: str) -> np.ndarray:
     if metric == "cosine":
-        na, nb = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)
-        na[na == 0], nb[nb == 0] = 1.0, 1.0
-        return np.clip((a / na[:, None]) @ (b / nb[:, None]).T, -1.0, 1.0)
-    if metric == "euclidean":  # of differences: the expansion by products loses the digits of near rows
-        out = np.empty((len(a), len(b)))
-        for i in range(0, len(a), 64):
-            out[i : i + 64] = -np.sqrt(((a[i : i + 64, None, :] - b[None, :, :]) ** 2).sum(axis=2))
-        return out
+        n = np.linalg.norm(x, axis=1, keepdims=True)
+        return x / np.where(n == 0, 1.0, n)
+    if metric == "euclidean":
+        return x
     raise ValueError(f"unknown metric {metric}")
 
 
-def _dealt(base: DataFrame, queries: DataFrame, vec: str, block_rows: int) -> tuple[DataFrame, DataFrame]:
-    nb = max(1, -(-base.count() // block_rows))
-    nq = max(1, -(-queries.count() // block_rows), min(8, nb * 8))
+def _distances(a: np.ndarray, b: np.ndarray, sq_b: np.ndarray) -> np.ndarray:
+    """Euclidean distances. The expansion by products loses the digits of near rows, so those are taken from differences."""
+    sq_a = (a * a).sum(axis=1)
+    size = sq_a[:, None] + sq_b[None, :]
+    d2 = size - 2 * (a @ b.T)
+    near = np.flatnonzero(d2 <= 1e-4 * size)
+    for k in range(0, len(near), 65_536):
+        i, j = np.divmod(near[k : k + 65_536], len(b))
+        d2.flat[near[k : k + 65_536]] = ((a[i] - b[j]) ** 2).sum(axis=1)
+    return np.sqrt(np.maximum(d2, 0.0))
+
+
+def _nearest(w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k greatest values of each row, by falling value, then by column."""
+    n = min(k, w.shape[1])
+    least = np.partition(w, w.shape[1] - n, axis=1)[:, w.shape[1] - n]
+    row, col = np.nonzero(w >= least[:, None])  # with all that equal the k-th
+    order = np.lexsort((col, -w[row, col], row))
+    row, col = row[order], col[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[place < n], col[place < n]
+
+
+def _dealt(base: DataFrame, queries: DataFrame, vec: str, block_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides by blocks: each pair of blocks meets in one task."""
+    n, width = base.agg(F.count("*"), F.coalesce(F.max(F.size(vec)), F.lit(1))).first()
+    rows = max(1, block_bytes // (8 * max(1, width)))
+    nb = max(1, -(-n // rows))
+    nq = max(1, -(-queries.count() // rows), -(-base.sparkSession.sparkContext.defaultParallelism // nb))
     deal = lambda df, n: F.pmod(F.xxhash64(F.col("id")), F.lit(n)).cast("int")
     q = queries.select("id", F.col(vec).alias("v")).withColumn("qb", deal(queries, nq)).withColumn("bb", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))))
     b = base.select("id", F.col(vec).alias("v")).withColumn("bb", deal(base, nb)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
     return q, b
 
 
-def top_k(base: DataFrame, k: int, queries: DataFrame | None = None, metric: str = "cosine", include_self: bool = True, vec: str = "v", block_rows: int = BLOCK_ROWS) -> DataFrame:
+def top_k(base: DataFrame, k: int, queries: DataFrame | None = None, metric: str = "cosine", include_self: bool = True, vec: str = "v", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(src, dst, w): the k rows of ``base`` nearest to each query row; w is the cosine, or minus the distance.
 
     base and queries: id bigint and a vector column, without nulls; queries default to base. Equal values fall to the
-    smaller dst. With include_self false a row isn't its own neighbour.
+    smaller dst. With include_self false a row isn't its own neighbour. Every pair of rows is compared, which is meant
+    for rounds of up to some 100,000 rows; both sides are dealt to blocks, so no task holds a side.
     """
-    q, b = _dealt(base, base if queries is None else queries, vec, block_rows)
+    q, b = _dealt(base, base if queries is None else queries, vec, block_bytes)
 
     def block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"src": [], "dst": [], "w": []}).astype({"src": "int64", "dst": "int64", "w": "float64"})
-        right = right.sort_values("id", kind="stable")  # a stable sort by value then leaves ties to the smaller id
-        ids = right["id"].to_numpy()
-        w = _pair_values(_matrix(left["v"]), _matrix(right["v"]), metric)
-        if not include_self:
-            w[left["id"].to_numpy()[:, None] == ids[None, :]] = -np.inf
-        n = min(k, w.shape[1])
-        order = np.argsort(-w, axis=1, kind="stable")[:, :n]
-        out = pd.DataFrame({"src": np.repeat(left["id"].to_numpy(), n), "dst": ids[order].ravel(), "w": np.take_along_axis(w, order, axis=1).ravel()})
-        return out[np.isfinite(out["w"])]
+        right = right.sort_values("id", kind="stable")  # ties then fall to the smaller id
+        ids, own = right["id"].to_numpy(), left["id"].to_numpy()
+        x, y = _rows(_matrix(left["v"]), metric), _rows(_matrix(right["v"]), metric)
+        sq, out = (y * y).sum(axis=1), []
+        for lo in range(0, len(x), STRIP):
+            some = x[lo : lo + STRIP]
+            w = np.clip(some @ y.T, -1.0, 1.0) if metric == "cosine" else -_distances(some, y, sq)
+            if not include_self:
+                w[own[lo : lo + STRIP, None] == ids[None, :]] = -np.inf
+            row, col = _nearest(w, k)
+            out.append(pd.DataFrame({"src": own[lo + row], "dst": ids[col], "w": w[row, col]}))
+        found = pd.concat(out)
+        return found[np.isfinite(found["w"])]
 
     found = q.groupBy("qb", "bb").cogroup(b.groupBy("qb", "bb")).applyInPandas(block, "src bigint, dst bigint, w double")
     rank = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("w"), "dst"))
     return found.withColumn("_r", rank).where(F.col("_r") <= k).drop("_r")
 
 
-def distance_median(df: DataFrame, vec: str = "v", bins: int = 4_096, block_rows: int = BLOCK_ROWS) -> float | None:
-    """The exact median of all non-zero Euclidean distances between two rows (each pair counted twice).
+#: Bins that distances are counted in, and different distances that are read back at most.
+BINS, READ_BACK = 4_096, 100_000
+
 
-    One pass counts distances in bins, a second brings only the values of the bins around the middle; the pairs
-    themselves never leave their tasks. None if all rows are equal or there are fewer than two.
+def distance_median(df: DataFrame, vec: str = "v", bins: int = BINS, read_back: int = READ_BACK, block_bytes: int = BLOCK_BYTES) -> float | None:
+    """The median of all non-zero Euclidean distances between two rows (each pair counted twice), to double precision.
+
+    Distances are counted in bins, then again in bins of those around the middle, until these hold at most
+    ``read_back`` values, or equal ones only; those come to the driver, counted by value. The pairs themselves never
+    leave their tasks. None if all rows are equal or there are fewer than two.
     """
-    q, b = _dealt(df, df, vec, block_rows)
-    spread = df.select(F.posexplode(vec).alias("i", "x")).groupBy("i").agg((F.max("x") - F.min("x")).alias("r")).agg(F.sqrt(F.sum(F.col("r") * F.col("r")))).first()[0]
-    if not spread:
+    rows = materialize(df.select("id", F.col(vec).alias("v")), "median_rows")
+    q, b = _dealt(rows, rows, "v", block_bytes)
+    span = rows.select(F.posexplode("v").alias("i", "x")).groupBy("i").agg((F.max("x") - F.min("x")).alias("r")).agg(F.sqrt(F.sum(F.col("r") * F.col("r")))).first()[0]
+    if not span:
         return None
-    step = float(spread) / bins
+    low, high = 0.0, float(span) * (1 + 1e-6)
+
+    def distances(left: pd.DataFrame, right: pd.DataFrame) -> Iterator[np.ndarray]:
+        if len(left) and len(right):  # in the order of ids, so that every pass gets the same last digits
+            x, y = (_matrix(side.sort_values("id", kind="stable")["v"]) for side in (left, right))
+            sq = (y * y).sum(axis=1)
+            for lo in range(0, len(x), STRIP):
+                d = _distances(x[lo : lo + STRIP], y, sq).ravel()
+                yield d[d > 0]
 
     def counts(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        d = -_pair_values(_matrix(left["v"]), _matrix(right["v"]), "euclidean").ravel() if len(left) and len(right) else np.zeros(0)
-        d = d[d > 0]
-        at, n = np.unique(np.minimum((d / step).astype(np.int64), bins - 1), return_counts=True)
-        return pd.DataFrame({"bin": at, "n": n})
-
-    pairs = lambda f, schema: q.groupBy("qb", "bb").cogroup(b.groupBy("qb", "bb")).applyInPandas(f, schema)
-    table = sorted((r["bin"], r["n"]) for r in pairs(counts, "bin bigint, n bigint").groupBy("bin").agg(F.sum("n").alias("n")).collect())  # bins rows
-    size = sum(n for _, n in table)
-    if not size:
-        return None
-    wanted, before, seen, middle = [], 0, 0, ((size - 1) // 2, size // 2)
-    for at, n in table:
-        if any(seen <= m < seen + n for m in middle):
-            wanted.append(at)
-            before = before if len(wanted) > 1 else seen
-        seen += n
+        n = np.zeros(bins + 2, np.int64)  # the first: below the bins, the last: beyond them
+        for d in distances(left, right):
+            at = np.clip(((d - low) * (bins / (high - low))).astype(np.int64), 0, bins - 1) + 1
+            at[d < low], at[d >= high] = 0, bins + 1
+            n += np.bincount(at, minlength=bins + 2)
+        some = np.flatnonzero(n)
+        return pd.DataFrame({"bin": some, "n": n[some]})
 
     def values(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        d = -_pair_values(_matrix(left["v"]), _matrix(right["v"]), "euclidean").ravel() if len(left) and len(right) else np.zeros(0)
-        d = d[d > 0]
-        return pd.DataFrame({"d": d[np.isin(np.minimum((d / step).astype(np.int64), bins - 1), wanted)]})
-
-    ranked = pairs(values, "d double").groupBy("d").count()
-    w = Window.orderBy("d").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    at = lambda m: (F.col("upto") > m) & (F.col("upto") - F.col("count") <= m)
-    rows = ranked.withColumn("upto", F.sum("count").over(w) + before).where(at(middle[0]) | at(middle[1])).orderBy("d").collect()  # one or two
-    return (rows[0]["d"] + rows[-1]["d"]) / 2
+        kept, below = [np.zeros(0)], 0
+        for d in distances(left, right):
+            below += int((d < low).sum())
+            kept.append(d[(d >= low) & (d < high)])
+        d, n = np.unique(np.concatenate(kept), return_counts=True)
+        return pd.DataFrame({"d": np.append(-1.0, d), "n": np.append(below, n)})
+
+    def counted(f, key: str, kind: str) -> list[tuple[float, int]]:
+        out = q.groupBy("qb", "bb").cogroup(b.groupBy("qb", "bb")).applyInPandas(f, f"{key} {kind}, n bigint").groupBy(key).agg(F.sum("n").alias("n"))
+        return sorted((r[key], r["n"]) for r in out.collect())
+
+    while True:
+        table = counted(counts, "bin", "bigint")
+        size = sum(n for _, n in table)
+        if not size:
+            return None
+        middle, seen, wanted, inside = ((size - 1) // 2, size // 2), 0, [], 0
+        for at, n in table:
+            if any(seen <= m < seen + n for m in middle):
+                wanted.append(at - 1)
+                inside += n
+            seen += n
+        step = (high - low) / bins
+        low, high = low + (wanted[0] - 1e-3) * step, low + (wanted[-1] + 1 + 1e-3) * step
+        if inside <= read_back or high - low <= 1e-9 * span:
+            break
+    seen, found = 0, []
+    for d, n in counted(values, "d", "double"):
+        found += [d for m in middle if seen <= m < seen + n]
+        seen += n
+    return (found[0] + found[-1]) / 2
 
 
 def knn_purity(df: DataFrame, k: int = 10, vec: str = "v", label: str = "label") -> DataFrame:

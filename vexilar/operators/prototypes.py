@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from vexilar.functions.vectors import clip, distance, dot, mean_by, scale, unit
+from vexilar.functions.vectors import NORM_EPS, clip, distance, dot, mean_by, scale, unit
 from vexilar.operators.cluster import k_means
+from vexilar.operators.splits import seeded_order
 from vexilar.session import materialize
 
 #: Prototypes that are broadcast at most; there are a few for each class.
@@ -83,11 +84,34 @@ def _with_prototypes(df: DataFrame, protos: DataFrame) -> DataFrame:
 
 
 def predict(df: DataFrame, protos: DataFrame, old_classes: int = 0, bonus: float = 0.0) -> DataFrame:
-    """(id, pred, sim): the prototype with the greatest cosine; old classes get a bonus; ties fall to the smaller label."""
-    sim = dot(F.col("v"), F.col("p_v")) + F.when(F.col("p_label") < old_classes, bonus).otherwise(0.0)
-    rows = _with_prototypes(unit(df.select("id", "v"), "v"), protos).select("id", "p_label", sim.alias("sim"))
-    best = rows.groupBy("id").agg(F.max(F.struct("sim", (-F.col("p_label")).alias("neg"))).alias("b"))
-    return best.select("id", (-F.col("b.neg")).alias("pred"), F.col("b.sim").alias("sim"))
+    """(id, pred, sim): the prototype with the greatest cosine; old classes get a bonus; ties fall to the smaller label.
+
+    One row for each of ``df``, whatever its id. The prototypes go to the workers as one matrix after a check of their
+    number, a batch of rows costs one product, and nothing is shuffled. A null vector has null pred and sim.
+    """
+    n = protos.count()
+    if n > BROADCAST_PROTOTYPES:
+        raise ValueError(f"{n} prototypes are too many to compare every row with; use operators.knn.top_k with k = 1")
+    known = sorted((r["label"], tuple(r["v"])) for r in protos.select("label", "v").collect())
+    if not known:
+        return df.select("id", F.lit(None).cast("bigint").alias("pred"), F.lit(None).cast("double").alias("sim"))
+    labels = np.array([label for label, _ in known])
+    sent = df.sparkSession.sparkContext.broadcast((labels, np.array([v for _, v in known]).T, np.where(labels < old_classes, bonus, 0.0)))
+
+    @F.pandas_udf("pred bigint, sim double")
+    def nearest(v: pd.Series) -> pd.DataFrame:
+        labels, matrix, extra = sent.value
+        out = pd.DataFrame({"pred": pd.Series(pd.NA, v.index, "Int64"), "sim": pd.Series(np.nan, v.index)})
+        at = v.notna().to_numpy()
+        if at.any():
+            x = np.stack(v[at].to_numpy()).astype(np.float64)
+            sims = x / (np.linalg.norm(x, axis=1, keepdims=True) + NORM_EPS) @ matrix + extra
+            best = sims.argmax(axis=1)
+            out.loc[at, "pred"], out.loc[at, "sim"] = labels[best], sims[np.arange(len(best)), best]
+        return out
+
+    found = df.select("id", nearest("v").alias("_b"))
+    return found.select("id", F.col("_b.pred").alias("pred"), F.when(F.col("_b.pred").isNotNull(), F.col("_b.sim")).alias("sim"))
 
 
 def distance_scores(df: DataFrame, protos: DataFrame) -> DataFrame:
@@ -113,7 +137,7 @@ def nearest_to_mean(df: DataFrame, k: int = 20) -> DataFrame:
 def replay_memory(old: DataFrame, new: DataFrame, per_class: int = 20, seed: int = 7, round_no: int = 0) -> DataFrame:
     """At most ``per_class`` rows a class, drawn anew from memory and new rows by a seeded hash of the id."""
     every = old.unionByName(new)
-    r = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("id", F.lit(seed + round_no)), "id"))
+    r = F.row_number().over(Window.partitionBy("label").orderBy(*seeded_order("id", seed + round_no)))
     return every.withColumn("_r", r).where(F.col("_r") <= per_class).drop("_r")
 
 
@@ -162,6 +186,8 @@ def cluster_geometry(df: DataFrame, known: DataFrame | None = None) -> DataFrame
     """(cluster, n, radius, separation): mean distance to the cluster's mean and distance of the nearest other mean."""
     means = mean_by(df.where("cluster <> -1"), ["cluster"], "v", "m")
     radius = df.join(means, "cluster").groupBy("cluster").agg(F.avg(distance(F.col("v"), F.col("m"))).alias("radius"))
+    if means.count() > BROADCAST_PROTOTYPES:
+        raise ValueError("too many clusters to compare each with each")
     other = means.select(F.col("cluster").alias("c2"), F.col("m").alias("m2"))
     apart = means.crossJoin(F.broadcast(other)).where("cluster <> c2").groupBy("cluster").agg(F.min(distance(F.col("m"), F.col("m2"))).alias("separation"))  # clusters by clusters
     return means.select("cluster", "n").join(radius, "cluster").join(apart, "cluster", "left")

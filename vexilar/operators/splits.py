@@ -1,4 +1,4 @@
-"""Leakage-safe splits, seeded samples and audits. Random choices are by a seeded hash of the id: the same at any size of cluster."""
+"""Leakage-safe splits, seeded samples and audits. Random choices are by a seeded hash of the id: the same at any size of cluster, and in SQL."""
 
 from __future__ import annotations
 
@@ -6,12 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from vexilar.operators.prefix import running
+
 
 def _place(keys: list[str], order: list[str | Column]) -> tuple[Column, Column]:
     w = Window.partitionBy(*keys)
     return F.row_number().over(w.orderBy(*order)), F.count(F.lit(1)).over(w)
 
 
+def seeded_order(id_col: str, seed: int) -> list[Column]:
+    """A random order of ids that depends on them and the seed alone."""
+    return [F.md5(F.concat_ws(":", F.lit(seed), F.col(id_col).cast("string")).cast("binary")), F.col(id_col)]
+
+
 def order_block(df: DataFrame, keys: list[str], order: list[str], share: float = 0.7, rounding: str = "floor") -> DataFrame:
     """Adds split: the first ``share`` of each group in stored order is train, the rest eval.
 
@@ -38,25 +45,25 @@ def blocks(df: DataFrame, keys: list[str], order: list[str], shares: dict[str, f
 
 def seeded(df: DataFrame, keys: list[str], id_col: str, share: float = 0.7, seed: int = 7) -> DataFrame:
     """Adds split: a seeded random share of each group is train."""
-    rn, n = _place(keys, [F.xxhash64(F.col(id_col), F.lit(seed)), F.col(id_col)])
+    rn, n = _place(keys, seeded_order(id_col, seed))
     return df.withColumn("split", F.when(rn <= F.floor(n * share), "train").otherwise("eval"))
 
 
 def stratified(df: DataFrame, label: str, id_col: str, share: float = 1 / 7, seed: int = 7, group: str | None = None) -> DataFrame:
     """Adds split: max(1, round(share * n)) rows (or whole groups) of each class are val, n - 1 at most."""
     if group is None:
-        rn, n = _place([label], [F.xxhash64(F.col(id_col), F.lit(seed)), F.col(id_col)])
+        rn, n = _place([label], seeded_order(id_col, seed))
         cut = F.least(F.greatest(F.bround(n * share), F.lit(1)), n - 1)
         return df.withColumn("split", F.when(rn <= cut, "val").otherwise("train"))
     units = df.select(label, group).distinct()
-    rn, n = _place([label], [F.xxhash64(F.col(group), F.lit(seed)), F.col(group)])
+    rn, n = _place([label], seeded_order(group, seed))
     cut = F.least(F.greatest(F.bround(n * share), F.lit(1)), n - 1)
     return df.join(units.withColumn("split", F.when(rn <= cut, "val").otherwise("train")), [label, group])
 
 
 def per_class(df: DataFrame, label: str, id_col: str, k: int, seed: int = 7) -> DataFrame:
     """At most k seeded rows a class."""
-    rn, _ = _place([label], [F.xxhash64(F.col(id_col), F.lit(seed)), F.col(id_col)])
+    rn, _ = _place([label], seeded_order(id_col, seed))
     return df.withColumn("_r", rn).where(F.col("_r") <= k).drop("_r")
 
 
@@ -68,12 +75,12 @@ def head(df: DataFrame, keys: list[str], order: list[str | Column], k: int) -> D
 
 def choose_classes(df: DataFrame, label: str, k: int, seed: int = 7) -> DataFrame:
     """(label): k classes by seeded hash, in order."""
-    return df.select(label).distinct().orderBy(F.xxhash64(F.col(label), F.lit(seed)), label).limit(k).orderBy(label)
+    return df.select(label).distinct().orderBy(*seeded_order(label, seed)).limit(k).orderBy(label)
 
 
 def dense_labels(df: DataFrame, label: str, out: str = "dense") -> DataFrame:
-    """Adds labels numbered from 0 in order; only the distinct labels are ranked."""
-    ranks = df.select(label).distinct().withColumn(out, F.dense_rank().over(Window.orderBy(label)) - 1)
+    """Adds labels numbered from 0 in order; only the distinct labels are ranked, in ranges."""
+    ranks = running(df.select(label).distinct(), [], [label], _rank=F.lit(1)).select(label, (F.col("_rank") - 1).alias(out))
     return df.join(F.broadcast(ranks) if ranks.count() <= 1_000_000 else ranks, label)
 
 
