@@ -14,7 +14,8 @@ from pyspark.sql.window import Window
 
 from vexilar.functions import registry, rf, vectors
 from vexilar.operators import cluster, components, consolidate, graph, knn, metrics, prototypes, recordings, reports, splits
-from vexilar.plans import baselines
+from vexilar.operators.prefix import running
+from vexilar.plans import baselines, signal_sql
 from vexilar.session import materialize, table
 from vexilar.streaming import rounds
 
@@ -334,13 +335,23 @@ def ari(spark, sf_dir):
     return metrics.ari(materialize(metrics.contingency(_clusters(spark, sf_dir)), "table")).select(_r("ari").alias("ari"))
 
 
-@query()
+def _match_sql() -> str:
+    """The best one-to-one match of clusters 0 to 7 with labels, cluster by cluster, for every set of labels used."""
+    first = "g0 AS (SELECT 0 AS used, 0::HUGEINT AS total, []::BIGINT[] AS mapped)"
+    step = lambda k: (
+        f"g{k + 1} AS (SELECT used, max(total) AS total, arg_max(mapped, total) AS mapped FROM (SELECT used, total, list_append(mapped, NULL) AS mapped FROM g{k} "
+        f"UNION ALL SELECT used | (1 << label), total + n, list_append(mapped, label) FROM g{k} JOIN t ON cluster = {k} AND used & (1 << label) = 0) GROUP BY used)"
+    )
+    return ", ".join([f"{CL}, t AS (SELECT cluster, label, count(*) AS n FROM c WHERE cluster <> -1 GROUP BY ALL)", first, *map(step, range(8))])
+
+
+@query(f"WITH {_match_sql()} SELECT {R('max(total) / (SELECT count(*) FROM c)')} AS accuracy FROM g8")
 def hungarian_accuracy(spark, sf_dir):
     t = materialize(metrics.contingency(_clusters(spark, sf_dir)), "table")
-    return spark.createDataFrame([(metrics.hungarian_accuracy(t),)], "accuracy double")
+    return spark.createDataFrame([(metrics.hungarian_accuracy(t),)], "accuracy double").select(_r("accuracy").alias("accuracy"))
 
 
-@query()
+@query(f"WITH {_match_sql()}, best AS (SELECT arg_max(mapped, total) AS mapped FROM g8) SELECT cluster, coalesce(mapped[cluster + 1], -(1000000 + cluster)) AS mapped FROM (SELECT DISTINCT cluster FROM t), best")
 def posthoc_alignment(spark, sf_dir):
     return metrics.posthoc_map(materialize(metrics.contingency(_clusters(spark, sf_dir)), "table"))
 
@@ -393,13 +404,16 @@ def adaptive_split(spark, sf_dir):
     return consolidate.adaptive_split(_three_views(spark, sf_dir).withColumn("cluster", F.when(F.col("cluster") < 4, F.lit(0)).otherwise(F.col("cluster")).cast("bigint")), quality=0.0).select("id", "cluster")
 
 
-@query(f"WITH RECURSIVE {E}, g AS (SELECT id AS a, (id * 7 + 3) % 1000 AS b FROM e WHERE id % 3 = 0), h AS (SELECT a, b FROM g WHERE a <> b UNION SELECT b, a FROM g WHERE a <> b), r AS (SELECT a, b FROM h UNION SELECT r.a, h.b FROM r JOIN h ON r.b = h.a) SELECT a AS node, min(b) AS component FROM (SELECT a, b FROM r UNION SELECT a, a FROM r) GROUP BY a")
+CLOSURE = "h AS (SELECT a, b FROM g UNION SELECT b, a FROM g), r AS (SELECT a, b FROM h UNION SELECT r.a, h.b FROM r JOIN h ON r.b = h.a)"
+
+
+@query(f"WITH RECURSIVE {E}, {_near('e', 'n', 1, COS, False)}, g AS (SELECT src AS a, dst AS b FROM n), {CLOSURE} SELECT a AS node, min(b) AS component FROM r GROUP BY a")
 def merged_components(spark, sf_dir):
-    e = _vectors(spark, sf_dir).where("id % 3 = 0").select(F.col("id").alias("src"), ((F.col("id") * 7 + 3) % 1000).alias("dst"))
-    return components.connected_components(e)
+    """Every row's component over the links to nearest rows."""
+    return components.connected_components(knn.top_k(_vectors(spark, sf_dir).select("id", "v"), 1, include_self=False).select("src", "dst"))
 
 
-@query()
+@query(f"WITH RECURSIVE {E}, {_near('e', 'n', 5, COS, False)}, g AS (SELECT x.src AS a, x.dst AS b FROM n x JOIN n y ON x.src = y.dst AND x.dst = y.src), {CLOSURE} SELECT id AS node, least(id, coalesce(min(b), id)) AS component FROM e LEFT JOIN r ON a = id GROUP BY id")
 def neighbour_components(spark, sf_dir):
     """Every row's component over mutual links among its five nearest; rows without one are their own."""
     df = _vectors(spark, sf_dir).select("id", "v")
@@ -476,10 +490,14 @@ def rf_balance_features(spark, sf_dir):
     return rf.balance_expressions(_iq(spark, sf_dir)).select("id", *[_r(n).alias(n) for n in rf.VIEWS["iq_imbalance_9d"]])
 
 
-@query()
+ALL_FEATURES = [*rf.VIEWS["all48_extended"], *rf.VIEWS["all37d"]]
+
+
+@query(f"WITH {IQ}, {signal_sql.STEPS} {signal_sql.features(ALL_FEATURES)}")
 def rf_all_views(spark, sf_dir):
-    df = _iq(spark, sf_dir)
-    return df.select("id", *[registry.feature(v)("i", "q").alias(v) for v in ("all24_base", "all48_extended", "all37d")]).select("id", *[F.transform(v, lambda x: F.round(x, 6)).alias(v) for v in ("all24_base", "all48_extended", "all37d")])
+    df, views = _iq(spark, sf_dir), ("all48_extended", "all37d")
+    found = df.select("id", *[registry.feature(v)("i", "q").alias(v) for v in views])
+    return found.select("id", *[_r(F.get(v, F.lit(k)), 5).alias(n) for v in views for k, n in enumerate(rf.VIEWS[v])])
 
 
 @query(f"WITH {IQ}, p AS (SELECT id, i, q, sqrt(greatest(list_avg(list_transform(range(1, 33), lambda k: i[k] * i[k] + q[k] * q[k])), 1e-12)) AS e FROM r) SELECT id, {R('list_sum(i) / e')} AS i_sum, {R('list_sum(q) / e')} AS q_sum FROM p")
@@ -515,21 +533,34 @@ def block_split_60_10_30(spark, sf_dir):
     return splits.blocks(df, ["user_id"], ["ts", "event_id"], {"train": 0.6, "val": 0.1, "eval": 0.3}).select("event_id", "split")
 
 
-@query()
+DRAWN = lambda i, seed=7: f"md5('{seed}:' || CAST({i} AS VARCHAR)), {i}"
+
+
+@query(f"SELECT event_id, event_type, CASE WHEN row_number() OVER (PARTITION BY event_type ORDER BY {DRAWN('event_id')}) <= floor(0.7 * count(*) OVER (PARTITION BY event_type)) THEN 'train' ELSE 'eval' END AS split FROM events")
 def seeded_split(spark, sf_dir):
     return splits.seeded(table(spark, sf_dir, "events").select("event_id", "event_type"), ["event_type"], "event_id")
 
 
-@query(f"WITH {E}, g AS (SELECT label, count(*) AS n FROM e GROUP BY label) SELECT label, least(greatest(round_even(n / 7, 0), 1), n - 1) AS val_rows, n AS all_rows FROM g")
+@query(f"WITH {E}, g AS (SELECT id, label, row_number() OVER (PARTITION BY label ORDER BY {DRAWN('id')}) AS r, count(*) OVER (PARTITION BY label) AS n FROM e) SELECT id, label, CASE WHEN r <= least(greatest(round_even(n / 7, 0), 1), n - 1) THEN 'val' ELSE 'train' END AS split FROM g")
 def stratified_split(spark, sf_dir):
-    df = splits.stratified(_vectors(spark, sf_dir).select("id", "label"), "label", "id")
-    return df.groupBy("label").agg(F.count_if(F.col("split") == "val").cast("double").alias("val_rows"), F.count("*").alias("all_rows"))
+    return splits.stratified(_vectors(spark, sf_dir).select("id", "label"), "label", "id")
+
 
+@query(f"WITH g AS (SELECT CAST(o_orderkey AS BIGINT) AS id, o_custkey, o_orderpriority, round(0.7 * count(*) OVER (PARTITION BY o_custkey)) FROM orders), h AS (SELECT o_custkey, id, row_number() OVER w AS r, count(*) OVER (PARTITION BY o_custkey) AS n FROM g WINDOW w AS (PARTITION BY o_custkey ORDER BY id)) SELECT id, CASE WHEN r <= least(greatest(round_even(0.7 * n, 0), 1), n - 1) THEN 'train' ELSE 'eval' END AS split FROM h")
+def rounded_block_split(spark, sf_dir):
+    df = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("bigint").alias("id"), "o_custkey")
+    return splits.order_block(df, ["o_custkey"], ["id"], rounding="round").select("id", "split")
 
-@query(f"WITH {E}, g AS (SELECT label, count(*) AS n FROM e GROUP BY label) SELECT label, least(n, 20) AS n FROM g")
-def replay_memory_size(spark, sf_dir):
+
+@query(f"WITH l AS (SELECT DISTINCT o_custkey FROM orders) SELECT CAST(o_custkey AS BIGINT) AS o_custkey FROM l ORDER BY {DRAWN('o_custkey')} LIMIT 40")
+def chosen_classes(spark, sf_dir):
+    return splits.choose_classes(table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("bigint").alias("o_custkey")), "o_custkey", 40)
+
+
+@query(f"WITH {E}, g AS (SELECT id, label, row_number() OVER (PARTITION BY label ORDER BY {DRAWN('id')}) AS r FROM e) SELECT id, label FROM g WHERE r <= 20")
+def replay_memory_rows(spark, sf_dir):
     df = _vectors(spark, sf_dir).select("id", "label")
-    return prototypes.replay_memory(df.where("id % 2 = 0"), df.where("id % 2 = 1")).groupBy("label").agg(F.count("*").alias("n"))
+    return prototypes.replay_memory(df.where("id % 2 = 0"), df.where("id % 2 = 1"))
 
 
 @query("WITH d AS (SELECT o_orderstatus, o_orderkey, o_totalprice FROM orders) SELECT o_orderstatus, o_orderkey FROM d QUALIFY row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice DESC, o_orderkey) <= 3")
@@ -617,10 +648,10 @@ def left_join_summary(spark, sf_dir):
     return reports.per_round_summary(inc, clu).select("method", "stage", "o_orderkey", "coverage")
 
 
-@query("SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 0 WHEN '2-HIGH' THEN 1 ELSE 99 END AS place FROM orders")
+@query("WITH p AS (SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 0 WHEN '2-HIGH' THEN 1 ELSE 99 END AS place FROM orders) SELECT o_orderkey, place, row_number() OVER (ORDER BY place, o_orderkey) AS position FROM p")
 def custom_sort(spark, sf_dir):
     df = table(spark, sf_dir, "orders").select("o_orderkey", reports.mapped(F.col("o_orderpriority"), {"1-URGENT": 0, "2-HIGH": 1}, 99).alias("place"))
-    return df.orderBy("place", "o_orderkey")
+    return running(df, [], ["place", "o_orderkey"], position=F.lit(1).cast("bigint"))
 
 
 @query(f"SELECT event_id, {R('TRY_CAST(CASE WHEN event_id % 3 = 0 THEN CAST(event_id AS VARCHAR) WHEN event_id % 3 = 1 THEN ' + chr(39) + '-' + chr(39) + ' ELSE ' + chr(39) + '0.5' + chr(39) + ' END AS DOUBLE)')} AS value FROM events")
@@ -669,10 +700,10 @@ def per_user_first_diff(spark, sf_dir):
 
 @query("WITH c AS (SELECT event_type, event_id, row_number() OVER w AS r, sum(value) OVER w / sum(value) OVER (PARTITION BY event_type) AS share FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)) SELECT event_type, min(r) AS rolloff FROM c WHERE share >= 0.9 GROUP BY event_type")
 def cumulative_rolloff(spark, sf_dir):
-    w = Window.partitionBy("event_type").orderBy("ts", "event_id")
-    total = Window.partitionBy("event_type")
-    c = table(spark, sf_dir, "events").select("event_type", F.row_number().over(w).alias("r"), (F.sum("value").over(w) / F.sum("value").over(total)).alias("share"))
-    return c.where("share >= 0.9").groupBy("event_type").agg(F.min("r").cast("bigint").alias("rolloff"))
+    df = table(spark, sf_dir, "events").select("event_type", "event_id", "ts", "value")
+    c = running(df, ["event_type"], ["ts", "event_id"], r=F.lit(1).cast("bigint"), upto=F.col("value"))
+    total = df.groupBy("event_type").agg(F.sum("value").alias("total"))  # a row a type
+    return c.join(total, "event_type").where(F.col("upto") / F.col("total") >= 0.9).groupBy("event_type").agg(F.min("r").alias("rolloff"))
 
 
 @query(f"SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, {R('sum(value)', 4)} AS total FROM events GROUP BY ALL")
@@ -680,6 +711,6 @@ def window_tumbling(spark, sf_dir):
     return rounds.windowed_counts(table(spark, sf_dir, "events")).select("start", "event_type", "n", _r("total", 4).alias("total"))
 
 
-@query()
+@query("WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), n AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS \"end\", count(*) AS n FROM n GROUP BY user_id, k")
 def user_sessions(spark, sf_dir):
     return rounds.sessions(table(spark, sf_dir, "events"))
