@@ -23,6 +23,8 @@ CONTRACTIONS = ("'re", "'ve", "'ll")  # those with a beginning that is cut other
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces whose tables a worker keeps at most; then it starts afresh.
 KEPT_PIECES = 600_000
+#: Bytes of a piece up to which every beginning of a last token is tried.
+SHORT = 24
 #: Longer pieces are counted without being kept.
 LONGEST_KEPT = 64
 
@@ -49,11 +51,10 @@ class PrefixCounter:
         for a, b in self.ranks:
             self.made.setdefault(a + b, (a, b))
         self.ids = {t: i for t, i in self.ids.items() if len(t) == 1 or t in self.made and self._apart(*self.made[t], self.ranks[self.made[t]])}
-        self.ending: dict[bytes, list[int]] = {}  # lengths of tokens, longest first, by their last two bytes
-        for t in sorted(self.ids, key=len, reverse=True):
-            found = self.ending.setdefault(t[-2:], [])
-            if len(t) > 1 and (not found or found[-1] != len(t)):
-                found.append(len(t))
+        lengths: dict[bytes, set[int]] = {}
+        for t in self.ids:
+            lengths.setdefault(t[-2:], {1}).add(len(t))
+        self.ending = {two: tuple(sorted(found, reverse=True)) for two, found in lengths.items()}  # longest first
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         self.cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.pieces, self.blanks = regex.compile(PIECES), regex.compile(r"\s+")
@@ -107,21 +108,39 @@ class PrefixCounter:
 
     def _table(self, data: bytes) -> list[int]:
         """counts[i]: tokens of data[:i]."""
-        n, ids, beside, ending = len(data), self.ids, self._beside, self.ending
+        if len(data) > SHORT:
+            return self._long_table(data)
+        n, ids, beside = len(data), self.ids, self._beside
         counts, last = [0] * (n + 1), [b""] * (n + 1)
         for i in range(1, n + 1):
-            for size in ending.get(data[max(0, i - 2) : i], ()):
+            token = data[:i]
+            if token in ids:  # nothing stands before it
+                counts[i], last[i] = 1, token
+                continue
+            for start in range(1, i):
+                token = data[start:i]
+                if token in ids and beside(last[start], token):
+                    counts[i], last[i] = counts[start] + 1, token
+                    break
+            else:
+                raise ValueError(f"no token ends at byte {i} of a piece; the vocabulary lacks single bytes")
+        return counts
+
+    def _long_table(self, data: bytes) -> list[int]:
+        """``_table`` with those lengths of a last token only that tokens with the same last two bytes have."""
+        n, ids, beside, ending = len(data), self.ids, self._beside, self.ending
+        counts, last, first = [0] * (n + 1), [b""] * (n + 1), (1,)
+        for i in range(1, n + 1):
+            for size in ending.get(data[i - 2 : i], first) if i > 1 else first:
                 start = i - size
-                if start >= 0:
-                    token = data[start:i]
-                    if token in ids and beside(last[start], token):
-                        counts[i], last[i] = counts[start] + 1, token
-                        break
+                if start < 0:
+                    continue
+                token = data[start:i]
+                if token in ids and beside(last[start], token):
+                    counts[i], last[i] = counts[start] + 1, token
+                    break
             else:
-                token = data[i - 1 : i]
-                if token not in ids or not beside(last[i - 1], token):
-                    raise ValueError(f"no token ends at byte {i} of a piece; the vocabulary lacks single bytes")
-                counts[i], last[i] = counts[i - 1] + 1, token
+                raise ValueError(f"no token ends at byte {i} of a piece; the vocabulary lacks single bytes")
         return counts
 
     def table(self, piece: str) -> list[int]:
