@@ -16,7 +16,8 @@ LONG = " ".join(f"w{i % 97}" for i in range(5000))
 ODD = [
     (1, None), (2, ""), (3, "   \n\t "), (4, "under the MIT license under the mit license"), (4, "under the MIT license under the mit license"), (None, "Apache License, Version 2.0"),
     (5, "CC BY-NC 4.0; cc by nc"), (6, "a b c a b c a b c\na b c\na b c"), (7, LONG), (8, "É é ÀÉ under THE mit License é"), (9, "GNU General Public License version 3"), (10, "x"),
-    (11, "# * $ % & | < > \n # * $"), (12, "one\n\none\n one\none"), (13, "alpha beta gamma delta " * 30), (14, "licensed under the gnu general public license"), (15, "日本 語 words 日本 語 words 日本 語 words"),
+    (11, "# * $ % & | < > \n # * $"), (12, "one\n\none\n one\none"), (13, "alpha beta gamma delta " * 30), (14, "licensed under the gnu general public license"), (16, "GNU General Public License, of course"), (17, "Source and binary forms"), (18, "public domain"), (19, "x GNU general public license"),
+    (15, "日本 語 words 日本 語 words 日本 語 words"),
 ]
 BENCH = [(1, "alpha beta gamma delta alpha beta"), (2, LONG[:2000]), (3, None), (4, ""), (None, "w0 w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w11 w12 w13 w14"), (4, "x"), (5, "under the mit")]
 

@@ -99,7 +99,7 @@ def scan_licenses(
 
     n_base counts the places of base phrases, first_word and last_word are their least and greatest start (null:
     none). labels adds those of the method's templates whose key phrase stands in place and of whose words at least
-    ``min_cover`` do. score is the greatest share of a matched template's words that stand in place, 0 if none.
+    ``min_cover`` do; words that the text would need before its beginning or after its end don't stand. score is the greatest share of a matched template's words that stand in place, 0 if none.
     A null or empty text has no words and no labels; repeated rows each get a row, ids may be null, other columns are
     ignored, and an empty table gives none. At most 63 labels.
     """
@@ -115,12 +115,12 @@ def scan_licenses(
     rows = words.select("_row", "_id", "_w", F.explode(at).alias("_p")).withColumn("_word", F.when(F.col("_p") >= 0, F.get("_w", F.col("_p"))))
     rows = rows.join(F.broadcast(postings.withColumnRenamed("word", "_a")), F.col("_word") == F.col("_a"), "left")
     start = F.col("_p") - F.col("word_at")
-    near = (start >= 0) & (F.get("_w", start + F.col("word2_at")) == F.col("word2"))
+    near = (start + F.col("key_at") >= 0) & (F.get("_w", start + F.col("word2_at")) == F.col("word2"))  # a text may begin with the key
     phrase = near & (F.slice("_w", F.greatest(start + F.col("key_at"), F.lit(0)) + 1, F.size("key")) == F.col("key"))
     rows = rows.where((F.col("_p") < 0) | phrase)
     # word by word rather than by a lambda, which would end the generated stage and copy the words for every row
     longest = max(len(t.phrase.split()) for t in (*base, *extra))
-    agree = sum((F.when(F.get("_w", F.greatest(start, F.lit(0)) + i) == F.get("words", F.lit(i)), 1).otherwise(0) for i in range(longest)), F.lit(0))
+    agree = sum((F.when(F.get("_w", start + i) == F.get("words", F.lit(i)), 1).otherwise(0) for i in range(longest)), F.lit(0))
     share = agree / F.size("words")
     rows = rows.select("_row", "_id", "_p", F.size("_w").cast("bigint").alias("_n"), start.cast("bigint").alias("_start"), "label", "is_base", F.when(F.col("_p") >= 0, share).alias("_share"))
     rows = rows.where((F.col("_p") < 0) | (F.col("_share") >= min_cover))

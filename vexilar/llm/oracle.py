@@ -26,8 +26,8 @@ def _op1() -> str:
 WITH t(k, label, is_base, words, key, key_at) AS (VALUES {', '.join(rows)}),
 d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS} AS w FROM documents),
 p AS (SELECT r, w, unnest(range(1, len(w) + 1)) AS p FROM d),
-m AS (SELECT r, label, is_base, p - 1 - key_at AS start, len(list_filter(range(1, len(words) + 1), lambda i: w[p - 1 - key_at + i] = words[i])) / len(words) AS share
-      FROM p JOIN t ON w[p] = key[1] WHERE w[p:p + len(key) - 1] = key AND p - 1 - key_at >= 0),
+m AS (SELECT r, label, is_base, p - 1 - key_at AS start, len(list_filter(range(1, len(words) + 1), lambda i: p - 1 - key_at + i > 0 AND w[p - 1 - key_at + i] = words[i])) / len(words) AS share
+      FROM p JOIN t ON w[p] = key[1] WHERE w[p:p + len(key) - 1] = key),
 g AS (SELECT r, count(*) FILTER (is_base) AS n_base, min(start) FILTER (is_base) AS first_word, max(start) FILTER (is_base) AS last_word,
       string_agg(DISTINCT label, ',' ORDER BY label) FILTER (is_base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score
       FROM m WHERE share >= 0.5 GROUP BY r)
