@@ -23,11 +23,19 @@ LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]*\Z")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+DIGITS = frozenset("0123456789")
 NOT_LOCAL = re.compile(r"[^A-Za-z0-9._%+-]")
 
 #: The method's own kinds, after the base ones.
 METHOD_KINDS = ("iban", "national_id")
-IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+IBAN_HEAD = re.compile(r"(?<![A-Za-z0-9])(?:[A-Z]{2}|[a-z]{2})[0-9]{2}")
+# Characters of an account number by country, from the public register.
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "DO": 28, "EE": 20, "EG": 29,
+    "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20,
+    "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25,
+    "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SC": 31, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+}
 NATIONAL_ID = re.compile(r"(?<![0-9-])(?!000|666|9[0-9]{2})[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 
 # Words near a span that speak for (or against) each kind, in several languages.
@@ -41,6 +49,8 @@ CONTEXT = {
 }
 AGAINST = {"ip": ("version", "release"), "card": ("isbn", "serial", "order"), "phone": ("version",), "iban": (), "email": (), "national_id": ("order", "part")}
 BASE_SCORE = {"email": 0.9, "ip": 0.7, "card": 0.8, "phone": 0.6, "iban": 0.9, "national_id": 0.4}
+#: Account numbers in small letters need a word of their context.
+SMALL_IBAN = 0.4
 #: Characters on either side that are read for context, what a word there adds or takes, and the least score of a
 #: span of the method's own kinds (base spans always stay).
 NEAR, STEP, LEAST = 40, 0.2, 0.5
@@ -101,19 +111,24 @@ def _phones(text: str):
 
 
 def _ibans(text: str):
-    at = 0
-    while m := IBAN.search(text, at):
-        start, end = m.span()
-        at = start + 1
-        while end > start:  # what follows may have been taken for a group: the longest end that passes counts
-            code = text[start:end].replace(" ", "")
-            if len(code) < 15:
-                break
-            if len(code) <= 34 and mod97(code):
-                yield start, end
-                at = end
+    """Account numbers of their country's length, in capitals or small letters, with single blanks anywhere between."""
+    done = 0
+    for m in IBAN_HEAD.finditer(text):
+        need = IBAN_LENGTHS.get(m[0][:2].upper())
+        if need is None or m.start() < done:
+            continue
+        at, code, small = m.end(), m[0], m[0].islower()
+        while len(code) < need and at < len(text):
+            c = text[at]
+            if c == " " and at + 1 < len(text) and text[at + 1] != " ":
+                at, c = at + 1, text[at + 1]
+            if not (c in DIGITS or "a" <= c <= "z" and small or "A" <= c <= "Z" and not small):
                 break
-            end = text.rfind(" ", start, end)
+            code, at = code + c, at + 1
+        ends = at == len(text) or not (text[at].isascii() and text[at].isalnum())
+        if len(code) == need and ends and mod97(code):
+            yield m.start(), at
+            done = at
 
 
 def _national_ids(text: str):
@@ -127,7 +142,7 @@ FINDERS = {"email": _emails, "ip": _ips, "card": _cards, "phone": _phones, "iban
 def _score(text: str, kind: str, start: int, end: int) -> float:
     near = f"{text[max(0, start - NEAR) : start]} {text[end : end + NEAR]}".lower()
     words = set(re.findall(r"\w+", near))
-    score = BASE_SCORE[kind] + STEP * bool(words & set(CONTEXT[kind])) - STEP * bool(words & set(AGAINST[kind]))
+    score = (SMALL_IBAN if kind == "iban" and text[start].islower() else BASE_SCORE[kind]) + STEP * bool(words & set(CONTEXT[kind])) - STEP * bool(words & set(AGAINST[kind]))
     return round(min(1.0, max(0.0, score)), 3)
 
 
