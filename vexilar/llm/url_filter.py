@@ -85,7 +85,7 @@ def resolved(url: Column, to: Column) -> Column:
 
 
 def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(src, dst): all canonical links and meta refreshes of the pages as nodes, relative ones resolved.
+    """(src, dst): all canonical links and meta refreshes of the pages as nodes, relative ones resolved, & unescaped.
 
     Pages without such a link, with a null address or with a link to themselves give no row.
     """
@@ -96,15 +96,19 @@ def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     href = F.transform(tag, lambda t: F.regexp_extract(t, r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1))
     to = F.transform(meta, lambda t: F.regexp_extract(t, r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1))
     links = some.select("_url", F.explode(F.concat(href, to)).alias("_to")).where("_to <> ''")
+    links = links.withColumn("_to", F.replace(F.replace(F.replace("_to", F.lit("&#38;"), F.lit("&")), F.lit("&#x26;"), F.lit("&")), F.lit("&amp;"), F.lit("&")))
     return links.select(node_of(F.col("_url")).alias("src"), node_of(resolved(F.col("_url"), F.col("_to"))).alias("dst")).where("dst is not null and src <> dst").distinct()
 
 
 def _inherited(urls: DataFrame, links: DataFrame) -> DataFrame:
-    """(url, blocked): for addresses in a component of more than one, whether a block reaches them."""
+    """(url, blocked): for addresses in a component of more than one, whether a block reaches them.
+
+    Addresses are numbered, so that two never share a node; only those that a link names are shuffled.
+    """
     names = links.select("src").union(links.select("dst")).distinct()
-    keyed = materialize(names.select(F.col("src").alias("url"), F.xxhash64("src").alias("node")), "url_nodes")
-    edges = links.select(F.xxhash64("src").alias("src"), F.xxhash64("dst").alias("dst"))
-    member = keyed.join(connected_components(edges), "node").select("url", "component")
+    keyed = materialize(names.select(F.col("src").alias("url"), F.monotonically_increasing_id().alias("node")), "url_nodes")
+    edges = links.join(keyed.withColumnsRenamed({"url": "src", "node": "a"}), "src").join(keyed.withColumnsRenamed({"url": "dst", "node": "b"}), "dst")
+    member = keyed.join(connected_components(edges, "a", "b"), "node").select("url", "component")
     ruled = member.join(urls, "url", "left")
     per = ruled.groupBy("component").agg(F.max(F.coalesce(F.col("verdict") == "block", F.lit(False))).alias("any_block"), F.max(F.coalesce(F.col("verdict") == "allow", F.lit(False))).alias("any_allow"))
     return member.join(per, "component").select("url", (F.col("any_block") & ~F.col("any_allow")).alias("blocked"))
@@ -130,6 +134,7 @@ def judge_urls(pages: DataFrame, links: DataFrame | None = None, page_id: str =
     names = found.select(F.col("src").alias("url")).union(found.select(F.col("dst"))).distinct()
     ruled = names.select("url", rule_of(host_of(F.col("url")), path_of(F.col("url")), rules)[1].alias("verdict"))
     reach = _inherited(ruled, found)
-    out = judged.join(reach, F.col("_key") == F.col("url"), "left")
-    takes = F.col("_own").isNull() & F.coalesce(F.col("blocked"), F.lit(False))
-    return out.select("page_id", "host", "path", "rule", F.when(takes, F.lit("block")).otherwise(F.coalesce("_own", F.lit("allow"))).alias("verdict"), takes.alias("inherited"))
+    ask = F.col("_own").isNull() & F.col("_key").isNotNull()  # only these can inherit; null addresses would meet in one task
+    asked = judged.where(ask).join(reach, F.col("_key") == F.col("url"), "left").withColumn("_takes", F.coalesce("blocked", F.lit(False)))
+    out = asked.select("page_id", "host", "path", "rule", "_own", "_takes").union(judged.where(~ask).select("page_id", "host", "path", "rule", "_own", F.lit(False)))
+    return out.select("page_id", "host", "path", "rule", F.when(F.col("_takes"), F.lit("block")).otherwise(F.coalesce("_own", F.lit("allow"))).alias("verdict"), F.col("_takes").alias("inherited"))
