@@ -63,8 +63,8 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
     spaces, repeats counted; a bit is 1 if set in over half of the hashes. A text with fewer words than a shingle is one
     shingle, and a null text or one without words has fingerprint zero.
     """
-    own = own_columns(docs, _id=F.col(f"`{doc_id}`").cast("bigint"), _key=text_key(F.col(f"`{text}`")), _text=F.col(f"`{text}`").cast("string"))
-    return map_arrow(own, _make_fingerprints(shingle, seed), "_id bigint, _key binary, fp bigint", "_text")
+    own = own_columns(docs, _id=doc_id, _key=text_key(F.col(f"`{text}`")), _text=F.col(f"`{text}`").cast("string"))
+    return map_arrow(own, _make_fingerprints(shingle, seed), f"_id {dict(docs.dtypes)[doc_id]}, _key binary, fp bigint", "_text")
 
 
 def _distance(a: Column, b: Column) -> Column:
@@ -141,14 +141,16 @@ def links(points: DataFrame, radius: int = 2, pivots: int = PIVOTS, pair_group:
 
 
 def _classes(docs: DataFrame, doc_id: str, text: str, shingle: int, seed: int, radius: int) -> DataFrame:
-    """(_id, _key, fp, component_id), one row a row of ``docs``."""
+    """(_id, _key, fp, component_id, kept_key), one row a row of ``docs``: the component's row with the least id, then key."""
     prints = materialize(fingerprints(docs, doc_id, text, shingle, seed), "fingerprints")
-    points = materialize(prints.groupBy("fp").agg(F.min("_id").alias("least")), "points")
+    first = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_key"))
+    points = materialize(prints.groupBy("fp").agg(first.alias("least")), "points")
     joined = connected_components(links(points.select("fp"), radius))
     known = joined.join(points, joined["node"] == points["fp"]).select("node", "component", "least")
-    best = known.groupBy("component").agg(F.min("least").alias("component_id"))
-    renamed = known.join(best, "component").select(F.col("node").alias("fp"), "component_id")
-    of_point = points.join(renamed, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    best = known.groupBy("component").agg(F.min("least").alias("best"))
+    renamed = known.join(best, "component").select(F.col("node").alias("fp"), "best")
+    of_point = points.join(renamed, "fp", "left").select("fp", F.coalesce("best", "least").alias("best"))
+    of_point = of_point.select("fp", F.col("best._id").alias("component_id"), F.col("best._key").alias("kept_key"))
     return prints.join(materialize(of_point, "classes"), "fp")
 
 
@@ -157,7 +159,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     component_id is the least doc_id that links reach, the document's own included. Null and empty texts have
     fingerprint zero and link like any other; repeated rows each get a row; null ids never become a component_id
-    (null only where a whole component has none). Other columns are ignored; an empty table gives no row.
+    (null only where a whole component has none). Ids may be of any type with an order. Other columns are ignored; an empty table gives no row.
     """
     out = _classes(docs, doc_id, text, shingle, seed, radius)
     return out.select(F.col("_id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -166,14 +168,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, seed: int = 42, radius: int = 2) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of every component the row with the least doc_id stays.
 
-    Rows that repeat both doc_id and text are one document, of which one row stays. A row with a null doc_id goes if
-    its component has an id; of components without any, one row of each distinct text stays. All columns are
-    unchanged. The rows to drop are found among fingerprints, so texts are only shuffled where there are too many of
-    those to broadcast.
+    Rows that repeat both doc_id and text are one document, of which one row stays. Null ids come last; of texts with
+    the same id, or without any, that with the least SHA-256 stays. All columns are unchanged; an empty table gives no
+    row. The rows to drop are found among fingerprints, so texts are only shuffled where there are too many of those
+    to broadcast.
     """
     found = materialize(_classes(docs, doc_id, text, shingle, seed, radius), "near_duplicates")
-    goes = (F.col("_id") != F.col("component_id")) | (F.col("_id").isNull() & F.col("component_id").isNotNull())
-    left = drop_rows(docs, found.where(F.coalesce(goes, F.lit(False))).select("_id", "_key"), doc_id, text)
+    goes = ~(F.col("_id").eqNullSafe(F.col("component_id")) & (F.col("_key") == F.col("kept_key")))
+    left = drop_rows(docs, found.where(goes).select("_id", "_key"), doc_id, text)
     again = materialize(found.groupBy("_id", "_key").count().where("count > 1").select("_id", "_key"), "repeated_rows")
     if again.isEmpty():
         return left
