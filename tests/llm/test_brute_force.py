@@ -93,6 +93,16 @@ def test_ibans_end_before_what_follows(code):
     assert not any(s.kind == "iban" for s in pii.find_spans(code[:-1] + ("4" if code[-1] != "4" else "5") + " EUR"))
 
 
+def test_ibans_have_their_countrys_length():
+    found = lambda t: [t[s.start : s.end] for s in pii.find_spans(t) if s.kind == "iban"]
+    for code in ("ES91 2100 0418 4502 0005 1332", "PL61 1090 1014 0000 0712 1981 2874", "NO93 8601 1117 947", "MT84 MALT 0110 0001 2345 MTLC AST0 01S"):
+        for after in (" BANK", " EUR", " AB12", ".", " 1234", ""):
+            assert found(f"to {code}{after}") == [code]
+        assert found(f"to {code}7") == [] and found(code.replace("0", "1", 1)) == []
+    small = "gb82west12345698765432"
+    assert found(f"iban {small} please") == [small] and found(f"the code {small} please") == [] and found("GB82west12345698765432 iban") == []
+
+
 def test_long_runs_take_linear_time():
     for t in ("a" * 200_000, "1" * 200_000, "1." * 100_000, "a@" * 100_000, "+1 " * 70_000, "1 " * 100_000):
         pii.find_spans(t)
@@ -227,6 +237,14 @@ def test_dense_groups_keep_all_links(spark, monkeypatch):
         assert sorted(map(sorted, parts.values())) == sorted(sorted(v) for v in want.values() if len(v) > 1)
 
 
+def test_ids_of_any_type_and_components_without_ids(spark):
+    long = "alpha beta gamma delta epsilon zeta eta theta iota kappa " * 4
+    rows = spark.createDataFrame([("b", long), ("a", long), ("a", long), (None, long), (None, "other words here"), (None, "other words here"), ("c", "third text of its own")], "doc_id string, text string")
+    got = {(r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(rows).collect()}
+    assert got == {("b", "a"), ("a", "a"), (None, "a"), (None, None), ("c", "c")}
+    assert sorted((str(r[0]), r[1][:5]) for r in simhash.keep_one(rows).collect()) == [("None", "other"), ("a", "alpha"), ("c", "third")]
+
+
 def test_keep_one(spark, docs):
     rows = table(spark, docs, "documents")
     extra = spark.createDataFrame([(None, "only here " * 9), (None, "only here " * 9), (None, "a"), (20_000, "said twice " * 9), (20_000, "said twice " * 9)], "doc_id bigint, text string")
@@ -255,6 +273,67 @@ def test_a_long_row_does_not_end_the_sample(spark, monkeypatch):
     assert seen == [[i % 2 for k, i in enumerate(used) if k % 5]]
 
 
+def test_gradients_are_those_of_the_loss():
+    rng = np.random.default_rng(0)
+    s = toxicity.Settings(buckets=23, width=3, filters=4)
+    m = toxicity.Model(s)
+    m.p = {n: np.asarray(v, np.float64) + (rng.normal(0.2, 0.1, np.shape(v)) if n[0] == "b" else 0) for n, v in m.p.items()}  # off the kink at 0
+    ids, starts, stops = toxicity._layout([rng.integers(0, 23, (n, s.parts)).astype(np.int32) for n in (1, 7, 4, 0)], max(s.widths) - 1)
+    y = np.array([1.0, 0.0, 1.0, 0.0])
+    loss, grads, words, ge = toxicity.gradients(m, ids, starts, stops, y)
+    full = np.zeros_like(m.p["e"])
+    full[words] = ge
+    grads = grads | {"e": full}
+    for name, value in m.p.items():
+        at = [()] if np.ndim(value) == 0 else [tuple(i) for i in np.argwhere(np.ones(value.shape))]
+        for i in at:
+            if name == "e" and i[0] == 0:
+                continue
+            both = []
+            for step in (1e-6, -1e-6):
+                m.p[name] = value.copy() if np.ndim(value) else value + step
+                if np.ndim(value):
+                    m.p[name][i] += step
+                both.append(toxicity.gradients(m, ids, starts, stops, y)[0])
+            m.p[name] = value
+            assert (both[0] - both[1]) / 2e-6 == pytest.approx(float(np.asarray(grads[name])[i]), abs=1e-6), (name, i)
+
+
+def test_scores_are_those_of_a_plain_forward_pass(spark, docs, texts):
+    model = toxicity.fit(table(spark, docs, "documents"), table(spark, docs, "labels"))
+    p, s = model.p, model.s
+
+    def plain(text):
+        rows = [toxicity.word_rows(w, s) for w in toxicity.WORD.findall((text or "").lower())]
+        x = [p["e"][r].astype(float).mean(axis=0) for r in rows] or [np.zeros(s.width)]
+        z = float(p["c"])
+        pooled = []
+        for k in s.widths:
+            own = [np.concatenate([x[i + j] if i + j < len(x) else np.zeros(s.width) for j in range(k)]) @ p[f"w{k}"] for i in range(len(x))]
+            pooled.append(np.maximum(np.max(own, axis=0) + p[f"b{k}"], 0))
+        z += float(np.concatenate(pooled) @ p["v"])
+        return 1 / (1 + np.exp(-(model.scale * z + model.shift)))
+
+    got = Counter((r["doc_id"], round(r["score"], 4)) for r in toxicity.score_documents(table(spark, docs, "documents"), model).collect())
+    short = [(i, t) for i, t in texts if len(t or "") < 3_000]
+    assert all(min(abs(plain(t) - score) for j, score in got if j == i) < 1e-3 for i, t in short)
+    assert all(0 <= score <= 1 for _, score in got)
+
+
+def test_repeated_ids_count_once_and_languages_have_thresholds(spark):
+    docs = spark.createDataFrame([(i % 40, f"word{i % 40} text", "en") for i in range(4000)], "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id bigint, toxic int")
+    assert toxicity.training_rows(docs, labels, toxicity.Settings()).count() == sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(40))
+    model = toxicity.fit(docs, labels)
+    scores = {r["doc_id"]: r["score"] for r in toxicity.score_documents(docs, model).distinct().collect()}
+    some = docs.limit(40).withColumn("lang", F.when(F.col("doc_id") < 20, "en").when(F.col("doc_id") < 30, "de").otherwise(F.lit(None)))
+    model.thresholds = {"en": 2.0, "de": 0.0}
+    left = {r[0] for r in toxicity.reject_toxic(some, model).select("doc_id").collect()}
+    ids = {r[0] for r in some.select("doc_id").collect()}
+    assert left == {i for i in ids if i < 20 or i >= 30 and scores[i] < toxicity.CUT}
+    assert toxicity.reject_toxic(some.drop("lang"), model).columns == ["doc_id", "text"]
+
+
 # ---- quality ----
 
 
@@ -300,6 +379,11 @@ def test_cascade_order_is_that_of_a_bounded_sample(spark, docs):
 # ---- URL filter ----
 
 
+def test_entities_in_links(spark):
+    pages = spark.createDataFrame([(1, "http://a.example.org/es/?a=1&b=2", None), (2, "http://b.net/", '<link rel="canonical" href="http://a.example.org/es/?a=1&amp;b=2">'), (3, None, None)], "page_id bigint, url string, html string")
+    assert {(r["page_id"], r["verdict"], r["inherited"]) for r in url_filter.judge_urls(pages).collect()} == {(1, "block", False), (2, "block", True), (3, "allow", False)}
+
+
 def test_relative_repeated_and_mixed_case_links(spark):
     from urllib.parse import urldefrag, urljoin
 
@@ -410,7 +494,7 @@ def test_pipeline_stages_take_effect(spark, docs):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "decontamination", "pii", "sentencepiece"]
     kept = stages["toxicity"](spark, rows, docs)
     model = toxicity.fit(rows, table(spark, docs, "labels"))
-    clean = sorted(r["doc_id"] for r in toxicity.score_documents(rows, model).where("predicted = 0").collect())
+    clean = sorted(r["doc_id"] for r in toxicity.score_documents(rows, model).where("not flagged").collect())
     assert sorted(r["doc_id"] for r in kept.collect()) == clean and kept.columns == rows.columns
     one = stages["near_duplicates"](spark, rows, docs)
     assert sorted(r[0] for r in one.select("doc_id").collect()) == sorted({c for *_, c in plain_components([(r["doc_id"], plain_fingerprint(r["text"])) for r in rows.collect()])})
@@ -420,3 +504,22 @@ def test_pipeline_stages_take_effect(spark, docs):
     last = stages["sentencepiece"](spark, rows, docs)
     assert last.where("not round_trip").select("doc_id").distinct().count() == 1  # the text that holds the blank mark itself
     assert corpus_pipeline.run(spark, docs).count() > 0
+
+
+def test_pipeline_on_empty_tables_and_clashing_names(spark, docs, tmp_path):
+    import corpus_pipeline
+
+    kinds = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    spark.createDataFrame([], kinds).write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        table(spark, docs, name).limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    odd = spark.createDataFrame([(1, None, "en"), (1, None, "en"), (None, "", None), (2, "x " * 40_000, "en")], "doc_id bigint, text string, lang string")
+    clash = ["_id", "_key", "_text", "_row", "_seed", "fp", "spans", "score", "component_id", "ids", "items", "_t", "_w", "_h"]
+    odd = odd.select("*", F.lit("s").alias("source"), F.length("text").cast("bigint").alias("n_chars"), *[F.lit(7).alias(c) for c in clash])
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, odd, docs)
+        if name != "sentencepiece":
+            assert out.columns == odd.columns
+        got = sorted(str(r["doc_id"]) for r in out.collect())
+        assert got == (["1", "2"] if name == "near_duplicates" else ["1", "1", "2", "None"]), name
