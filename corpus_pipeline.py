@@ -1,6 +1,8 @@
 """A corpus pipeline of five stages: each reads what the one before it kept, and its decisions take effect.
 
-The stages are written as Parquet between each other, so a lost executor costs no more than its own tasks.
+The stages are written as Parquet between each other, so a lost executor costs no more than its own tasks. Null and
+empty texts pass all of them (as one near-duplicate group), null ids and repeated rows are kept until near-duplicates
+go, further columns may have any names, and empty tables give no row.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from vexilar.session import materialize, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on the labelled ones among them, scores below its cut."""
+    """Documents that the classifier, fitted on the labelled ones among them, scores below their language's cut."""
     return toxicity.reject_toxic(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
