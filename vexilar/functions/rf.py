@@ -7,12 +7,12 @@ computed once a batch.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import cached_property
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 EPS, WIDE_EPS = 1e-8, 1e-6
@@ -273,9 +273,9 @@ def balance_expressions(df: DataFrame, i: str = "i", q: str = "q") -> DataFrame:
 # -- row-wise signal preparation --
 
 
-def rms_normalize(df: DataFrame, i: str = "i", q: str = "q", floor: float = 1e-12) -> DataFrame:
-    """Divides both channels by the root of the record's mean power (at least ``floor``)."""
-    e = F.expr(f"sqrt(greatest(aggregate(zip_with({i}, {q}, (x, y) -> x * x + y * y), 0D, (a, x) -> a + x) / size({i}), {floor}))")
+def rms_normalize(df: DataFrame, i: str = "i", q: str = "q", floor: float = 1e-12, eps: float = 0.0) -> DataFrame:
+    """Divides both channels by the root of the record's mean power (at least ``floor``), plus ``eps``."""
+    e = F.expr(f"sqrt(greatest(aggregate(zip_with({i}, {q}, (x, y) -> x * x + y * y), 0D, (a, x) -> a + x) / size({i}), {floor})) + {eps}")
     return df.withColumn("_e", e).withColumn(i, F.expr(f"transform({i}, x -> x / _e)")).withColumn(q, F.expr(f"transform({q}, x -> x / _e)")).drop("_e")
 
 
@@ -302,6 +302,13 @@ def up_chirp(n: int, spread: int = 7) -> np.ndarray:
     return np.exp(1j * np.pi * (t * t / 2**spread - t))
 
 
+def chirp_samples(spark: SparkSession, n: int, spread: int = 7) -> DataFrame:
+    """(k, i, q): the samples of ``up_chirp`` as rows."""
+    t = F.col("k") * (2**spread / n)
+    turn = F.pi() * (t * t / 2**spread - t)
+    return spark.range(n).select(F.col("id").alias("k")).select("k", F.cos(turn).alias("i"), F.sin(turn).alias("q"))
+
+
 def _blocks(x: np.ndarray, offset: int, n: int, count: int) -> np.ndarray:
     return x[offset : offset + n * count].reshape(count, n)
 
@@ -341,3 +348,15 @@ def augment(i: np.ndarray, q: np.ndarray, seed: int, amplitude: float = 0.1, deg
     noise = np.sqrt((np.abs(z) ** 2).mean(axis=1, keepdims=True) / 10 ** (rng.uniform(*snr, (n, 1)) / 10) / 2)
     z = z + noise * (rng.normal(size=z.shape) + 1j * rng.normal(size=z.shape))
     return z.real, z.imag
+
+
+def augmented(df: DataFrame, seed: int = 7, **options) -> DataFrame:
+    """``df`` (id, i, q) with varied channels: each record by a generator of its own, from its id and the seed."""
+    kinds = dict(df.dtypes)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = [augment(np.asarray(i, float)[None], np.asarray(q, float)[None], abs(hash((seed, int(k)))), **options) for k, i, q in zip(batch["id"], batch["i"], batch["q"])]
+            yield batch.assign(i=[a[0] for a, _ in out], q=[b[0] for _, b in out])
+
+    return df.mapInPandas(run, ", ".join(f"`{n}` {kinds[n]}" for n in df.columns))

@@ -196,17 +196,19 @@ def cluster_geometry(df: DataFrame, known: DataFrame | None = None) -> DataFrame
 def reliability(df: DataFrame, min_size: int = 10, min_prob: float = 0.30, threshold: float = 0.50) -> DataFrame:
     """(cluster, n, mean_prob, score, accepted): clusters by compactness, separation and membership.
 
-    With medians r and s of radii and separations: score = cube root of exp(-radius / r) (1 - exp(-separation / s))
-    mean_prob. accepted: large and certain enough, and the score reaches the threshold.
+    With medians r and s of radii and separations (1 for a single cluster): score = cube root of exp(-radius / r)
+    (1 - exp(-separation / s)) mean_prob, each at least 1e-8; 0 for a cluster that is too small or too uncertain.
+    accepted: the score of one that is neither reaches the threshold.
     """
-    g = cluster_geometry(df)
+    g = cluster_geometry(df).withColumn("separation", F.coalesce("separation", F.lit(1.0)))
     prob = df.where("cluster <> -1").groupBy("cluster").agg(F.avg("probability").alias("mean_prob"))
-    ref = g.agg(F.expr("percentile(radius, 0.5)").alias("r"), F.expr("percentile(separation, 0.5)").alias("s"))  # one row
+    ref = g.agg((F.expr("percentile(radius, 0.5)") + 1e-8).alias("r"), (F.expr("percentile(separation, 0.5)") + 1e-8).alias("s"))  # one row
     both = g.join(prob, "cluster").crossJoin(F.broadcast(ref))
-    sep = F.when(F.col("separation").isNull(), 1.0).otherwise(1 - F.exp(-F.col("separation") / (F.col("s") + 1e-8)))
-    score = F.pow(F.exp(-F.col("radius") / (F.col("r") + 1e-8)) * sep * F.col("mean_prob"), F.lit(1 / 3))
-    out = both.select("cluster", "n", "mean_prob", score.alias("score"))
-    return out.withColumn("accepted", (F.col("n") >= min_size) & (F.col("mean_prob") >= min_prob) & (F.col("score") >= threshold))
+    parts = (F.exp(-F.col("radius") / F.col("r")), 1 - F.exp(-F.col("separation") / F.col("s")), F.col("mean_prob"))
+    score = F.exp(sum((F.log(clip(x, 1e-8, 1.0)) for x in parts), F.lit(0.0)) / 3)
+    fits = (F.col("n") >= min_size) & (F.col("mean_prob") >= min_prob)
+    out = both.select("cluster", "n", "mean_prob", fits.alias("_fits"), F.when(fits, score).otherwise(0.0).alias("score"))
+    return out.withColumn("accepted", F.col("_fits") & (F.col("score") >= threshold)).drop("_fits")
 
 
 def library_reliability(

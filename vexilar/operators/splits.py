@@ -102,6 +102,17 @@ def common_to_all(df: DataFrame, value: str, owner: str) -> DataFrame:
     return df.groupBy(value).agg(F.countDistinct(owner).alias("_n")).where(F.col("_n") == n).select(value)
 
 
+def cycled(rows: DataFrame, memory: DataFrame, order: str, memory_order: str) -> DataFrame:
+    """Every row beside the next of the memory's rows, which begin again at their end: (rows' columns, memory's as m_*).
+
+    Both sides are numbered in ranges. An empty memory gives no row.
+    """
+    n = memory.count()
+    left = running(rows, [], [order], _at=F.lit(1).cast("bigint"))
+    right = running(memory, [], [memory_order], _m=F.lit(1).cast("bigint")).select((F.col("_m") - 1).alias("_m"), *[F.col(c).alias(f"m_{c}") for c in memory.columns])
+    return left.withColumn("_m", F.pmod(F.col("_at") - 1, F.lit(max(n, 1)))).join(right, "_m").select(*rows.columns, *[f"m_{c}" for c in memory.columns])
+
+
 def content_overlap(left: DataFrame, right: DataFrame, column: str) -> DataFrame:
     """(left_rows, right_rows, overlap): distinct contents of one side that stand on the other, by SHA-256 of their text."""
     digest = lambda df: df.select(F.sha2(F.col(column).cast("string").cast("binary"), 256).alias("d"))

@@ -36,11 +36,17 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def _registered() -> None:
+    from vexilar.plans import more  # noqa: F401 - registers its queries; it needs what this module defines
+
+
 def queries() -> dict[str, Query]:
+    _registered()
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
+    _registered()
     return dict(_sql)
 
 
@@ -300,12 +306,36 @@ def compactness_separation(spark, sf_dir):
     return prototypes.cluster_geometry(_clusters(spark, sf_dir)).select("cluster", "n", _r("radius").alias("radius"), _r("separation").alias("separation"))
 
 
-@query(f"WITH {GEO}, pb AS (SELECT cluster, avg((id % 100) / 100) AS mean_prob FROM c WHERE cluster <> -1 GROUP BY cluster), g AS (SELECT cluster, n, mean_prob, radius, separation FROM m JOIN ra USING (cluster) JOIN se USING (cluster) JOIN pb USING (cluster)), f AS (SELECT median(radius) AS r, median(separation) AS s FROM g), o AS (SELECT cluster, n, mean_prob, pow(exp(-radius / (r + 1e-8)) * (1 - exp(-separation / (s + 1e-8))) * mean_prob, 1.0 / 3) AS score FROM g, f) SELECT cluster, n, {R('mean_prob')} AS mean_prob, {R('score')} AS score, n >= 10 AND mean_prob >= 0.3 AND score >= 0.5 AS accepted FROM o")
+RELIABLE = f"{GEO}, pb AS (SELECT cluster, avg((id % 100) / 100) AS mean_prob FROM c WHERE cluster <> -1 GROUP BY cluster), g AS (SELECT cluster, n, mean_prob, radius, coalesce(separation, 1.0) AS separation FROM m JOIN ra USING (cluster) LEFT JOIN se USING (cluster) JOIN pb USING (cluster)), f AS (SELECT median(radius) + 1e-8 AS r, median(separation) + 1e-8 AS s FROM g), o AS (SELECT cluster, n, mean_prob, CASE WHEN n >= 10 AND mean_prob >= 0.3 THEN exp((ln(greatest(exp(-radius / r), 1e-8)) + ln(greatest(1 - exp(-separation / s), 1e-8)) + ln(greatest(mean_prob, 1e-8))) / 3) ELSE 0 END AS score FROM g, f)"
+
+
+@query(f"WITH {RELIABLE} SELECT cluster, n, {R('mean_prob')} AS mean_prob, {R('score')} AS score, n >= 10 AND mean_prob >= 0.3 AND score >= 0.5 AS accepted FROM o")
 def reliability_filter(spark, sf_dir):
     df = _clusters(spark, sf_dir).withColumn("probability", F.col("id") % 100 / 100)
     return prototypes.reliability(df).select("cluster", "n", _r("mean_prob").alias("mean_prob"), _r("score").alias("score"), "accepted")
 
 
+LIBRARY = (
+    f"{GEO}, kn AS (SELECT label, list(x ORDER BY i) AS k FROM (SELECT label, i, avg(x) AS x FROM (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM e WHERE label < 3) GROUP BY label, i) GROUP BY label), "
+    "ku AS (SELECT label, list_transform(k, lambda x: x / (sqrt(list_inner_product(k, k)) + 1e-8)) AS k FROM kn), kd AS (SELECT cluster, min(list_distance(v, k)) AS known_distance FROM m, ku GROUP BY cluster), "
+    "sl AS (SELECT cluster, max(n) / sum(n) AS slot_consistency FROM (SELECT cluster, id % 3 AS slot, count(*) AS n FROM c WHERE cluster <> -1 GROUP BY ALL) GROUP BY cluster), "
+    "rc AS (SELECT cluster, exp(-avg(d)) AS rf_consistency FROM (SELECT c.cluster, list_distance(c.v[33:64], m.v[33:64]) AS d FROM c JOIN m USING (cluster)) GROUP BY cluster), "
+    "cf AS (SELECT cluster, avg((id % 10) / 10) AS confidence FROM c WHERE cluster <> -1 GROUP BY cluster), "
+    "q AS (SELECT cluster, n, known_distance, CASE WHEN n <= 1 THEN 0 ELSE exp(-radius) END AS compactness, coalesce(1 - exp(-separation), 1.0) AS separation, slot_consistency, CASE WHEN n <= 1 THEN 0 ELSE rf_consistency END AS rf_consistency, confidence "
+    "FROM m JOIN ra USING (cluster) LEFT JOIN se USING (cluster) JOIN kd USING (cluster) JOIN sl USING (cluster) JOIN rc USING (cluster) JOIN cf USING (cluster)), "
+    "t AS (SELECT *, exp((ln(greatest(compactness, 1e-8)) + ln(greatest(separation, 1e-8)) + ln(greatest(slot_consistency, 1e-8)) + ln(greatest(rf_consistency, 1e-8))) / 4) AS score, "
+    "array_to_string(list_filter([CASE WHEN n < 50 THEN 'size' END, CASE WHEN known_distance <= 0.9 THEN 'too_close_to_known' END, CASE WHEN confidence <= 0.45 THEN 'unknown_confidence_too_low' END], lambda x: x IS NOT NULL), ',') AS why FROM q)"
+)
+
+
+@query(f"WITH {LIBRARY} SELECT cluster, n, {', '.join(f'{R(x)} AS {x}' for x in ('known_distance', 'compactness', 'separation', 'slot_consistency', 'rf_consistency', 'confidence', 'score'))}, CASE WHEN why <> '' THEN 'reject' WHEN score >= 0.4 THEN 'reliable' ELSE 'pending' END AS status, why FROM t")
+def library_reliability(spark, sf_dir):
+    df = _clusters(spark, sf_dir).select("id", "label", "cluster", "v", (F.col("id") % 3).alias("slot"), (F.col("id") % 10 / 10).alias("unknown"), F.slice("v", 33, 32).alias("rf"))
+    known = prototypes.make_prototypes(_vectors(spark, sf_dir).where("label < 3"))
+    t = prototypes.library_reliability(df, known, 50, 0.4, 0.9, 0.45, "rf", "unknown")
+    return t.select("cluster", "n", *[_r(c).alias(c) for c in ("known_distance", "compactness", "separation", "slot_consistency", "rf_consistency", "confidence", "score")], "status", F.array_join("hard_fail_reasons", ",").alias("why"))
+
+
 @query(f"WITH {CL} SELECT label AS truth, cluster, count(*) AS n FROM c GROUP BY ALL")
 def contingency(spark, sf_dir):
     return metrics.contingency(_clusters(spark, sf_dir))
@@ -394,7 +424,27 @@ def noise_assignment(spark, sf_dir):
     return consolidate.assign_noise(_three_views(spark, sf_dir)).select("id", "cluster")
 
 
-@query()
+def _merge_sql(threshold: float, rounds: int, w: str, accepted: str = "") -> str:
+    """Rounds of merging mutually nearest clusters of c0 (id, cluster, v), with means taken anew; the last is c{rounds}."""
+    out = []
+    for k in range(rounds):
+        out += [
+            f"x{k} AS (SELECT cluster, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM c{k} WHERE cluster <> -1)",
+            f"m{k} AS MATERIALIZED (SELECT cluster, list(x ORDER BY i) AS v FROM (SELECT cluster, i, avg(x) AS x FROM x{k} GROUP BY cluster, i) GROUP BY cluster)", f"u{k} AS (SELECT * FROM m{k} {accepted})",
+            f"sg{k} AS (SELECT coalesce(median(d) FILTER (d > 0), 1.0) AS s FROM (SELECT list_distance(a.v[33:48], b.v[33:48]) AS d FROM u{k} a, u{k} b))",
+            f"p{k} AS (SELECT a.cluster AS a, b.cluster AS b, {w} AS w FROM u{k} a, u{k} b, sg{k} WHERE a.cluster <> b.cluster)",
+            f"n{k} AS (SELECT a, b, w FROM p{k} QUALIFY row_number() OVER (PARTITION BY a ORDER BY w DESC, b) = 1)",
+            f"q{k} AS (SELECT x.a, x.b FROM n{k} x JOIN n{k} y ON x.b = y.a AND y.b = x.a WHERE x.a < x.b AND x.w >= {threshold})",
+            f"d{k} AS (SELECT cluster, dense_rank() OVER (ORDER BY coalesce(q.a, cluster)) - 1 AS now FROM m{k} LEFT JOIN q{k} q ON cluster = q.b)",
+            f"c{k + 1} AS MATERIALIZED (SELECT id, CAST(coalesce(now, c.cluster) AS BIGINT) AS cluster, v FROM c{k} c LEFT JOIN d{k} USING (cluster))",
+        ]
+    return f"{CL}, c0 AS (SELECT id, cluster, v FROM c), {', '.join(out)}"
+
+
+GEOMETRIC = "sqrt((list_inner_product(a.v[49:64], b.v[49:64]) / ((sqrt(list_inner_product(a.v[49:64], a.v[49:64])) + 1e-8) * (sqrt(list_inner_product(b.v[49:64], b.v[49:64])) + 1e-8)) + 1) / 2 * exp(-pow(list_distance(a.v[33:48], b.v[33:48]), 2) / (2 * s * s + 1e-8)))"
+
+
+@query(f"WITH {_merge_sql(0.3, 7, SIM('a.v', 'b.v'))} SELECT id, cluster FROM c7")
 def iterative_merge(spark, sf_dir):
     return consolidate.iterative_merge(_three_views(spark, sf_dir), 0.3).select("id", "cluster")
 
@@ -451,7 +501,7 @@ def recording_means(spark, sf_dir):
     return recordings.propagate(df.select("id", "recording_id"), means).select("id", "n", _r(F.get("v", F.lit(0))).alias("first"))
 
 
-@query()
+@query(f"WITH {_merge_sql(0.3, 1, GEOMETRIC, 'WHERE cluster < 5')} SELECT id, cluster FROM c1")
 def accepted_merge(spark, sf_dir):
     return consolidate.merge_accepted(_three_views(spark, sf_dir), [0, 1, 2, 3, 4], 0.3).select("id", "cluster")
 
