@@ -288,7 +288,7 @@ def test_file_sources(spark, tmp_path):
     (tmp_path / "s").mkdir()
     (tmp_path / "s/dev1_10ft_run2.sigmf-meta").write_text(json.dumps({"global": {"core:sample_rate": 5e6, "core:datatype": "cf32"}}))
     (rng.normal(size=2048) + 1j * rng.normal(size=2048)).astype("<c16").tofile(tmp_path / "s/dev1_10ft_run2.sigmf-data")
-    sig = files.read_sigmf(spark, str(tmp_path / "s"))
+    sig = files.read_sigmf(spark, str(tmp_path / "s"), datatype="cf64")  # the header is wrong
     assert sig.count() == 4 and sig.first()["serial"] == "dev1" and sig.first()["distance_ft"] == 10 and sig.first()["sample_rate"] == 5e6
     (tmp_path / "bom.csv").write_text("﻿a,b\n1,2\n", encoding="utf-8")
     assert files.read_csv(spark, str(tmp_path / "bom.csv")).columns == ["a", "b"]
@@ -420,3 +420,225 @@ def test_streams(spark, sf, tmp_path, planted):
     q.stop()
     plain = lambda df: sorted((str(r["start"]), r["event_type"], r["n"]) for r in df.collect())
     assert plain(spark.table("hours")) == plain(rounds.windowed_counts(events))
+
+
+# ---- against definitions ----
+
+
+def plain_density(x, least, samples):
+    """Density clusters of the greatest stability, from components of ever smaller distances: quadratic in everything."""
+    n = len(x)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    core = np.sort(d, axis=1)[:, samples - 1]
+    reach = np.maximum(d, np.maximum(core[:, None], core[None]))
+
+    def parts(members, limit):
+        left, out = set(members), []
+        while left:
+            todo, got = [left.pop()], []
+            while todo:
+                a = todo.pop()
+                got.append(a)
+                near = [b for b in left if reach[a, b] < limit]
+                left -= set(near)
+                todo += near
+            out.append(frozenset(got))
+        return out
+
+    def grow(members, birth):
+        """(stability of the best choice below, clusters of it), for a cluster born at 1 / distance."""
+        stability, now = 0.0, members
+        for limit in sorted({reach[a, b] for a in members for b in members if a != b}, reverse=True):
+            big = [p for p in parts(now, limit) if len(p) >= least]
+            if len(big) == 1 and len(big[0]) == len(now):
+                continue
+            stability += (len(now) - sum(map(len, big)) if len(big) == 1 else len(now)) * (1 / limit - birth)
+            if len(big) != 1:
+                below = [grow(p, 1 / limit) for p in big]
+                total = sum(b for b, _ in below)
+                return (total, [c for _, cs in below for c in cs]) if total > stability else (stability, [members])
+            now = big[0]
+        return stability, [members]
+
+    every, now = frozenset(range(n)), frozenset(range(n))
+    for limit in sorted(set(reach[np.triu_indices(n, 1)]), reverse=True):
+        big = [p for p in parts(now, limit) if len(p) >= least]
+        if len(big) > 1:
+            return {c for p in big for c in grow(p, 1 / limit)[1]}
+        if not big:
+            return set()
+        now = big[0]
+    return {every}
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_density_clusters_are_those_of_the_definition(seed):
+    rng = np.random.default_rng(seed)
+    x = np.concatenate([rng.normal(c, s, (n, 2)) for c, s, n in (((0, 0), 0.4, 14), ((3, 0), 0.3, 10), ((3.2, 2), 0.3, 9), ((9, 9), 1.5, 7))])
+    labels, probs = cluster.hdbscan(x, 5, 3)
+    assert {frozenset(np.flatnonzero(labels == k).tolist()) for k in set(labels) - {-1}} == plain_density(x, 5, 3)
+    assert ((probs >= 0) & (probs <= 1)).all() and (probs[labels == -1] == 0).all()
+
+
+def test_spectral_columns_solve_the_eigenproblem():
+    rng = np.random.default_rng(0)
+    w = rng.random((30, 30))
+    w = np.maximum(w, w.T) * (rng.random((30, 30)) < 0.4)
+    w = np.maximum(w, w.T)
+    np.fill_diagonal(w, 1)
+    v = cluster.spectral_embedding(w, 4)
+    off = w - np.diag(np.diag(w))
+    degree = off.sum(axis=1)
+    laplacian = np.diag(degree) - off
+    values = [float(c @ laplacian @ c / (c @ (degree * c))) for c in v.T]
+    assert values == sorted(values) and all(np.abs(laplacian @ c - k * degree * c).max() < 1e-9 for c, k in zip(v.T, values))
+    assert all(abs((degree * c).sum()) < 1e-9 for c in v.T)  # orthogonal to the trivial one
+    every = np.sort(np.linalg.eigvals(np.diag(1 / degree) @ laplacian).real)
+    assert np.allclose(values, every[1:5])
+
+
+def test_projection_keeps_the_most_variance(spark, planted):
+    x = np.stack(numbers(planted)["v"])
+    got = cluster.project_groups(planted.withColumn("g", F.lit(0)), ["g"]).toPandas().sort_values("id")[["x", "y"]].to_numpy()
+    centred = x - x.mean(axis=0)
+    values, vectors_ = np.linalg.eigh(centred.T @ centred)
+    for k, column in enumerate(got.T):
+        want = centred @ vectors_[:, -1 - k]
+        assert min(np.abs(column - want).max(), np.abs(column + want).max()) < 1e-8
+
+
+def test_methods_by_name(spark, planted):
+    from vexilar.plans import methods
+
+    truth = planted.select("id", "label")
+    df = planted.select("id", "deep", "rf")
+    s = discovery.Settings(dims=4, ratio=0.1)
+    for name in [*methods.METHODS, "IterMerge-2"]:
+        found = methods.run_discovery(name, df, s, truth, new_classes=5)
+        r = found.report.first()
+        assert r["method"] == name and r["samples"] == found.rows.count() == df.count() and r["clusters"] == found.rows.where("cluster <> -1").select("cluster").distinct().count()
+        if "a" in methods.method_of(name).steps:
+            assert r["noise"] == 0 and found.clusters.count() == r["clusters"]
+        if name in ("MV-ACC", "No-drop consolidation (ablation)"):
+            assert r["count_error"] == 0 and r["hungarian"] > 0.9
+    with pytest.raises(ValueError, match="unknown method"):
+        methods.method_of("Else")
+
+
+def test_view_modes_and_feature_sets(spark):
+    from vexilar.plans import methods
+
+    rng = np.random.default_rng(0)
+    df = spark.createDataFrame([(k, rng.normal(size=16).tolist(), rng.normal(size=16).tolist()) for k in range(5)], "id bigint, i array<double>, q array<double>")
+    size = lambda d: {len(r["rf"]) for r in d.collect()}
+    assert size(methods.rf_view(df)) == {24} and size(methods.rf_view(df, "local", "spectral_3d")) == {3} and size(methods.rf_view(df, "global", "spectral_3d")) == {3}
+    assert all(r["rf"] == [0.0] * 24 for r in methods.rf_view(df, "global", "spectral_3d", False).collect())
+    assert size(methods.rf_view(df, "local", "spectral_3d", False)) == {3}
+    assert methods.gated(discovery.Settings(), False).weights == consolidate.Weights(0.6, 0.0, 0.4)
+    full = [r["rf"] for r in methods.feature_set(df, "all24").collect()]
+    assert np.allclose(full, [r["rf"] for r in methods.rf_view(df).collect()]) and [r["rf"] for r in methods.feature_set(df, "phase").collect()] == [f[8:12] for f in full]
+
+
+def test_recordings_calibration_and_ablation(spark, planted):
+    from vexilar.plans import methods
+
+    rows = planted.where("label >= 0").withColumn("recording_id", F.floor(F.col("id") / 4))
+    found = methods.discover_recordings("MV-ACC", rows, discovery.Settings(dims=4, ratio=0.1, least_cluster=4))
+    assert found.rows.count() == rows.count() and found.rows.groupBy("recording_id").agg(F.countDistinct("cluster").alias("n")).where("n > 1").count() == 0
+    flat = spark.createDataFrame([(r, t, 3, 1, 0.5, 0.5, 0.5) for r in (0.1, 0.2) for t in (0.7, 0.8)], "ratio double, threshold double, clusters bigint, error bigint, nmi double, ari double, hungarian double")
+    s = discovery.Settings()
+    assert methods.calibrated(flat, s) == (s, False)
+    best, informative = methods.calibrated(flat.withColumn("nmi", F.when(F.col("ratio") == 0.2, 0.9).otherwise(0.5)), s)
+    assert informative and (best.ratio, best.threshold) == (0.2, 0.7)
+    s2, grid = methods.calibrate_by("MV-ACC", planted.select("id", "deep", "rf"), planted.select("id", "label"), discovery.Settings(dims=4), (0.1,), (0.74, 0.86))
+    assert grid.count() == 2 and s2.ratio in (0.1, 0.045)
+
+
+def test_content_digests_and_varied_records(spark):
+    import hashlib
+
+    df = spark.createDataFrame([(1, [0.5, -1.25]), (2, None)], "id bigint, v array<double>")
+    got = {r["id"]: r["d"] for r in df.select("id", registry.blake2b_128(registry.float32_bytes(F.col("v"))).alias("d")).collect()}
+    assert got == {1: hashlib.blake2b(np.array([0.5, -1.25], "<f4").tobytes(), digest_size=16).hexdigest(), 2: None}
+    rng = np.random.default_rng(1)
+    records = spark.createDataFrame([(k, rng.normal(size=64).tolist(), rng.normal(size=64).tolist()) for k in range(6)], "id bigint, i array<double>, q array<double>")
+    one = {r["id"]: r["i"] for r in rf.augmented(records).collect()}
+    assert one == {r["id"]: r["i"] for r in rf.augmented(records.repartition(3)).collect()} and all(len(v) == 64 for v in one.values())
+
+
+def test_recordings_of_a_stated_type(spark, tmp_path):
+    (tmp_path / "A1_10ft_run2.sigmf-data").write_bytes(np.arange(64, dtype="<c8").tobytes())
+    (tmp_path / "A1_10ft_run2.sigmf-meta").write_text(json.dumps({"global": {"core:datatype": "cf32_le", "core:sample_rate": 1.0}}))
+    read = lambda **o: files.read_sigmf(spark, str(tmp_path), 16, quantile=0.0, **o).orderBy("start").collect()
+    assert [r["i"][0] for r in read()] == [0.0, 16.0, 32.0, 48.0]  # an even number of samples isn't taken for half as many of twice the size
+    assert len(read(datatype="cf64_le")) == 2
+    (tmp_path / "A1_10ft_run2.sigmf-data").write_bytes(b"x" * 12)
+    with pytest.raises(Exception, match="whole number"):
+        read()
+
+
+def test_chosen_nodes_and_cubes(spark, tmp_path):
+    import pickle
+
+    cells = [[[[np.full((3, 4, 2), 100.0 * t + 10 * r + d)] for d in range(2)] for r in range(2)] for t in range(3)]
+    (tmp_path / "c.pkl").write_bytes(pickle.dumps({"data": cells, "tx_list": ["a", "b", "c"], "rx_list": ["r", "s"], "capture_date_list": ["m", "n"], "equalized_list": [0]}))
+    got = files.read_cube(spark, str(tmp_path), tx=[0, 2], cells=[(1, 0, 0)], max_per_cell=2, seed=3).collect()
+    assert sorted((r["tx"], r["i"][0]) for r in got) == [("a", 10.0)] * 2 + [("c", 210.0)] * 2
+    with pytest.raises(Exception, match="transmitters"):
+        files.read_cube(spark, str(tmp_path), least_tx=40).collect()
+    nodes = tmp_path / "nodes"
+    nodes.mkdir()
+    (nodes / "n.pkl").write_bytes(pickle.dumps({"data": [np.zeros((5, 4, 2)), np.ones((2, 4, 2))], "node_list": ["1-1.", "2-2."]}))
+    got = files.read_nodes(spark, str(nodes), nodes=["2-2.", "1-1."], max_per_node=3, seed=1).groupBy("node", "label").count().collect()
+    assert sorted(map(tuple, got)) == [("1-1.", 1, 3), ("2-2.", 0, 2)]
+    with pytest.raises(Exception, match="lacks"):
+        files.read_nodes(spark, str(nodes), nodes=["9-9."]).collect()
+
+
+def test_remote_ranges(tmp_path):
+    import hashlib
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    data, failed = bytes(range(256)) * 20, []
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):
+            a, b = map(int, self.headers["Range"].removeprefix("bytes=").split("-"))
+            if a not in failed:
+                failed.append(a)
+                self.send_error(503)
+                return
+            self.send_response(206)
+            self.end_headers()
+            self.wfile.write(data[a : b + 1])
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}/x"
+    parts = [(0, 100), (100, 1000), (4000, 5120)]
+    joined = b"".join(data[a:b] for a, b in parts)
+    assert b"".join(files.fetch_ranges(url, parts, wait=0.01, sha256=hashlib.sha256(joined).hexdigest())) == joined
+    with pytest.raises(ValueError, match="contents"):
+        files.fetch_ranges(url, parts, wait=0.01, sha256="0")
+    server.shutdown()
+
+
+def test_running_sums_and_cycles(spark):
+    from vexilar.operators.prefix import running
+
+    rows = spark.createDataFrame([(k % 3 if k % 5 else None, k, (k * 37) % 11) for k in range(300)], "g bigint, k bigint, x bigint")
+    got = {(r["g"], r["k"]): (r["s"], r["n"]) for r in running(rows, ["g"], ["k"], s=F.col("x"), n=F.lit(1)).collect()}
+    totals = {}
+    for k in range(300):
+        g = k % 3 if k % 5 else None
+        s, n = totals.get(g, (0, 0))
+        totals[g] = got_now = (s + (k * 37) % 11, n + 1)
+        assert got[(g, k)] == got_now
+    assert running(rows.limit(0), [], ["k"], s=F.col("x")).count() == 0
+    memory = spark.createDataFrame([(7,), (9,)], "m bigint")
+    assert sorted(tuple(r) for r in splits.cycled(rows.limit(5).select("k"), memory, "k", "m").collect()) == [(0, 7), (1, 9), (2, 7), (3, 9), (4, 7)]
+    assert splits.cycled(rows.select("k"), memory.limit(0), "k", "m").count() == 0

@@ -37,7 +37,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _registered() -> None:
-    from vexilar.plans import more  # noqa: F401 - registers its queries; it needs what this module defines
+    from vexilar.plans import more, scans  # noqa: F401 - they register their queries, and need what this module defines
 
 
 def queries() -> dict[str, Query]:

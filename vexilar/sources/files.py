@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vexilar.sources.store import read_range
+
 IQ = "i array<double>, q array<double>"
 
 
@@ -59,30 +61,55 @@ class _ArraysOnly(__import__("pickle").Unpickler):
         raise ValueError(f"a pickle of signals may not hold {module}.{name}")
 
 
-def read_cube(spark: SparkSession, path: str, pattern: str = "*.pkl") -> DataFrame:
+def _pickled(content: bytes):
+    return _ArraysOnly(io.BytesIO(content), encoding="latin1").load()
+
+
+def _taken(n: int, most: int | None, seed: int | None) -> np.ndarray:
+    """Places of at most ``most`` of n records: the first ones, or with a seed random ones, in their order."""
+    if most is None or n <= most:
+        return np.arange(n)
+    return np.arange(most) if seed is None else np.sort(np.random.default_rng(seed).permutation(n)[:most])
+
+
+def read_cube(
+    spark: SparkSession, path: str, pattern: str = "*.pkl", tx: list[int] | None = None, rx: list[int] | None = None, days: list[int] | None = None, eq: list[int] | None = None,
+    cells: list[tuple[int, int, int]] | None = None, max_per_cell: int | None = None, seed: int | None = None, least_tx: int = 0, least_days: int = 0,
+) -> DataFrame:
     """Pickled cubes data[tx][rx][day][eq] -> [N, L, 2] with their dimension lists, a row a record.
 
-    Columns: tx, rx, day, eq (names), tx_idx, rx_idx, day_idx, eq_idx, sample_idx, sample_id, i, q. Empty cells give no
-    row. Cubes are single files by nature; convert them once and keep the result partitioned by day_idx and rx_idx.
+    tx, rx, days and eq choose places in the dimensions, cells whole (rx, day, eq) triples; of each cell at most
+    ``max_per_cell`` records are read, the first or random ones by a seed. Only chosen records are converted. A cube
+    with fewer transmitters or days than asked for is refused. Columns: tx, rx, day, eq (names), tx_idx, rx_idx,
+    day_idx, eq_idx, sample_idx, sample_id, i, q. Empty cells give no row. A cube is one file and one task by nature;
+    convert it once and keep the result partitioned by day_idx and rx_idx.
     """
+    wanted = [None if c is None else set(c) for c in (tx, rx, days, eq)]
+    triples = None if cells is None else {tuple(c) for c in cells}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):
-                cube = _ArraysOnly(io.BytesIO(content), encoding="latin1").load()
+                cube = _pickled(content)
                 names = [cube.get(k) for k in ("tx_list", "rx_list", "capture_date_list", "equalized_list")]
-                for t, of_tx in enumerate(cube["data"]):
-                    for r, of_rx in enumerate(of_tx):
-                        for d, of_day in enumerate(of_rx):
-                            for e, cell in enumerate(of_day):
-                                if len(cell) == 0:
+                data = cube["data"]
+                n_days = max((len(of_rx) for of_tx in data for of_rx in of_tx), default=0)
+                if len(data) < least_tx or n_days < least_days:
+                    raise ValueError(f"{path} has {len(data)} transmitters and {n_days} days; {least_tx} and {least_days} are needed")
+                chosen = lambda seq, k: [(n, x) for n, x in enumerate(seq) if wanted[k] is None or n in wanted[k]]
+                for t, of_tx in chosen(data, 0):
+                    for r, of_rx in chosen(of_tx, 1):
+                        for d, of_day in chosen(of_rx, 2):
+                            for e, cell in chosen(of_day, 3):
+                                if len(cell) == 0 or triples is not None and (r, d, e) not in triples:
                                     continue
-                                x = as_channels(np.asarray(cell)).astype(float)
+                                keep = _taken(len(cell), max_per_cell, seed)
+                                x = as_channels(np.asarray(cell)[keep]).astype(float)
                                 at = (t, r, d, e)
                                 yield pd.DataFrame(
                                     {n: [str(v[k]) if v is not None else str(k)] * len(x) for n, v, k in zip(("tx", "rx", "day", "eq"), names, at)}
                                     | {n: [k] * len(x) for n, k in zip(("tx_idx", "rx_idx", "day_idx", "eq_idx"), at)}
-                                    | {"sample_idx": range(len(x)), "_file": [path] * len(x), "i": list(x[:, 0]), "q": list(x[:, 1])}
+                                    | {"sample_idx": keep, "_file": [path] * len(x), "i": list(x[:, 0]), "q": list(x[:, 1])}
                                 )
 
     schema = f"tx string, rx string, day string, eq string, tx_idx int, rx_idx int, day_idx int, eq_idx int, sample_idx int, _file string, {IQ}"
@@ -90,8 +117,40 @@ def read_cube(spark: SparkSession, path: str, pattern: str = "*.pkl") -> DataFra
     return rows.withColumn("sample_id", F.xxhash64("_file", "tx_idx", "rx_idx", "day_idx", "eq_idx", "sample_idx")).drop("_file")
 
 
-def read_arrays(spark: SparkSession, path: str, pattern: str = "*.npz") -> DataFrame:
-    """Archives of arrays {stage}_X [N, 2, L], {stage}_y and further {stage}_* columns: stage, sample_idx, label, i, q, extra (map)."""
+def read_nodes(spark: SparkSession, path: str, pattern: str = "*.pkl", nodes: list[str] | None = None, indices: list[int] | None = None, max_per_node: int | None = None, seed: int | None = None, zscore: bool = False) -> DataFrame:
+    """Pickles of a list of [N, L, 2] arrays with node names: node, node_idx, label, sample_idx, i, q.
+
+    nodes (names) or indices choose, not both, and number the labels in that order; a name that a file lacks is an
+    error, and so is a chosen node without records. At most ``max_per_node`` records of each, the first or random ones
+    by a seed; zscore: each channel of a record with mean 0 and deviation 1.
+    """
+    if nodes is not None and indices is not None:
+        raise ValueError("choose by names or by indices")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"]):
+                cube = _pickled(content)
+                names = [str(n) for n in cube["node_list"]]
+                if missing := [n for n in nodes or () if n not in names]:
+                    raise ValueError(f"{path} lacks the nodes {missing}")
+                for label, k in enumerate([names.index(n) for n in nodes] if nodes is not None else indices if indices is not None else range(len(names))):
+                    if not len(cube["data"][k]):
+                        raise ValueError(f"{path} has no records of node {names[k]}")
+                    keep = _taken(len(cube["data"][k]), max_per_node, seed)
+                    x = as_channels(np.asarray(cube["data"][k])[keep]).astype(float)
+                    if zscore:
+                        x = (x - x.mean(axis=2, keepdims=True)) / (x.std(axis=2, keepdims=True) + 1e-8)
+                    yield pd.DataFrame({"node": names[k], "node_idx": k, "label": label, "sample_idx": keep, "i": list(x[:, 0]), "q": list(x[:, 1])})
+
+    return _files(spark, path, pattern).select("path", "content").mapInPandas(run, f"node string, node_idx int, label bigint, sample_idx int, {IQ}")
+
+
+def read_arrays(spark: SparkSession, path: str, pattern: str = "*.npz", classes: int | None = None) -> DataFrame:
+    """Archives of arrays {stage}_X [N, 2, L], {stage}_y and further {stage}_* columns: stage, sample_idx, label, i, q, extra (map).
+
+    classes: labels from 0 to below this number are expected, others are an error.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -100,6 +159,8 @@ def read_arrays(spark: SparkSession, path: str, pattern: str = "*.npz") -> DataF
                 for key in (k for k in z.files if k.endswith("_X")):
                     stage = key[:-2]
                     x, y = as_channels(z[key]).astype(float), as_labels(z[f"{stage}_y"])
+                    if classes is not None and len(y) and not 0 <= y.min() <= y.max() < classes:
+                        raise ValueError(f"{path} has labels from {y.min()} to {y.max()} in {stage}; {classes} classes are expected")
                     more = {k[len(stage) + 1 :]: z[k] for k in z.files if k.startswith(f"{stage}_") and k not in (key, f"{stage}_y") and len(z[k]) == len(x)}
                     yield pd.DataFrame({"stage": stage, "sample_idx": np.arange(len(x)), "label": y, "i": list(x[:, 0]), "q": list(x[:, 1]), "extra": [{k: int(v[n]) for k, v in more.items()} for n in range(len(x))], "_file": path})
 
@@ -107,35 +168,73 @@ def read_arrays(spark: SparkSession, path: str, pattern: str = "*.npz") -> DataF
     return rows.withColumn("sample_id", F.xxhash64("_file", "stage", "sample_idx")).drop("_file")
 
 
-def read_npy(spark: SparkSession, x_path: str, y_path: str) -> DataFrame:
-    """A pair of array files, records and labels: sample_idx, label, i, q."""
+#: Records of an array file that a task reads at once.
+ARRAY_ROWS = 4_096
 
-    def x_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for content in batch["content"]:
-                x = as_channels(np.load(io.BytesIO(content), allow_pickle=False))
-                for k in range(0, len(x), 1024):
-                    part = x[k : k + 1024].astype(float)
-                    yield pd.DataFrame({"sample_idx": np.arange(k, k + len(part)), "i": list(part[:, 0]), "q": list(part[:, 1])})
 
-    def y_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _array_ranges(spark: SparkSession, path: str, pattern: str, columns: str, rows_of) -> DataFrame:
+    """Array files by ranges of rows: headers are read first, then each range by a task of its own."""
+
+    def headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for content in batch["content"]:
-                y = as_labels(np.load(io.BytesIO(content), allow_pickle=False))
-                yield pd.DataFrame({"sample_idx": np.arange(len(y)), "label": y})
+            for name in batch["path"]:
+                head = io.BytesIO(read_range(name, 0, 4096))
+                version = np.lib.format.read_magic(head)
+                shape, fortran, dtype = (np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0)(head)
+                if fortran or dtype.hasobject:
+                    raise ValueError(f"{name} isn't a plain array in row order")
+                width = int(np.prod(shape[1:], dtype=np.int64)) * dtype.itemsize
+                starts = np.arange(0, shape[0], ARRAY_ROWS)
+                yield pd.DataFrame({"path": name, "at": head.tell() + starts * width, "size": np.minimum(ARRAY_ROWS, shape[0] - starts) * width, "start": starts, "shape": json.dumps(shape[1:]), "dtype": dtype.str})
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples():
+                x = np.frombuffer(read_range(r.path, r.at, r.size), r.dtype).reshape(-1, *json.loads(r.shape))
+                yield rows_of(r.path, r.start, x)
+
+    ranges = _files(spark, path, pattern).select("path").mapInPandas(headers, "path string, at bigint, size bigint, start bigint, shape string, dtype string")
+    return ranges.repartition(spark.sparkContext.defaultParallelism * 2).mapInPandas(read, columns)
 
-    read = lambda p: spark.read.format("binaryFile").load(p).select("content")
-    return read(x_path).mapInPandas(x_rows, f"sample_idx bigint, {IQ}").join(read(y_path).mapInPandas(y_rows, "sample_idx bigint, label bigint"), "sample_idx")
+
+def _array_rows(spark: SparkSession, x_path: str, x_pattern: str, y_path: str, y_pattern: str) -> DataFrame:
+    key = lambda path: re.sub(r"\A(X|y)_|\.npy\Z", "", path.rpartition("/")[2]) if "X_" in x_pattern else ""
+
+    def x_rows(path: str, start: int, x: np.ndarray) -> pd.DataFrame:
+        x = as_channels(x).astype(float)
+        return pd.DataFrame({"file": key(path), "sample_idx": np.arange(start, start + len(x)), "i": list(x[:, 0]), "q": list(x[:, 1])})
+
+    def y_rows(path: str, start: int, y: np.ndarray) -> pd.DataFrame:
+        y = as_labels(y)
+        return pd.DataFrame({"file": key(path), "sample_idx": np.arange(start, start + len(y)), "label": y})
+
+    x = _array_ranges(spark, x_path, x_pattern, f"file string, sample_idx bigint, {IQ}", x_rows)
+    return x.join(_array_ranges(spark, y_path, y_pattern, "file string, sample_idx bigint, label bigint", y_rows), ["file", "sample_idx"])
+
+
+def read_npy(spark: SparkSession, x_path: str, y_path: str) -> DataFrame:
+    """A pair of array files, records and labels, read by ranges: sample_idx, label, i, q. Files may be of any size."""
+    return _array_rows(spark, x_path, "*.npy", y_path, "*.npy").drop("file")
+
+
+def read_npy_pairs(spark: SparkSession, path: str) -> DataFrame:
+    """All pairs X_{name}.npy and y_{name}.npy of a folder, read by ranges: file (the name), sample_idx, label, i, q."""
+    return _array_rows(spark, path, "X_*.npy", path, "y_*.npy")
 
 
 IDENTITY = re.compile(r"(?P<serial>[A-Za-z0-9]+)_(?P<distance>\d+)ft_(?:run)?(?P<run>\d+)", re.IGNORECASE)
 
 
-def read_sigmf(spark: SparkSession, path: str, length: int = 256, candidates: int = 12_000, quantile: float = 0.5, per_recording: int | None = None, seed: int = 7) -> DataFrame:
+#: Sample types of recordings, by the names that headers use.
+SAMPLE_TYPES = {"cf32": "<c8", "cf32_le": "<c8", "cf64": "<c16", "cf64_le": "<c16"}
+
+
+def read_sigmf(spark: SparkSession, path: str, length: int = 256, candidates: int = 12_000, quantile: float = 0.5, per_recording: int | None = None, seed: int = 7, datatype: str | None = None) -> DataFrame:
     """SigMF pairs: windows of each recording with at least the quantile of window energy.
 
     The header (*.sigmf-meta) names the sample rate; serial, distance and run come from the file name; the payload
-    (*.sigmf-data) is complex128, or complex64 if the header says cf32 and its size isn't a multiple of 16. At most
+    (*.sigmf-data) is of the header's type, or of ``datatype`` for recordings whose header is wrong; a size that is no
+    whole number of such samples is an error. At most
     ``candidates`` evenly spaced windows that don't overlap are considered, and ``per_recording`` of the strong ones
     are drawn by a seeded hash. Columns: serial, distance_ft, run, sample_rate, start, energy, i, q.
     """
@@ -149,11 +248,12 @@ def read_sigmf(spark: SparkSession, path: str, length: int = 256, candidates: in
                 found = IDENTITY.search(row.name)
                 if not found:
                     raise ValueError(f"no serial, distance and run in {row.name}")
-                single = len(row.content) % 16 and "cf32" in (row.kind or "")
-                size = 8 if single else 16
-                if len(row.content) % size:
-                    raise ValueError(f"{row.name} isn't a whole number of samples")
-                z = np.frombuffer(row.content, "<c8" if single else "<c16")
+                kind = SAMPLE_TYPES.get(datatype or row.kind or "")
+                if kind is None:
+                    raise ValueError(f"{row.name} has samples of type {datatype or row.kind}; {', '.join(SAMPLE_TYPES)} can be read")
+                if len(row.content) % np.dtype(kind).itemsize:
+                    raise ValueError(f"{row.name} isn't a whole number of {datatype or row.kind} samples")
+                z = np.frombuffer(row.content, kind)
                 n = len(z) // length
                 at = np.unique(np.linspace(0, n - 1, min(n, candidates)).astype(int)) * length if n else np.zeros(0, int)
                 w = np.stack([z[a : a + length] for a in at]) if n else np.zeros((0, length), complex)
@@ -201,10 +301,54 @@ def read_json(spark: SparkSession, path: str, schema: str | None = None) -> Data
     return (reader.schema(schema) if schema else reader).json(path)
 
 
-def write_csv(df: DataFrame, path: str) -> None:
+def write_csv(df: DataFrame, path: str, mark: bool = False) -> None:
+    """CSV with a header; mark: with a byte-order mark before it, in every file."""
+    if mark:
+        df = df.withColumnRenamed(df.columns[0], "\ufeff" + df.columns[0])
     df.write.mode("overwrite").option("header", "true").csv(path)
 
 
+def read_stage(spark: SparkSession, path: str, stage: str, fallback: str | None = None) -> DataFrame:
+    """One stage of those that ``sinks.write_stages`` wrote, or the fallback where it is absent; KeyError without either."""
+    have = {r["stage"] for r in spark.read.schema("stage string, rows bigint, checksum string").json(f"{path}/manifest").select("stage").collect()}  # stages
+    name = stage if stage in have else fallback
+    if name not in have:
+        raise KeyError(f"no stage {stage}; there are {sorted(have)}")
+    return spark.read.parquet(f"{path}/stages").where(F.col("stage") == name)
+
+
+def fetch_ranges(url: str, ranges: list[tuple[int, int]], tries: int = 6, wait: float = 0.5, sha256: str | None = None, threads: int = 8) -> list[bytes]:
+    """Parts of a remote file, [first, last) bytes each, over HTTP; a failed part is tried again after a growing pause.
+
+    sha256: of all parts together, checked if given. A server that ignores ranges is refused.
+    """
+    import hashlib
+    import time
+    import urllib.request
+    from concurrent.futures import ThreadPoolExecutor
+
+    def fetch(part: tuple[int, int]) -> bytes:
+        for k in range(tries):
+            try:
+                ask = urllib.request.Request(url, headers={"Range": f"bytes={part[0]}-{part[1] - 1}"})
+                with urllib.request.urlopen(ask, timeout=60) as answer:
+                    data = answer.read()
+                    if answer.status != 206 or len(data) != part[1] - part[0]:
+                        raise ValueError(f"{url} answered {answer.status} with {len(data)} bytes for {part}")
+                    return data
+            except OSError:
+                if k + 1 == tries:
+                    raise
+                time.sleep(wait * 2**k)
+        raise ValueError("at least one try is needed")
+
+    with ThreadPoolExecutor(threads) as pool:
+        found = list(pool.map(fetch, ranges))
+    if sha256 is not None and hashlib.sha256(b"".join(found)).hexdigest() != sha256:
+        raise ValueError(f"{url} has other contents than expected")
+    return found
+
+
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
