@@ -642,3 +642,18 @@ def test_running_sums_and_cycles(spark):
     memory = spark.createDataFrame([(7,), (9,)], "m bigint")
     assert sorted(tuple(r) for r in splits.cycled(rows.limit(5).select("k"), memory, "k", "m").collect()) == [(0, 7), (1, 9), (2, 7), (3, 9), (4, 7)]
     assert splits.cycled(rows.select("k"), memory.limit(0), "k", "m").count() == 0
+
+
+def test_sparse_eigenvectors_span_those_of_the_whole_matrix(monkeypatch):
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(c, 0.6, (60, 3)) for c in (0, 2, 4, 30)])  # the last part is apart: the value 1 comes twice
+    d = cluster._distances(x, x)
+    w = np.exp(-(d**2)) * (d < 2.5)
+    row, col = np.nonzero(w)
+    m = cluster.Affinity(row, col, w[row, col], len(x))
+    whole = cluster.top_eigenvectors(m, 6)
+    monkeypatch.setattr(cluster, "DENSE_NODES", 10)
+    sparse = cluster.top_eigenvectors(m, 6)
+    assert np.abs(sparse - whole @ (whole.T @ sparse)).max() < 1e-7
+    values = [float(c @ m.times(c[:, None])[:, 0]) for c in sparse.T]
+    assert np.allclose(values, np.sort(np.linalg.eigvalsh(m.dense()))[::-1][:6], atol=1e-9)

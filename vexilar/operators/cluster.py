@@ -1,7 +1,7 @@
 """Spectral embedding, density clustering and two-way splits of one round's rows, in numpy.
 
 A round is bounded by the experiment (thousands of rows) and is one task of ``applyInPandas``; many rounds, receivers
-or seeds run side by side as groups. Labels are dense from 0, noise is -1.
+or seeds run side by side as groups. No matrix of rows by rows is held. Labels are dense from 0, noise is -1.
 """
 
 from __future__ import annotations
@@ -10,51 +10,109 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-#: Rows of a group that these dense methods accept; beyond it they refuse rather than exhaust an executor.
-MOST_ROWS = 20_000
+#: Rows of a group that one task takes; beyond it they are refused. Memory grows with the rows, time with their square.
+MOST_ROWS = 200_000
+#: Nodes up to which eigenvectors come from the whole matrix; rows that distances are worked out for at once.
+DENSE_NODES, STRIP = 3_000, 256
 
 
 def _checked(n: int) -> None:
     if n > MOST_ROWS:
-        raise ValueError(f"a group of {n} rows is too large for a dense method; the limit is {MOST_ROWS}")
+        raise ValueError(f"a group of {n} rows is too large for one task; the limit is {MOST_ROWS}")
 
 
-def spectral_embedding(weights: np.ndarray, dims: int = 16) -> np.ndarray:
-    """Laplacian eigenmaps of a symmetric affinity: min(dims, n - 2) columns, the trivial one left out.
+class Affinity:
+    """A symmetric sparse matrix without its diagonal, scaled by the roots of its row sums on both sides."""
+
+    def __init__(self, row: np.ndarray, col: np.ndarray, weight: np.ndarray, n: int) -> None:
+        off = (row != col) & (weight != 0)
+        order = np.lexsort((col[off], row[off]))
+        self.n, self.row, self.col, w = n, row[off][order], col[off][order], weight[off][order]
+        self.degree = np.bincount(self.row, w, n)
+        self.root = np.sqrt(np.where(self.degree > 0, self.degree, 1.0))
+        self.weight = w / self.root[self.row] / self.root[self.col]
+
+    def times(self, x: np.ndarray) -> np.ndarray:
+        """The product with the columns of x. A node without edges has the eigenvalue 1, as in the Laplacian's 0."""
+        out = np.stack([np.bincount(self.row, self.weight * c[self.col], self.n) for c in x.T], axis=1)
+        return out + x * (self.degree <= 0)[:, None]
+
+    def dense(self) -> np.ndarray:
+        out = np.diag((self.degree <= 0).astype(float))
+        out[self.row, self.col] += self.weight
+        return out
+
+
+def top_eigenvectors(m: Affinity, k: int, seed: int = 0, tolerance: float = 1e-9, rounds: int = 200) -> np.ndarray:
+    """Eigenvectors of the k greatest eigenvalues, by falling value: of the whole matrix, or by a block Krylov method.
+
+    The block is wider than k, so that values of higher multiplicity, one for each part of a graph, are all found. Each
+    round multiplies a block by the matrix a few times and keeps the best of what it spans, until residuals vanish.
+    """
+    if m.n <= DENSE_NODES:
+        values, vectors = np.linalg.eigh(m.dense())
+        return vectors[:, ::-1][:, :k]
+    block = np.linalg.qr(np.random.default_rng(seed).normal(size=(m.n, min(m.n, k + 12))))[0]
+    for _ in range(rounds):
+        span, now = [block], block
+        for _ in range(8):
+            now = m.times(now)
+            for _ in range(2):  # twice, as once leaves rounding behind
+                for q in span:
+                    now = now - q @ (q.T @ now)
+            now = np.linalg.qr(now)[0]
+            span.append(now)
+        basis = np.hstack(span)
+        image = m.times(basis)
+        values, inner = np.linalg.eigh(basis.T @ image)
+        best = inner[:, ::-1][:, : block.shape[1]]
+        block = basis @ best
+        if np.linalg.norm((image @ best - block * values[::-1][: block.shape[1]])[:, :k], axis=0).max() < tolerance:
+            return block[:, :k]
+    raise RuntimeError(f"the eigenvectors of a graph of {m.n} nodes did not settle in {rounds} rounds")
+
+
+def embedded(m: Affinity, dims: int) -> np.ndarray:
+    """Laplacian eigenmaps: min(dims, n - 2) columns, the trivial one left out.
 
     Columns are scaled by the square root of degrees as usual, and their sign makes the greatest component positive.
     """
-    n = len(weights)
-    _checked(n)
-    k = min(dims, n - 2)
+    _checked(m.n)
+    k = min(dims, m.n - 2)
     if k < 1:
-        return np.zeros((n, 0))
-    w = weights - np.diag(np.diag(weights))
-    degree = w.sum(axis=1)
-    root = np.sqrt(np.where(degree > 0, degree, 1.0))
-    _, vectors = np.linalg.eigh(np.eye(n) * (degree > 0) - w / root[:, None] / root[None, :])
-    out = vectors[:, 1 : k + 1] / root[:, None]
+        return np.zeros((m.n, 0))
+    out = top_eigenvectors(m, k + 1)[:, 1:] / m.root[:, None]
     top = np.abs(out).argmax(axis=0)
     return out * np.where(out[top, np.arange(k)] < 0, -1.0, 1.0)
 
 
-def _distances(x: np.ndarray) -> np.ndarray:
-    sq = (x * x).sum(axis=1)
-    return np.sqrt(np.maximum(sq[:, None] + sq[None, :] - 2 * x @ x.T, 0.0))
+def spectral_embedding(weights: np.ndarray, dims: int = 16) -> np.ndarray:
+    """``embedded`` of a symmetric affinity matrix."""
+    row, col = np.nonzero(weights)
+    return embedded(Affinity(row, col, weights[row, col], len(weights)), dims)
+
+
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum((a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2 * a @ b.T, 0.0))
 
 
-def _spanning_tree(d: np.ndarray) -> list[tuple[float, int, int]]:
-    """Prim's minimum spanning tree of a dense distance matrix, edges by weight."""
-    n = len(d)
-    near, via, left = d[0].copy(), np.zeros(n, int), np.ones(n, bool)
-    left[0] = False
+def _core_distances(x: np.ndarray, k: int) -> np.ndarray:
+    """Each row's distance to its k-th nearest, itself the first."""
+    return np.concatenate([np.partition(_distances(x[i : i + STRIP], x), k - 1, axis=1)[:, k - 1] for i in range(0, len(x), STRIP)])
+
+
+def _spanning_tree(x: np.ndarray, core: np.ndarray) -> list[tuple[float, int, int]]:
+    """Prim's minimum spanning tree over mutual reachability, edges by weight; distances are worked out row by row."""
+    n, j = len(x), 0
+    near, via, left = np.full(n, np.inf), np.zeros(n, int), np.ones(n, bool)
     edges = []
     for _ in range(n - 1):
+        left[j] = False
+        reach = np.maximum(np.maximum(np.sqrt(((x - x[j]) ** 2).sum(axis=1)), core), core[j])
+        closer = left & (reach < near)
+        near[closer], via[closer] = reach[closer], j
         j = int(np.where(left, near, np.inf).argmin())
         edges.append((float(near[j]), int(via[j]), j))
-        left[j] = False
-        closer = left & (d[j] < near)
-        near[closer], via[closer] = d[j][closer], j
     return sorted(edges)
 
 
@@ -69,9 +127,8 @@ def hdbscan(x: np.ndarray, min_cluster_size: int = 10, min_samples: int = 5, met
     labels, probs = np.full(n, -1), np.zeros(n)
     if n < max(2, min_cluster_size):
         return labels, probs
-    d = _distances(np.asarray(x, float))
-    core = np.partition(d, min(min_samples, n) - 1, axis=1)[:, min(min_samples, n) - 1]
-    reach = np.maximum(np.maximum(d, core[:, None]), core[None, :])
+    x = np.asarray(x, float)
+    core = _core_distances(x, min(min_samples, n))
     # single linkage: children and height of each merged node
     parent = np.arange(2 * n - 1)
     children: dict[int, tuple[int, int, float]] = {}
@@ -83,7 +140,7 @@ def hdbscan(x: np.ndarray, min_cluster_size: int = 10, min_samples: int = 5, met
             a = parent[a]
         return a
 
-    for k, (h, a, b) in enumerate(_spanning_tree(reach)):
+    for k, (h, a, b) in enumerate(_spanning_tree(x, core)):
         a, b, node = find(a), find(b), n + k
         children[node] = (a, b, h)
         parent[a] = parent[b] = node
@@ -208,11 +265,12 @@ def k_means(x: np.ndarray, k: int, seed: int = 0, rounds: int = 300, starts: int
 
 def silhouette(x: np.ndarray, labels: np.ndarray) -> float:
     """Mean silhouette with plain Euclidean distances; 0 with fewer than two clusters, and for rows alone in one."""
-    d, values = _distances(x), np.unique(labels)
+    values = np.unique(labels)
     if len(values) < 2:
         return 0.0
-    sums = np.stack([d[:, labels == v].sum(axis=1) for v in values], axis=1)
-    sizes = np.array([(labels == v).sum() for v in values])
+    member = (labels[:, None] == values[None, :]).astype(float)
+    sums = np.concatenate([_distances(x[i : i + STRIP], x) @ member for i in range(0, len(x), STRIP)])
+    sizes = member.sum(axis=0)
     own = np.searchsorted(values, labels)
     rows = np.arange(len(x))
     a = sums[rows, own] / np.maximum(sizes[own] - 1, 1)
@@ -258,14 +316,13 @@ def project_groups(df: DataFrame, keys: list[str], vec: str = "v") -> DataFrame:
 
 
 def spectral_of(edges: DataFrame, dims: int = 16) -> DataFrame:
-    """(id, v): spectral embedding of one graph of at most MOST_ROWS nodes."""
+    """(id, v): spectral embedding of one graph (src, dst, w, both directions) of at most MOST_ROWS nodes."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = np.unique(np.concatenate([pdf["src"].to_numpy(), pdf["dst"].to_numpy()]))
-        _checked(len(ids))
-        w = np.zeros((len(ids), len(ids)))
-        w[np.searchsorted(ids, pdf["src"]), np.searchsorted(ids, pdf["dst"])] = pdf["w"]
-        return pd.DataFrame({"id": ids, "v": list(spectral_embedding(w, dims))})
+        src, dst = pdf["src"].to_numpy(), pdf["dst"].to_numpy()
+        ids = np.unique(np.concatenate([src, dst]))
+        m = Affinity(np.searchsorted(ids, src), np.searchsorted(ids, dst), pdf["w"].to_numpy(), len(ids))
+        return pd.DataFrame({"id": ids, "v": list(embedded(m, dims))})
 
     from pyspark.sql import functions as F
 

@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Cells of a grid of dimensions at most; its dimension tables are broadcast.
+MOST_CELLS = 10_000_000
+
 
 def mean_std(df: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
     """Mean and sample standard deviation of each metric by group, named metric_mean and metric_std."""
@@ -47,6 +50,9 @@ def union_rows(*tables: DataFrame) -> DataFrame:
 
 def cell_grid(df: DataFrame, dims: list[DataFrame], keys: list[str], least: int) -> DataFrame:
     """Counts over a dense grid of small dimension tables: rows, and whether a cell is valid (>= least) or empty."""
+    cells = reduce(lambda a, b: a * b, (d.count() for d in dims), 1)
+    if cells > MOST_CELLS:
+        raise ValueError(f"a design of {cells} cells isn't a grid of small dimensions")
     grid = reduce(lambda a, b: a.crossJoin(F.broadcast(b)), dims)  # a row a cell of the design
     n = F.coalesce("count", F.lit(0))
     return grid.join(df.groupBy(*keys).count(), keys, "left").select(*keys, n.alias("n"), (n >= least).alias("valid"), (n == 0).alias("empty"))
