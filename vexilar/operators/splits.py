@@ -49,6 +49,21 @@ def seeded(df: DataFrame, keys: list[str], id_col: str, share: float = 0.7, seed
     return df.withColumn("split", F.when(rn <= F.floor(n * share), "train").otherwise("eval"))
 
 
+def held_out(df: DataFrame, column: str, values: list) -> DataFrame:
+    """Adds split: rows with one of these values (receivers, distances) are eval, so that none is on both sides."""
+    return df.withColumn("split", F.when(F.coalesce(F.col(column).isin(values), F.lit(False)), "eval").otherwise("train"))
+
+
+def known_unknown(df: DataFrame, known: int, offset: int | None = None, label: str = "label") -> DataFrame:
+    """Adds kind, known for classes below ``known``, and local, the class's number within its kind.
+
+    offset: unknown classes are numbered from there in ``label`` too; None leaves labels as they are.
+    """
+    is_known = F.col(label) < known
+    out = df.withColumn("kind", F.when(is_known, "known").otherwise("unknown")).withColumn("local", F.when(is_known, F.col(label)).otherwise(F.col(label) - known))
+    return out if offset is None else out.withColumn(label, F.when(F.col("kind") == "known", F.col(label)).otherwise(F.col("local") + offset))
+
+
 def stratified(df: DataFrame, label: str, id_col: str, share: float = 1 / 7, seed: int = 7, group: str | None = None) -> DataFrame:
     """Adds split: max(1, round(share * n)) rows (or whole groups) of each class are val, n - 1 at most."""
     if group is None:
@@ -120,6 +135,14 @@ def content_overlap(left: DataFrame, right: DataFrame, column: str) -> DataFrame
     return both.agg(F.count("*").alias("overlap")).select(F.lit(left.count()).alias("left_rows"), F.lit(right.count()).alias("right_rows"), "overlap")
 
 
+def record_overlap(left: DataFrame, right: DataFrame, vec: str) -> DataFrame:
+    """``content_overlap`` of records by the BLAKE2b digests of their 32-bit floats."""
+    from vexilar.functions.registry import blake2b_128, float32_bytes
+
+    digest = lambda df: df.select(blake2b_128(float32_bytes(F.col(vec))).alias("d"))
+    return content_overlap(digest(left), digest(right), "d")
+
+
 def assert_disjoint(left: DataFrame, right: DataFrame, column: str) -> None:
     n = content_overlap(left, right, column).first()["overlap"]
     if n:

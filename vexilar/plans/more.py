@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from vexilar.functions import registry, rf, vectors
+from vexilar.models import networks, training
 from vexilar.operators import consolidate, graph, prototypes, recordings, splits
 from vexilar.operators.prefix import running
 from vexilar.plans import discovery, methods, signal_sql
-from vexilar.plans.queries import CL, E, HALVES, IQ, MEANS, R, _clusters, _cos_graph, _iq, _parts, _r, _two_views, _vectors, query
+from vexilar.plans.queries import CL, E, HALVES, IQ, MEANS, R, _clusters, _cos_graph, _iq, _parts, _r, _sym, _two_views, _vectors, query
 from vexilar.session import materialize, table
 
 UNIT_OF = lambda v: f"list_transform({v}, lambda x: x / (sqrt(list_inner_product({v}, {v})) + 1e-8))"
@@ -40,10 +41,25 @@ def constant_fill(spark, sf_dir):
     return part("customer", "c_custkey", "customer").union(part("supplier", "s_suppkey", "supplier"))
 
 
-@query(f"WITH {E} SELECT id, CASE WHEN label < 6 THEN label ELSE label - 6 END AS local_label, CASE WHEN label < 6 THEN label ELSE label - 6 + 90 END AS label FROM e")
+@query(f"WITH {E} SELECT id, CASE WHEN label < 6 THEN 'known' ELSE 'unknown' END AS kind, CASE WHEN label < 6 THEN label ELSE label - 6 END AS local, CASE WHEN label < 6 THEN label ELSE label - 6 + 90 END AS label FROM e")
 def label_offset(spark, sf_dir):
-    local = F.when(F.col("label") < 6, F.col("label")).otherwise(F.col("label") - 6)
-    return _vectors(spark, sf_dir).select("id", local.alias("local_label"), (local + F.when(F.col("label") < 6, 0).otherwise(90)).alias("label"))
+    return splits.known_unknown(_vectors(spark, sf_dir).select("id", "label"), 6, 90)
+
+
+@query("SELECT event_id, user_id % 4 AS receiver, CASE WHEN user_id % 4 IN (1, 3) THEN 'eval' ELSE 'train' END AS split FROM events")
+def disjoint_split(spark, sf_dir):
+    return splits.held_out(table(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 4).alias("receiver")), "receiver", [1, 3])
+
+
+@query("WITH e AS (SELECT DISTINCT vec_id, embedding FROM embeddings) SELECT (SELECT count(*) FROM e WHERE vec_id % 2 = 0) AS left_rows, (SELECT count(*) FROM e WHERE vec_id % 3 = 0) AS right_rows, (SELECT count(DISTINCT embedding) FROM e WHERE embedding IN (SELECT embedding FROM e WHERE vec_id % 2 = 0) AND embedding IN (SELECT embedding FROM e WHERE vec_id % 3 = 0)) AS overlap")
+def record_overlap_audit(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return splits.record_overlap(e.where("vec_id % 2 = 0"), e.where("vec_id % 3 = 0"), "embedding")
+
+
+@query(f"WITH {E}, {HALVES}, {_cos_graph('da', 'g')}, {_cos_graph('rb', 'h')}, j AS (SELECT src, dst, coalesce(g.w, 0) AS a, coalesce(h.w, 0) AS b FROM g FULL JOIN h USING (src, dst)), f AS (SELECT src, dst, 0.6 * a + 0.4 * b AS w FROM j), {_sym('f', 's')} SELECT src, dst, {R('w')} AS w FROM s")
+def multiview_cosine_graph(spark, sf_dir):
+    return graph.multiview_graph(_two_views(spark, sf_dir), "deep", "rf", alpha=0.6, kinds=("cosine", "cosine")).select("src", "dst", _r("w").alias("w"))
 
 
 @query(f"WITH {CL}, n AS (SELECT cluster, count(*) AS n FROM c WHERE cluster <> -1 GROUP BY cluster) SELECT cluster, n, row_number() OVER (ORDER BY n DESC, cluster) AS place FROM n")
@@ -208,3 +224,12 @@ def calibration_choice(spark, sf_dir):
     grid = table(spark, sf_dir, "part").select(size.alias("clusters"), (size % 7).alias("error"), (key % 97 / 97).alias("nmi"), (key % 89 / 89).alias("ari"), (key % 83 / 83).alias("hungarian"), (key / 10000).alias("ratio"), (size / 100).alias("threshold"))
     s, informative = methods.calibrated(grid, discovery.Settings())
     return spark.createDataFrame([(s.ratio, s.threshold, informative)], "ratio double, threshold double, informative boolean").select(_r("ratio").alias("ratio"), _r("threshold").alias("threshold"), "informative")
+
+
+@query()
+def network_predictions(spark, sf_dir):
+    """A small network trained on three quarters of the records, and its predictions for all of them."""
+    df = _iq(spark, sf_dir)
+    recipe = training.Recipe(epochs=2, rates={"": 2e-3}, vary=False)
+    net, _ = training.train_closed_set(df.where("id % 4 <> 0"), df.where("id % 4 = 0"), networks.Network("residual", 10, 16), recipe)
+    return training.extract(df, net).select("id", "label", "pred", F.transform("feature", lambda x: F.round(x, 3)).alias("feature"))
