@@ -657,3 +657,19 @@ def test_sparse_eigenvectors_span_those_of_the_whole_matrix(monkeypatch):
     assert np.abs(sparse - whole @ (whole.T @ sparse)).max() < 1e-7
     values = [float(c @ m.times(c[:, None])[:, 0]) for c in sparse.T]
     assert np.allclose(values, np.sort(np.linalg.eigvalsh(m.dense()))[::-1][:6], atol=1e-9)
+
+
+@pytest.mark.parametrize("method", ["tsne", "neighbours"])
+def test_layouts_keep_neighbours_together(spark, planted, method):
+    from vexilar.operators import project
+
+    rows = planted.where("label >= 0").withColumn("g", F.lit(0))
+    one = project.project(rows, ["g"], method).join(rows.select("id", "label"), "id").toPandas().sort_values("id")
+    two = project.project(rows.repartition(3), ["g"], method).toPandas().sort_values("id")
+    assert np.allclose(one[["x", "y"]], two[["x", "y"]])
+    xy, label = one[["x", "y"]].to_numpy(), one["label"].to_numpy()
+    d = ((xy[:, None] - xy[None]) ** 2).sum(2)
+    np.fill_diagonal(d, np.inf)
+    assert (label[np.argsort(d, axis=1)[:, :5]] == label[:, None]).mean() > 0.97
+    for n in (1, 2, 3):
+        assert project.METHODS[method](np.arange(n * 4.0).reshape(n, 4)).shape[0] == n
