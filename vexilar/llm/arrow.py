@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame
 from vexilar.session import ship
 
 #: Bytes of text a worker turns into Python objects at once; longer single rows stand alone.
-SLICE_BYTES = 8_000_000
+SLICE_BYTES = 4_000_000
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -29,20 +30,42 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
     yield batch.slice(start)
 
 
-#: What goes to a worker at once; Spark's own default, 10,000 rows, is tens of MB of text on both sides of the pipe.
-BATCH_ROWS, BATCH_BYTES = 2_000, 8_000_000
+#: What goes to a worker at once, and what a scan holds at once; Spark's own defaults, 10,000 and 4,096 rows, are tens
+#: of MB of text each.
+BATCH_ROWS, BATCH_BYTES, SCAN_ROWS = 2_000, 4_000_000, 512
 
 
 def _small_batches(df: DataFrame) -> None:
-    """Bounds the session's Arrow batches, where they are larger."""
+    """Bounds the session's Arrow batches and those of Parquet scans, where they are larger."""
     conf = df.sparkSession.conf
-    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
-        name = f"spark.sql.execution.arrow.{key}"
+    arrow = "spark.sql.execution.arrow"
+    for name, most in ((f"{arrow}.maxRecordsPerBatch", BATCH_ROWS), (f"{arrow}.maxBytesPerBatch", BATCH_BYTES), ("spark.sql.parquet.columnarReaderBatchSize", SCAN_ROWS)):
         now = (conf.get(name, None) or "").rstrip("b")  # None: not set, so Spark's default
         if not now.isdigit() or not 0 < int(now) <= most:
             conf.set(name, str(most))
 
 
+#: Of glibc's mallopt: the size from which a block is mapped on its own, and so given back as soon as it is freed.
+MMAP_THRESHOLD = -3
+
+
+def give_back() -> None:
+    """Returns what a worker has freed to the system: it is used again, perhaps for something larger."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
+def map_large_blocks(least: int = 1_000_000) -> None:
+    """Keeps freed arrays of this size from staying with a worker, at the cost of some time for each."""
+    try:
+        ctypes.CDLL("libc.so.6").mallopt(MMAP_THRESHOLD, least)
+    except (OSError, AttributeError):
+        return
+
+
 def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str, column: str, limit: int = SLICE_BYTES) -> DataFrame:
     """``df`` through a function of record batches. make() runs once a task, in the worker, and gives the function.
 
@@ -57,6 +80,6 @@ def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Re
         for batch in batches:
             for part in slices(batch, column, limit):
                 yield step(part)
-        pa.default_memory_pool().release_unused()  # the worker is used again, perhaps for something larger
+        give_back()
 
     return df.mapInArrow(run, schema)

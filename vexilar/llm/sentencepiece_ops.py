@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vexilar.llm.arrow import map_arrow
+from vexilar.llm.arrow import map_arrow, map_large_blocks
 from vexilar.llm.text import own_columns
 
 BLANK = "▁"
@@ -668,6 +668,8 @@ def sample_documents(docs: DataFrame, k: int = 2, seed: int = 17, name: str = "p
 
 def _make_both(name: str, k: int, kept: int):
     def make():
+        if kept < KEPT:
+            map_large_blocks()
         c = codec(name)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -683,7 +685,8 @@ def _make_both(name: str, k: int, kept: int):
 def encode_and_sample(docs: DataFrame, k: int = 2, seed: int = 17, name: str = "piece_bpe_32k.model", doc_id: str = "doc_id", text: str = "text", kept: int = KEPT) -> DataFrame:
     """(doc_id, ids, round_trip, samples): ``encode_documents`` and ``sample_documents`` in one pass over the texts.
 
-    kept: stretches that a worker keeps, at about 0.5 kB each; it changes the speed only.
+    kept: stretches that a worker keeps, at about 0.5 kB each; it changes the speed only. A worker that keeps fewer
+    than KEPT also gives memory back sooner.
     """
     own = own_columns(docs, _id=doc_id, _text=F.col(f"`{text}`").cast("string")).withColumn("_seed", row_seed(F.col("_id"), seed))
     return map_arrow(own, _make_both(name, k, kept), f"_id {dict(docs.dtypes)[doc_id]}, ids array<int>, round_trip boolean, samples {SAMPLES}", "_text", SLICE).withColumnRenamed("_id", "doc_id")
