@@ -270,7 +270,7 @@ class CaptureIndex:
         return cls(root, [r.asDict() for r in directory.toLocalIterator()])
 
     def find(self, key: str) -> list[dict]:
-        """All captures with this key."""
+        """All captures with this key, none for an unknown key or an empty directory; repeated rows are each a capture."""
         found, k = [], max(0, bisect_right(self.keys, key) - 1)
         while k > 0 and self.keys[k] == key:  # captures of one key may begin in an earlier block
             k -= 1
