@@ -673,3 +673,16 @@ def test_layouts_keep_neighbours_together(spark, planted, method):
     assert (label[np.argsort(d, axis=1)[:, :5]] == label[:, None]).mean() > 0.97
     for n in (1, 2, 3):
         assert project.METHODS[method](np.arange(n * 4.0).reshape(n, 4)).shape[0] == n
+
+
+def test_ties_of_matches_fall_to_the_first():
+    from itertools import permutations
+
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        n = rng.integers(0, 3, (rng.integers(1, 5), rng.integers(1, 5)))
+        wide = np.hstack([n, np.zeros((len(n), len(n)), int)])  # a column of their own for rows without one
+        every = [p for p in permutations(range(wide.shape[1]), len(n))]
+        total = max(sum(wide[i, j] for i, j in enumerate(p)) for p in every)
+        best = {tuple(j if wide[i, j] > 0 else 99 for i, j in enumerate(p)) for p in every if sum(wide[i, j] for i, j in enumerate(p)) == total}
+        assert metrics._first_of_best(n) == [None if j == 99 else j for j in min(best)]

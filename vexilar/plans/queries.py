@@ -369,7 +369,7 @@ def _match_sql() -> str:
     """The best one-to-one match of clusters 0 to 7 with labels, cluster by cluster, for every set of labels used."""
     first = "g0 AS (SELECT 0 AS used, 0::HUGEINT AS total, []::BIGINT[] AS mapped)"
     step = lambda k: (
-        f"g{k + 1} AS (SELECT used, max(total) AS total, arg_max(mapped, total) AS mapped FROM (SELECT used, total, list_append(mapped, NULL) AS mapped FROM g{k} "
+        f"g{k + 1} AS (SELECT used, max(total) AS total, arg_min(mapped, {{'a': -total, 'b': mapped}}) AS mapped FROM (SELECT used, total, list_append(mapped, NULL) AS mapped FROM g{k} "
         f"UNION ALL SELECT used | (1 << label), total + n, list_append(mapped, label) FROM g{k} JOIN t ON cluster = {k} AND used & (1 << label) = 0) GROUP BY used)"
     )
     return ", ".join([f"{CL}, t AS (SELECT cluster, label, count(*) AS n FROM c WHERE cluster <> -1 GROUP BY ALL)", first, *map(step, range(8))])
@@ -381,7 +381,7 @@ def hungarian_accuracy(spark, sf_dir):
     return spark.createDataFrame([(metrics.hungarian_accuracy(t),)], "accuracy double").select(_r("accuracy").alias("accuracy"))
 
 
-@query(f"WITH {_match_sql()}, best AS (SELECT arg_max(mapped, total) AS mapped FROM g8) SELECT cluster, coalesce(mapped[cluster + 1], -(1000000 + cluster)) AS mapped FROM (SELECT DISTINCT cluster FROM t), best")
+@query(f"WITH {_match_sql()}, best AS (SELECT arg_min(mapped, {{'a': -total, 'b': mapped}}) AS mapped FROM g8) SELECT cluster, coalesce(mapped[cluster + 1], -(1000000 + cluster)) AS mapped FROM (SELECT DISTINCT cluster FROM t), best")
 def posthoc_alignment(spark, sf_dir):
     return metrics.posthoc_map(materialize(metrics.contingency(_clusters(spark, sf_dir)), "table"))
 
