@@ -16,8 +16,8 @@ from vexilar.session import materialize
 
 #: Bytes of test windows, or of lists of items, that are broadcast at most.
 BROADCAST_BYTES = 64_000_000
-#: Fingerprints that are broadcast at once, at some 30 bytes each; more go over the texts in several blocks.
-BROADCAST_PRINTS = 2_000_000
+#: Fingerprints that are broadcast at once, at some 60 bytes each; more go over the texts in several blocks.
+BROADCAST_PRINTS = 1_000_000
 
 
 def _gram_min(words: str, start: str, span: int, k: int) -> Column:

@@ -28,8 +28,8 @@ from vexilar.session import materialize, scratch_path
 
 #: Bytes after which a task starts another archive, lines in a block of the index, and gzip's level.
 ARCHIVE_BYTES, BLOCK_LINES, LEVEL = 256_000_000, 500, 4
-#: Repeated payloads that are broadcast at most: at about 70 bytes each, 70 MB.
-BROADCAST_ROWS = 1_000_000
+#: Repeated payloads that are broadcast at most: at about 130 bytes each in a hash table, 65 MB.
+BROADCAST_ROWS = 500_000
 #: Bytes of archives that a task reads, and that it reads at once where records follow each other.
 TASK_BYTES, READ_BYTES = 64_000_000, 8_000_000
 # Fixed values of the format.
