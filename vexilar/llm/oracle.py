@@ -6,7 +6,7 @@ tokenizer and XXH64 are not SQL functions, and context scores of personal data a
 
 from __future__ import annotations
 
-from vexilar.llm import license_scan, quality, url_filter
+from vexilar.llm import license_scan, line_dedup, quality, url_filter, vector_codes
 
 LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 WORDS = rf"list_filter(regexp_split_to_array({LOW}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
@@ -97,5 +97,53 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated FROM d LEFT JOIN hit USING (r) LEFT JOIN items USING (r)"""
 
 
+_OP11 = """
+WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, i)) AS t),
+runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run FROM documents),
+long AS (SELECT run, length(run) AS size, hex(CAST(doc_id AS VARCHAR) || ':' || run) AS x, t FROM runs, crc WHERE length(run) >= 7),
+hashed AS (SELECT run, size, xor(list_reduce(range(0, length(x) // 2), lambda c, i: xor(t[(xor(c, CAST('0x' || substr(x, 2 * i + 1, 2) AS BIGINT)) & 255) + 1], c >> 8), 4294967295), 4294967295) AS h FROM long),
+words AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % size) || substr(run, h % size + 2) ELSE run END AS word FROM hashed),
+v AS MATERIALIZED (SELECT word, count(*) AS n FROM words WHERE length(word) >= 7 GROUP BY word HAVING count(*) >= 2),
+cut AS (SELECT DISTINCT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS s FROM (SELECT word, n, unnest(range(0, length(word))) AS i FROM v)),
+shorter AS (SELECT DISTINCT c.word AS a, v.word AS b FROM cut c JOIN v ON c.s = v.word),
+near AS (SELECT a AS word, b AS near FROM shorter UNION ALL SELECT b, a FROM shorter
+  UNION ALL SELECT DISTINCT c.word, d.word FROM cut c JOIN cut d ON c.i = d.i AND c.s = d.s AND length(c.word) = length(d.word) AND c.word <> d.word),
+best AS (SELECT near.word, count(*) AS n_near, min(struct_pack(less := -v.n, word := near.near)) AS b FROM near JOIN v ON near.near = v.word GROUP BY near.word),
+found AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN -b.less >= 10 * v.n THEN b.word END AS form, CASE WHEN -b.less >= 10 * v.n THEN -b.less END AS form_n FROM v LEFT JOIN best USING (word)),
+walk AS (SELECT word, form AS at FROM found WHERE form IS NOT NULL UNION SELECT walk.word, found.form FROM walk JOIN found ON walk.at = found.word WHERE found.form IS NOT NULL),
+ends AS (SELECT walk.word, walk.at AS root FROM walk JOIN found ON walk.at = found.word WHERE found.form IS NULL)
+SELECT word, form, coalesce(root, word) AS root, n, n_near, form_n FROM found LEFT JOIN ends USING (word)"""
+
+
+def _op12() -> str:
+    steps = []
+    for k in range(vector_codes.ROUNDS + 1):
+        steps.append(f"a{k} AS MATERIALIZED (SELECT r, p, c, m % 16 AS e, m // 16 AS d FROM (SELECT r, x.p, any_value(x.c) AS c, min(16 * list_sum(list_transform(list_zip(x.c, b.c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) + e) AS m FROM x JOIN b{k} b ON x.p = b.p GROUP BY r, x.p))")
+        if k < vector_codes.ROUNDS:
+            steps.append(f"s{k} AS (SELECT p, e, i, CAST(floor(sum(z) / count(*)) AS BIGINT) AS z FROM (SELECT p, e, unnest(c) AS z, unnest(range(len(c))) AS i FROM a{k}) GROUP BY p, e, i)")
+            steps.append(f"b{k + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(n.c, b.c) AS c FROM b{k} b LEFT JOIN (SELECT p, e, list(z ORDER BY i) AS c FROM s{k} GROUP BY p, e) n ON b.p = n.p AND b.e = n.e)")
+    last = vector_codes.ROUNDS
+    return f"""
+WITH v AS (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r, vec_id, label, list_transform(embedding, lambda z: CAST(floor({vector_codes.SCALE} * CAST(z AS DOUBLE)) AS BIGINT)) AS c
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda z: z IS NULL OR NOT isfinite(z))) = 0),
+x AS MATERIALIZED (SELECT r, p, c[p * len(c) // 8 + 1:(p + 1) * len(c) // 8] AS c FROM (SELECT r, c, unnest(range(8)) AS p FROM v)),
+b0 AS (SELECT p, r - 1 AS e, c FROM x WHERE r <= 16),
+{', '.join(steps)},
+books AS (SELECT sha256(string_agg(CAST(z AS VARCHAR), ',' ORDER BY p, e, i)) AS h FROM (SELECT p, e, unnest(c) AS z, unnest(range(len(c))) AS i FROM b{last})),
+codes AS (SELECT r, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{last} GROUP BY r)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256 FROM v JOIN codes USING (r), books"""
+
+
+_OP13 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+lines AS (SELECT r, doc_id, unnest(l) AS line, unnest(range(len(l))) AS i FROM d),
+keyed AS (SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines),
+shared AS (SELECT key, max(doc_id) AS last FROM keyed WHERE length(key) >= {line_dedup.LEAST_LENGTH} GROUP BY key HAVING count(DISTINCT r) >= {line_dedup.LEAST_DOCUMENTS}),
+judged AS (SELECT r, i, line, keyed.key IN (SELECT key FROM shared) AND doc_id IS DISTINCT FROM last AS goes FROM keyed LEFT JOIN shared USING (key)),
+kept AS (SELECT r, count(*) AS n_lines, count(*) FILTER (goes) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT goes), '')) AS kept_sha256 FROM judged GROUP BY r)
+SELECT doc_id, n_lines, n_dropped, kept_sha256 FROM d JOIN kept USING (r)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": _op1(), "op4_url_filter": _op4(), "op7_warc": _OP7, "op8_quality": _op8(), "op9_decontaminate": _OP9}
+    found = {"op1_license_scan": _op1(), "op4_url_filter": _op4(), "op7_warc": _OP7, "op8_quality": _op8(), "op9_decontaminate": _OP9}
+    return found | {"op11_spelling": _OP11, "op12_vector_codes": _op12(), "op13_line_dedup": _OP13}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vexilar.llm import decontaminate, license_scan, pii, quality, sentencepiece_ops, simhash, token_count, toxicity, url_filter, warc
+from vexilar.llm import decontaminate, license_scan, line_dedup, pii, quality, sentencepiece_ops, simhash, spelling, token_count, toxicity, url_filter, vector_codes, warc
 from vexilar.session import table
 
 
@@ -61,6 +61,20 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(spelling.observed_words(table(spark, sf_dir, "documents")))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.drop_shared_lines(table(spark, sf_dir, "documents"), digest=True)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_license_scan, op2_sentencepiece, op3_pii, op4_url_filter, op5_toxicity, op6_token_count, op7_warc, op8_quality, op9_decontaminate, op10_simhash)
+    every = (
+        op1_license_scan, op2_sentencepiece, op3_pii, op4_url_filter, op5_toxicity, op6_token_count, op7_warc, op8_quality, op9_decontaminate, op10_simhash, op11_spelling, op12_vector_codes, op13_line_dedup,
+    )
     return {f.__name__: f for f in every}
