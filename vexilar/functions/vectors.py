@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vexilar.functions.aggregate import deviations, vector_states
+
 #: Added to norms and standard deviations before dividing by them.
 NORM_EPS, STD_EPS = 1e-8, 1e-8
 
@@ -62,14 +64,14 @@ def clean(x: Column) -> Column:
 
 
 def mean_by(df: DataFrame, keys: list[str], v: str, out: str | None = None) -> DataFrame:
-    """Vector mean of each group: (keys, n, out). Components are averaged before the shuffle and put in order after."""
-    parts = df.select(*keys, F.posexplode(v).alias("_i", "_x")).groupBy(*keys, "_i").agg(F.avg("_x").alias("_m"), F.count("_x").alias("_c"))
-    return parts.groupBy(*keys).agg(F.max("_c").alias("n"), F.sort_array(F.collect_list(F.struct("_i", "_m"))).alias("_v")).select(*keys, "n", F.transform("_v", lambda s: s["_m"]).alias(out or v))
+    """Vector mean of each group: (keys, n, out). A task sends one state a group through the shuffle."""
+    return vector_states(df, keys, v).select(*keys, F.col("_n").alias("n"), F.col("_mean").alias(out or v))
 
 
 def column_stats(df: DataFrame, v: str) -> DataFrame:
     """(i, mean, std): mean and population standard deviation of each component over all rows."""
-    return df.select(F.posexplode(v).alias("i", "_x")).groupBy("i").agg(F.avg("_x").alias("mean"), F.stddev_pop("_x").alias("std"))
+    both = vector_states(df, [], v).select(F.arrays_zip(F.col("_mean").alias("mean"), deviations().alias("std")).alias("_s"))
+    return both.select(F.posexplode("_s").alias("i", "_s")).select("i", "_s.mean", "_s.std")
 
 
 def standardize(df: DataFrame, v: str, stats: DataFrame | None = None, eps: float = STD_EPS, unit_if_flat: bool = False) -> DataFrame:

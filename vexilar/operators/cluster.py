@@ -10,6 +10,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from vexilar.operators.density import spanning_tree
+from vexilar.operators.knn import _distances as knn_distances
+
 #: Rows of a group that one task takes; beyond it they are refused. Memory grows with the rows, time with their square.
 MOST_ROWS = 200_000
 #: Nodes up to which eigenvectors come from the whole matrix; rows that distances are worked out for at once.
@@ -98,22 +101,13 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _core_distances(x: np.ndarray, k: int) -> np.ndarray:
     """Each row's distance to its k-th nearest, itself the first."""
-    return np.concatenate([np.partition(_distances(x[i : i + STRIP], x), k - 1, axis=1)[:, k - 1] for i in range(0, len(x), STRIP)])
+    sq = (x * x).sum(axis=1)
+    return np.concatenate([np.partition(knn_distances(x[i : i + STRIP], x, sq), k - 1, axis=1)[:, k - 1] for i in range(0, len(x), STRIP)])
 
 
-def _spanning_tree(x: np.ndarray, core: np.ndarray) -> list[tuple[float, int, int]]:
-    """Prim's minimum spanning tree over mutual reachability, edges by weight; distances are worked out row by row."""
-    n, j = len(x), 0
-    near, via, left = np.full(n, np.inf), np.zeros(n, int), np.ones(n, bool)
-    edges = []
-    for _ in range(n - 1):
-        left[j] = False
-        reach = np.maximum(np.maximum(np.sqrt(((x - x[j]) ** 2).sum(axis=1)), core), core[j])
-        closer = left & (reach < near)
-        near[closer], via[closer] = reach[closer], j
-        j = int(np.where(left, near, np.inf).argmin())
-        edges.append((float(near[j]), int(via[j]), j))
-    return sorted(edges)
+def _ordered(a: np.ndarray, b: np.ndarray, w: np.ndarray) -> list[tuple[int, int, float]]:
+    order = np.lexsort((b, a, w))
+    return list(zip(a[order].tolist(), b[order].tolist(), w[order].tolist(), strict=True))
 
 
 def hdbscan(x: np.ndarray, min_cluster_size: int = 10, min_samples: int = 5, method: str = "eom") -> tuple[np.ndarray, np.ndarray]:
@@ -140,7 +134,7 @@ def hdbscan(x: np.ndarray, min_cluster_size: int = 10, min_samples: int = 5, met
             a = parent[a]
         return a
 
-    for k, (h, a, b) in enumerate(_spanning_tree(x, core)):
+    for k, (a, b, h) in enumerate(_ordered(*spanning_tree(np.arange(n), x, core))):
         a, b, node = find(a), find(b), n + k
         children[node] = (a, b, h)
         parent[a] = parent[b] = node

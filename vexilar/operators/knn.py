@@ -6,15 +6,16 @@ for each query row of its block.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from vexilar.session import materialize
+from vexilar.session import materialize, ship
 
 #: Bytes of vectors in a block: a task holds two blocks and the product of STRIP rows with one. A row goes to as many
 #: tasks as the other side has blocks, so larger blocks shuffle less.
@@ -57,98 +58,247 @@ def _nearest(w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return row[place < n], col[place < n]
 
 
-def _dealt(base: DataFrame, queries: DataFrame, vec: str, block_bytes: int) -> tuple[DataFrame, DataFrame]:
-    """Both sides by blocks: each pair of blocks meets in one task."""
-    n, width = base.agg(F.count("*"), F.coalesce(F.max(F.size(vec)), F.lit(1))).first()
-    rows = max(1, block_bytes // (8 * max(1, width)))
-    nb = max(1, -(-n // rows))
-    nq = max(1, -(-queries.count() // rows), -(-base.sparkSession.sparkContext.defaultParallelism // nb))
-    deal = lambda df, n: F.pmod(F.xxhash64(F.col("id")), F.lit(n)).cast("int")
-    q = queries.select("id", F.col(vec).alias("v")).withColumn("qb", deal(queries, nq)).withColumn("bb", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))))
-    b = base.select("id", F.col(vec).alias("v")).withColumn("bb", deal(base, nb)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
-    return q, b
+def near_rows(x: np.ndarray, y: np.ndarray, sq: np.ndarray, metric: str) -> np.ndarray:
+    """Cosines, or minus distances, of the rows of ``x`` and ``y`` (with squared norms ``sq``), as ``_rows`` gives them."""
+    return np.clip(x @ y.T, -1.0, 1.0) if metric == "cosine" else -_distances(x, y, sq)
+
+
+def matrix(column: pa.Array) -> np.ndarray:
+    """An Arrow column of vectors of one length, without nulls, as a matrix of doubles."""
+    if not len(column):
+        return np.zeros((0, 0))
+    return column.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _sizes(base: DataFrame) -> tuple[int, int]:
+    n, width = base.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
+    return n, max(1, width)
+
+
+class Side:
+    """A side of bounded size, sent to every task: ids and vectors in the order of ids."""
+
+    def __init__(self, base: DataFrame, metric: str) -> None:
+        held = base.select("id", "v").toArrow().combine_chunks().sort_by("id")  # the caller has checked its size
+        ids = held.column("id").to_numpy()
+        x = _rows(matrix(held.column("v").combine_chunks()), metric)
+        self.rows, self.metric, self.sent = len(ids), metric, base.sparkSession.sparkContext.broadcast((ids, x, (x * x).sum(axis=1)))
+
+
+def _spread(queries: DataFrame, rows: int) -> DataFrame:
+    """Queries in enough partitions for their work: as many pairs as a task does in about a second."""
+    tasks = -(-queries.count() * rows // 50_000_000)
+    return queries.repartition(max(tasks, queries.sparkSession.sparkContext.defaultParallelism)) if tasks > 1 else queries
+
+
+def _beside(queries: DataFrame, side: Side, k: int, include_self: bool) -> DataFrame:
+    """The k nearest of a sent side: each query row is answered where it lies, nothing is shuffled or merged."""
+    sent, metric = side.sent, side.metric
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, y, sq = sent.value
+        for batch in batches:
+            own, x = batch.column("id").to_numpy(), _rows(matrix(batch.column("v")), metric)
+            for lo in range(0, len(own) if len(ids) else 0, STRIP):
+                w = near_rows(x[lo : lo + STRIP], y, sq, metric)
+                some = own[lo : lo + STRIP]
+                if not include_self:
+                    w[some[:, None] == ids[None, :]] = -np.inf
+                row, col = _nearest(w, k)
+                kept = np.isfinite(w[row, col])
+                row, col = row[kept], col[kept]
+                yield pa.RecordBatch.from_arrays([pa.array(some[row]), pa.array(ids[col]), pa.array(w[row, col])], names=["src", "dst", "w"])
+
+    return queries.select("id", "v").mapInArrow(run, "src bigint, dst bigint, w double")
 
 
 def top_k(base: DataFrame, k: int, queries: DataFrame | None = None, metric: str = "cosine", include_self: bool = True, vec: str = "v", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(src, dst, w): the k rows of ``base`` nearest to each query row; w is the cosine, or minus the distance.
 
     base and queries: id bigint and a vector column, without nulls; queries default to base. Equal values fall to the
-    smaller dst. With include_self false a row isn't its own neighbour. Every pair of rows is compared, which is meant
-    for rounds of up to some 100,000 rows; both sides are dealt to blocks, so no task holds a side.
+    smaller dst. With include_self false a row isn't its own neighbour. A base of at most ``block_bytes`` is sent to
+    the tasks; a larger one is dealt to balls, of which a query visits those that can hold a nearer row (see
+    ``operators.metric_index``), so no task holds a side. Both ways give the same rows.
     """
-    q, b = _dealt(base, base if queries is None else queries, vec, block_bytes)
-
-    def block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"src": [], "dst": [], "w": []}).astype({"src": "int64", "dst": "int64", "w": "float64"})
-        right = right.sort_values("id", kind="stable")  # ties then fall to the smaller id
-        ids, own = right["id"].to_numpy(), left["id"].to_numpy()
-        x, y = _rows(_matrix(left["v"]), metric), _rows(_matrix(right["v"]), metric)
-        sq, out = (y * y).sum(axis=1), []
-        for lo in range(0, len(x), STRIP):
-            some = x[lo : lo + STRIP]
-            w = np.clip(some @ y.T, -1.0, 1.0) if metric == "cosine" else -_distances(some, y, sq)
-            if not include_self:
-                w[own[lo : lo + STRIP, None] == ids[None, :]] = -np.inf
-            row, col = _nearest(w, k)
-            out.append(pd.DataFrame({"src": own[lo + row], "dst": ids[col], "w": w[row, col]}))
-        found = pd.concat(out)
-        return found[np.isfinite(found["w"])]
-
-    found = q.groupBy("qb", "bb").cogroup(b.groupBy("qb", "bb")).applyInPandas(block, "src bigint, dst bigint, w double")
-    rank = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("w"), "dst"))
-    return found.withColumn("_r", rank).where(F.col("_r") <= k).drop("_r")
+    ship(base.sparkSession)
+    own = base.select("id", F.col(vec).alias("v"))
+    asked = own if queries is None else queries.select("id", F.col(vec).alias("v"))
+    n, width = _sizes(own)
+    if 8 * n * width <= block_bytes:
+        return _beside(_spread(asked, n), Side(own, metric), k, include_self)
+    from vexilar.operators.metric_index import Balls
+
+    return Balls.build(own, metric, n).nearest(asked, k, include_self, max(1, block_bytes // (8 * width)))[0]
+
+
+def with_kth_distance(rows: DataFrame, k: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(id, v, core): each row with the Euclidean distance of its k-th nearest, itself the first; rows: (id, v), at least k."""
+    n, width = _sizes(rows)
+    if 8 * n * width > block_bytes:
+        core = top_k(rows, k, metric="euclidean", block_bytes=block_bytes).groupBy("src").agg((-F.min("w")).alias("core"))
+        return rows.join(core, rows["id"] == core["src"]).select("id", "v", "core")
+    sent = Side(rows, "euclidean").sent
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, y, sq = sent.value
+        for batch in batches:
+            x = matrix(batch.column("v"))
+            found = [np.partition(_distances(x[lo : lo + STRIP], y, sq), k - 1, axis=1)[:, k - 1] for lo in range(0, len(x), STRIP)]
+            core = np.concatenate(found) if found else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), pa.array(core)], names=["id", "v", "core"])
+
+    return _spread(rows, n).select("id", "v").mapInArrow(run, f"id {dict(rows.dtypes)['id']}, v array<double>, core double")
 
 
 #: Bins that distances are counted in, and different distances that are read back at most.
-BINS, READ_BACK = 4_096, 100_000
+BINS, READ_BACK = 65_536, 200_000
 
+#: What a pass over all pairs hands out: three arrays a block.
+Rows = tuple[np.ndarray, np.ndarray, np.ndarray]
 
-def distance_median(df: DataFrame, vec: str = "v", bins: int = BINS, read_back: int = READ_BACK, block_bytes: int = BLOCK_BYTES) -> float | None:
-    """The median of all non-zero Euclidean distances between two rows (each pair counted twice), to double precision.
 
-    Distances are counted in bins, then again in bins of those around the middle, until these hold at most
-    ``read_back`` values, or equal ones only; those come to the driver, counted by value. The pairs themselves never
-    leave their tasks. None if all rows are equal or there are fewer than two.
+class AllPairs:
+    """All pairs of the rows of (id, v), block by block, for passes that must see every pair.
+
+    Up to ``block_bytes`` the rows are sent to the tasks; beyond, both sides are dealt to blocks, stored once, and each
+    pair of blocks meets in one task. Pairs never leave their task.
     """
-    rows = materialize(df.select("id", F.col(vec).alias("v")), "median_rows")
-    q, b = _dealt(rows, rows, "v", block_bytes)
-    span = rows.select(F.posexplode("v").alias("i", "x")).groupBy("i").agg((F.max("x") - F.min("x")).alias("r")).agg(F.sqrt(F.sum(F.col("r") * F.col("r")))).first()[0]
-    if not span:
-        return None
-    low, high = 0.0, float(span) * (1 + 1e-6)
-
-    def distances(left: pd.DataFrame, right: pd.DataFrame) -> Iterator[np.ndarray]:
-        if len(left) and len(right):  # in the order of ids, so that every pass gets the same last digits
-            x, y = (_matrix(side.sort_values("id", kind="stable")["v"]) for side in (left, right))
-            sq = (y * y).sum(axis=1)
+
+    def __init__(self, df: DataFrame, vec: str = "v", block_bytes: int = BLOCK_BYTES) -> None:
+        ship(df.sparkSession)
+        self.rows = materialize(df.select("id", F.col(vec).alias("v")), "pair_rows")
+        self.n, width = _sizes(self.rows)
+        self.side, self.queries = None, self.rows
+        if 8 * self.n * width <= block_bytes:
+            self.side, self.queries = Side(self.rows, "euclidean"), materialize(_spread(self.rows, self.n), "spread") if self.n**2 > 50_000_000 else self.rows
+            return
+        blocks = -(-self.n // max(1, block_bytes // (8 * width)))
+        deal = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+        every = lambda c: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias(c)
+        self.left = materialize(self.rows.select("id", "v", deal.alias("qb"), every("bb")), "left_blocks")
+        self.right = materialize(self.rows.select("id", "v", deal.alias("bb"), every("qb")), "right_blocks")
+
+    def span(self) -> float:
+        """A bound of all distances: the diagonal of the box that holds the rows."""
+        if self.side is not None:
+            x = self.side.sent.value[1]
+            return float(np.sqrt(((x.max(axis=0) - x.min(axis=0)) ** 2).sum())) if len(x) else 0.0
+
+        def box(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            low = high = None
+            for batch in batches:
+                x = matrix(batch.column(0))
+                low = x.min(axis=0) if low is None else np.minimum(low, x.min(axis=0))
+                high = x.max(axis=0) if high is None else np.maximum(high, x.max(axis=0))
+            if low is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(low))), pa.array(low), pa.array(high)], names=["i", "low", "high"])
+
+        boxes = self.rows.select("v").mapInArrow(box, "i bigint, low double, high double").groupBy("i").agg((F.max("high") - F.min("low")).alias("r"))
+        return float(boxes.agg(F.sqrt(F.sum(F.col("r") * F.col("r")))).first()[0] or 0.0)
+
+    def visit(self, make: Callable[[], tuple[Callable, Callable[[], Rows]]]) -> DataFrame:
+        """(src, dst, w) of a pass. make() gives, for a task or a pair of blocks, a step over (ids, rows, ids, rows, squares) that returns arrays, and an end that does."""
+        columns = ["src", "dst", "w"]
+
+        def named(found: Rows) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64(), from_pandas=True), pa.array(found[1], pa.int64()), pa.array(found[2], pa.float64())], names=columns)
+
+        schema = "src bigint, dst bigint, w double"
+        if self.side is not None:
+            sent = self.side.sent
+
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                (ids, y, sq), (step, end) = sent.value, make()
+                for batch in batches:
+                    yield named(step(batch.column("id").to_numpy(), matrix(batch.column("v")), ids, y, sq))
+                yield named(end())
+
+            return self.queries.mapInArrow(run, schema)
+
+        def block(left: pa.Table, right: pa.Table) -> pa.Table:
+            step, end = make()
+            left, right = left.combine_chunks().sort_by("id"), right.combine_chunks().sort_by("id")
+            x, y = (matrix(t.column("v").combine_chunks()) for t in (left, right))
+            found = []
+            if len(x) and len(y):
+                found.append(named(step(left.column("id").to_numpy(), x, right.column("id").to_numpy(), y, (y * y).sum(axis=1))))
+            return pa.Table.from_batches([*found, named(end())])
+
+        return self.left.groupBy("qb", "bb").cogroup(self.right.groupBy("qb", "bb")).applyInArrow(block, schema)
+
+
+NOTHING: Rows = (np.zeros(0), np.zeros(0, np.int64), np.zeros(0))
+
+
+class _Counts:
+    """Distances above zero by bin of [low, high); the first bin is for those below, the last for those beyond."""
+
+    def __init__(self, low: float, high: float, bins: int) -> None:
+        self.low, self.high, self.bins, self.n = low, high, bins, np.zeros(bins + 2, np.int64)
+
+    def add(self, d: np.ndarray) -> None:
+        d = d[d > 0]
+        at = np.clip(((d - self.low) * (self.bins / (self.high - self.low))).astype(np.int64), 0, self.bins - 1) + 1
+        at[d < self.low], at[d >= self.high] = 0, self.bins + 1
+        self.n += np.bincount(at, minlength=self.bins + 2)
+
+    def rows(self) -> Rows:
+        some = np.flatnonzero(self.n)
+        return np.full(len(some), np.nan), some, self.n[some].astype(np.float64)  # exact up to 2^53 pairs a task
+
+
+def _counting(low: float, high: float, bins: int, k: int = 0, include_self: bool = True) -> Callable:
+    """A pass that counts distances (rows without src) and, with k, lists the k nearest of each row."""
+
+    def make():
+        counts = _Counts(low, high, bins)
+
+        def step(own: np.ndarray, x: np.ndarray, ids: np.ndarray, y: np.ndarray, sq: np.ndarray) -> Rows:
+            found = [NOTHING]
+            for lo in range(0, len(x), STRIP):
+                d = _distances(x[lo : lo + STRIP], y, sq)
+                counts.add(d.ravel())
+                if k:
+                    if not include_self:
+                        d[own[lo : lo + STRIP, None] == ids[None, :]] = np.inf
+                    row, col = _nearest(-d, k)
+                    kept = np.isfinite(d[row, col])
+                    row, col = row[kept], col[kept]
+                    found.append((own[lo + row], ids[col], -d[row, col]))
+            if len(found) == 1:
+                return NOTHING
+            return tuple(np.concatenate([f[i] for f in found[1:]]) for i in range(3))
+
+        return step, counts.rows
+
+    return make
+
+
+def _reading(low: float, high: float) -> Callable:
+    """A pass that lists the distances in [low, high), and how many are below: at -1."""
+
+    def make():
+        below = [0]
+
+        def step(own: np.ndarray, x: np.ndarray, ids: np.ndarray, y: np.ndarray, sq: np.ndarray) -> Rows:
+            kept = [np.zeros(0)]
             for lo in range(0, len(x), STRIP):
-                d = _distances(x[lo : lo + STRIP], y, sq).ravel()
-                yield d[d > 0]
-
-    def counts(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        n = np.zeros(bins + 2, np.int64)  # the first: below the bins, the last: beyond them
-        for d in distances(left, right):
-            at = np.clip(((d - low) * (bins / (high - low))).astype(np.int64), 0, bins - 1) + 1
-            at[d < low], at[d >= high] = 0, bins + 1
-            n += np.bincount(at, minlength=bins + 2)
-        some = np.flatnonzero(n)
-        return pd.DataFrame({"bin": some, "n": n[some]})
-
-    def values(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        kept, below = [np.zeros(0)], 0
-        for d in distances(left, right):
-            below += int((d < low).sum())
-            kept.append(d[(d >= low) & (d < high)])
-        d, n = np.unique(np.concatenate(kept), return_counts=True)
-        return pd.DataFrame({"d": np.append(-1.0, d), "n": np.append(below, n)})
-
-    def counted(f, key: str, kind: str) -> list[tuple[float, int]]:
-        out = q.groupBy("qb", "bb").cogroup(b.groupBy("qb", "bb")).applyInPandas(f, f"{key} {kind}, n bigint").groupBy(key).agg(F.sum("n").alias("n"))
-        return sorted((r[key], r["n"]) for r in out.collect())
+                d = _distances(x[lo : lo + STRIP], y, sq)
+                d = d[d > 0]
+                below[0] += int((d < low).sum())
+                kept.append(d[(d >= low) & (d < high)])
+            d, n = np.unique(np.concatenate(kept), return_counts=True)
+            return np.full(len(d), np.nan), n, d
+
+        return step, lambda: (np.full(1, np.nan), np.array(below, np.int64), np.full(1, -1.0))
+
+    return make
+
 
+def _median(pairs: AllPairs, span: float, table: list[tuple[int, int]], bins: int, read_back: int) -> float | None:
+    """The middle of the distances, from the counts of a first pass over [0, span) and further passes around the middle."""
+    low, high = 0.0, span
     while True:
-        table = counted(counts, "bin", "bigint")
         size = sum(n for _, n in table)
         if not size:
             return None
@@ -162,13 +312,47 @@ def distance_median(df: DataFrame, vec: str = "v", bins: int = BINS, read_back:
         low, high = low + (wanted[0] - 1e-3) * step, low + (wanted[-1] + 1 + 1e-3) * step
         if inside <= read_back or high - low <= 1e-9 * span:
             break
+        table = _counted(pairs.visit(_counting(low, high, bins)))
     seen, found = 0, []
-    for d, n in counted(values, "d", "double"):
+    values = pairs.visit(_reading(low, high)).groupBy("w").agg(F.sum("dst").alias("n")).collect()
+    for d, n in sorted((r["w"], r["n"]) for r in values):
         found += [d for m in middle if seen <= m < seen + n]
         seen += n
     return (found[0] + found[-1]) / 2
 
 
+def _counted(found: DataFrame) -> list[tuple[int, int]]:
+    counts = found.where("src is null").groupBy("dst").agg(F.sum(F.col("w").cast("decimal(20,0)")).alias("n")).collect()  # a row a bin
+    return sorted((r["dst"], int(r["n"])) for r in counts)
+
+
+def distance_median(df: DataFrame, vec: str = "v", bins: int = BINS, read_back: int = READ_BACK, block_bytes: int = BLOCK_BYTES) -> float | None:
+    """The median of all non-zero Euclidean distances between two rows (each pair counted twice), to double precision.
+
+    Distances are counted in bins, then again in bins of those around the middle, until these hold at most
+    ``read_back`` values, or equal ones only; those come to the driver, counted by value. The pairs themselves never
+    leave their tasks. None if all rows are equal or there are fewer than two.
+    """
+    return neighbours_and_median(df, 0, vec, bins=bins, read_back=read_back, block_bytes=block_bytes)[1]
+
+
+def neighbours_and_median(
+    df: DataFrame, k: int, vec: str = "v", include_self: bool = True, bins: int = BINS, read_back: int = READ_BACK, block_bytes: int = BLOCK_BYTES,
+) -> tuple[DataFrame, float | None]:
+    """(the rows of ``top_k`` by distance, ``distance_median``): neighbours and the first counts come from one pass over all pairs."""
+    pairs = AllPairs(df, vec, block_bytes)
+    span = pairs.span() * (1 + 1e-6)
+    if not span and not k:
+        return pairs.rows.sparkSession.createDataFrame([], "src bigint, dst bigint, w double"), None
+    found = materialize(pairs.visit(_counting(0.0, span or 1.0, bins, k, include_self)), "pairs")
+    median = _median(pairs, span, _counted(found), bins, read_back) if span else None
+    near = found.where("src is not null")
+    if pairs.side is None:
+        rank = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("w"), "dst"))
+        near = near.withColumn("_r", rank).where(F.col("_r") <= k).drop("_r")
+    return near, median
+
+
 def knn_purity(df: DataFrame, k: int = 10, vec: str = "v", label: str = "label") -> DataFrame:
     """(k, purity): share of the k nearest other rows that have a row's label, averaged; 0 below three rows.
 

@@ -65,21 +65,25 @@ def _part_means(df: DataFrame, k: int, seed: int, rounds: int = 300) -> DataFram
     return df.sparkSession.createDataFrame([(r["label"], r["n"], r["v"]) for r in means] if centres else [], f"label {kind}, n bigint, v array<double>")
 
 
+def _collected(protos: DataFrame) -> list[tuple]:
+    """(label, v) of all prototypes, worked out once and in order; a table too large to send to every task is refused."""
+    rows = protos.select("label", "v").orderBy("label").limit(BROADCAST_PROTOTYPES + 1).collect()  # a few a class; one job
+    if len(rows) > BROADCAST_PROTOTYPES:
+        raise ValueError(f"more than {BROADCAST_PROTOTYPES} prototypes are too many to compare every row with; use operators.knn.top_k with k = 1")
+    return sorted((r["label"], tuple(r["v"])) for r in rows)
+
+
 def known_prototypes(df: DataFrame, classes: int, label: str = "label", vec: str = "v") -> DataFrame:
-    """Prototypes of classes 0 .. classes - 1 from unit rows; raises if one has no rows."""
-    found = make_prototypes(unit(df, vec), label, vec)
-    have = {r["label"] for r in found.select("label").collect()}  # classes
-    if missing := set(range(classes)) - have:
+    """(label, v) of classes 0 .. classes - 1 from unit rows, already worked out; raises if one has no rows."""
+    found = _collected(make_prototypes(unit(df, vec), label, vec).where(F.col("label").between(0, classes - 1)))
+    if missing := set(range(classes)) - {c for c, _ in found}:
         raise ValueError(f"classes without rows: {sorted(missing)}")
-    return found.where(F.col("label").between(0, classes - 1))
+    return df.sparkSession.createDataFrame(found, f"label {dict(df.dtypes)[label]}, v array<double>")
 
 
 def _with_prototypes(df: DataFrame, protos: DataFrame) -> DataFrame:
-    """Rows by prototypes; prototypes (a few a class) are broadcast after a check of their number."""
-    p = protos.select(F.col("label").alias("p_label"), F.col("v").alias("p_v"))
-    n = p.count()
-    if n > BROADCAST_PROTOTYPES:
-        raise ValueError(f"{n} prototypes are too many to compare every row with; use operators.knn.top_k with k = 1")
+    """Rows by prototypes; prototypes (a few a class) are worked out once and broadcast after a check of their number."""
+    p = df.sparkSession.createDataFrame(_collected(protos), f"p_label {dict(protos.dtypes)['label']}, p_v array<double>")
     return df.crossJoin(F.broadcast(p))
 
 
@@ -89,10 +93,7 @@ def predict(df: DataFrame, protos: DataFrame, old_classes: int = 0, bonus: float
     One row for each of ``df``, whatever its id. The prototypes go to the workers as one matrix after a check of their
     number, a batch of rows costs one product, and nothing is shuffled. A null vector has null pred and sim.
     """
-    n = protos.count()
-    if n > BROADCAST_PROTOTYPES:
-        raise ValueError(f"{n} prototypes are too many to compare every row with; use operators.knn.top_k with k = 1")
-    known = sorted((r["label"], tuple(r["v"])) for r in protos.select("label", "v").collect())
+    known = _collected(protos)
     if not known:
         return df.select("id", F.lit(None).cast("bigint").alias("pred"), F.lit(None).cast("double").alias("sim"))
     labels = np.array([label for label, _ in known])

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from vexilar.functions import registry, rf, vectors
-from vexilar.operators import cluster, components, consolidate, graph, knn, metrics, prototypes, recordings, reports, splits
+from vexilar.operators import cluster, components, consolidate, density, graph, knn, metrics, prototypes, recordings, reports, splits
 from vexilar.operators.prefix import running
 from vexilar.plans import baselines, signal_sql
 from vexilar.session import materialize, table
@@ -208,7 +208,7 @@ PREDICT = "p AS (SELECT u.id, u.label, pr.label AS pred, list_inner_product(u.v,
 
 
 def _protos(spark, sf_dir):
-    return materialize(prototypes.make_prototypes(vectors.unit(_vectors(spark, sf_dir), "v")), "protos")
+    return prototypes.make_prototypes(vectors.unit(_vectors(spark, sf_dir), "v"))
 
 
 @query(f"WITH {E}, {PROTO} SELECT label, i - 1 AS i, {R('x')} AS x FROM (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM pr)")
@@ -475,7 +475,7 @@ def neighbour_components(spark, sf_dir):
 
 @query()
 def hdbscan_clusters(spark, sf_dir):
-    return cluster.cluster_groups(_vectors(spark, sf_dir).withColumn("g", F.lit(0)), ["g"], "v", 5, 3).select("id", "cluster", "probability")
+    return density.density_clusters(_vectors(spark, sf_dir), "v", 5, 3)
 
 
 @query()
