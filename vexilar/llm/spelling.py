@@ -13,7 +13,7 @@ The filter has a bounded size; a vocabulary too large for it only lets more cand
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -144,15 +144,18 @@ def neighbours(words: list[str], letters: str, known: WordFilter | None = None)
                 yield k, words[k][:i] + letter + words[k][i:]
 
 
-def _filter_of(vocabulary: DataFrame, n: int) -> WordFilter:
-    """The filter of all words. Bits are joined by cell, then by segment, before the driver reads them: 64 MB at most."""
+def filter_of(df: DataFrame, column: str, values: Callable[[pa.Array], np.ndarray], n: int) -> WordFilter:
+    """The filter of some ``n`` rows; values: a 64-bit value of each item of ``column``.
+
+    Bits are joined by cell, then by segment, before the driver reads them: 64 MB at most.
+    """
     depth = WordFilter.depth_for(n)
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            values = word_values(b.column(0).to_pylist())
-            cell, bit = WordFilter.places(values, depth)
-            mask = (np.uint64(1) << bit) | WordFilter.more_bits(values)
+            found = values(b.column(0))
+            cell, bit = WordFilter.places(found, depth)
+            mask = (np.uint64(1) << bit) | WordFilter.more_bits(found)
             yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(mask.view(np.int64))], names=["cell", "bits"])
 
     def joined(part: pa.Table) -> pa.Table:
@@ -161,7 +164,7 @@ def _filter_of(vocabulary: DataFrame, n: int) -> WordFilter:
         cells[cell % SEGMENT] = part.column("bits").to_numpy().view(np.uint64)
         return pa.table({"segment": pa.array([int(cell[0]) // SEGMENT]), "cells": pa.array([cells.tobytes()], pa.binary())})
 
-    one = vocabulary.select("word").mapInArrow(bits, "cell bigint, bits bigint").groupBy("cell").agg(F.bit_or("bits").alias("bits"))
+    one = df.select(column).mapInArrow(bits, "cell bigint, bits bigint").groupBy("cell").agg(F.bit_or("bits").alias("bits"))
     parts = one.groupBy(F.expr(f"cell div {SEGMENT}")).applyInArrow(joined, "segment bigint, cells binary").collect()
     cells = np.zeros(1 << depth, np.uint64)
     for r in parts:
@@ -180,7 +183,7 @@ def near_words(vocabulary: DataFrame) -> DataFrame:
     ship(spark)
     n = vocabulary.count()
     letters = "".join(sorted(r[0] for r in vocabulary.select(F.explode(F.split("word", "")).alias("x")).where("x <> ''").distinct().collect()))  # an alphabet
-    sent = spark.sparkContext.broadcast(_filter_of(vocabulary, n).cells)
+    sent = spark.sparkContext.broadcast(filter_of(vocabulary, "word", lambda words: word_values(words.to_pylist()), n).cells)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordFilter(sent.value)

@@ -14,17 +14,20 @@ import hashlib
 import json
 import uuid
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vexilar.llm.spelling import WordFilter, filter_of
 from vexilar.llm.text import own_columns
-from vexilar.session import materialize, scratch_path
+from vexilar.session import materialize, scratch_path, ship
 
 #: Bytes after which a task starts another archive, lines in a block of the index, and gzip's level.
 ARCHIVE_BYTES, BLOCK_LINES, LEVEL = 256_000_000, 500, 4
@@ -158,25 +161,72 @@ def plan_records(pages: DataFrame, page_id: str = "page_id", url: str = "url", h
     Of pages with equal payloads of at least ``least`` bytes that with the smallest page_id responds, and the others
     revisit it; null ids come last, and of rows that share the smallest id one responds. A null html is an empty
     payload. Only (digest, page_id) is shuffled, counted first; the repeated digests go back by broadcast while there
-    are at most ``broadcast_rows``. Beyond that the pages are joined to them by a shuffle, in which each payload moves once.
+    are at most ``broadcast_rows``. Beyond that filters of digests part the pages, and one payload of each repeated one is shuffled.
     """
     own = own_columns(pages, page_id=F.col(f"`{page_id}`").cast("bigint"), url=F.col(f"`{url}`").cast("string"), payload=F.encode(F.coalesce(F.col(f"`{html}`").cast("string"), F.lit("")), "UTF-8"))
     own = own.select("*", F.unhex(F.sha1("payload")).alias("digest"), F.octet_length("payload").cast("bigint").alias("size"))
     ids = own.where(F.col("size") >= least).groupBy("digest", "page_id").agg(F.count("*").alias("_c"))
     firsts = ids.groupBy("digest").agg(F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "_c")).alias("_f"), F.sum("_c").alias("_n")).where("_n > 1")
     firsts = materialize(firsts.select(F.col("digest").alias("_d"), F.col("_f.page_id").alias("_first"), (F.col("_f._c") > 1).alias("_ties")), "repeated_payloads")
-    hint = F.broadcast if firsts.count() <= broadcast_rows else (lambda df: df)
-    joined = own.join(hint(firsts), (F.col("digest") == F.col("_d")) & (F.col("size") >= least), "left")
+    repeated = firsts.count()
+    if repeated > broadcast_rows:
+        return _planned_by_filters(own, firsts, repeated, least)
+    joined = own.join(F.broadcast(firsts), (F.col("digest") == F.col("_d")) & (F.col("size") >= least), "left")
     joined = joined.withColumn("shared", F.col("_d").isNotNull()).withColumn("urlkey", url_key(F.col("url")))
     first = F.col("page_id").eqNullSafe(F.col("_first"))
     rows = joined.withColumn("revisit", F.col("shared") & ~first).withColumn("refers_to", F.when(F.col("revisit"), F.col("_first")))
     rows = rows.withColumn("payload", F.when(~F.col("revisit"), F.col("payload")))
-    if firsts.where("_ties").isEmpty():
+    if not repeated or firsts.where("_ties").isEmpty():
         return rows.select(*PLAN)
     tied = F.col("shared") & F.coalesce(F.col("_ties"), F.lit(False)) & first
     return rows.where(~tied).select(*PLAN).union(_one_of_ties(joined.where(tied)).select(*PLAN))
 
 
+def _digest_values(digests: pa.Array) -> np.ndarray:
+    """The first 64 bits of each digest."""
+    held = pa.array(digests).cast(pa.binary(20))
+    return np.frombuffer(held.buffers()[1], np.uint8).reshape(-1, 20)[held.offset : held.offset + len(held), :8].copy().view(np.uint64).ravel()
+
+
+def _may_hold(df: DataFrame, column: str, n: int) -> Callable[[Column], Column]:
+    """A test of digests: false only for those that ``df`` doesn't have. It reads the digest alone."""
+    sent = df.sparkSession.sparkContext.broadcast(filter_of(df, column, _digest_values, n).cells)
+
+    @F.pandas_udf("boolean")
+    def held(digest: pd.Series) -> pd.Series:
+        out = np.zeros(len(digest), bool)
+        out[WordFilter(sent.value).holds(_digest_values(pa.array(digest, pa.binary())))] = True
+        return pd.Series(out)
+
+    return held
+
+
+def _planned_by_filters(own: DataFrame, firsts: DataFrame, repeated: int, least: int) -> DataFrame:
+    """PLAN's columns where repeated payloads are too many to broadcast: of each, one payload is shuffled.
+
+    A filter of repeated digests lets through the pages that may share a payload; the others are done. Those that pass are
+    joined to the repeated digests without their payloads, which settles revisits. Of the rest, a filter of their (digest,
+    page_id) finds the pages whose payload is written, and only these are joined with it.
+    """
+    ship(own.sparkSession)
+    may = _may_hold(firsts, "_d", repeated)
+    passed = (F.col("size") >= least) & may("digest")
+    own = own.withColumn("urlkey", url_key(F.col("url")))
+    alone = own.where(~passed).select(*[c for c in own.columns], F.lit(False).alias("shared"), F.lit(False).alias("revisit"), F.lit(None).cast("bigint").alias("refers_to"))
+    narrow = own.where(passed).drop("payload").join(firsts, F.col("digest") == F.col("_d"), "left")
+    narrow = narrow.withColumn("shared", F.col("_d").isNotNull()).withColumn("revisit", F.col("shared") & ~F.col("page_id").eqNullSafe(F.col("_first")))
+    narrow = materialize(narrow, "page_decisions")
+    revisits = narrow.where("revisit").withColumn("payload", F.lit(None).cast("binary")).withColumn("refers_to", F.col("_first"))
+    wanted = materialize(narrow.where("not revisit").groupBy("digest", "page_id").agg(F.first("shared").alias("shared"), F.coalesce(F.first("_ties"), F.lit(False)).alias("_ties")), "payload_pages")
+    key = lambda: F.unhex(F.sha1(F.concat("digest", F.coalesce(F.encode(F.col("page_id").cast("string"), "UTF-8"), F.lit(b"")))))
+    among = _may_hold(wanted.select(key().alias("_k")), "_k", wanted.count())
+    named = wanted.withColumnsRenamed({"digest": "_w", "page_id": "_p"})
+    written = own.where(passed).where(among(key())).join(named, (F.col("digest") == F.col("_w")) & F.col("page_id").eqNullSafe(F.col("_p")))
+    written = written.withColumn("revisit", F.lit(False)).withColumn("refers_to", F.lit(None).cast("bigint"))
+    done = alone.select(*PLAN).union(revisits.select(*PLAN)).union(written.where("not _ties").select(*PLAN))
+    return done.union(_one_of_ties(written.where("_ties")).select(*PLAN))
+
+
 def write_archives(pages: DataFrame, root: str, least: int = 0, archive_bytes: int = ARCHIVE_BYTES, date: str | None = None, run: str | None = None, **columns: str) -> DataFrame:
     """Writes a record for every page below ``root`` and returns the index lines (see LINE), themselves stored.
 
