@@ -226,8 +226,8 @@ def features(i: np.ndarray, q: np.ndarray, view: str = "all24_base") -> np.ndarr
     return np.nan_to_num(out, nan=0.0, posinf=0.0, neginf=0.0)
 
 
-def feature_column(i: Column | str, q: Column | str, view: str = "all24_base") -> Column:
-    """The view's vector of each record; records of one length in a batch are computed together. Null records: null."""
+def feature_udf(view: str = "all24_base"):
+    """A function of (i, q): the view's vector of each record; records of one length in a batch are computed together. Null records: null."""
 
     @F.pandas_udf("array<double>")
     def run(i: pd.Series, q: pd.Series) -> pd.Series:
@@ -240,7 +240,12 @@ def feature_column(i: Column | str, q: Column | str, view: str = "all24_base") -
                 out.iat[int(k)] = row
         return out
 
-    return run(i, q)
+    return run
+
+
+def feature_column(i: Column | str, q: Column | str, view: str = "all24_base") -> Column:
+    """The view's vector of each record, see ``feature_udf``."""
+    return feature_udf(view)(i, q)
 
 
 def amplitude_expressions(df: DataFrame, i: str = "i", q: str = "q") -> DataFrame:

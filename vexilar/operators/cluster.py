@@ -307,17 +307,3 @@ def project_groups(df: DataFrame, keys: list[str], vec: str = "v") -> DataFrame:
         return pdf[[*keys, "id"]].assign(x=xy[:, 0], y=xy[:, 1])
 
     return df.select(*keys, "id", vec).groupBy(*keys).applyInPandas(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), f"id {kinds['id']}", "x double", "y double"]))
-
-
-def spectral_of(edges: DataFrame, dims: int = 16) -> DataFrame:
-    """(id, v): spectral embedding of one graph (src, dst, w, both directions) of at most MOST_ROWS nodes."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        src, dst = pdf["src"].to_numpy(), pdf["dst"].to_numpy()
-        ids = np.unique(np.concatenate([src, dst]))
-        m = Affinity(np.searchsorted(ids, src), np.searchsorted(ids, dst), pdf["w"].to_numpy(), len(ids))
-        return pd.DataFrame({"id": ids, "v": list(embedded(m, dims))})
-
-    from pyspark.sql import functions as F
-
-    return edges.withColumn("_g", F.lit(0)).groupBy("_g").applyInPandas(run, "id bigint, v array<double>")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -87,17 +89,17 @@ def _with_prototypes(df: DataFrame, protos: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(p))
 
 
-def predict(df: DataFrame, protos: DataFrame, old_classes: int = 0, bonus: float = 0.0) -> DataFrame:
-    """(id, pred, sim): the prototype with the greatest cosine; old classes get a bonus; ties fall to the smaller label.
+def nearest_of(protos: DataFrame, old_classes: int = 0, bonus: float = 0.0) -> Callable[[str], Column]:
+    """A function of a vector column: (pred, sim) of the prototype with the greatest cosine.
 
-    One row for each of ``df``, whatever its id. The prototypes go to the workers as one matrix after a check of their
-    number, a batch of rows costs one product, and nothing is shuffled. A null vector has null pred and sim.
+    Old classes get a bonus; ties fall to the smaller label. The prototypes go to the workers as one matrix after a check
+    of their number, and a batch of rows costs one product. A null vector, or no prototypes, has null pred.
     """
     known = _collected(protos)
     if not known:
-        return df.select("id", F.lit(None).cast("bigint").alias("pred"), F.lit(None).cast("double").alias("sim"))
+        return lambda v: F.lit(None).cast("struct<pred: bigint, sim: double>")
     labels = np.array([label for label, _ in known])
-    sent = df.sparkSession.sparkContext.broadcast((labels, np.array([v for _, v in known]).T, np.where(labels < old_classes, bonus, 0.0)))
+    sent = protos.sparkSession.sparkContext.broadcast((labels, np.array([v for _, v in known]).T, np.where(labels < old_classes, bonus, 0.0)))
 
     @F.pandas_udf("pred bigint, sim double")
     def nearest(v: pd.Series) -> pd.DataFrame:
@@ -111,7 +113,12 @@ def predict(df: DataFrame, protos: DataFrame, old_classes: int = 0, bonus: float
             out.loc[at, "pred"], out.loc[at, "sim"] = labels[best], sims[np.arange(len(best)), best]
         return out
 
-    found = df.select("id", nearest("v").alias("_b"))
+    return nearest
+
+
+def predict(df: DataFrame, protos: DataFrame, old_classes: int = 0, bonus: float = 0.0) -> DataFrame:
+    """(id, pred, sim): see ``nearest_of``. One row for each of ``df``, whatever its id; nothing is shuffled."""
+    found = df.select("id", nearest_of(protos, old_classes, bonus)("v").alias("_b"))
     return found.select("id", F.col("_b.pred").alias("pred"), F.when(F.col("_b.pred").isNotNull(), F.col("_b.sim")).alias("sim"))
 
 

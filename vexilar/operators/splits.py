@@ -14,6 +14,21 @@ def _place(keys: list[str], order: list[str | Column]) -> tuple[Column, Column]:
     return F.row_number().over(w.orderBy(*order)), F.count(F.lit(1)).over(w)
 
 
+def _ranked(df: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
+    """``df`` with _rn and _n, a row's rank and its group's rows: groups are dealt by ranges, so that a large one fills several tasks."""
+    n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    few = F.broadcast(n) if n.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS else n
+    ranked, same = running(df, keys, order, _rn=F.lit(1)), F.lit(True)
+    few = few.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return ranked.join(few, same).drop(*[f"_k_{k}" for k in keys])
+
+
+#: Groups whose sizes are broadcast at most.
+BROADCAST_GROUPS = 500_000
+
+
 def seeded_order(id_col: str, seed: int) -> list[Column]:
     """A random order of ids that depends on them and the seed alone."""
     return [F.md5(F.concat_ws(":", F.lit(seed), F.col(id_col).cast("string")).cast("binary")), F.col(id_col)]
@@ -24,9 +39,9 @@ def order_block(df: DataFrame, keys: list[str], order: list[str], share: float =
 
     rounding: 'floor', or 'round' to the nearest, halves to even, with at least one row on both sides.
     """
-    rn, n = _place(keys, order)
+    rn, n = F.col("_rn"), F.col("_n")
     cut = F.floor(n * share) if rounding == "floor" else F.least(F.greatest(F.bround(n * share), F.lit(1)), n - 1)
-    return df.withColumn("split", F.when(rn <= cut, "train").otherwise("eval"))
+    return _ranked(df, keys, order).select(*df.columns, F.when(rn <= cut, "train").otherwise("eval").alias("split"))
 
 
 def blocks(df: DataFrame, keys: list[str], order: list[str], shares: dict[str, float]) -> DataFrame:
@@ -45,8 +60,8 @@ def blocks(df: DataFrame, keys: list[str], order: list[str], shares: dict[str, f
 
 def seeded(df: DataFrame, keys: list[str], id_col: str, share: float = 0.7, seed: int = 7) -> DataFrame:
     """Adds split: a seeded random share of each group is train."""
-    rn, n = _place(keys, seeded_order(id_col, seed))
-    return df.withColumn("split", F.when(rn <= F.floor(n * share), "train").otherwise("eval"))
+    ranked = _ranked(df, keys, seeded_order(id_col, seed))
+    return ranked.select(*df.columns, F.when(F.col("_rn") <= F.floor(F.col("_n") * share), "train").otherwise("eval").alias("split"))
 
 
 def held_out(df: DataFrame, column: str, values: list) -> DataFrame:
@@ -66,14 +81,12 @@ def known_unknown(df: DataFrame, known: int, offset: int | None = None, label: s
 
 def stratified(df: DataFrame, label: str, id_col: str, share: float = 1 / 7, seed: int = 7, group: str | None = None) -> DataFrame:
     """Adds split: max(1, round(share * n)) rows (or whole groups) of each class are val, n - 1 at most."""
+    n = F.col("_n")
+    split = F.when(F.col("_rn") <= F.least(F.greatest(F.bround(n * share), F.lit(1)), n - 1), "val").otherwise("train").alias("split")
     if group is None:
-        rn, n = _place([label], seeded_order(id_col, seed))
-        cut = F.least(F.greatest(F.bround(n * share), F.lit(1)), n - 1)
-        return df.withColumn("split", F.when(rn <= cut, "val").otherwise("train"))
+        return _ranked(df, [label], seeded_order(id_col, seed)).select(*df.columns, split)
     units = df.select(label, group).distinct()
-    rn, n = _place([label], seeded_order(group, seed))
-    cut = F.least(F.greatest(F.bround(n * share), F.lit(1)), n - 1)
-    return df.join(units.withColumn("split", F.when(rn <= cut, "val").otherwise("train")), [label, group])
+    return df.join(_ranked(units, [label], seeded_order(group, seed)).select(label, group, split), [label, group])
 
 
 def per_class(df: DataFrame, label: str, id_col: str, k: int, seed: int = 7) -> DataFrame:

@@ -9,6 +9,7 @@ from vexilar.functions import registry, rf, vectors
 from vexilar.models import networks, training
 from vexilar.operators import consolidate, graph, prototypes, recordings, splits
 from vexilar.operators.prefix import running
+from vexilar.operators.quantiles import exact_quantiles
 from vexilar.plans import discovery, methods, signal_sql
 from vexilar.plans.queries import CL, E, HALVES, IQ, MEANS, R, _clusters, _cos_graph, _iq, _parts, _r, _sym, _two_views, _vectors, query
 from vexilar.session import materialize, table
@@ -51,10 +52,12 @@ def disjoint_split(spark, sf_dir):
     return splits.held_out(table(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 4).alias("receiver")), "receiver", [1, 3])
 
 
-@query("WITH e AS (SELECT DISTINCT vec_id, embedding FROM embeddings) SELECT (SELECT count(*) FROM e WHERE vec_id % 2 = 0) AS left_rows, (SELECT count(*) FROM e WHERE vec_id % 3 = 0) AS right_rows, (SELECT count(DISTINCT embedding) FROM e WHERE embedding IN (SELECT embedding FROM e WHERE vec_id % 2 = 0) AND embedding IN (SELECT embedding FROM e WHERE vec_id % 3 = 0)) AS overlap")
+@query("WITH e AS (SELECT DISTINCT vec_id, embedding, coalesce(vec_id % 3 = 0, false) AS l FROM embeddings) SELECT count(*) FILTER (l) AS left_rows, count(*) FILTER (NOT l) AS right_rows, (SELECT count(DISTINCT embedding) FROM e WHERE embedding IN (SELECT embedding FROM e WHERE l) AND embedding IN (SELECT embedding FROM e WHERE NOT l)) AS overlap FROM e")
 def record_overlap_audit(spark, sf_dir):
+    """Two splits that together hold every vector."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return splits.record_overlap(e.where("vec_id % 2 = 0"), e.where("vec_id % 3 = 0"), "embedding")
+    left = F.coalesce(F.col("vec_id") % 3 == 0, F.lit(False))
+    return splits.record_overlap(e.where(left), e.where(~left), "embedding")
 
 
 @query(f"WITH {E}, {HALVES}, {_cos_graph('da', 'g')}, {_cos_graph('rb', 'h')}, j AS (SELECT src, dst, coalesce(g.w, 0) AS a, coalesce(h.w, 0) AS b FROM g FULL JOIN h USING (src, dst)), f AS (SELECT src, dst, 0.6 * a + 0.4 * b AS w FROM j), {_sym('f', 's')} SELECT src, dst, {R('w')} AS w FROM s")
@@ -71,7 +74,8 @@ def clusters_by_size(spark, sf_dir):
 @query(f"SELECT event_type, {', '.join(f'{R(f'quantile_cont(value, {q})')} AS q{int(100 * q)}' for q in (0.1, 0.25, 0.5, 0.9, 0.99))} FROM events GROUP BY event_type")
 def quantiles(spark, sf_dir):
     q = (0.1, 0.25, 0.5, 0.9, 0.99)
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(*[_r(F.percentile("value", F.lit(x))).alias(f"q{int(100 * x)}") for x in q])
+    found = exact_quantiles(table(spark, sf_dir, "events").select("event_type", "value"), "event_type", "value", q)
+    return found.groupBy("event_type").agg(*[_r(F.max(F.when(F.col("q") == x, F.col("value")))).alias(f"q{int(100 * x)}") for x in q])
 
 
 @query(f"WITH a AS (SELECT user_id, value >= 50 AS act, lag(value >= 50) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) SELECT user_id, count(*) FILTER (act AND before) AS adjacent, {R('avg(CASE WHEN act <> before THEN 1.0 ELSE 0.0 END) FILTER (before IS NOT NULL)')} AS transitions FROM a GROUP BY user_id")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from vexilar.functions import registry, rf, vectors
-from vexilar.operators import cluster, components, consolidate, density, graph, knn, metrics, prototypes, recordings, reports, splits
+from vexilar.operators import cluster, components, consolidate, density, graph, knn, metrics, prototypes, recordings, reports, spectral, splits
 from vexilar.operators.prefix import running
 from vexilar.plans import baselines, signal_sql
 from vexilar.session import materialize, table
@@ -480,7 +480,25 @@ def hdbscan_clusters(spark, sf_dir):
 
 @query()
 def spectral_embedding(spark, sf_dir):
-    return cluster.spectral_of(graph.cosine_graph(_vectors(spark, sf_dir), 20), 16).select("id", F.transform("v", lambda x: F.round(x, 6)).alias("v"))
+    return spectral.spectral_of(graph.cosine_graph(_vectors(spark, sf_dir), 20), 16).select("id", F.transform("v", lambda x: F.round(x, 6)).alias("v"))
+
+
+@query("SELECT c, 0.0 AS residual, 0.0 AS off FROM (SELECT unnest(range(least(16, count(*) - 2))) AS c FROM embeddings)")
+def spectral_residuals(spark, sf_dir):
+    """For each column of the embedding: how far it is from an eigenvector, and from being orthogonal to the others and of length 1."""
+    edges = materialize(graph.cosine_graph(_vectors(spark, sf_dir), 20), "residual_edges")
+    found = materialize(spectral.spectral_of(edges, 16), "residual_rows")
+    off = edges.where("src <> dst and w <> 0")
+    degree = off.groupBy("src").agg(F.sum("w").alias("d"))
+    at = found.join(degree, found["id"] == degree["src"]).select("id", "d", F.posexplode("v").alias("c", "y"))
+    image = off.join(at.select(F.col("id").alias("dst"), "c", "y"), "dst").groupBy(F.col("src").alias("id"), "c").agg(F.sum(F.col("w") * F.col("y")).alias("z"))
+    both = materialize(at.join(image, ["id", "c"]), "images")  # W y = value D y
+    value = both.groupBy("c").agg((F.sum(F.col("y") * F.col("z")) / F.sum(F.col("d") * F.col("y") * F.col("y"))).alias("value"))
+    residual = both.join(value, "c").groupBy("c").agg(F.sqrt(F.sum(F.pow(F.col("z") - F.col("value") * F.col("d") * F.col("y"), 2) / F.col("d"))).alias("residual"))
+    other = at.select("id", F.col("c").alias("c2"), F.col("y").alias("y2"))
+    dots = at.join(other, "id").groupBy("c", "c2").agg(F.sum(F.col("d") * F.col("y") * F.col("y2")).alias("p"))
+    straight = dots.groupBy("c").agg(F.max(F.abs(F.col("p") - (F.col("c") == F.col("c2")).cast("double"))).alias("off"))
+    return residual.join(straight, "c").select(F.col("c").cast("bigint").alias("c"), _r("residual").alias("residual"), _r("off").alias("off"))
 
 
 @query()

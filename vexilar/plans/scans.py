@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from vexilar.functions import rf, sql, vectors
 from vexilar.operators import splits
 from vexilar.plans.queries import IQ, PROTOCOL, R, _iq, _r, _vectors, query
 from vexilar.session import scratch_path, table
-from vexilar.sources import files, sinks
+from vexilar.sources import files, recordings, sinks
 
 #: Records of a file: small enough for a task, whatever the table.
 FILE_ROWS = 5_000
@@ -84,6 +85,44 @@ def recording_scan(spark, sf_dir):
     return _first_last(found, "serial", "distance_ft", "run", "start", _r("energy").alias("energy"))
 
 
+@query(f"WITH {IQ}, n AS (SELECT label, {_PART} AS run, 32 * (row_number() OVER (PARTITION BY label, {_PART} ORDER BY id) - 1) AS start, i, q FROM r JOIN e USING (id)) SELECT 'S' || label AS serial, CAST(run AS INT) AS run, start, {ENDS} FROM n WHERE label IN (1, 4, 7) AND start >= 64 AND start < 640")
+def recording_ranges(spark, sf_dir):
+    """Filters that reach the reader: three recordings' byte ranges are opened, and of those the wanted part."""
+    path = scratch_path(spark, "recordings")
+    name = F.concat(F.lit("S"), F.col("label"), F.lit("_"), F.col("label") + 2, F.lit("ft_run"), F.floor(F.col("id") / FILE_ROWS))
+    recordings.write_recordings(_records(spark, sf_dir).withColumn("file", name).drop("id", "label"), path)
+    found = recordings.read_recordings(spark, path, length=32, rangeBytes=32 * 16 * 8).where("serial in ('S1', 'S4', 'S7') and start >= 64 and start < 640")
+    return _first_last(found, "serial", "run", "start")
+
+
+@query(f"WITH {IQ}, w AS (SELECT id, unnest(range(0, 7)) AS k, i, q FROM r) SELECT id, k AS \"window\", {R('list_sum(i[k * 4 + 1:k * 4 + 8])')} AS total, {R('q[k * 4 + 8]')} AS last FROM w")
+def windows_in_sql(spark, sf_dir):
+    """Windows by a table function through LATERAL."""
+    sql.register(spark)
+    _iq(spark, sf_dir).repartition(4).createOrReplaceTempView("signal_records")
+    found = spark.sql("SELECT id, w.* FROM signal_records, LATERAL strided_windows(i, q, 8, 4) w")
+    return found.select("id", "window", _r(vectors.total(F.col("i"))).alias("total"), _r(F.element_at("q", -1)).alias("last"))
+
+
+@query(f"SELECT event_id, {R('value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id)')} AS change FROM events")
+def changes_in_sql(spark, sf_dir):
+    """A table function over partitions in order, one row kept."""
+    sql.register(spark)
+    table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value").createOrReplaceTempView("event_rows")
+    found = spark.sql("SELECT event_id, change FROM row_changes(TABLE(event_rows) PARTITION BY user_id ORDER BY (ts, event_id), column => 'value')")
+    return found.select("event_id", _r("change").alias("change"))
+
+
+@query(f"WITH {IQ}, p AS (SELECT id, list_transform(range(1, 33), lambda k: sqrt(i[k] * i[k] + q[k] * q[k] + 1e-8)) AS a FROM r) SELECT id, {R('list_avg(a)')} AS amp_mean, {R('list_max(a)')} AS amp_max FROM p")
+def features_in_sql(spark, sf_dir):
+    """Named features called from SQL."""
+    sql.register(spark)
+    _iq(spark, sf_dir).createOrReplaceTempView("signal_records")
+    at = {n: k for k, n in enumerate(rf.VIEWS["amplitude_8d"])}
+    found = spark.sql("SELECT id, feature_amplitude_8d(i, q) AS f FROM signal_records")
+    return found.select("id", *[_r(F.get("f", F.lit(at[n]))).alias(n) for n in ("amp_mean", "amp_max")])
+
+
 @query("SELECT c_custkey, c_name, round(c_acctbal, 2) + 0.0 AS c_acctbal FROM customer")
 def csv_scan(spark, sf_dir):
     path = scratch_path(spark, "csv")
@@ -96,7 +135,7 @@ def csv_scan(spark, sf_dir):
 def json_scan(spark, sf_dir):
     path = scratch_path(spark, "json")
     files.write_json(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size"), path)
-    return spark.read.schema("p_partkey bigint, p_name string, p_size int").json(path)
+    return files.read_json(spark, path, "p_partkey bigint, p_name string, p_size int", lines=True)
 
 
 @query(f"WITH {PROTOCOL} SELECT 'day2_unknown_round1' AS asked, id, label FROM s WHERE split = 'train' AND g = 1 UNION ALL SELECT 'absent', id, label FROM s WHERE split = 'train' AND g = 0")

@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vexilar.sources.recordings import fetch, read_recordings
 from vexilar.sources.store import read_range
 
 IQ = "i array<double>, q array<double>"
@@ -222,13 +223,6 @@ def read_npy_pairs(spark: SparkSession, path: str) -> DataFrame:
     return _array_rows(spark, path, "X_*.npy", path, "y_*.npy")
 
 
-IDENTITY = re.compile(r"(?P<serial>[A-Za-z0-9]+)_(?P<distance>\d+)ft_(?:run)?(?P<run>\d+)", re.IGNORECASE)
-
-
-#: Sample types of recordings, by the names that headers use.
-SAMPLE_TYPES = {"cf32": "<c8", "cf32_le": "<c8", "cf64": "<c16", "cf64_le": "<c16"}
-
-
 def read_sigmf(spark: SparkSession, path: str, length: int = 256, candidates: int = 12_000, quantile: float = 0.5, per_recording: int | None = None, seed: int = 7, datatype: str | None = None) -> DataFrame:
     """SigMF pairs: windows of each recording with at least the quantile of window energy.
 
@@ -236,33 +230,13 @@ def read_sigmf(spark: SparkSession, path: str, length: int = 256, candidates: in
     (*.sigmf-data) is of the header's type, or of ``datatype`` for recordings whose header is wrong; a size that is no
     whole number of such samples is an error. At most
     ``candidates`` evenly spaced windows that don't overlap are considered, and ``per_recording`` of the strong ones
-    are drawn by a seeded hash. Columns: serial, distance_ft, run, sample_rate, start, energy, i, q.
+    are drawn by a seeded hash. Payloads are read by byte ranges, once for the energies and once for the rows. Columns: serial, distance_ft, run, sample_rate, start, energy, i, q.
     """
-    name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.sigmf-(meta|data)$", "")
-    meta = _files(spark, path, "*.sigmf-meta").select(name.alias("name"), F.get_json_object(F.decode("content", "UTF-8"), "$.global['core:sample_rate']").cast("double").alias("sample_rate"), F.get_json_object(F.decode("content", "UTF-8"), "$.global['core:datatype']").alias("kind"))
-    data = _files(spark, path, "*.sigmf-data").select(name.alias("name"), "content")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.itertuples():
-                found = IDENTITY.search(row.name)
-                if not found:
-                    raise ValueError(f"no serial, distance and run in {row.name}")
-                kind = SAMPLE_TYPES.get(datatype or row.kind or "")
-                if kind is None:
-                    raise ValueError(f"{row.name} has samples of type {datatype or row.kind}; {', '.join(SAMPLE_TYPES)} can be read")
-                if len(row.content) % np.dtype(kind).itemsize:
-                    raise ValueError(f"{row.name} isn't a whole number of {datatype or row.kind} samples")
-                z = np.frombuffer(row.content, kind)
-                n = len(z) // length
-                at = np.unique(np.linspace(0, n - 1, min(n, candidates)).astype(int)) * length if n else np.zeros(0, int)
-                w = np.stack([z[a : a + length] for a in at]) if n else np.zeros((0, length), complex)
-                e = (np.abs(w.astype(complex)) ** 2).mean(axis=1)
-                ok = np.isfinite(e)
-                ok &= e >= (np.quantile(e[ok], quantile) if ok.any() else 0)
-                yield pd.DataFrame({"serial": found["serial"], "distance_ft": int(found["distance"]), "run": int(found["run"]), "sample_rate": row.sample_rate, "start": at[ok], "energy": e[ok], "i": list(w[ok].real.astype(float)), "q": list(w[ok].imag.astype(float))})
-
-    rows = data.join(meta, "name").select("name", "content", "sample_rate", "kind").mapInPandas(run, f"serial string, distance_ft int, run int, sample_rate double, start bigint, energy double, {IQ}")
+    options = {"datatype": datatype} if datatype else {}
+    windows = read_recordings(spark, path, length=length, candidates=candidates, **options)
+    windows = windows.where(~F.isnan("energy") & (F.col("energy") != float("inf")))
+    least = windows.groupBy("file").agg(F.percentile("energy", F.lit(quantile)).alias("_least")).withColumnRenamed("file", "_file")  # candidates bound a group
+    rows = windows.join(least, F.col("file") == F.col("_file")).where("energy >= _least").select("serial", "distance_ft", "run", "sample_rate", "start", "energy", "i", "q")
     if per_recording is None:
         return rows
     from vexilar.operators.splits import head
@@ -296,8 +270,9 @@ def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataF
     return df.withColumnsRenamed({c: c.removeprefix("﻿") for c in df.columns})
 
 
-def read_json(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    reader = spark.read.option("multiLine", "true")
+def read_json(spark: SparkSession, path: str, schema: str | None = None, lines: bool = False) -> DataFrame:
+    """JSON documents, one a file or, with ``lines``, one a line, where files are split between tasks."""
+    reader = spark.read.option("multiLine", str(not lines).lower())
     return (reader.schema(schema) if schema else reader).json(path)
 
 
@@ -318,32 +293,15 @@ def read_stage(spark: SparkSession, path: str, stage: str, fallback: str | None
 
 
 def fetch_ranges(url: str, ranges: list[tuple[int, int]], tries: int = 6, wait: float = 0.5, sha256: str | None = None, threads: int = 8) -> list[bytes]:
-    """Parts of a remote file, [first, last) bytes each, over HTTP; a failed part is tried again after a growing pause.
+    """Parts of a remote file, [first, last) bytes each, over HTTP, on the driver: for directories and headers.
 
-    sha256: of all parts together, checked if given. A server that ignores ranges is refused.
+    Payloads are read by tasks, see ``sources.recordings``. sha256: of all parts together, checked if given.
     """
     import hashlib
-    import time
-    import urllib.request
     from concurrent.futures import ThreadPoolExecutor
 
-    def fetch(part: tuple[int, int]) -> bytes:
-        for k in range(tries):
-            try:
-                ask = urllib.request.Request(url, headers={"Range": f"bytes={part[0]}-{part[1] - 1}"})
-                with urllib.request.urlopen(ask, timeout=60) as answer:
-                    data = answer.read()
-                    if answer.status != 206 or len(data) != part[1] - part[0]:
-                        raise ValueError(f"{url} answered {answer.status} with {len(data)} bytes for {part}")
-                    return data
-            except OSError:
-                if k + 1 == tries:
-                    raise
-                time.sleep(wait * 2**k)
-        raise ValueError("at least one try is needed")
-
     with ThreadPoolExecutor(threads) as pool:
-        found = list(pool.map(fetch, ranges))
+        found = list(pool.map(lambda part: fetch(url, part[0], part[1] - part[0], tries, wait), ranges))
     if sha256 is not None and hashlib.sha256(b"".join(found)).hexdigest() != sha256:
         raise ValueError(f"{url} has other contents than expected")
     return found

@@ -7,7 +7,6 @@ that is run again writes its file again. Writers return (file, rows), a row a fi
 from __future__ import annotations
 
 import io
-import json
 import pickle
 from collections.abc import Callable
 
@@ -17,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vexilar.session import materialize
+from vexilar.sources.recordings import write_recordings
 from vexilar.sources.store import write_file
 
 
@@ -89,18 +89,13 @@ def write_array_pairs(df: DataFrame, path: str) -> DataFrame:
 
 
 def write_sigmf(df: DataFrame, path: str, datatype: str = "cf64_le", sample_rate: float = 5e6) -> DataFrame:
-    """Recordings {name}.sigmf-data with headers: records of a file end to end. df: file, sample_idx, i, q."""
-    kind = {"cf64_le": "<c16", "cf32_le": "<c8"}[datatype]
-    header = json.dumps({"global": {"core:datatype": datatype, "core:sample_rate": sample_rate}, "captures": [], "annotations": []}).encode()
+    """Recordings {name}.sigmf-data with headers: records of a file end to end. df: file, sample_idx, i, q.
 
-    def write(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("sample_idx", kind="stable")
-        name, x = str(pdf["file"].iloc[0]), _channels(pdf)
-        write_file(f"{path}/{name}.sigmf-data", (x[..., 0] + 1j * x[..., 1]).astype(kind).tobytes())
-        write_file(f"{path}/{name}.sigmf-meta", header)
-        return pd.DataFrame({"file": [name], "rows": [len(pdf)]})
-
-    return materialize(df.groupBy("file").applyInPandas(write, "file string, rows bigint"), "written")
+    Returns (file, rows) of what is there after the job's commit; a job that fails leaves nothing.
+    """
+    df = materialize(df.select("file", "sample_idx", "i", "q"), "recordings")
+    write_recordings(df, path, datatype=datatype, sampleRate=sample_rate)
+    return df.groupBy("file").agg(F.count("*").alias("rows"))
 
 
 def write_stages(df: DataFrame, path: str, stage: str = "stage") -> DataFrame:
@@ -108,11 +103,12 @@ def write_stages(df: DataFrame, path: str, stage: str = "stage") -> DataFrame:
 
     checksum: the sum of 64-bit row hashes, which doesn't depend on the rows' order.
     """
-    kept = [c for c in df.columns if c != stage]
+    spark, kept = df.sparkSession, [c for c in df.columns if c != stage]
     df.write.mode("overwrite").partitionBy(stage).parquet(f"{path}/stages")
-    counted = df.groupBy(F.col(stage).alias("stage")).agg(F.count("*").alias("rows"), F.sum(F.xxhash64(*kept).cast("decimal(38,0)")).cast("string").alias("checksum"))
+    written = spark.read.schema(df.schema).parquet(f"{path}/stages")  # counted as it lies, so the table is worked out once
+    counted = written.groupBy(F.col(stage).alias("stage")).agg(F.count("*").alias("rows"), F.sum(F.xxhash64(*kept).cast("decimal(38,0)")).cast("string").alias("checksum"))
     counted.coalesce(1).write.mode("overwrite").json(f"{path}/manifest")  # a row a stage
-    return df.sparkSession.read.schema("stage string, rows bigint, checksum string").json(f"{path}/manifest")
+    return spark.read.schema("stage string, rows bigint, checksum string").json(f"{path}/manifest")
 
 
 def embedding_table(df: DataFrame) -> DataFrame:

@@ -8,18 +8,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from vexilar.operators.prototypes import BROADCAST_PROTOTYPES
+from vexilar.operators.prototypes import nearest_of
 
 
 def score_stream(stream: DataFrame, protos: DataFrame) -> DataFrame:
-    """The stream (id, v) with pred and score of the nearest prototype: stateless, prototypes broadcast as one row."""
-    if protos.count() > BROADCAST_PROTOTYPES:
-        raise ValueError("too many prototypes for a broadcast")
-    one = protos.agg(F.collect_list(F.struct("label", "v")).alias("_p"))
-    cosine = "aggregate(zip_with({a}, {b}, (x, y) -> x * y), 0D, (s, x) -> s + x)"
-    joined = stream.crossJoin(F.broadcast(one)).withColumn("_n", F.expr(f"sqrt({cosine.format(a='v', b='v')}) + 1e-8"))
-    best = F.expr(f"array_max(transform(_p, p -> struct({cosine.format(a='v', b='p.v')} / _n as sim, -p.label as neg)))")
-    return joined.withColumn("_b", best).select(*stream.columns, (-F.col("_b.neg")).alias("pred"), (1 - F.col("_b.sim")).alias("score"))
+    """The stream (id, v) with pred and score of the nearest prototype: stateless, one matrix product a batch.
+
+    The rows are those of ``prototypes.predict``; prototypes are worked out once and checked for their number.
+    """
+    best = nearest_of(protos)
+    found = stream.withColumn("_b", best("v"))
+    return found.select(*stream.columns, F.col("_b.pred").alias("pred"), F.when(F.col("_b.pred").isNotNull(), 1 - F.col("_b.sim")).alias("score"))
 
 
 def _timed(events: DataFrame, late: str) -> DataFrame:
