@@ -85,9 +85,9 @@ class Side:
         self.rows, self.metric, self.sent = len(ids), metric, base.sparkSession.sparkContext.broadcast((ids, x, (x * x).sum(axis=1)))
 
 
-def _spread(queries: DataFrame, rows: int) -> DataFrame:
-    """Queries in enough partitions for their work: as many pairs as a task does in about a second."""
-    tasks = -(-queries.count() * rows // 50_000_000)
+def _spread(queries: DataFrame, rows: int, n: int | None = None) -> DataFrame:
+    """Queries (n of them) in enough partitions for their work: as many pairs as a task does in about a second."""
+    tasks = -(-(queries.count() if n is None else n) * rows // 50_000_000)
     return queries.repartition(max(tasks, queries.sparkSession.sparkContext.defaultParallelism)) if tasks > 1 else queries
 
 
@@ -125,7 +125,7 @@ def top_k(base: DataFrame, k: int, queries: DataFrame | None = None, metric: str
     asked = own if queries is None else queries.select("id", F.col(vec).alias("v"))
     n, width = _sizes(own)
     if 8 * n * width <= block_bytes:
-        return _beside(_spread(asked, n), Side(own, metric), k, include_self)
+        return _beside(_spread(asked, n, n if queries is None else None), Side(own, metric), k, include_self)
     from vexilar.operators.metric_index import Balls
 
     return Balls.build(own, metric, n).nearest(asked, k, include_self, max(1, block_bytes // (8 * width)))[0]
@@ -147,7 +147,7 @@ def with_kth_distance(rows: DataFrame, k: int, block_bytes: int = BLOCK_BYTES) -
             core = np.concatenate(found) if found else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), pa.array(core)], names=["id", "v", "core"])
 
-    return _spread(rows, n).select("id", "v").mapInArrow(run, f"id {dict(rows.dtypes)['id']}, v array<double>, core double")
+    return _spread(rows, n, n).select("id", "v").mapInArrow(run, f"id {dict(rows.dtypes)['id']}, v array<double>, core double")
 
 
 #: Bins that distances are counted in, and different distances that are read back at most.
@@ -170,7 +170,7 @@ class AllPairs:
         self.n, width = _sizes(self.rows)
         self.side, self.queries = None, self.rows
         if 8 * self.n * width <= block_bytes:
-            self.side, self.queries = Side(self.rows, "euclidean"), materialize(_spread(self.rows, self.n), "spread") if self.n**2 > 50_000_000 else self.rows
+            self.side, self.queries = Side(self.rows, "euclidean"), materialize(_spread(self.rows, self.n, self.n), "spread") if self.n**2 > 50_000_000 else self.rows
             return
         blocks = -(-self.n // max(1, block_bytes // (8 * width)))
         deal = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")

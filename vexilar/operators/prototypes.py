@@ -192,7 +192,7 @@ def sample_weights(df: DataFrame, floor: float = 0.20) -> DataFrame:
 
 def cluster_geometry(df: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """(cluster, n, radius, separation): mean distance to the cluster's mean and distance of the nearest other mean."""
-    means = mean_by(df.where("cluster <> -1"), ["cluster"], "v", "m")
+    means = materialize(mean_by(df.where("cluster <> -1"), ["cluster"], "v", "m"), "cluster_means")
     radius = df.join(means, "cluster").groupBy("cluster").agg(F.avg(distance(F.col("v"), F.col("m"))).alias("radius"))
     if means.count() > BROADCAST_PROTOTYPES:
         raise ValueError("too many clusters to compare each with each")

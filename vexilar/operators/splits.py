@@ -16,17 +16,7 @@ def _place(keys: list[str], order: list[str | Column]) -> tuple[Column, Column]:
 
 def _ranked(df: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
     """``df`` with _rn and _n, a row's rank and its group's rows: groups are dealt by ranges, so that a large one fills several tasks."""
-    n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    few = F.broadcast(n) if n.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS else n
-    ranked, same = running(df, keys, order, _rn=F.lit(1)), F.lit(True)
-    few = few.withColumnsRenamed({k: f"_k_{k}" for k in keys})
-    for k in keys:
-        same &= F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    return ranked.join(few, same).drop(*[f"_k_{k}" for k in keys])
-
-
-#: Groups whose sizes are broadcast at most.
-BROADCAST_GROUPS = 500_000
+    return running(df, keys, order, {"_n": "_rn"}, _rn=F.lit(1))
 
 
 def seeded_order(id_col: str, seed: int) -> list[Column]:

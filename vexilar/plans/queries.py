@@ -454,6 +454,16 @@ def adaptive_split(spark, sf_dir):
     return consolidate.adaptive_split(_three_views(spark, sf_dir).withColumn("cluster", F.when(F.col("cluster") < 4, F.lit(0)).otherwise(F.col("cluster")).cast("bigint")), quality=0.0).select("id", "cluster")
 
 
+@query("SELECT vec_id AS id, CASE WHEN vec_id % 6 = (SELECT min(vec_id) FROM embeddings WHERE vec_id % 6 < 2) % 6 THEN 0 WHEN vec_id % 6 < 2 THEN 6 ELSE vec_id % 6 END AS cluster FROM embeddings")
+def split_of_planted_classes(spark, sf_dir):
+    """Six classes planted in every view, two of them given as one cluster, which is found to be two."""
+    df = _vectors(spark, sf_dir).withColumn("g", F.col("id") % 6)
+    at = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda k: (k == F.col("g")).cast("double"))
+    planted = F.concat(at, F.transform("v", lambda x: x * 0.05))
+    rows = df.select("id", *[planted.alias(v) for v in consolidate.VIEWS], F.when(F.col("g") < 2, F.lit(0)).otherwise(F.col("g")).cast("bigint").alias("cluster"))
+    return consolidate.adaptive_split(rows).select("id", "cluster")
+
+
 CLOSURE = "h AS (SELECT a, b FROM g UNION SELECT b, a FROM g), r AS (SELECT a, b FROM h UNION SELECT r.a, h.b FROM r JOIN h ON r.b = h.a)"
 
 
