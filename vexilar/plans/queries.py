@@ -16,7 +16,7 @@ from vexilar.functions import registry, rf, vectors
 from vexilar.operators import cluster, components, consolidate, density, graph, knn, metrics, prototypes, recordings, reports, spectral, splits
 from vexilar.operators.prefix import running
 from vexilar.plans import baselines, signal_sql
-from vexilar.session import materialize, table
+from vexilar.session import materialize, scratch_path, table
 from vexilar.streaming import rounds
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -221,6 +221,18 @@ def prototype_predict(spark, sf_dir):
     return prototypes.predict(_vectors(spark, sf_dir), _protos(spark, sf_dir)).select("id", "pred", _r("sim").alias("sim"))
 
 
+@query(f"WITH {E}, {PROTO}, {PREDICT} SELECT id, pred, {R('sim')} AS sim FROM p")
+def saved_pipeline_predict(spark, sf_dir):
+    """The same rows from a pipeline that was fitted, saved and loaded."""
+    from pyspark.ml import Pipeline, PipelineModel
+
+    from vexilar.models.ml import NearestPrototype
+
+    df, path = _vectors(spark, sf_dir), scratch_path(spark, "pipeline")
+    Pipeline(stages=[NearestPrototype(inputCol="v")]).fit(df).write().overwrite().save(path)
+    return PipelineModel.load(path).transform(df).select("id", "pred", _r("sim").alias("sim"))
+
+
 @query(f"WITH {E}, {PROTO}, p AS (SELECT u.id, pr.label AS pred, list_inner_product(u.v, pr.v) + CASE WHEN pr.label < 4 THEN 0.05 ELSE 0 END AS sim FROM u, pr QUALIFY row_number() OVER (PARTITION BY u.id ORDER BY sim DESC, pr.label) = 1) SELECT id, pred, {R('sim')} AS sim FROM p")
 def prototype_bonus(spark, sf_dir):
     return prototypes.predict(_vectors(spark, sf_dir), _protos(spark, sf_dir), 4, 0.05).select("id", "pred", _r("sim").alias("sim"))
