@@ -17,7 +17,7 @@ from vexilar.operators import cluster, components, consolidate, density, graph,
 from vexilar.operators.prefix import running
 from vexilar.plans import baselines, signal_sql
 from vexilar.session import materialize, scratch_path, table
-from vexilar.streaming import rounds
+from vexilar.streaming import memory, rounds
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -221,6 +221,19 @@ def prototype_predict(spark, sf_dir):
     return prototypes.predict(_vectors(spark, sf_dir), _protos(spark, sf_dir)).select("id", "pred", _r("sim").alias("sim"))
 
 
+@query(f"WITH {E} SELECT label, CAST(k AS INT) AS rank, id FROM (SELECT label, id, row_number() OVER (PARTITION BY label ORDER BY md5('7:' || id), id) AS k FROM e) WHERE k <= 20")
+def replay_memory_stream(spark, sf_dir):
+    """The memory that a stream of three micro-batches keeps, the last of them after a restart."""
+    path = scratch_path(spark, "replay")
+    df = _vectors(spark, sf_dir)
+    for k in range(3):
+        df.where(F.pmod(F.xxhash64("id"), F.lit(3)) == k).coalesce(1).write.mode("append").parquet(f"{path}/in")
+        if k:  # the first two parts are two batches of one run
+            source = spark.readStream.schema("id bigint, label bigint, v array<double>").option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+            memory.run_replay(source, path).awaitTermination()
+    return memory.read_replay(spark, path).select("label", "rank", "id")
+
+
 @query(f"WITH {E}, {PROTO}, {PREDICT} SELECT id, pred, {R('sim')} AS sim FROM p")
 def saved_pipeline_predict(spark, sf_dir):
     """The same rows from a pipeline that was fitted, saved and loaded."""
