@@ -53,6 +53,12 @@ def test_means_send_a_row_a_group_and_task(spark):
     assert mean_by(df.where("id < 0"), ["label"], "v").count() == 0 and column_stats(df.where("id < 0"), "v").count() == 0
 
 
+def test_null_components_are_left_out(spark):
+    df = spark.createDataFrame([(1, [1.0, None, None]), (1, [3.0, 4.0, None]), (2, [None, 8.0, 1.0]), (2, None)], "k int, v array<double>").repartition(4)
+    assert {r["k"]: (r["n"], r["v"]) for r in mean_by(df, ["k"], "v").collect()} == {1: (2, [2.0, 4.0, None]), 2: (1, [None, 8.0, 1.0])}
+    assert [(r["mean"], r["std"]) for r in column_stats(df, "v").orderBy("i").collect()] == [(2.0, 1.0), (6.0, 2.0), (1.0, 0.0)]
+
+
 def test_lengths_of_a_group_must_agree(spark):
     df = spark.createDataFrame([(1, [1.0]), (1, [1.0, 2.0])], "k int, v array<double>")
     with pytest.raises(Exception, match="components"):

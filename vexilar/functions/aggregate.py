@@ -1,6 +1,6 @@
 """Vector statistics as mergeable states: a row a group and task goes through the shuffle, not a row a component.
 
-A state is (rows, mean, squared deviations). Each task folds its rows into one state a group in Arrow batches; states of
+A state is (rows, and by component: values, mean, squared deviations). Each task folds its rows into one state a group in Arrow batches; states of
 one group then meet in one task, where they are merged in passing. Tasks of many groups hand out their states early, so
 memory is bounded whatever the number of groups, and no task ever holds a group's rows.
 """
@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vexilar.session import ship
@@ -20,34 +20,41 @@ from vexilar.session import ship
 HELD_NUMBERS = 4_000_000
 
 
+#: The vectors of a state.
+PARTS = ("count", "mean", "m2")
+
+
 class State:
-    """Rows, component means and sums of squared deviations of vectors of one length (Chan, Golub and LeVeque, 1979)."""
+    """Rows, and the count, mean and summed squared deviations of each component's values (Chan, Golub and LeVeque, 1979)."""
 
-    __slots__ = ("n", "mean", "m2")
+    __slots__ = ("n", "count", "mean", "m2")
 
-    def __init__(self, n: int, mean: np.ndarray, m2: np.ndarray) -> None:
-        self.n, self.mean, self.m2 = n, mean, m2
+    def __init__(self, n: int, count: np.ndarray, mean: np.ndarray, m2: np.ndarray) -> None:
+        self.n, self.count, self.mean, self.m2 = n, count, mean, m2
 
-    def add(self, n: int, mean: np.ndarray, m2: np.ndarray) -> None:
+    def add(self, n: int, count: np.ndarray, mean: np.ndarray, m2: np.ndarray) -> None:
         if len(mean) != len(self.mean):
             raise ValueError(f"a group has vectors of {len(self.mean)} and of {len(mean)} components")
-        every, apart = self.n + n, mean - self.mean
-        self.mean = self.mean + apart * (n / every)
-        self.m2 = self.m2 + m2 + apart * apart * (self.n * n / every)
-        self.n = every
+        every, apart = self.count + count, mean - self.mean
+        share = count / np.maximum(every, 1)
+        self.mean = np.where(self.count == 0, mean, np.where(count == 0, self.mean, self.mean + apart * share))
+        self.m2 = self.m2 + m2 + np.where((self.count == 0) | (count == 0), 0.0, apart * apart * self.count * share)
+        self.n, self.count = self.n + n, every
 
 
-def _matrices(column: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(rows, their vectors as a matrix) of each length; null vectors are left out, null components are NaN."""
+def _matrices(column: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, their vectors as a matrix, which of its values are there) of each length; null vectors are left out."""
     sizes = np.asarray(column.value_lengths().fill_null(-1))
-    values = column.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
+    flat = column.flatten()
+    values, there = flat.cast(pa.float64()).fill_null(0.0).to_numpy(zero_copy_only=False), np.asarray(flat.is_valid())
     ends = np.cumsum(np.maximum(sizes, 0))
     for size in np.unique(sizes[sizes >= 0]):
         at = np.flatnonzero(sizes == size)
         if len(at) * size == len(values):
-            yield at, values.reshape(len(at), int(size))
+            yield at, values.reshape(len(at), int(size)), there.reshape(len(at), int(size))
         else:
-            yield at, values[(ends[at] - size)[:, None] + np.arange(size)[None, :]]
+            place = (ends[at] - size)[:, None] + np.arange(size)[None, :]
+            yield at, values[place], there[place]
 
 
 def _codes(batch: pa.RecordBatch, keys: list[str]) -> np.ndarray:
@@ -63,40 +70,43 @@ def _emitted(states: dict, kinds: list[pa.DataType], names: list[str]) -> pa.Rec
     keys = list(states)
     columns = [pa.array([key[i] for key in keys], t) for i, t in enumerate(kinds)]
     held = list(states.values())
-    vectors = [pa.array([getattr(s, part) for s in held], pa.list_(pa.float64())) for part in ("mean", "m2")]
-    return pa.RecordBatch.from_arrays([*columns, pa.array([s.n for s in held], pa.int64()), *vectors], names=[*names, "_n", "_mean", "_m2"])
+    vectors = [pa.array([np.asarray(getattr(s, part), float) for s in held], pa.list_(pa.float64())) for part in PARTS]
+    return pa.RecordBatch.from_arrays([*columns, pa.array([s.n for s in held], pa.int64()), *vectors], names=[*names, "_n", *(f"_{p}" for p in PARTS)])
 
 
 def vector_states(df: DataFrame, keys: list[str], v: str) -> DataFrame:
-    """(keys, _n, _mean, _m2): rows, mean and summed squared deviations of the vectors of each group; no keys: one group.
+    """(keys, _n, _count, _mean, _m2): the vectors of each group, and of each component the values, their mean and squared deviations.
 
-    Null vectors don't count; a null component makes that component's mean NaN. Vectors of one group have one length.
+    No keys: one group. Null vectors and null components don't count; a component without values has mean 0 and count
+    0. Vectors of one group have one length.
     """
     ship(df.sparkSession)
     kinds = dict(df.dtypes)
-    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "_n bigint", "_mean array<double>", "_m2 array<double>"])
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "_n bigint", *(f"_{p} array<double>" for p in PARTS)])
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         states, held, types = {}, 0, []
         for batch in batches:
             types = [batch.schema.field(k).type for k in keys]
             code = _codes(batch, keys)
-            for at, x in _matrices(batch.column(batch.schema.get_field_index(v))):
+            for at, x, there in _matrices(batch.column(batch.schema.get_field_index(v))):
                 order = np.argsort(code[at], kind="stable")
                 starts = np.flatnonzero(np.append(True, np.diff(code[at][order]) != 0))
-                x = x[order]
+                x, there = x[order], there[order]
                 n = np.diff(np.append(starts, len(x)))
-                mean = np.add.reduceat(x, starts, axis=0) / n[:, None] if x.shape[1] else np.zeros((len(n), 0))
-                off = x - np.repeat(mean, n, axis=0)
-                m2 = np.add.reduceat(off * off, starts, axis=0) if x.shape[1] else mean
+                total = lambda y, starts=starts: np.add.reduceat(y, starts, axis=0) if y.shape[1] else np.zeros((len(starts), 0))
+                count = total(there.astype(float))
+                mean = total(x) / np.maximum(count, 1)
+                off = np.where(there, x - np.repeat(mean, n, axis=0), 0.0)
+                m2 = total(off * off)
                 first = pa.array(at[order[starts]])
                 names = zip(*[batch.column(k).take(first).to_pylist() for k in keys], strict=True) if keys else [()]
                 for i, key in enumerate(names):
                     if (old := states.get(key)) is None:
-                        states[key] = State(int(n[i]), mean[i], m2[i])
-                        held += 2 * x.shape[1] + 8
+                        states[key] = State(int(n[i]), count[i], mean[i], m2[i])
+                        held += 3 * x.shape[1] + 8
                     else:
-                        old.add(int(n[i]), mean[i], m2[i])
+                        old.add(int(n[i]), count[i], mean[i], m2[i])
             if held > HELD_NUMBERS:
                 yield _emitted(states, types, keys)
                 states, held = {}, 0
@@ -109,14 +119,14 @@ def vector_states(df: DataFrame, keys: list[str], v: str) -> DataFrame:
             types = [batch.schema.field(k).type for k in keys]
             done = {}
             named = zip(*[batch.column(k).to_pylist() for k in keys], strict=True) if keys else [()] * batch.num_rows
-            parts = [_rows(batch.column(c)) for c in ("_mean", "_m2")]
+            parts = [_rows(batch.column(c)) for c in (f"_{p}" for p in PARTS)]
             for i, (key, n) in enumerate(zip(named, batch.column("_n").to_pylist(), strict=True)):
                 if state is not None and key == now:
-                    state.add(n, parts[0][i], parts[1][i])
+                    state.add(n, *(p[i] for p in parts))
                     continue
                 if state is not None:
                     done[now] = state
-                now, state = key, State(n, parts[0][i], parts[1][i])
+                now, state = key, State(n, *(p[i] for p in parts))
             if done:
                 yield _emitted(done, types, keys)
         if state is not None:
@@ -134,6 +144,11 @@ def _rows(column: pa.ListArray) -> list[np.ndarray]:
     return np.split(values, ends[:-1]) if len(ends) else []
 
 
-def deviations(n: str = "_n", m2: str = "_m2"):
-    """Population standard deviations of a state's components."""
-    return F.transform(m2, lambda x: F.sqrt(x / F.col(n)))
+def means() -> Column:
+    """A state's means; null for components without values."""
+    return F.zip_with("_mean", "_count", lambda m, c: F.when(c > 0, m))
+
+
+def deviations() -> Column:
+    """A state's population standard deviations; null for components without values."""
+    return F.zip_with("_m2", "_count", lambda x, c: F.when(c > 0, F.sqrt(x / c)))

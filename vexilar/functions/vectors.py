@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vexilar.functions.aggregate import deviations, vector_states
+from vexilar.functions.aggregate import deviations, means, vector_states
 
 #: Added to norms and standard deviations before dividing by them.
 NORM_EPS, STD_EPS = 1e-8, 1e-8
@@ -64,13 +64,13 @@ def clean(x: Column) -> Column:
 
 
 def mean_by(df: DataFrame, keys: list[str], v: str, out: str | None = None) -> DataFrame:
-    """Vector mean of each group: (keys, n, out). A task sends one state a group through the shuffle."""
-    return vector_states(df, keys, v).select(*keys, F.col("_n").alias("n"), F.col("_mean").alias(out or v))
+    """Vector mean of each group: (keys, n, out), n its vectors. A task sends one state a group through the shuffle."""
+    return vector_states(df, keys, v).select(*keys, F.col("_n").alias("n"), means().alias(out or v))
 
 
 def column_stats(df: DataFrame, v: str) -> DataFrame:
     """(i, mean, std): mean and population standard deviation of each component over all rows."""
-    both = vector_states(df, [], v).select(F.arrays_zip(F.col("_mean").alias("mean"), deviations().alias("std")).alias("_s"))
+    both = vector_states(df, [], v).select(F.arrays_zip(means().alias("mean"), deviations().alias("std")).alias("_s"))
     return both.select(F.posexplode("_s").alias("i", "_s")).select("i", "_s.mean", "_s.std")
 
 
