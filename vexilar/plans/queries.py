@@ -489,6 +489,38 @@ def split_of_planted_classes(spark, sf_dir):
     return consolidate.adaptive_split(rows).select("id", "cluster")
 
 
+SCALED = lambda v: f"list_transform({v}, lambda z: z / (sqrt(list_inner_product({v}, {v})) + 1e-8))"
+
+
+def _planted(df, classes, spread):
+    """A vector for each row: the class id % classes, one-hot, with some of the row's own vector beside it in the same places."""
+    return F.transform(F.sequence(F.lit(0), F.lit(classes - 1)), lambda k: (k == F.col("id") % classes).cast("double") + spread * F.get("v", k))
+
+
+PLANTED = "g AS (SELECT id, id % {n} AS g, list_transform(range(0, {n}), lambda k: CASE WHEN k = id % {n} THEN 1.0 ELSE 0.0 END + {s} * v[k + 1]) AS x FROM e)"
+
+
+@query(f"WITH {E}, {PLANTED.format(n=4, s=0.1)}, u AS (SELECT g, {SCALED('x')} AS x FROM g), m AS (SELECT g, i, avg(x) AS m, count(*) AS n FROM (SELECT g, unnest(x) AS x, generate_subscripts(x, 1) AS i FROM u) GROUP BY g, i), k AS (SELECT g, max(n) AS n, list(m ORDER BY i) AS m FROM m GROUP BY g) SELECT g // 2 AS label, n, {R('m[1] / (sqrt(list_inner_product(m, m)) + 1e-8)')} AS a, {R('m[2] / (sqrt(list_inner_product(m, m)) + 1e-8)')} AS b, {R('m[3] / (sqrt(list_inner_product(m, m)) + 1e-8)')} AS c, {R('m[4] / (sqrt(list_inner_product(m, m)) + 1e-8)')} AS d FROM k")
+def kmeans_prototypes(spark, sf_dir):
+    """Classes of two modes each, which K-means gives a prototype each."""
+    df = _vectors(spark, sf_dir)
+    rows = vectors.unit(df.select(F.floor(F.col("id") % 4 / 2).cast("bigint").alias("label"), _planted(df, 4, 0.1).alias("v")), "v")
+    found = prototypes.make_prototypes(rows, prototypes_per_class=2)
+    return found.select("label", "n", *[_r(F.get("v", F.lit(k))).alias(c) for k, c in enumerate("abcd")])
+
+
+@query("SELECT 'MV-ACC' AS method, 'Round 1' AS round, count(*) AS samples, CAST(3 AS BIGINT) AS clusters, CAST(0 AS BIGINT) AS count_error, 1.0 AS over_clustering, 0.0 AS noise, 1.0 AS purity, 1.0 AS nmi, 1.0 AS ari, 1.0 AS hungarian FROM embeddings")
+def discovery_of_planted_classes(spark, sf_dir):
+    """A whole round of discovery over three classes planted in both views."""
+    from vexilar.plans import methods
+
+    df = _vectors(spark, sf_dir)
+    rows = materialize(df.select("id", _planted(df, 3, 0.05).alias("deep"), _planted(df, 3, 0.04).alias("rf"), (F.col("id") % 3).alias("label")), "planted")
+    report = methods.run_discovery("MV-ACC", rows.select("id", "deep", "rf"), None, rows.select("id", "label"), "Round 1", 3).report
+    scores = [_r(c).alias(c) for c in ("over_clustering", "noise", "purity", "nmi", "ari", "hungarian")]
+    return report.select("method", "round", "samples", "clusters", "count_error", *scores)
+
+
 CLOSURE = "h AS (SELECT a, b FROM g UNION SELECT b, a FROM g), r AS (SELECT a, b FROM h UNION SELECT r.a, h.b FROM r JOIN h ON r.b = h.a)"
 
 
