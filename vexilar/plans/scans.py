@@ -45,6 +45,16 @@ def cube_scan_chosen(spark, sf_dir):
     return _first_last(found, "tx", "day", F.col("sample_idx").cast("bigint").alias("sample_idx"))
 
 
+@query(f"WITH {IQ}, n AS (SELECT label, {_PART} AS part, id % 2 AS rx, (id // 2) % 3 AS day, i, q, row_number() OVER (PARTITION BY label, {_PART}, id % 2, (id // 2) % 3 ORDER BY id) - 1 AS k FROM r JOIN e USING (id)), c AS (SELECT *, 'rx' || rx || '/day' || day || '/no/' || k AS cell FROM n WHERE (rx, day) IN ((0, 0), (1, 0), (1, 2))), h AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('5:' || label || '_' || part || '.pkl/' || cell), part, cell) AS place FROM c) SELECT CAST(label AS VARCHAR) AS tx, 'rx' || rx AS rx, 'day' || day AS day, k AS sample_idx, {ENDS} FROM h WHERE place <= 7")
+def cube_scan_environments(spark, sf_dir):
+    """At most so many records of a transmitter, drawn from the union of its chosen (rx, day, eq) cells."""
+    path = scratch_path(spark, "cubes")
+    names = {"tx": F.col("label").cast("string"), "rx": F.concat(F.lit("rx"), F.col("id") % 2), "day": F.concat(F.lit("day"), F.floor(F.col("id") / 2) % 3), "eq": F.lit("no")}
+    sinks.write_cubes(_records(spark, sf_dir).withColumns(names).drop("id", "label"), path)
+    found = files.read_cube(spark, path, cells=[(0, 0, 0), (1, 0, 0), (1, 2, 0)], max_per_tx=7, seed=5)
+    return _first_last(found, "tx", "rx", "day", F.col("sample_idx").cast("bigint").alias("sample_idx"))
+
+
 @query(f"WITH {IQ}, n AS (SELECT label, id, i, row_number() OVER (PARTITION BY label, {_PART} ORDER BY id) AS k FROM r JOIN e USING (id)), z AS (SELECT *, list_avg(i) AS m FROM n WHERE k <= 10) SELECT 'n' || label AS node, k - 1 AS sample_idx, {R('(i[1] - m) / (sqrt(list_avg(list_transform(i, lambda x: pow(x - m, 2)))) + 1e-8)')} AS i_first FROM z")
 def node_scan(spark, sf_dir):
     path = scratch_path(spark, "nodes")

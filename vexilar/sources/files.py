@@ -75,12 +75,13 @@ def _taken(n: int, most: int | None, seed: int | None) -> np.ndarray:
 
 def read_cube(
     spark: SparkSession, path: str, pattern: str = "*.pkl", tx: list[int] | None = None, rx: list[int] | None = None, days: list[int] | None = None, eq: list[int] | None = None,
-    cells: list[tuple[int, int, int]] | None = None, max_per_cell: int | None = None, seed: int | None = None, least_tx: int = 0, least_days: int = 0,
+    cells: list[tuple[int, int, int]] | None = None, max_per_cell: int | None = None, seed: int | None = None, least_tx: int = 0, least_days: int = 0, max_per_tx: int | None = None,
 ) -> DataFrame:
     """Pickled cubes data[tx][rx][day][eq] -> [N, L, 2] with their dimension lists, a row a record.
 
     tx, rx, days and eq choose places in the dimensions, cells whole (rx, day, eq) triples; of each cell at most
-    ``max_per_cell`` records are read, the first or random ones by a seed. Only chosen records are converted. A cube
+    ``max_per_cell`` records are read, the first or random ones by a seed. Only chosen records are converted. Of each
+    transmitter at most ``max_per_tx`` are kept, drawn by a seeded hash from all its chosen cells and files. A cube
     with fewer transmitters or days than asked for is refused. Columns: tx, rx, day, eq (names), tx_idx, rx_idx,
     day_idx, eq_idx, sample_idx, sample_id, i, q. Empty cells give no row. A cube is one file and one task by nature;
     convert it once and keep the result partitioned by day_idx and rx_idx.
@@ -115,6 +116,11 @@ def read_cube(
 
     schema = f"tx string, rx string, day string, eq string, tx_idx int, rx_idx int, day_idx int, eq_idx int, sample_idx int, _file string, {IQ}"
     rows = _files(spark, path, pattern).select("path", "content").mapInPandas(run, schema)
+    if max_per_tx is not None:
+        from vexilar.operators.splits import per_class
+
+        name = F.concat_ws("/", F.element_at(F.split("_file", "/"), -1), "rx", "day", "eq", "sample_idx")
+        rows = per_class(rows.withColumn("_name", name), "tx", "_name", max_per_tx, 7 if seed is None else seed).drop("_name")
     return rows.withColumn("sample_id", F.xxhash64("_file", "tx_idx", "rx_idx", "day_idx", "eq_idx", "sample_idx")).drop("_file")
 
 
