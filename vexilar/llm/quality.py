@@ -8,7 +8,10 @@ metrics that only a rule needs are part of its branch: neither is worked out for
 from __future__ import annotations
 
 import re
+import time
+from collections.abc import Callable
 from dataclasses import dataclass
+from statistics import median
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,7 +51,9 @@ OWN_METRICS = {
     "n_letter_words": r"regexp_count(_text, r'\p{L}[^\x20\x09-\x0D]*')",
     "n_bullet_lines": r"regexp_count(_text, r'(?:\A|\n)[\x20\x09]*[-*\u2022]')",
 }
-#: What a metric costs, in nanoseconds: so much for each character, each word, and each word times the words' logarithm.
+#: Runs of which a measured cost is the median.
+RUNS = 3
+#: What a metric costs where it can't be measured, in nanoseconds: so much for each character, each word, and each word times the words' logarithm.
 COSTS = {
     "n_words": (4, 0, 0), "word_chars": (4, 10, 0), "n_symbols": (10, 0, 0), "n_lines": (8, 0, 0), "n_dup_lines": (12, 0, 0),
     "n_repeat_words": (4, 60, 20), "n_letter_words": (25, 0, 0), "n_bullet_lines": (8, 0, 0),
@@ -192,21 +197,72 @@ def sample_of(docs: DataFrame, rows: int, text: str = "text", seed: int = 17) ->
     return materialize(some.repartition(4), "sample")
 
 
-def plan_cascade(docs: DataFrame, rules: tuple[Rule, ...], text: str = "text", sample_rows: int = 2_000) -> list[Rule]:
-    """The rules by falling rejection per cost, both from a sample of about ``sample_rows`` rows of all of ``docs``.
+@dataclass(frozen=True)
+class Measured:
+    """What the sample says of a rule: the share of texts that it rejects alone, and nanoseconds a text."""
+
+    rule: Rule
+    share: float
+    cost: float
+
+    @property
+    def worth(self) -> float:
+        return self.share / self.cost
+
 
-    A rule's selectivity is the share of the sample that it rejects alone. Its cost is counted, not timed: the
-    characters and words of the sampled texts times what the metrics that it uses take for each (COSTS), so that the
-    same sample gives the same order on any machine. The order only says which rule names a rejected row and which
-    metrics are spared, never which rows are rejected. Ties keep the given order; an empty table keeps it too.
+def _seconds(build: Callable[[], DataFrame], runs: int) -> tuple[float, float]:
+    """(median, spread) of the time that an aggregate takes to run, each time planned beforehand; a first run, which compiles, doesn't count."""
+    times = []
+    for _ in range(runs + 1):
+        df = build()
+        df._jdf.queryExecution().executedPlan()
+        began = time.perf_counter()
+        df.collect()  # one row
+        times.append(time.perf_counter() - began)
+    return median(times[1:]), max(times[1:]) - min(times[1:])
+
+
+def measure_rules(docs: DataFrame, rules: tuple[Rule, ...], text: str = "text", sample_rows: int = 2_000, runs: int = RUNS, least_texts: int = 8_000) -> list[Measured]:
+    """Each rule's selectivity and cost on a sample of about ``sample_rows`` rows of all of ``docs``.
+
+    The sample is stored, and repeated until it has ``least_texts``. A rule's cost is what counting its rejections takes, the
+    median of ``runs`` runs, less what reading the sample and its words takes. Where that is no more than the runs differ
+    by, which very cheap rules are, and with 0 runs, the cost is counted instead: characters and words of the sampled texts times what the
+    metrics take for each (COSTS). An empty table has shares of 0.
+    """
+    stored = sample_of(docs, sample_rows, text)
+    n = stored.count()
+    sample = _words(stored, "text")
+    chars, words = F.length("_text"), F.size("_w").cast("double")
+    metrics = row_metrics()
+    counted = sample.agg(*[F.coalesce(F.avg(_cost(r, chars, words)), F.lit(1.0)).alias(f"c{k}") for k, r in enumerate(rules)]).first()
+    measured = sample.select("_text", *[m.alias(name) for name, m in metrics.items() if any(_uses(r, name) for r in rules)])
+    shares = measured.agg(*[F.count_if(F.expr(f"coalesce({r.rejects}, false)")).alias(f"r{k}") for k, r in enumerate(rules)]).first() if n else None
+    copies = max(1, -(-least_texts // n)) if n else 0
+    many = _words(stored.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.lit(copies)))).select("text"), "text") if n else None
+    timed = bool(n and runs)
+    base = _seconds(lambda: many.agg(F.sum(F.size("_w")), F.sum(F.length("_text"))), runs) if timed else (0.0, 0.0)
+    out = []
+    for k, rule in enumerate(rules):
+        cost = counted[f"c{k}"]
+        if timed:
+            own = many.select(*[metrics[m].alias(m) for m in metrics if _uses(rule, m)])
+            took, spread = _seconds(lambda own=own, rule=rule: own.agg(F.count_if(F.expr(f"coalesce({rule.rejects}, false)"))), runs)
+            if took - base[0] > spread + base[1]:
+                cost = 1e9 * (took - base[0]) / (n * copies)
+        out.append(Measured(rule, shares[f"r{k}"] / n if n else 0.0, cost))
+    return out
+
+
+def plan_cascade(docs: DataFrame, rules: tuple[Rule, ...], text: str = "text", sample_rows: int = 2_000, runs: int = 0) -> list[Rule]:
+    """The rules by falling rejection per cost, both from a sample of all of ``docs``: see ``measure_rules``.
+
+    With ``runs`` costs are measured, as production does; without, they are counted, and the same sample gives the same
+    order on any machine. The order only says which rule names a rejected row and which metrics are spared, never which
+    rows are rejected. Ties keep the given order; an empty table keeps it too.
     """
-    sample = _words(sample_of(docs, sample_rows, text), "text")
-    measured = sample.select("_text", *[m.alias(n) for n, m in row_metrics().items() if any(_uses(r, n) for r in rules) or n == "n_words"])
-    chars, words = F.length("_text"), F.col("n_words").cast("double")
-    sums = [(F.count_if(F.expr(f"coalesce({r.rejects}, false)")).alias(f"r{k}"), F.sum(_cost(r, chars, words)).alias(f"c{k}")) for k, r in enumerate(rules)]
-    found = measured.agg(F.count("*").alias("n"), *[x for pair in sums for x in pair]).first()
-    worth = [(-(found[f"r{k}"] / found[f"c{k}"]) if found["n"] else 0.0, k) for k in range(len(rules))]
-    return [rules[k] for _, k in sorted(worth)]
+    found = measure_rules(docs, rules, text, sample_rows, runs)
+    return [m.rule for m in sorted(found, key=lambda m: -m.worth)]
 
 
 def quality_filter(docs: DataFrame, ordered: list[Rule], text: str = "text") -> DataFrame:

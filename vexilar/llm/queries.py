@@ -46,7 +46,7 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    ordered = quality.plan_cascade(docs, quality.BASE_RULES + quality.METHOD_RULES)
+    ordered = quality.plan_cascade(docs, quality.BASE_RULES + quality.METHOD_RULES, runs=quality.RUNS)
     base = " or ".join(f"coalesce({r.rejects}, false)" for r in quality.BASE_RULES)
     judged = quality.cascade(docs, ordered)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", F.expr(base).alias("base_failed"), "kept")
