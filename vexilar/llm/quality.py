@@ -51,8 +51,8 @@ OWN_METRICS = {
     "n_letter_words": r"regexp_count(_text, r'\p{L}[^\x20\x09-\x0D]*')",
     "n_bullet_lines": r"regexp_count(_text, r'(?:\A|\n)[\x20\x09]*[-*\u2022]')",
 }
-#: Runs of which a measured cost is the median.
-RUNS = 3
+#: Runs of which a measured cost is the median, and texts that they take.
+RUNS, TIMED_TEXTS = 3, 100
 #: What a metric costs where it can't be measured, in nanoseconds: so much for each character, each word, and each word times the words' logarithm.
 COSTS = {
     "n_words": (4, 0, 0), "word_chars": (4, 10, 0), "n_symbols": (10, 0, 0), "n_lines": (8, 0, 0), "n_dup_lines": (12, 0, 0),
@@ -222,11 +222,11 @@ def _seconds(build: Callable[[], DataFrame], runs: int) -> tuple[float, float]:
     return median(times[1:]), max(times[1:]) - min(times[1:])
 
 
-def measure_rules(docs: DataFrame, rules: tuple[Rule, ...], text: str = "text", sample_rows: int = 2_000, runs: int = RUNS, least_texts: int = 8_000) -> list[Measured]:
+def measure_rules(docs: DataFrame, rules: tuple[Rule, ...], text: str = "text", sample_rows: int = 2_000, runs: int = RUNS, timed_texts: int = TIMED_TEXTS) -> list[Measured]:
     """Each rule's selectivity and cost on a sample of about ``sample_rows`` rows of all of ``docs``.
 
-    The sample is stored, and repeated until it has ``least_texts``. A rule's cost is what counting its rejections takes, the
-    median of ``runs`` runs, less what reading the sample and its words takes. Where that is no more than the runs differ
+    The sample is stored. A rule's cost is what counting its rejections takes on ``timed_texts`` of it, the median of
+    ``runs`` runs, less what reading those and their words takes. Where that is no more than the runs differ
     by, which very cheap rules are, and with 0 runs, the cost is counted instead: characters and words of the sampled texts times what the
     metrics take for each (COSTS). An empty table has shares of 0.
     """
@@ -238,18 +238,17 @@ def measure_rules(docs: DataFrame, rules: tuple[Rule, ...], text: str = "text",
     counted = sample.agg(*[F.coalesce(F.avg(_cost(r, chars, words)), F.lit(1.0)).alias(f"c{k}") for k, r in enumerate(rules)]).first()
     measured = sample.select("_text", *[m.alias(name) for name, m in metrics.items() if any(_uses(r, name) for r in rules)])
     shares = measured.agg(*[F.count_if(F.expr(f"coalesce({r.rejects}, false)")).alias(f"r{k}") for k, r in enumerate(rules)]).first() if n else None
-    copies = max(1, -(-least_texts // n)) if n else 0
-    many = _words(stored.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.lit(copies)))).select("text"), "text") if n else None
-    timed = bool(n and runs)
+    timed, m = bool(n and runs), min(n, timed_texts)
+    many = _words(materialize(stored.limit(timed_texts).coalesce(1), "timed_texts"), "text") if timed else None
     base = _seconds(lambda: many.agg(F.sum(F.size("_w")), F.sum(F.length("_text"))), runs) if timed else (0.0, 0.0)
     out = []
     for k, rule in enumerate(rules):
         cost = counted[f"c{k}"]
         if timed:
-            own = many.select(*[metrics[m].alias(m) for m in metrics if _uses(rule, m)])
+            own = many.select(*[metrics[x].alias(x) for x in metrics if _uses(rule, x)])
             took, spread = _seconds(lambda own=own, rule=rule: own.agg(F.count_if(F.expr(f"coalesce({rule.rejects}, false)"))), runs)
             if took - base[0] > spread + base[1]:
-                cost = 1e9 * (took - base[0]) / (n * copies)
+                cost = 1e9 * (took - base[0]) / m
         out.append(Measured(rule, shares[f"r{k}"] / n if n else 0.0, cost))
     return out
 
