@@ -152,7 +152,7 @@ def test_partitions_and_blocks_change_no_label(spark, parts):
 def test_rounds_of_all_tasks_give_the_same_labels(spark, monkeypatch):
     """With room for 30 edges a task, components, forest and condensed tree all go through their distributed rounds."""
     rng = np.random.default_rng(5)
-    x = np.vstack([rng.normal(0, 0.1, (28, 2)), rng.normal(0.8, 0.1, (28, 2)), np.ones((12, 2)) * 6, rng.normal(6, 1, (22, 2))])
+    x = np.vstack([rng.normal(0, 0.1, (18, 2)), rng.normal(0.8, 0.1, (18, 2)), np.ones((9, 2)) * 6, rng.normal(6, 1, (12, 2))])
     monkeypatch.setattr(density, "LOCAL_EDGES", 30)
     assert_labels(density.density_clusters(frame(spark, x, 3), "v", 6, 3, block_rows=30), x, 6, 3)
 
