@@ -21,6 +21,10 @@ def _records(spark, sf_dir):
     return _iq(spark, sf_dir).select("id", F.concat_ws("_", "label", part).alias("file"), F.col("id").alias("sample_idx"), "label", "i", "q")
 
 
+#: Names of a cube's dimensions: a file of few records has all of them too.
+PLACES = {"rx": ["rx0", "rx1"], "day": ["day0", "day1", "day2"], "eq": ["no"]}
+
+
 def _first_last(df, *columns):
     return df.select(*columns, _r(F.get("i", F.lit(0))).alias("i_first"), _r(F.element_at("q", -1)).alias("q_last"))
 
@@ -32,7 +36,7 @@ ENDS = f"{R('i[1]')} AS i_first, {R('q[32]')} AS q_last"
 def cube_scan(spark, sf_dir):
     path = scratch_path(spark, "cubes")
     names = {"tx": F.col("label").cast("string"), "rx": F.concat(F.lit("rx"), F.col("id") % 2), "day": F.concat(F.lit("day"), F.floor(F.col("id") / 2) % 3), "eq": F.lit("no")}
-    sinks.write_cubes(_records(spark, sf_dir).withColumns(names).drop("id", "label"), path)
+    sinks.write_cubes(_records(spark, sf_dir).withColumns(names).drop("id", "label"), path, **PLACES)
     return _first_last(files.read_cube(spark, path), "tx", "rx", "day", F.col("sample_idx").cast("bigint").alias("sample_idx"))
 
 
@@ -40,7 +44,7 @@ def cube_scan(spark, sf_dir):
 def cube_scan_chosen(spark, sf_dir):
     path = scratch_path(spark, "cubes")
     names = {"tx": F.col("label").cast("string"), "rx": F.concat(F.lit("rx"), F.col("id") % 2), "day": F.concat(F.lit("day"), F.floor(F.col("id") / 2) % 3), "eq": F.lit("no")}
-    sinks.write_cubes(_records(spark, sf_dir).withColumns(names).drop("id", "label"), path)
+    sinks.write_cubes(_records(spark, sf_dir).withColumns(names).drop("id", "label"), path, **PLACES)
     found = files.read_cube(spark, path, cells=[(1, 0, 0), (1, 2, 0)], max_per_cell=4, least_days=3)
     return _first_last(found, "tx", "day", F.col("sample_idx").cast("bigint").alias("sample_idx"))
 
@@ -50,7 +54,7 @@ def cube_scan_environments(spark, sf_dir):
     """At most so many records of a transmitter, drawn from the union of its chosen (rx, day, eq) cells."""
     path = scratch_path(spark, "cubes")
     names = {"tx": F.col("label").cast("string"), "rx": F.concat(F.lit("rx"), F.col("id") % 2), "day": F.concat(F.lit("day"), F.floor(F.col("id") / 2) % 3), "eq": F.lit("no")}
-    sinks.write_cubes(_records(spark, sf_dir).withColumns(names).drop("id", "label"), path)
+    sinks.write_cubes(_records(spark, sf_dir).withColumns(names).drop("id", "label"), path, **PLACES)
     found = files.read_cube(spark, path, cells=[(0, 0, 0), (1, 0, 0), (1, 2, 0)], max_per_tx=7, seed=5)
     return _first_last(found, "tx", "rx", "day", F.col("sample_idx").cast("bigint").alias("sample_idx"))
 
@@ -161,5 +165,5 @@ def stage_lookup(spark, sf_dir):
 def cube_inspection(spark, sf_dir):
     path = scratch_path(spark, "cubes")
     names = {"tx": F.col("file"), "rx": F.concat(F.lit("rx"), F.col("id") % 2), "day": F.concat(F.lit("day"), F.floor(F.col("id") / 2) % 3), "eq": F.lit("no")}
-    sinks.write_cubes(_records(spark, sf_dir).withColumns(names).withColumn("file", F.floor(F.col("id") / FILE_ROWS).cast("string")).drop("id", "label"), path)
+    sinks.write_cubes(_records(spark, sf_dir).withColumns(names).withColumn("file", F.floor(F.col("id") / FILE_ROWS).cast("string")).drop("id", "label"), path, **PLACES)
     return files.describe_cube(files.read_cube(spark, path)).select("rx_idx", "day_idx", "records", "length")

@@ -83,7 +83,7 @@ def read_cube(
     ``max_per_cell`` records are read, the first or random ones by a seed. Only chosen records are converted. Of each
     transmitter at most ``max_per_tx`` are kept, drawn by a seeded hash from all its chosen cells and files. A cube
     with fewer transmitters or days than asked for is refused. Columns: tx, rx, day, eq (names), tx_idx, rx_idx,
-    day_idx, eq_idx, sample_idx, sample_id, i, q. Empty cells give no row. A cube is one file and one task by nature;
+    day_idx, eq_idx, sample_idx, sample_id, file (its path), i, q. Empty cells give no row. A cube is one file and one task by nature;
     convert it once and keep the result partitioned by day_idx and rx_idx.
     """
     wanted = [None if c is None else set(c) for c in (tx, rx, days, eq)]
@@ -121,7 +121,7 @@ def read_cube(
 
         name = F.concat_ws("/", F.element_at(F.split("_file", "/"), -1), "rx", "day", "eq", "sample_idx")
         rows = per_class(rows.withColumn("_name", name), "tx", "_name", max_per_tx, 7 if seed is None else seed).drop("_name")
-    return rows.withColumn("sample_id", F.xxhash64("_file", "tx_idx", "rx_idx", "day_idx", "eq_idx", "sample_idx")).drop("_file")
+    return rows.withColumn("sample_id", F.xxhash64("_file", "tx_idx", "rx_idx", "day_idx", "eq_idx", "sample_idx")).withColumnRenamed("_file", "file")
 
 
 def read_nodes(spark: SparkSession, path: str, pattern: str = "*.pkl", nodes: list[str] | None = None, indices: list[int] | None = None, max_per_node: int | None = None, seed: int | None = None, zscore: bool = False) -> DataFrame:
@@ -323,5 +323,5 @@ def write_records(df: DataFrame, path: str, *partitions: str) -> None:
 
 
 def describe_cube(df: DataFrame) -> DataFrame:
-    """(tx_idx, rx_idx, day_idx, eq_idx, records, length) of a scanned cube."""
-    return df.groupBy("tx_idx", "rx_idx", "day_idx", "eq_idx").agg(F.count("*").alias("records"), F.max(F.size("i")).alias("length"))
+    """(file, tx_idx, rx_idx, day_idx, eq_idx, records, length) of scanned cubes, a row a cell of each."""
+    return df.groupBy("file", "tx_idx", "rx_idx", "day_idx", "eq_idx").agg(F.count("*").alias("records"), F.max(F.size("i")).alias("length"))

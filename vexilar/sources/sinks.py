@@ -37,17 +37,23 @@ def _channels(pdf: pd.DataFrame) -> np.ndarray:
     return np.stack([np.stack(pdf["i"].to_numpy()), np.stack(pdf["q"].to_numpy())], axis=-1)
 
 
-def write_cubes(df: DataFrame, path: str) -> DataFrame:
-    """Pickled cubes {name}.pkl, data[tx][rx][day][eq] -> [N, L, 2]. df: file, tx, rx, day, eq (strings), sample_idx, i, q."""
+def write_cubes(df: DataFrame, path: str, **names: list[str]) -> DataFrame:
+    """Pickled cubes {name}.pkl, data[tx][rx][day][eq] -> [N, L, 2]. df: file, tx, rx, day, eq (strings), sample_idx, i, q.
+
+    names: all of a dimension's, in order, so that a file that lacks some has the others at the same places; a
+    dimension without has the file's own, sorted.
+    """
 
     def encode(pdf: pd.DataFrame) -> dict[str, bytes]:
-        dims = [sorted(pdf[c].unique()) for c in ("tx", "rx", "day", "eq")]
+        dims = [names.get(c) or sorted(pdf[c].unique()) for c in ("tx", "rx", "day", "eq")]
+        if any(not set(pdf[c]) <= set(names[c]) for c in names):
+            raise ValueError(f"records of {pdf['file'].iloc[0]} have names that {names} lacks")
         length = len(pdf["i"].iloc[0])
         cells = {k: _channels(g) for k, g in pdf.groupby(["tx", "rx", "day", "eq"])}
         empty = np.zeros((0, length, 2))
         data = [[[[cells.get((t, r, d, e), empty) for e in dims[3]] for d in dims[2]] for r in dims[1]] for t in dims[0]]
-        names = dict(zip(("tx_list", "rx_list", "capture_date_list", "equalized_list"), dims))
-        return {"": pickle.dumps({"data": data, **names})}
+        lists = dict(zip(("tx_list", "rx_list", "capture_date_list", "equalized_list"), dims))
+        return {"": pickle.dumps({"data": data, **lists})}
 
     return _each(df, path, ".pkl", ["tx", "rx", "day", "eq", "sample_idx"], encode)
 
