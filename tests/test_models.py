@@ -143,3 +143,16 @@ def test_incremental_training_learns_and_keeps(spark, trained):
     assert training.evaluate(tones(spark, 2, 10, 6, first=3), after)[0] > 0.8 and training.evaluate(tones(spark, 3, 10, 7), after)[0] > 0.8
     untouched = [n for n in net.params if n.startswith(("stem", "layer1", "layer2"))]
     assert all((after.params[n] == net.params[n]).all() for n in untouched) and all((after.buffers[n] == net.buffers[n]).all() for n in net.buffers if n.startswith(("stem", "layer1", "layer2")))
+
+
+def test_predictions_go_forward_in_slices(spark, monkeypatch):
+    """A worker's memory doesn't follow the batch it gets; features are those of all records at once."""
+    net = networks.Network("residual", 3, 4)
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(600, 2, 16))
+    want, logits = (v.value for v in net.forward(x))
+    sizes = []
+    monkeypatch.setattr(networks.Network, "forward", lambda self, y, *a, f=networks.Network.forward, **k: (sizes.append(len(y)), f(self, y, *a, **k))[1])
+    got = training._forward(net, x)
+    assert np.allclose(got[0], want, atol=1e-5) and np.allclose(got[1], logits, atol=1e-5)
+    assert max(sizes) <= training.FORWARD_ROWS and sum(sizes) == 600

@@ -20,9 +20,12 @@ from vexilar.functions.rf import augment
 from vexilar.models import losses
 from vexilar.models.networks import Network
 from vexilar.models.tape import Var, concat, rows_of
+from vexilar.operators.knn import matrix
 from vexilar.session import materialize
 
 SHARD_ROWS, MOST_SHARDS = 20_000, 32
+#: Records that go forward through a network at once where nothing is learned: a batch's activations are some 100 KB a record.
+FORWARD_ROWS = 256
 
 
 @dataclass(frozen=True)
@@ -71,8 +74,13 @@ class AdamW:
 
 
 def _records(batch: pa.RecordBatch) -> np.ndarray:
-    i, q = (np.stack(batch.column(c).to_pandas().to_numpy()) for c in ("i", "q"))
-    return np.stack([i, q], axis=1)
+    return np.stack([matrix(batch.column(c)) for c in ("i", "q")], axis=1)
+
+
+def _forward(net: Network, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Features and logits of records, FORWARD_ROWS at a time, so that memory doesn't grow with what a worker gets at once."""
+    parts = [tuple(v.value for v in net.forward(x[lo : lo + FORWARD_ROWS])) for lo in range(0, len(x), FORWARD_ROWS)]
+    return tuple(np.concatenate(p) for p in zip(*parts, strict=True))
 
 
 def _varied(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
@@ -184,7 +192,7 @@ def evaluate(df: DataFrame, net: Network) -> tuple[float, float]:
         for batch in batches:
             if batch.num_rows:
                 net, y = sent.value, batch.column("label").to_numpy()
-                logits = Var(net.forward(_records(batch))[1].value[:, : net.classes])
+                logits = Var(_forward(net, _records(batch))[1][:, : net.classes])
                 yield pa.RecordBatch.from_pydict({"n": [len(y)], "right": [int((logits.value.argmax(axis=1) == y).sum())], "loss": [float(losses.cross_entropy(logits, y).value) * len(y)]})
 
     own = df.select(F.col("label").cast("bigint").alias("label"), "i", "q")
@@ -236,7 +244,7 @@ def extract(df: DataFrame, net: Network) -> DataFrame:
     def run(i: pd.Series, q: pd.Series) -> pd.DataFrame:
         if not len(i):
             return pd.DataFrame({"feature": [], "logits": [], "pred": []})
-        feature, logits = (v.value.astype(float) for v in sent.value.forward(np.stack([np.stack(i.to_numpy()), np.stack(q.to_numpy())], axis=1)))
+        feature, logits = (v.astype(float) for v in _forward(sent.value, np.stack([np.stack(i.to_numpy()), np.stack(q.to_numpy())], axis=1)))
         return pd.DataFrame({"feature": list(feature), "logits": list(logits), "pred": logits[:, : sent.value.classes].argmax(axis=1)})
 
     found = df.withColumn("_f", run("i", "q"))
