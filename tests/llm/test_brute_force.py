@@ -523,3 +523,25 @@ def test_pipeline_on_empty_tables_and_clashing_names(spark, docs, tmp_path):
             assert out.columns == odd.columns
         got = sorted(str(r["doc_id"]) for r in out.collect())
         assert got == (["1", "2"] if name == "near_duplicates" else ["1", "1", "2", "None"]), name
+
+
+def test_every_labelled_row_is_learned_from(spark, monkeypatch):
+    """Beyond what the driver takes, rows of all shards move the model: words of single rows are known afterwards."""
+    monkeypatch.setattr(toxicity, "LOCAL_ROWS", 100)
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", 200)
+    draw = random.Random(3)
+    common = [f"plain{k}" for k in range(200)]
+    rows = [(i, " ".join(draw.choices(common, k=12) + ([f"foul{i % 7}"] if i % 3 == 0 else [])), "en" if i % 2 else "de", int(i % 3 == 0)) for i in range(1200)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, toxic int")
+    monkeypatch.setattr(toxicity, "train", lambda *a: pytest.fail("the driver has learned by itself"))
+    s = toxicity.Settings(buckets=4096, epochs=12, rate=0.03, least_steps=1)
+    model = toxicity.fit(df.drop("toxic"), df.select("doc_id", "toxic"), s)
+    got = toxicity.score_documents(df, model).join(df.select("doc_id", "toxic"), "doc_id").where("held_out").collect()
+    assert len(got) > 200 and sum(r["predicted"] == r["toxic"] for r in got) >= 0.97 * len(got)
+    scored = spark.createDataFrame([(f"l{k % 2}", int(draw.random() < k % 97 / 97), round(k % 97 / 97, 2)) for k in range(500)], "lang string, toxic int, score double")
+    local = scored.toPandas()
+    for r in toxicity._best_ranges(scored, ["lang"]):
+        own = local[local.lang == r["lang"]]
+        assert (r["below"], r["most"]) == toxicity.best_range(own.score.to_numpy(), own.toxic.to_numpy())
+    r = toxicity._best_ranges(scored, [])[0]
+    assert (r["below"], r["most"]) == toxicity.best_range(local.score.to_numpy(), local.toxic.to_numpy())
