@@ -545,3 +545,25 @@ def test_every_labelled_row_is_learned_from(spark, monkeypatch):
         assert (r["below"], r["most"]) == toxicity.best_range(own.score.to_numpy(), own.toxic.to_numpy())
     r = toxicity._best_ranges(scored, [])[0]
     assert (r["below"], r["most"]) == toxicity.best_range(local.score.to_numpy(), local.toxic.to_numpy())
+
+
+def test_only_repeated_ids_shuffle_their_texts(spark, monkeypatch):
+    """Of an id with several texts the least is learned from; texts of other ids stay where they are."""
+    rows = [(i, f"{k} word{i} " * 40) for i in range(200) for k in ((1, 0) if i % 50 == 0 else (0,))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id bigint, toxic int")
+    found = toxicity.training_rows(docs, labels, toxicity.Settings())
+    s = toxicity.Settings()
+    want = {i: b"".join(np.array(toxicity.word_rows(w, s), np.uint16).tobytes() for w in f"0 word{i} ".split() * 40) for i in range(200) if zlib.crc32(str(i).encode()) % 4 != 2}
+    assert {r["_id"]: bytes(r["ids"]) for r in found.collect()} == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    lone = toxicity.training_rows(docs.where("text like '0%'"), labels, s)
+    assert "hashpartitioning(_id" in plan and "hashpartitioning(_id" not in lone._jdf.queryExecution().executedPlan().toString()
+
+
+def test_words_of_many_texts_are_those_of_each():
+    texts = ["One two two, one", None, "", "three one éa_b", "aaaaaaaaa aaaaaaaab"]
+    one, many = toxicity.Words(toxicity.Settings()), toxicity.Words(toxicity.Settings())
+    each, every = [one.of(t) for t in texts], many.of_all(texts)
+    assert len(each) == len(every) and all((one.table()[a] == many.table()[b]).all() for a, b in zip(each, every, strict=True))
+    assert many.of_all([]) == [] or sum(map(len, many.of_all([]))) == 0

@@ -10,14 +10,17 @@ reads every text whole, in runs of words that overlap by a filter's width.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401 - pa.compute
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from vexilar.llm.arrow import give_back, map_arrow, slices
 from vexilar.llm.text import own_columns
@@ -82,7 +85,10 @@ class Model:
 
     def embed(self, ids: np.ndarray) -> np.ndarray:
         """(n, width) embeddings of words given by their (n, parts) rows; row 0 adds nothing."""
-        return self.p["e"][ids].mean(axis=1)
+        out = self.p["e"][ids[:, 0]]
+        for part in range(1, ids.shape[1]):
+            out += self.p["e"][ids[:, part]]
+        return out / np.float32(ids.shape[1])
 
     def pool(self, x: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, dict]:
         """Maxima of every filter over each text; x: all texts' embedded words end to end, as ``_layout`` puts them.
@@ -122,12 +128,26 @@ def _layout(texts: list[np.ndarray], pad: int) -> tuple[np.ndarray, np.ndarray,
 WORD = re.compile(r"[^\W_]+")
 
 
-def word_rows(word: str, s: Settings) -> list[int]:
-    """The embedding rows of a lower-case word: its hash, and that of each beginning it is longer than, else 0."""
-    from xxhash import xxh64_intdigest
+def _hash(word: str, seed: int) -> int:
+    try:
+        return xxh64_intdigest(word, seed)
+    except UnicodeEncodeError:  # half a surrogate pair
+        return xxh64_intdigest(word.encode(errors="replace"), seed)
 
-    rows = [xxh64_intdigest(word.encode(errors="replace"), 0) % (s.buckets - 1) + 1]
-    return rows + [xxh64_intdigest(word[:n].encode(errors="replace"), n) % (s.buckets - 1) + 1 if len(word) > n else 0 for n in s.prefixes]
+
+def word_rows(word: str, s: Settings, heads: dict[str, int] | None = None) -> list[int]:
+    """The embedding rows of a lower-case word: its hash, and that of each beginning it is longer than, else 0. heads: known rows of beginnings."""
+    heads, most = {} if heads is None else heads, s.buckets - 1
+    rows = [_hash(word, 0) % most + 1]
+    for n in s.prefixes:
+        if len(word) <= n:
+            rows.append(0)
+            continue
+        head = word[:n]
+        if (row := heads.get(head)) is None:
+            heads[head] = row = _hash(head, n) % most + 1
+        rows.append(row)
+    return rows
 
 
 class Words:
@@ -139,27 +159,36 @@ class Words:
 
     def clear(self) -> None:
         self.number: dict[str, int] = {}
+        self.heads: dict[str, int] = {}  # a beginning's length is its seed, so beginnings of all lengths share it
         self.rows = np.zeros((0, self.s.parts), np.int32)
-        self.fresh: list[list[int]] = []
+        self.fresh = array("i")  # flat: no object a word
 
     def of(self, text: str | None) -> np.ndarray:
         """The numbers of a text's words in order."""
-        words = WORD.findall((text or "").lower())
+        return self.numbers(WORD.findall((text or "").lower()))
+
+    def of_all(self, texts: list[str | None]) -> list[np.ndarray]:
+        """``of`` each text; each of their different words is looked up once."""
+        words = [WORD.findall((t or "").lower()) for t in texts]
+        flat = pa.array(chain.from_iterable(words), pa.string()).dictionary_encode()
+        every = self.numbers(flat.dictionary.to_pylist())[flat.indices.to_numpy()]
+        return np.split(every, np.cumsum([len(w) for w in words])[:-1])
+
+    def numbers(self, words: list[str]) -> np.ndarray:
         found = list(map(self.number.get, words))
         if None in found:
-            for k, (w, n) in enumerate(zip(words, found)):
-                if n is None:
-                    if w not in self.number:
-                        self.number[w] = len(self.number)
-                        self.fresh.append(word_rows(w, self.s))
-                    found[k] = self.number[w]
+            fresh = dict.fromkeys(w for w, n in zip(words, found) if n is None)
+            for w in fresh:
+                self.fresh.extend(word_rows(w, self.s, self.heads))
+            self.number.update(zip(fresh, range(len(self.number), len(self.number) + len(fresh))))
+            found = list(map(self.number.__getitem__, words))
         return np.array(found, np.int32)
 
     def table(self) -> np.ndarray:
         """(numbers, parts): the embedding rows of all numbers given out."""
         if self.fresh:
-            self.rows = np.concatenate([self.rows, np.array(self.fresh, np.int32)])
-            self.fresh = []
+            self.rows = np.concatenate([self.rows, np.array(self.fresh, np.int32).reshape(-1, self.s.parts)])
+            self.fresh = array("i")
         return self.rows
 
 
@@ -335,7 +364,7 @@ def _make_rows(s: Settings):
         words = Words(s)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            ids = [words.of(t) for t in batch.column("_text").to_pylist()]
+            ids = words.of_all(batch.column("_text").to_pylist())
             table = words.table().astype(kind)
             kept = [batch.column(n) for n in ("_id", "_h", "toxic", "lang")]
             out = pa.RecordBatch.from_arrays([*kept, pa.array(map(len, ids), pa.int32()), pa.array([table[i].tobytes() for i in ids], pa.binary())], names=["_id", "_h", "toxic", "lang", "n", "ids"])
@@ -365,9 +394,15 @@ def training_rows(docs: DataFrame, labels: DataFrame, settings: Settings, rows:
     lang = F.col("lang") if "lang" in docs.columns else F.lit("")
     own = own_columns(docs, _id=doc_id, _text=text, _lang=lang.cast("string"))
     found = own.join(F.broadcast(chosen) if few else chosen, F.col("_id") == F.col("_lid")).select("_id", "_h", F.col("_toxic").cast("int").alias("toxic"), F.coalesce("_lang", F.lit("")).alias("lang"), F.col("_text").cast("string").alias("_text"))
-    # one row an id, the least text: rows that repeat an id are dropped before they are shuffled
-    one = found.groupBy("_id").agg(F.min(F.struct("_text", "lang")).alias("_t"), F.max("_h").alias("_h"), F.max("toxic").alias("toxic"))
-    found = one.select("_id", "_h", "toxic", F.col("_t.lang").alias("lang"), F.col("_t._text").alias("_text"))
+    # one row an id, the least text: only rows whose ids repeat are shuffled with their texts
+    kept = ["_id", "_h", "toxic", "lang", "_text"]
+    least = lambda df: df.groupBy("_id").agg(F.min(F.struct("_text", "lang")).alias("_t"), F.max("_h").alias("_h"), F.max("toxic").alias("toxic")).select("_id", "_h", "toxic", F.col("_t.lang").alias("lang"), F.col("_t._text").alias("_text"))
+    repeated = materialize(found.groupBy("_id").count().where("count > 1").select("_id"), "repeated_ids") if few else None
+    if repeated is None or (many := repeated.count()) > BROADCAST_LABELS:
+        found = least(found)
+    elif many:
+        by = F.broadcast(repeated)
+        found = found.join(by, "_id", "left_anti").select(kept).union(least(found.join(by, "_id", "left_semi")).select(kept))
     return map_arrow(found, _make_rows(settings), f"_id {dict(found.dtypes)['_id']}, _h bigint, toxic int, lang string, n int, ids binary", "_text")
 
 
@@ -538,7 +573,7 @@ def _make_scorer(sent):
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             nonlocal vectors
-            texts = [words.of(t) for t in batch.column("_text").to_pylist()]
+            texts = words.of_all(batch.column("_text").to_pylist())
             if len(words.number) > len(vectors):
                 vectors = np.concatenate([vectors, m.embed(words.table()[len(vectors) :])])
             scores = score_texts(m, texts, vectors)
