@@ -27,17 +27,17 @@ def _head(df: DataFrame, *args, **options) -> tuple[np.ndarray, np.ndarray]:
     return train_head(np.array([r["v"] for r in rows]), np.array([r["label"] for r in rows]), *args, **options)
 
 
-def run_learner(name: str, known: DataFrame, rounds: list[DataFrame], evaluation: DataFrame, per_class: int = 20, smoothing: float = 0.20) -> DataFrame:
+def run_learner(name: str, known: DataFrame, rounds: list[DataFrame], evaluation: DataFrame, per_class: int = 20, smoothing: float = 0.20, start: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
     """(method, stage, overall, old_acc, new_acc, initial_acc, forgetting) after day 1 and each round.
 
     known, rounds and evaluation: id, label, v. finetune trains on new rows alone, lwf also distils the old head, eeil
     adds exemplars to that; icarl, tpcil and doi predict by prototypes: of exemplars, of exemplars smoothed over their
-    graph, and of old prototypes moved towards the new exemplars'.
+    graph, and of old prototypes moved towards the new exemplars'. start: the head of day 1, if it is trained already.
     """
     seen = initial = known.agg(F.max("label")).first()[0] + 1
     exemplars = lambda df: df.join(prototypes.nearest_to_mean(df, per_class).select("id"), "id").select("id", "label", "v")
     memory = materialize(exemplars(known), "exemplars")
-    head = _head(known, seen) if name in LEARNERS[:3] else None
+    head = (start or _head(known, seen)) if name in LEARNERS[:3] else None
     protos = prototypes.make_prototypes(unit(memory, "v"))
     out, reference, old = [], None, seen
     for k, new in enumerate([None, *rounds]):
@@ -62,7 +62,9 @@ def run_learner(name: str, known: DataFrame, rounds: list[DataFrame], evaluation
 
 def compare(known: DataFrame, rounds: list[DataFrame], evaluation: DataFrame, learners: tuple[str, ...] = LEARNERS, **options) -> DataFrame:
     """The stages of all learners, one row a learner and stage."""
-    return reports.union_rows(*(run_learner(n, known, rounds, evaluation, **options) for n in learners))
+    # learners with a head begin with the same one
+    start = _head(known, known.agg(F.max("label")).first()[0] + 1) if set(learners) & set(LEARNERS[:3]) else None
+    return reports.union_rows(*(run_learner(n, known, rounds, evaluation, start=start, **options) for n in learners))
 
 
 def wide(stages: DataFrame, rounds: int, metric: str = "overall") -> DataFrame:
