@@ -1,6 +1,8 @@
 """Operators without SQL against plain Python written from their contracts, on odd and real texts."""
 
+import glob
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -567,3 +569,17 @@ def test_words_of_many_texts_are_those_of_each():
     each, every = [one.of(t) for t in texts], many.of_all(texts)
     assert len(each) == len(every) and all((one.table()[a] == many.table()[b]).all() for a, b in zip(each, every, strict=True))
     assert many.of_all([]) == [] or sum(map(len, many.of_all([]))) == 0
+
+
+def test_rounds_of_training_leave_no_shuffle_files(spark, monkeypatch):
+    """Disk doesn't grow with the rounds: what a round shuffles goes when it ends."""
+    monkeypatch.setattr(toxicity, "LOCAL_ROWS", 100)
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", 100)
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    held = lambda: sum(os.path.getsize(f) for d in disk.localDirsString() for f in glob.glob(f"{d}/**/shuffle_*.data", recursive=True))
+    rows = [(i, f"word{i % 90} plain", "en", i % 2) for i in range(500)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, toxic int")
+    seen, keep = [], toxicity._mean_state
+    monkeypatch.setattr(toxicity, "_mean_state", lambda *a: seen.append(held()) or keep(*a))
+    toxicity.fit(df.drop("toxic"), df.select("doc_id", "toxic"), toxicity.Settings(buckets=1 << 14, epochs=6, least_steps=1))
+    assert len(seen) == 6 and seen[-1] - seen[0] < 2_000_000  # a round shuffles some 7 MB

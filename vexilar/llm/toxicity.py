@@ -25,7 +25,7 @@ from xxhash import xxh64_intdigest
 from vexilar.llm.arrow import give_back, map_arrow, slices
 from vexilar.llm.text import own_columns
 from vexilar.operators.prefix import running
-from vexilar.session import materialize
+from vexilar.session import brief_shuffles, materialize
 
 #: Labelled rows, and words of all of them together, that the driver learns from by itself; more are left to the tasks.
 LOCAL_ROWS, LOCAL_WORDS = 24_000, 6_000_000
@@ -481,12 +481,14 @@ def fit_on(rows: DataFrame, settings: Settings) -> Model:
     if not 0 < hits < n:
         return train([], np.zeros(0), s) if not hits else train([np.zeros((0, s.parts), np.int32)], np.ones(1), s)
     shards = min(MOST_SHARDS, -(-n // SHARD_ROWS))
-    learned = materialize(learned.select("_h", "_id", "toxic", "ids").repartition(shards, "_h").sortWithinPartitions("_h", "_id"), "toxicity_shards")
+    with brief_shuffles(rows.sparkSession):
+        learned = materialize(learned.select("_h", "_id", "toxic", "ids").repartition(shards, "_h").sortWithinPartitions("_h", "_id"), "toxicity_shards")
     m = Model(s)
     now, epochs, context = (Adam(m).state(), 0), _epochs(s, n), rows.sparkSession.sparkContext
     for epoch in range(epochs):
         sent = context.broadcast(now)  # 3 sets of buckets x width floats, whatever the input
-        state, steps = _mean_state(learned, s, sent, epoch, _rate(s, epoch, epochs))
+        with brief_shuffles(rows.sparkSession):  # a set of weights a shard
+            state, steps = _mean_state(learned, s, sent, epoch, _rate(s, epoch, epochs))
         now = (state, now[1] + steps)
         sent.destroy()
     adam = Adam(m)
