@@ -531,7 +531,8 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings | None = None, ro
     that is among its best, else one of its own. Scores don't see the language.
     """
     s = settings or Settings()
-    stored = materialize(training_rows(docs, labels, s, rows, **columns).withColumn("_row", F.monotonically_increasing_id()), "toxicity_rows")
+    with brief_shuffles(docs.sparkSession):  # of texts, where labels are many
+        stored = materialize(training_rows(docs, labels, s, rows, **columns).withColumn("_row", F.monotonically_increasing_id()), "toxicity_rows")
     if rows is None and words is None:
         n, every = stored.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
         if n > LOCAL_ROWS or every > LOCAL_WORDS:
