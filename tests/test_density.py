@@ -177,3 +177,38 @@ def test_clusters_of_rows_by_climbing():
     pieces = np.array([3, 5, 8, 11, 40])
     tree = density.Tree.build(pieces, [(10, 1.0, 3, 5), (20, 2.0, 8, 11), (30, 3.0, 5, 11), (40, 4.0, 40, 3)])
     assert tree.clusters(np.array([3, 3, 3, 8, 40, 40, 5]), np.array([4, 15, 35, 25, 1, 50, 45])).tolist() == [0, 5, 7, 6, 4, 8, 8]
+
+
+@pytest.mark.parametrize("name", [c for c in CASES if c != "too few"])
+@pytest.mark.parametrize("block_bytes", [knn.BLOCK_BYTES, 4_000])
+def test_passes_in_the_order_of_a_tree_give_the_tree_of_all(spark, monkeypatch, name, block_bytes):
+    """From two nearest rows only, so that trees must be joined; with ties, copies and several chunks."""
+    x, _, k = CASES[name]
+    monkeypatch.setattr(density, "NEAR", 2)
+    t = density.tree_by_order(frame(spark, x, 3), k, len(x), block_bytes)
+    want = density.spanning_tree(np.arange(len(x)), np.asarray(x, float), cluster._core_distances(np.asarray(x, float), k))
+    got, of = (sorted(zip(a.tolist(), b.tolist(), w.tolist(), strict=True)) for a, b, w in ([t.column(c).to_numpy() for c in "abw"], want))
+    assert [e[:2] for e in got] == [e[:2] for e in of] and np.allclose([e[2] for e in got], [e[2] for e in of])
+
+
+def test_passes_in_order_give_the_labels_and_keep_few_pairs(spark, monkeypatch):
+    """Rows of a larger table meet in passes: of nearly all pairs nothing is kept (a tree a pair of blocks before)."""
+    rng = np.random.default_rng(8)
+    x = np.vstack([rng.normal(c, 0.3, (150, 12)) for c in (0, 4, 9)] + [rng.normal(3, 4, (150, 12))])
+    found, take = [], density._Cheaper._met
+    monkeypatch.setattr(density, "LEAST_ORDERED", 100)
+    monkeypatch.setattr(density, "reachability_edges", None)
+    assert_labels(density.density_clusters(frame(spark, x, 4), "v", 10, 5), x, 10, 5)
+    n, core = len(x), cluster._core_distances(x, 5)
+    order = density.Order.of(n, *(np.asarray(c) for c in density.spanning_tree(np.arange(n), x, core)))
+    once = density._Cheaper(order, core[order.row])
+    once._met = lambda *args: found.append(len(args[-1])) or take(once, *args)
+    y = x[order.row]
+    for lo in range(0, n, 100):
+        once.take(lo // 100, np.arange(lo, min(n, lo + 100)), y[lo : lo + 100])
+    for lo in range(0, n, 100):
+        once.meet(lo // 100, np.arange(lo, min(n, lo + 100)), y[lo : lo + 100])
+    assert sum(found) < 20 * n
+    kept = [c.to_numpy() for c in next(once.rows()).columns]
+    both = density.Order.of(n, *(np.concatenate(c) for c in zip(kept, order.edges, strict=True)))
+    assert len(both.edges[2]) == n - 1 and math.isclose(both.edges[2].sum(), order.edges[2].sum(), rel_tol=1e-12)
